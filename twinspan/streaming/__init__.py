@@ -1,0 +1 @@
+"""No streaming operators: record linkage here is batch work, and every input is bounded."""
