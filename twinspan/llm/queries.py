@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from twinspan.operators.storage import new_path
+
+from . import media, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +21,26 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A cache of its own for each call: the query then always does all the work.
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    stored = media.mux_column(docs.select("doc_id", n_bytes, media.padded_payload().alias("payload")), "payload", ["doc_id", "n_bytes"])
+    read = media.parse_column(stored, "media", ["doc_id", "n_bytes"])
+    points = F.size(F.filter("random_access", lambda x: x))
+    feature = F.format_string("packets=%d;units=%d;random_access=%d;first_pts=%d;last_pts=%d", "packets", F.size("pts"), points, F.element_at("pts", 1), F.element_at("pts", -1))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_sharding": op1_feistel_sharding,
+        "op5_token_counts": op5_token_counts,
+        "op9_media_columns": op9_media_columns,
     }
 
 
