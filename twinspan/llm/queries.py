@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import new_path
 
-from . import media, sharding, token_counts
+from . import decontamination, media, secrets, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,23 @@ def op1_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(_table(spark, sf_dir, "documents"), 16)
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("_n_words").alias("n_words"),
+        decontamination.hit_words().alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of its own for each call: the query then always does all the work.
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
@@ -39,6 +56,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_sharding": op1_feistel_sharding,
+        "op2_secret_scans": op2_secret_scans,
+        "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op9_media_columns": op9_media_columns,
     }
