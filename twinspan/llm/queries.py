@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import new_path
 
-from . import decontamination, media, packing, secrets, sharding, token_counts, warc
+from . import decontamination, media, packing, secrets, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), new_path(spark, "token-cache"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), new_path(spark, "warc"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scans": op2_secret_scans,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
+        "op6_simhash": op6_simhash,
         "op7_warc": op7_warc,
         "op8_packing": op8_packing,
         "op9_media_columns": op9_media_columns,
