@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a worker handles at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -53,13 +54,13 @@ def joined_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, limit: int = SLICE_BYTES) -> DataFrame:
     """Run work on byte-bounded slices of df in Python workers."""
     bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 yield work(part)
 
     return df.mapInArrow(run, schema)

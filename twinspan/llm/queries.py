@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import new_path
 
-from . import decontamination, media, packing, secrets, sharding, simhash, token_counts, warc
+from . import decontamination, media, packing, quality, secrets, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
     found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_sharding": op1_feistel_sharding,
         "op2_secret_scans": op2_secret_scans,
+        "op3_quality": op3_quality,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_simhash": op6_simhash,
