@@ -22,7 +22,7 @@ from .batches import joined_bytes, map_slices
 
 CHUNK, WIDTH, FILTERS = 32, 4, 32
 FOLDS, SAMPLE, SAMPLE_BYTES = 5, 4000, 32 << 10
-STEPS, BATCH, RATE = 2500, 32, 0.004
+STEPS, BATCH, RATE = 2000, 32, 0.004
 THRESHOLD = 0.3
 #: Bytes scored at once; numpy needs some 50 bytes for each.
 SLICE = 1 << 20

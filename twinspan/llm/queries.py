@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import new_path
 
-from . import decontamination, media, packing, quality, secrets, sharding, simhash, token_counts, warc
+from . import decontamination, licenses, media, packing, quality, secrets, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_sharding": op1_feistel_sharding,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_warc": op7_warc,
         "op8_packing": op8_packing,
         "op9_media_columns": op9_media_columns,
+        "op10_license_scans": op10_license_scans,
     }
 
 
