@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import functools
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,64 +35,63 @@ LENGTH, END_ID = 2048, 1
 LINEAR = 1024
 #: A group is packed when it holds so many tokens or pieces.
 GROUP_TOKENS, GROUP_PIECES = 1 << 20, 1 << 14
-#: A character that is one token as a word, and to which no other character is normalised.
-MARK = b"~"
+BEYOND_LATIN = "\u0250"
 #: Distinct words whose ids a worker remembers.
-WORDS = 600_000
+WORDS = 800_000
+#: Longer parts are encoded each time they come.
+LONGEST = 64
 PUNCTUATION = b".,;:!?*#$%&|)\"'"
 
 
-class WordEncoder:
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("packed ids need little-endian 32-bit integers")
+
+
+class WordEncoder(dict):
     """Encodes UTF-8 texts to packed little-endian unsigned 32-bit ids, without special tokens being added.
 
     White space ends every token of these tokenizers and leaves none itself, so a text's ids are those of its parts
-    between ASCII white space, one after the other. The library encodes each part once; parts that come again are kept
-    when memory is short.
+    between ASCII white space, one after the other. The mapping holds the ids of parts met lately; the library encodes
+    the others. Of two generations of WORDS / 2 parts, the elder is let go when the younger is full.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library, self.known, self.again = Tokenizer.from_file(path), {}, set()
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Encode many words in one call, with the mark between them as a word of its own; the few with a mark inside alone."""
-        plain = [w for w in words if MARK not in w]
-        for w in words:
-            if MARK in w:
-                self.known[w] = np.array(self._ids(w), "<u4").tobytes()
-        (mark,) = self._ids(MARK)
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self._ids((b" " + MARK + b" ").join(some)), "<u4")
-            ends = [*(4 * np.flatnonzero(ids == mark)).tolist(), 4 * len(ids)]
-            if len(ends) != len(some):
-                raise ValueError("a word without the mark was encoded with it")
-            raw, start = ids.tobytes(), 0
-            for w, end in zip(some, ends, strict=True):
-                self.known[w] = raw[start:end]
-                start = end + 4
-
-    def _ids(self, body: bytes) -> list[int]:
-        return self.library.encode_batch_fast([body.decode(errors="replace")], add_special_tokens=False)[0].ids
+        self.library, self.elder = Tokenizer.from_file(path), {}
+        self.tokenize = self.library.model.tokenize
+        # The characters by which byte-level models show bytes: printable Latin-1 itself, the rest from U+0100 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode(errors="replace")
+        if text.isalpha() and text.islower() and max(text) < BEYOND_LATIN:
+            # The normaliser and the pre-tokenizer leave lower-case Latin letters whole and unchanged.
+            return array("I", [t.id for t in self.tokenize(text if text.isascii() else word.decode("latin-1").translate(self.shown))]).tobytes()
+        return array("I", self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.elder.get(word)
+        if ids is None:
+            stem = word.rstrip(PUNCTUATION)
+            # The pre-tokenizer parts a letter from punctuation behind it.
+            ids = self[stem] + self[word[len(stem) :]] if len(stem) < len(word) and stem[-1:].isalpha() else self._ids(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
-        # Lower case is what the tokenizer's normaliser makes, unless a combining mark (UTF-8 CC or CD) may join a
-        # letter first, or the text may spell a special token.
-        parts = [(b if b"\xcc" in b or b"\xcd" in b or b"<|" in b else b.lower()).split() for b in bodies]
-        words = set().union(*parts)
-        new = words.difference(self.known)
-        self.again |= words - new
-        if len(self.known) + len(new) > WORDS:
-            if len(self.again) > WORDS // 2:
-                self.again = words - new
-            self.known = {w: self.known[w] for w in self.again}
-        # The pre-tokenizer parts a letter from punctuation behind it.
-        stems = {w: s for w in new if (s := w.rstrip(PUNCTUATION)) and s is not w and s != w and s[-1:].isalpha()}
-        self._learn(list({x for w in new for x in ((stems[w], w[len(stems[w]) :]) if w in stems else (w,))}.difference(self.known)))
-        known = self.known
-        for w, s in stems.items():
-            known[w] = known[s] + known[w[len(s) :]]
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        out = []
+        for body in bodies:
+            # Lower case is what the tokenizer's normaliser makes, unless a combining mark (UTF-8 CC or CD) may join a
+            # letter first, or the text may spell a special token.
+            plain = b"\xcc" not in body and b"\xcd" not in body and b"<|" not in body
+            out.append(b"".join(map(self.__getitem__, (body.lower() if plain else body).split())))
+            if len(self) > WORDS // 2:
+                self.elder = dict(self)
+                self.clear()
+        return out
 
 
 @functools.lru_cache(maxsize=2)
