@@ -102,6 +102,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, max_toke
     fill_cache(docs, tokenizer_path, cache_path, text)
     stored = _stored(docs.sparkSession, cache_path, tokenizer_digest(tokenizer_path))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key), F.unhex(F.sha2(body, 256)).alias("content_sha256"))
-    # The side with frequent digests is narrow and streams; adaptive execution splits a hot digest.
-    return rows.join(stored, "content_sha256", "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
+    rows = docs.select(F.col(key), F.octet_length(body).cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("content_sha256"))
+    # Both sides are dealt anew by digest and length, so adaptive execution can split a hot digest of the rows.
+    return rows.join(stored, ["content_sha256", "n_bytes"], "left").select(key, "n_bytes", "n_tokens", (F.col("n_tokens") > max_tokens).alias("over_limit"))
