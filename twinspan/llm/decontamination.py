@@ -15,15 +15,17 @@ count; repeated and null ids are kept row by row; extra columns pass through whe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from twinspan.operators.storage import materialise
 
-from .batches import bound_batches, joined_bytes, slices
+from .batches import bound_batches, fresh, joined_bytes, slices
 
 #: Item text that one broadcast hash set may hold.
 BLOCK_BYTES = 8 << 20
@@ -95,10 +97,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class TestSet:
-    """Windows of one block of test items, by width: sorted hashes, and for each hash its windows with their items."""
+    """Windows of one block of test items, by width: sorted hashes with the item and first word of each window."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         hasher, found = Hasher(), {}
+        self.items: list[tuple[str, bytes, np.ndarray, np.ndarray]] = []
         for key, body in items:
             data = np.frombuffer(body, np.uint8)
             low, starts, ends, _ = split_words(data, np.array([0, len(data)]))
@@ -106,18 +109,34 @@ class TestSet:
             if not width:
                 continue
             words = [low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
-            for i, h in enumerate(hasher.windows(hasher.words(low, starts, ends), width).tolist()):
-                found.setdefault(width, {}).setdefault(h, {}).setdefault(b" ".join(words[i : i + width]), set()).add(key)
-        self.by_width = {w: (np.array(sorted(t), np.uint64), t) for w, t in found.items()}
-
-    def hits(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]], list]:
-        """For each text: its number of words, the hit word ranges, the items that occur, and byte ranges of the words."""
+            sizes = np.cumsum([len(w) + 1 for w in words])
+            h = hasher.windows(hasher.words(low, starts, ends), width)
+            found.setdefault(width, []).append((h, np.full(len(h), len(self.items)), np.arange(len(h))))
+            self.items.append((key, b" ".join(words), np.concatenate([[0], sizes[:-1]]), sizes - 1))
+        self.by_width = {}
+        for width, parts in found.items():
+            h, item, word = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.by_width[width] = h[order], item[order].astype(np.int32), word[order].astype(np.int32)
+
+    def _keys(self, width: int, h: np.uint64, words: bytes) -> set[str]:
+        """Items in which the window occurs, word by word."""
+        hashes, item, first = self.by_width[width]
+        keys = set()
+        for i in range(np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")):
+            key, body, starts, ends = self.items[item[i]]
+            if body[starts[first[i]] : ends[first[i] + width - 1]] == words:
+                keys.add(key)
+        return keys
+
+    def hits(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        """For each text: its number of words, the hit word ranges, and the items that occur."""
         low, starts, ends, first = split_words(data, offsets)
         n_texts = len(offsets) - 1
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
         items: list[set[str]] = [set() for _ in range(n_texts)]
         words = hasher.words(low, starts, ends)
-        for width, (hashes, table) in self.by_width.items():
+        for width, (hashes, _, _) in self.by_width.items():
             h = hasher.windows(words, width)
             if not len(h):
                 continue
@@ -126,12 +145,10 @@ class TestSet:
                 text = int(np.searchsorted(first, i, side="right")) - 1
                 if i + width > first[text + 1]:
                     continue
-                keys = table[int(h[i])].get(b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + width)))
-                if keys:
+                if keys := self._keys(width, h[i], b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + width))):
                     ranges[text].append((i - int(first[text]), i - int(first[text]) + width))
                     items[text] |= keys
-        places = [(starts[a:b] - o, ends[a:b] - o) for a, b, o in zip(first[:-1], first[1:], offsets[:-1], strict=True)]
-        return np.diff(first).tolist(), ranges, items, places
+        return np.diff(first).tolist(), ranges, items
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -144,30 +161,45 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-FOUND = "_n_words long, _hits array<struct<a:int,b:int>>, _items array<string>"
-_FOUND_TYPES = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
+@dataclass(frozen=True)
+class Names:
+    """Names of the columns that contamination() adds, none of which the documents have."""
+
+    n_words: str
+    hits: str
+    items: str
+
+    def hit_words(self) -> Column:
+        """The number of hit words."""
+        return F.aggregate(self.hits, F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
+
+    def contaminated(self) -> Column:
+        """The rule: some word is hit, and at least one in twenty is."""
+        return (self.hit_words() > 0) & (self.hit_words() * 20 >= F.col(self.n_words))
+
+
+_TYPES = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
 
 
-def _scan(df: DataFrame, test: list[tuple[str, bytes]], window: int, text: str) -> DataFrame:
-    """Add this block's hits to the columns of FOUND."""
-    held = df.sparkSession.sparkContext.broadcast(test)
-    names = [n for n in df.columns if n not in ("_n_words", "_hits", "_items")]
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names)
+def _scan(df: DataFrame, test: list[tuple[str, bytes]], window: int, text: str, added: Names) -> DataFrame:
+    """Add this block's hits to the added columns."""
+    held = df.sparkSession.sparkContext.broadcast(test)  # at most BLOCK_BYTES
+    own = [added.n_words, added.hits, added.items]
+    names = [n for n in df.columns if n not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests, hasher = TestSet(held.value, window), Hasher()
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 body = part.column(text)
-                data, offsets = joined_bytes(body.cast(pa.large_binary()) if pa.types.is_string(body.type) or pa.types.is_large_string(body.type) else body)
-                n_words, ranges, items, _ = tests.hits(data, offsets, hasher)
-                old_hits, old_items = part.column("_hits").to_pylist(), part.column("_items").to_pylist()
+                n_words, ranges, items = tests.hits(*joined_bytes(body.fill_null(b"" if pa.types.is_binary(body.type) else "")), hasher)
+                old_hits, old_items = part.column(added.hits).to_pylist(), part.column(added.items).to_pylist()
                 hits = [[{"a": a, "b": b} for a, b in merged(r + [(x["a"], x["b"]) for x in o])] for r, o in zip(ranges, old_hits, strict=True)]
                 known = [sorted(i | set(o)) for i, o in zip(items, old_items, strict=True)]
-                new = [pa.array(c, t) for c, t in zip((n_words, hits, known), _FOUND_TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], [*names, "_n_words", "_hits", "_items"])
+                new = [pa.array(c, t) for c, t in zip((n_words, hits, known), _TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], [*names, *own])
 
-    return df.mapInArrow(run, f"{kept}, {FOUND}")
+    return df.mapInArrow(run, StructType([*(f for f in df.schema if f.name in names), *(df.schema[n] for n in own)]))
 
 
 def _blocks(items: DataFrame, key: str, text: str, limit: int):
@@ -184,27 +216,19 @@ def _blocks(items: DataFrame, key: str, text: str, limit: int):
     yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n_words, _hits (merged ranges of hit words) and _items (ids, as text, of items that occur)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, Names]:
+    """docs with three columns more: number of words, merged ranges of hit words, ids (as text) of items that occur."""
     bound_batches(docs.sparkSession)
-    out = docs.select("*", F.lit(0).cast("long").alias("_n_words"), F.array().cast("array<struct<a:int,b:int>>").alias("_hits"), F.array().cast("array<string>").alias("_items"))
+    added = Names(*(fresh(docs, n) for n in ("_n_words", "_hits", "_items")))
+    out = docs.select("*", F.lit(0).cast("long").alias(added.n_words), F.array().cast("array<struct<a:int,b:int>>").alias(added.hits), F.array().cast("array<string>").alias(added.items))
     for i, block in enumerate(_blocks(benchmark, item_key, item_text, block_bytes)):
         if i:
             out = materialise(out, "decontamination")
-        out = _scan(out, block, window, text)
-    return out
-
-
-def hit_words():
-    """The number of hit words, as a column over contamination()'s result."""
-    return F.aggregate("_hits", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
-
-
-def contaminated():
-    """The rule: some word is hit, and at least one in twenty is."""
-    return (hit_words() > 0) & (hit_words() * 20 >= F.col("_n_words"))
+        out = _scan(out, block, window, text, added)
+    return out, added
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """docs without the contaminated ones; the others are unchanged."""
-    return contamination(docs, benchmark, window).where(~contaminated()).select(*docs.columns)
+    found, added = contamination(docs, benchmark, window)
+    return found.where(~added.contaminated()).select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import joined_bytes, map_slices
+from .batches import fresh, joined_bytes, map_slices, struct_of
 
 CHUNK, WIDTH, FILTERS = 32, 4, 32
 FOLDS, SAMPLE, SAMPLE_BYTES = 5, 4000, 32 << 10
@@ -134,18 +134,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     return train([bytes(x) for x in found["_body"]], [int(x > 0) for x in found[label]])
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns and score for each row of docs."""
+def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """The kept columns and the score, under a name that none of them has, for each row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # some 20 KB, whatever the input
-    kept = docs.select(*keep).schema
+    input_name = fresh(docs, "_body")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        body = batch.column("_body")
-        score = probabilities(held.value, *joined_bytes(body))
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, "score"])
+        score = probabilities(held.value, *joined_bytes(batch.column(input_name)))
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], [*keep, name])
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_body"))
-    return map_slices(rows, "_body", work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double"]), SLICE)
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    rows = docs.select(*[F.col(f"`{n}`") for n in keep], body.alias(input_name))
+    return map_slices(rows, input_name, work, struct_of(docs, keep, (name, "double")), SLICE)
 
 
 def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,5 +156,6 @@ def predictions(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that the classifier rejects; the others are unchanged."""
-    names = docs.columns
-    return scored(docs, fit(docs, labels, key=key, text=text), names, text).where(F.col("score") >= THRESHOLD).select(*names)
+    name = fresh(docs, "score")
+    rows = scored(docs, fit(docs, labels, key=key, text=text), docs.columns, text, name)
+    return rows.where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{n}`") for n in docs.columns])

@@ -31,14 +31,14 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
-    found = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
+    found, added = decontamination.contamination(docs, _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        decontamination.hit_words().alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-        decontamination.contaminated().alias("contaminated"),
+        F.col(added.n_words).alias("n_words"),
+        added.hit_words().alias("n_hit"),
+        F.size(added.items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(added.items, ",").cast("binary"), 256).alias("items_sha256"),
+        added.contaminated().alias("contaminated"),
     )
 
 

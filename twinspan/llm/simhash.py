@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from twinspan.operators.components import connected_components
 from twinspan.operators.storage import materialise
 
-from .batches import map_slices
+from .batches import fresh, map_slices, struct_of
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 #: Bits of the six blocks.
@@ -54,14 +54,14 @@ def fingerprint(body: bytes) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns and fp, the fingerprint as a signed long."""
-    kept = docs.select(*keep).schema
+    input_name = fresh(docs, "_body")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array([fingerprint(x) for x in batch.column("_body").to_pylist()], np.uint64).view(np.int64)
+        found = np.array([fingerprint(x) for x in batch.column(input_name).to_pylist()], np.uint64).view(np.int64)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(found)], [*keep, "fp"])
 
-    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_body"))
-    return map_slices(rows, "_body", work, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "fp long"]))
+    rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias(input_name))
+    return map_slices(rows, input_name, work, struct_of(docs, keep, ("fp", "long")))
 
 
 def block_masks() -> list[int]:
@@ -83,12 +83,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
-    """For each distinct fp of rows: fp and component_id, the smallest key of its component."""
+    """For each distinct fp of rows: fp, label (the component's smallest fp) and component_id (its smallest key)."""
     distinct = materialise(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprints")
     component = connected_components(links(distinct), "a", "b")
     known = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
     least = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    return materialise(known.join(least, "label").select("fp", "component_id"), "classes")
+    return materialise(known.join(least, "label").select("fp", "label", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,14 +104,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Only keys, checksums and fingerprints are shuffled to decide; documents meet the keys to keep in one join.
     """
     names = docs.columns
-    sums = F.xxhash64(*[F.col(f"`{n}`").cast("string") for n in names])
-    marked = docs.withColumn("_sum", sums)
-    rows = materialise(fingerprints(marked, [key, "_sum"], text), "fingerprinted")
-    same = rows.groupBy("fp", key, "_sum").agg(F.count(F.lit(1)).alias("n"))
-    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_sum").alias("sum"), F.col("n").alias("n"))).alias("kept")
-    kept = same.join(classes(rows, key), "fp").groupBy("component_id").agg(first)
-    kept = kept.select(F.col("kept.id").alias("_id"), F.col("kept.sum").alias("_kept"), F.col("kept.n").alias("_n"))
-    found = marked.join(kept.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_kept")))
+    total = fresh(docs, "_sum")
+    marked = docs.withColumn(total, F.xxhash64(*[F.col(f"`{n}`").cast("string") for n in names]))
+    rows = materialise(fingerprints(marked, [key, total], text), "fingerprinted")
+    same = rows.groupBy("fp", key, total).agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col(total).alias("sum"), F.col("n").alias("n"))).alias("kept")
+    kept = same.join(classes(rows, key), "fp").groupBy("label").agg(first)
+    own_id, own_sum, n = (fresh(marked, x) for x in ("_kept_id", "_kept_sum", "_kept_n"))
+    kept = kept.select(F.col("kept.id").alias(own_id), F.col("kept.sum").alias(own_sum), F.col("kept.n").alias(n))
+    found = marked.join(kept.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col(own_id)) & (F.col(total) == F.col(own_sum)))
     # Rows that are equal in all columns need one more step; others are done.
-    repeated = found.where(F.col("_n") > 1).dropDuplicates(["_id", "_sum"])
-    return found.where(F.col("_n") == 1).unionByName(repeated).select(*[F.col(f"`{n}`") for n in names])
+    repeated = found.where(F.col(n) > 1).dropDuplicates([own_id, own_sum])
+    return found.where(F.col(n) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in names])
