@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.llm import decontamination, packing, quality, secrets, simhash
+from twinspan.llm.batches import fresh
 from twinspan.operators.storage import materialise
 
 
@@ -32,8 +33,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark; n_chars follows a text that changed."""
-    marked = secrets.redact(docs.withColumn("_before", F.crc32(F.col("text").cast("binary"))))
-    changed = ~F.crc32(F.col("text").cast("binary")).eqNullSafe(F.col("_before"))
+    before = fresh(docs, "_before")
+    marked = secrets.redact(docs.withColumn(before, F.crc32(F.col("text").cast("binary"))))
+    changed = ~F.crc32(F.col("text").cast("binary")).eqNullSafe(F.col(before))
     n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return marked.withColumn("n_chars", n_chars).select(*docs.columns)
 
