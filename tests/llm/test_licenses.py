@@ -1,0 +1,74 @@
+import random
+
+from tests.llm.cases import ROWS, no_docs, odd_docs
+from twinspan.llm import licenses
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+{grant}
+
+{notice}
+
+{as_is}
+{liability}
+""".format(**{k.removeprefix("mit-").replace("-", "_"): v[0] for k, v in licenses.SENTENCES.items() if k.startswith("mit-")}, **{})
+
+
+def found(text):
+    return licenses.licenses([k for k, _, _ in licenses.sentences(text)])
+
+
+def test_one_line_notices():
+    assert found("Some text. Released under the MIT License. More.") == ["MIT"]
+    assert found("x\nLicensed under the Apache License, Version 2.0.\ny") == ["Apache-2.0"]
+    assert found("This work is licensed under the GNU General Public License, version 3.") == ["GPL-3.0-only"]
+    assert found("// LICENSED UNDER CC BY-NC 4.0.\n") == ["CC-BY-NC-4.0"]
+    assert found("# SPDX-License-Identifier: BSD-3-Clause") == ["BSD-3-Clause"]
+
+
+def test_what_is_no_notice():
+    for text in ("", "We discuss the MIT License here at length.", "not Released under the MIT License.", "Released under the MIT Licenses.", "permission and copyright and license"):
+        assert found(text) == []
+
+
+def test_whole_licence_and_order_of_rules():
+    assert found(MIT) == ["MIT", "MIT"]  # its title, then its body
+    wrapped = "\n".join(" * " + line for line in MIT.replace(", ", ",\n").split("\n"))
+    assert found(wrapped) == ["MIT", "MIT"]
+    bsd = "\n\n".join(licenses.SENTENCES[k][0] for k in ("bsd-redistribution", "bsd-source", "bsd-binary"))
+    assert found(bsd) == ["BSD-2-Clause"]
+    assert found(bsd + "\n" + licenses.SENTENCES["bsd-endorse"][0]) == ["BSD-3-Clause"]
+    assert found(licenses.SENTENCES["bsd-binary"][0]) == []
+
+
+def test_places_are_right():
+    text = "Intro é🙂.\nReleased under the MIT License. Then: Licensed under CC BY 4.0.\n"
+    spans = licenses.sentences(text)
+    assert [text[s:e].strip() for _, s, e in spans] == ["Released under the MIT License.", "Licensed under CC BY 4.0."]
+
+
+def test_against_plain_lookup_of_fragments():
+    """Texts of whole sentences, one a line: what is found is what was put in."""
+    rng = random.Random(3)
+    known = [(k, s) for k, all_of_it in licenses.SENTENCES.items() for s in all_of_it]
+    for _ in range(300):
+        put, lines = [], []
+        for _ in range(rng.randint(0, 8)):
+            if rng.random() < 0.5:
+                k, s = rng.choice(known)
+                put.append(k)
+                lines.append(rng.choice([s, s.upper(), "  * " + s]))
+            else:
+                lines.append(rng.choice(["Plain words of a licensed driver.", "12 34", "", "the permission slip was late!"]))
+        text = "\n\n".join(lines)
+        assert [k for k, _, _ in licenses.sentences(text)] == put, text
+
+
+def test_query_on_odd_rows(spark):
+    docs = odd_docs(spark, clashing=True)
+    assert sorted(((r.doc_id, r.n_sentences) for r in licenses.scan(docs).collect()), key=repr) == sorted(((i, 0) for i, *_ in ROWS), key=repr)
+    assert licenses.scan(no_docs(spark)).count() == 0
+    one = spark.createDataFrame([(1, MIT + "Licensed under CC BY 4.0.")], "doc_id long, text string")
+    assert licenses.scan(one).first().licenses == "CC-BY-4.0,MIT"

@@ -1,0 +1,73 @@
+import hashlib
+import random
+import re
+
+from tests.llm.cases import ROWS, no_docs, odd_docs
+from twinspan.llm import secrets
+
+PATTERNS = [
+    ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 18),
+    ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 16),
+]
+
+
+def by_hand(text):
+    out = []
+    for place, (kind, pattern, holds) in enumerate(PATTERNS):
+        out += [(m.start(), place, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text) if holds(m)]
+    return ",".join(x for _, _, x in sorted(out))
+
+
+def base(text):
+    return secrets.shown(secrets.base_spans(text))
+
+
+def test_base_spans_against_plain_patterns():
+    rng = random.Random(3)
+    parts = ["token", "ToKeN", "api_key", "APIKEY", "secret", "ſecret", "paſſword", "toKen", " = ", ":", "=", '"', "'", " ", "AKIA", "AKIAAKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "abcdef", "é🙂", "\n", "x.y-z_", "0" * 15]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert base(text) == by_hand(text), text
+
+
+def test_failed_match_still_consumes():
+    assert base("token: secret=abcdefghijklmnop") == by_hand("token: secret=abcdefghijklmnop")
+    assert base("token=short password=abcdefghijkl") == "assign:12:33"
+
+
+def test_models_tell_random_strings_from_identifiers():
+    noise = secrets.random_samples(400, seed=101)
+    names = secrets.identifier_samples(400, seed=102)
+    found = lambda s: bool(secrets.model_spans(f"see {s} there", secrets.base_spans(s)))
+    mixed = [s for s in noise if re.search("[A-Za-z]", s) and re.search("[0-9]", s) and not secrets.base_spans(s)]
+    assert sum(map(found, mixed)) >= 0.9 * len(mixed)
+    assert sum(map(found, names)) <= 0.01 * len(names)
+
+
+def test_model_spans_leave_base_alone():
+    text = "token = Zx9qP0vL3mK8tR5wY2uB7nC4 and key Zx9qP0vL3mK8tR5wY2uB7nC4dE"
+    spans = secrets.base_spans(text)
+    more = secrets.model_spans(text, spans)
+    assert len(spans) == 1 and [text[s:e] for s, _, e in more] == ["Zx9qP0vL3mK8tR5wY2uB7nC4dE"]
+
+
+def test_query_on_odd_rows(spark):
+    rows = secrets.scan(odd_docs(spark, clashing=True)).collect()
+    assert len(rows) == len(ROWS)
+    want = sorted(hashlib.sha256(by_hand(t or "").encode()).hexdigest() for _, t, *_ in ROWS)
+    assert sorted(r.base_sha256 for r in rows) == want
+    ten = next(r for r in rows if r.n_access)
+    assert (ten.n_assign, ten.n_access, ten.n_hex) == (1, 1, 1) and ten.spans.startswith("assign:0:21")
+    assert secrets.scan(no_docs(spark)).count() == 0
+
+
+def test_redaction(spark):
+    docs = odd_docs(spark, clashing=True)
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    texts = {(r.doc_id, r.n_chars): r.text for r in out.collect()}
+    assert texts[(10, 1)] == "[SECRET]' and [SECRET] and [SECRET]"
+    assert texts[(3, None)] is None and texts[(4, 0)] == ""
+    assert "hunter2" not in texts[(6, ROWS[5][4])]
+    assert secrets.redacted("clean text, nothing here") == "clean text, nothing here"
