@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import new_path
 
-from . import decontamination, licenses, media, packing, quality, secrets, sharding, simhash, token_counts, warc
+from . import decontamination, licenses, media, oracles, packing, quality, secrets, sharding, simhash, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,4 +89,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need Python's models, tokenizers, hashes or codecs; tests hold them against brute force."""
+    return {
+        "op1_feistel_sharding": oracles.feistel_sharding(16),
+        "op4_decontamination": oracles.DECONTAMINATION,
+        "op7_warc": oracles.WARC,
+    }
