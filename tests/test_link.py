@@ -1,0 +1,101 @@
+"""Linking: small datasets with known links."""
+
+import pytest
+
+from twinspan.operators.link import link
+from twinspan.plans.spec import Comparison, Step
+
+COLUMNS = "id long, entity long, born string, first string, town string"
+NAMES = Step(1, ("born", "town"), ("first",), (Comparison("LEVENSHTEIN", {"max_edits": 3}),))
+
+LEFT = [
+    (1, 100, "1980", "Anna", "Oslo"),
+    (2, 200, "1970", "Gudbrand", "Moss"),  # too far
+    (3, 300, "1960", "Per", "Bergen"),
+    (4, 300, "1960", "Pär", "Bergen"),  # same entity
+    (5, 400, "1950", None, "Hamar"),
+    (6, 500, "1940", "Ola", "Bodo"),
+    (7, 600, "1930", "Ida", "Skien"),
+]
+RIGHT = [
+    (11, 1100, "1980", "Hanne", "Oslo"),
+    (12, 1200, "1970", "Li", "Moss"),
+    (13, 1300, "1960", "Peer", "Bergen"),
+    (14, 1400, "1950", None, "Hamar"),
+    (15, 1400, "1951", "Nils", "Hamar"),  # mate of 14
+    (16, 1600, "1940", "Ole", "Bodo"),
+    (17, 1700, "1940", "Olav", "Bodo"),
+    (18, 1800, "1930", "Ida", "Lund"),  # another key
+]
+
+
+def run(spark, relationship, steps=(NAMES,), mates="right", left=LEFT, right=RIGHT):
+    return link(spark.createDataFrame(left, COLUMNS), spark.createDataFrame(right, COLUMNS), "id", "id", "entity", "entity", steps, relationship, mates)
+
+
+def links(result):
+    return sorted(((r.LEFT_id, r.RIGHT_id, r.LINK_ID, r.STEP) for r in result.linked.collect()), key=repr)
+
+
+def test_one_to_one(spark):
+    result = run(spark, "1T1")
+    assert links(result) == sorted([(1, 11, 1, 1), (3, 13, 2, 1), (4, 13, 2, 1), (5, 14, 3, 1), (None, 15, 3, None)], key=repr)
+    assert result.linked.columns == ["LEFT_id", "born_x", "first_x", "town_x", "LEFT_entity", "STEP", "RIGHT_id", "born_y", "first_y", "town_y", "RIGHT_entity", "LINK_ID"]
+    refused = sorted(tuple(r) for r in result.matched_not_linked.collect())
+    assert refused == [(6, 16, 500, 1600, 1), (6, 17, 500, 1700, 1)]
+    assert result.matched_not_linked.columns == ["LEFT_id", "RIGHT_id", "LEFT_entity", "RIGHT_entity", "STEP"]
+    assert sorted(r.id for r in result.unlinked_left.collect()) == [2, 6, 7]
+    assert sorted(r.id for r in result.unlinked_right.collect()) == [12, 16, 17, 18]
+    assert result.stats == {1: {"total_records_linked": 4, "total_entities": 3, "total_matched_not_linked": 2}}
+    assert result.totals == {"total_records_linked": 4, "total_entities": 3}
+
+
+def test_one_to_many_and_back(spark):
+    assert [x[:2] for x in links(run(spark, "1TM", mates="none"))] == [(1, 11), (3, 13), (4, 13), (5, 14), (6, 16), (6, 17)]
+    assert [x[:2] for x in links(run(spark, "MT1", mates="none"))] == [(1, 11), (3, 13), (4, 13), (5, 14)]
+    turned = run(spark, "MT1", mates="none", left=RIGHT, right=LEFT)
+    assert [x[:2] for x in links(turned)] == [(11, 1), (13, 3), (13, 4), (14, 5), (16, 6), (17, 6)]
+
+
+def test_left_mates(spark):
+    left = [*LEFT, (8, 400, "1111", "mate", "x")]
+    got = links(run(spark, "1T1", mates="both", left=left))
+    assert (8, None, 3, None) in got and (None, 15, 3, None) in got
+    assert (8, None, 3, None) not in links(run(spark, "1T1", left=left))
+
+
+def test_steps_continue_ids_and_shrink(spark):
+    loose = Step(2, ("born",), ("first",), (Comparison("HEAD_MATCH", {"n": 2}),), transformations=("EXACT",))
+    result = run(spark, "1T1", (NAMES, loose), mates="none")
+    assert links(result) == sorted([(1, 11, 1, 1), (3, 13, 2, 1), (4, 13, 2, 1), (5, 14, 3, 1), (7, 18, 4, 2)], key=repr)
+    # 6 is refused in both steps; the first is reported
+    assert sorted(tuple(r) for r in result.matched_not_linked.collect()) == [(6, 16, 500, 1600, 1), (6, 17, 500, 1700, 1)]
+    assert [result.stats[s]["total_entities"] for s in (1, 2)] == [3, 1] and result.totals["total_entities"] == 4
+
+
+def test_refused_then_linked(spark):
+    strict = Step(2, ("born", "town"), ("first",), (Comparison("FIXED_LEN", {"length": 3}),))
+    result = run(spark, "1T1", (NAMES, strict), mates="none")
+    assert (6, 16, 4, 2) in links(result)
+    assert (6, 16, 500, 1600, 1) in [tuple(r) for r in result.matched_not_linked.collect()]
+
+
+def test_no_pairs_and_no_rows(spark):
+    never = Step(1, ("born",), ("first",), (Comparison("FIXED_VAL", {"value": "?"}),))
+    for result in (run(spark, "1T1", (never,)), run(spark, "1T1", left=[]), run(spark, "1TM", left=[], right=[])):
+        assert result.linked.count() == 0 and result.matched_not_linked.count() == 0
+        assert result.totals == {"total_records_linked": 0, "total_entities": 0}
+
+
+def test_different_column_names(spark):
+    left = spark.createDataFrame([(1, 10, "a", "x")], "lid long, lent long, k string, note string")
+    right = spark.createDataFrame([(2, 20, "a", "y")], "rid long, rent long, key string, note string")
+    one = Step(1, ("k",), ("k",), (Comparison(),), block_right=("key",), link_right=("key",))
+    result = link(left, right, "lid", "rid", "lent", "rent", [one], "1T1")
+    assert result.linked.columns == ["LEFT_lid", "k", "note_x", "LEFT_lent", "STEP", "RIGHT_rid", "key", "note_y", "RIGHT_rent", "LINK_ID"]
+    assert tuple(result.linked.first()) == (1, "a", "x", 10, 1, 2, "a", "y", 20, 1)
+
+
+def test_unknown_relationship(spark):
+    with pytest.raises(ValueError):
+        run(spark, "1TN")

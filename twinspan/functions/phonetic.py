@@ -102,7 +102,8 @@ def nysiis_udf():
 
     @F.pandas_udf("string")
     def encode(names: pd.Series) -> pd.Series:
-        return names.map({n: nysiis(n) for n in names.dropna().unique()})
+        codes = {n: nysiis(n) for n in names.dropna().unique()}
+        return pd.Series([codes.get(n) for n in names], dtype=object)
 
     return encode
 
