@@ -31,7 +31,7 @@ class DedupResult:
 
 def assign_entities(matched: DataFrame, index: str, offset: int = 0) -> DataFrame:
     """index and ENTITY_ID of all records in matched pairs: components numbered by their smallest id."""
-    found = materialise(connected_components(matched, LEFT + index, RIGHT + index), "entities")
+    found = connected_components(matched, LEFT + index, RIGHT + index)
     roots = numbered(found.where(F.col("node") == F.col("component")).select("component"), ["component"], "ENTITY_ID", offset)
     return found.join(roots, "component").select(F.col("node").alias(index), "ENTITY_ID")
 
@@ -84,9 +84,9 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
         ids = records.limit(0).select(F.col(f"`{index}`").alias(LEFT + index), F.col(f"`{index}`").alias(RIGHT + index))
         details = matched_details(records, ids.crossJoin(none.select("STEP")), records.limit(0).select(index).crossJoin(none.select("ENTITY_ID")), index)
     alone = numbered(rest.select(index), [index], "ENTITY_ID", offset)
-    everyone = materialise(alone if entities is None else entities.unionByName(alone), "entities")
+    everyone = alone if entities is None else entities.unionByName(alone)
     others = [F.col(f"`{c}`") for c in records.columns if c != index]
     ids = everyone.select(F.col(f"`{index}`").alias("_id"), "ENTITY_ID")
     deduped = records.join(ids, F.col(f"`{index}`").eqNullSafe(F.col("_id"))).select(F.col(f"`{index}`"), "ENTITY_ID", *others)
-    total = everyone.agg(F.coalesce(F.max("ENTITY_ID"), F.lit(0))).first()[0]
+    total = offset + alone.count()
     return DedupResult(deduped, details, stats, {"total_records_linked": pairs_so_far, "total_entities": total})
