@@ -54,7 +54,6 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
     leave the records of later steps. Pairs of trailing steps without group are dropped. Records in no pair are
     entities of their own, numbered on by id. A null id pairs with nothing and comes last in no order but its own.
     """
-    spark = records.sparkSession
     ends = [LEFT + index, RIGHT + index]
     rest, pending, entities, details, offset = records, None, None, None, 0
     stats: dict[int, dict[str, int]] = {}
@@ -80,9 +79,9 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
             rest = records.join(entities.select(index), index, "left_anti").select(*records.columns)
         pending = None
     if details is None:
-        none = spark.createDataFrame([], "ENTITY_ID long, STEP int")
-        ids = records.limit(0).select(F.col(f"`{index}`").alias(LEFT + index), F.col(f"`{index}`").alias(RIGHT + index))
-        details = matched_details(records, ids.crossJoin(none.select("STEP")), records.limit(0).select(index).crossJoin(none.select("ENTITY_ID")), index)
+        empty, id_column = records.limit(0), F.col(f"`{index}`")
+        no_pairs = empty.select(id_column.alias(LEFT + index), id_column.alias(RIGHT + index), F.lit(0).alias("STEP"))
+        details = matched_details(records, no_pairs, empty.select(id_column, F.lit(0).cast("long").alias("ENTITY_ID")), index)
     alone = numbered(rest.select(index), [index], "ENTITY_ID", offset)
     everyone = alone if entities is None else entities.unionByName(alone)
     others = [F.col(f"`{c}`") for c in records.columns if c != index]
