@@ -18,7 +18,9 @@ def compare(spark, name, pairs, kind="string", **args):
     if algorithm.prepare:
         df = algorithm.prepare(algorithm.prepare(df, "l", "pl"), "r", "pr")
         left, right = "pl", "pr"
-    rows = df.select("i", algorithm.apply(F.col(left), F.col(right), **args).alias("m")).orderBy("i").collect()
+    as_filter = F.coalesce(algorithm.condition(F.col(left), F.col(right), **args), F.lit(False))
+    rows = df.select("i", algorithm.apply(F.col(left), F.col(right), **args).alias("m"), as_filter.alias("f")).orderBy("i").collect()
+    assert [r.m for r in rows] == [r.f for r in rows]
     return [r.m for r in rows]
 
 

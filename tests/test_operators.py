@@ -113,3 +113,22 @@ def test_agreement_sums_to_one(spark, seed):
 def test_frequencies_of_numbers(spark):
     df = spark.range(5).select((F.col("id") % 2).alias("v"))
     assert {r.value: r.n for r in value_counts(df, "v").collect()} == {"0": 3, "1": 2}
+
+
+def test_equalities_of_a_step_become_join_keys(spark):
+    from twinspan.operators.matching import pair_and_match
+    from twinspan.plans.spec import Comparison, Step
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(1, "a", "xyz"), (2, "a", "xyw"), (3, "a", None)], "id long, k string, v string")
+        step = Step(1, ("k",), ("v", "v", "v"), (Comparison("HEAD_MATCH", {"n": 2}), Comparison("SOUNDEX"), Comparison("LEVENSHTEIN", {"max_edits": 1})))
+        found = pair_and_match(df, df, step, ["id"], ["id"], ("id", "id"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        keys = plan.split("SortMergeJoin [")[1].split("]")[0]
+        assert keys.count("LEFT__") >= 3 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert [(r.LEFT_id, r.RIGHT_id) for r in found.collect()] == []
+        near = Step(1, ("k",), ("v", "v"), (Comparison("HEAD_MATCH", {"n": 2}), Comparison("LEVENSHTEIN", {"max_edits": 1})))
+        assert [(r.LEFT_id, r.RIGHT_id) for r in pair_and_match(df, df, near, ["id"], ["id"], ("id", "id")).collect()] == [(1, 2)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

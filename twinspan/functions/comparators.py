@@ -43,30 +43,42 @@ def both_exist(left: Column, right: Column) -> Column:
     return ~is_empty(left) & ~is_empty(right)
 
 
-@register("SOUNDEX", "Equal Soundex codes", None, prepare=_encoded(encoders.soundex), tags=("strings",))
+@register("SOUNDEX", "Equal Soundex codes", None, key=lambda c: c, prepare=_encoded(encoders.soundex), tags=("strings",))
 def soundex(left: Column, right: Column) -> Column:
     return _sure(left == right)
 
 
-@register("NYSIIS", "Equal NYSIIS codes", None, prepare=_encoded(encoders.nysiis), tags=("strings",))
+@register("NYSIIS", "Equal NYSIIS codes", None, key=lambda c: c, prepare=_encoded(encoders.nysiis), tags=("strings",))
 def nysiis(left: Column, right: Column) -> Column:
     return _sure(left == right)
 
 
-@register("SLICE_MATCH", "Equal parts", None, args=("start", "end"), defaults={"start": 0, "end": 0}, tags=("strings", "dates"))
+def _part(c: Column, start: int, end: int) -> Column:
+    return py_slice(c, start, end)
+
+
+def _head(c: Column, n: int) -> Column:
+    return py_slice(c, 0, n)
+
+
+def _tail(c: Column, n: int) -> Column:
+    return py_slice(c, -n, None)
+
+
+@register("SLICE_MATCH", "Equal parts", None, args=("start", "end"), defaults={"start": 0, "end": 0}, key=_part, tags=("strings", "dates"))
 def slice_match(left: Column, right: Column, start: int, end: int) -> Column:
-    return _sure(py_slice(left, start, end) == py_slice(right, start, end))
+    return _sure(_part(left, start, end) == _part(right, start, end))
 
 
-@register("HEAD_MATCH", "Equal beginnings", None, args=("n",), defaults={"n": 0}, tags=("strings", "dates"))
+@register("HEAD_MATCH", "Equal beginnings", None, args=("n",), defaults={"n": 0}, key=_head, tags=("strings", "dates"))
 def head_match(left: Column, right: Column, n: int) -> Column:
-    return _sure(py_slice(left, 0, n) == py_slice(right, 0, n))
+    return _sure(_head(left, n) == _head(right, n))
 
 
-@register("TAIL_MATCH", "Equal ends", None, args=("n",), defaults={"n": 0}, tags=("strings", "dates"))
+@register("TAIL_MATCH", "Equal ends", None, args=("n",), defaults={"n": 0}, key=_tail, tags=("strings", "dates"))
 def tail_match(left: Column, right: Column, n: int) -> Column:
     """n = 0 compares the whole values."""
-    return _sure(py_slice(left, -n, None) == py_slice(right, -n, None))
+    return _sure(_tail(left, n) == _tail(right, n))
 
 
 @register("FIXED_LEN", "Both of one length", None, args=("length",), defaults={"length": 0})

@@ -24,7 +24,9 @@ class Algorithm:
     """fn: column -> column for an encoder, (left, right, **args) -> boolean column for a comparator.
 
     prepare adds the column that the comparator reads instead of the field: (frame, field, new name) -> frame. It runs
-    once per record, before records are paired. costly comparators run after all others of a step.
+    once per record, before records are paired. costly comparators run after all others of a step. key, for comparators
+    that ask for one equal value on both sides (null equal to nothing): (column, **args) -> that value; steps then join
+    on it.
     """
 
     name: str
@@ -35,12 +37,21 @@ class Algorithm:
     tags: tuple[str, ...] = ()
     prepare: Callable[[DataFrame, str, str], DataFrame] | None = None
     costly: bool = False
+    key: Callable | None = None
     defaults: dict[str, Any] = field(default_factory=dict)
 
-    def apply(self, *columns, **args):
+    def _checked(self, args: dict[str, Any]) -> dict[str, Any]:
         if unknown := set(args) - set(self.args):
             raise ValueError(f"{self.name} has no argument {', '.join(sorted(unknown))}")
-        return self.fn(*columns, **(self.defaults | args))
+        return self.defaults | args
+
+    def apply(self, *columns, **args):
+        return self.fn(*columns, **self._checked(args))
+
+    def condition(self, left, right, **args):
+        """The same as apply() for use in a filter or join, where null counts as false: an equality of keys if there is one."""
+        args = self._checked(args)
+        return self.key(left, **args) == self.key(right, **args) if self.key else self.fn(left, right, **args)
 
 
 _encoders: dict[str, Algorithm] = {}

@@ -14,11 +14,14 @@ from .blocking import LEFT, RIGHT, pair
 
 
 def predicates(step: Step) -> tuple[list[Column], list[Column]]:
-    """The step's comparisons over the columns of pair(): those that stay in the JVM, and the costly ones."""
+    """The step's comparisons over the columns of pair(): those that stay in the JVM, and the costly ones.
+
+    Comparisons that are an equality of values stay one, so Catalyst makes them further keys of the blocking join.
+    """
     cheap, costly = [], []
     for i, (_, _, c) in enumerate(step.compared()):
         algorithm = comparator(c.name)
-        (costly if algorithm.costly else cheap).append(algorithm.apply(F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}"), **c.args))
+        (costly if algorithm.costly else cheap).append(algorithm.condition(F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}"), **c.args))
     return cheap, costly
 
 
