@@ -53,6 +53,14 @@ def test_without_llm(tmp_path):
     assert said.stdout.split() == [str(len(linkage.queries())), "False", str(len(linkage.oracle_sql()))], said.stderr
 
 
+def test_without_llm_but_with_its_empty_folder(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))
+    (copy / "twinspan/llm/__pycache__").mkdir(parents=True)
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(linkage.queries()))], said.stderr
+
+
 def test_nothing_else_imports_llm():
     for folder, _, names in os.walk(f"{ROOT}/twinspan"):
         if "/llm" not in folder:

@@ -18,8 +18,10 @@ def compare(spark, name, pairs, kind="string", **args):
     if algorithm.prepare:
         df = algorithm.prepare(algorithm.prepare(df, "l", "pl"), "r", "pr")
         left, right = "pl", "pr"
-    as_filter = F.coalesce(algorithm.condition(F.col(left), F.col(right), **args), F.lit(False))
-    rows = df.select("i", algorithm.apply(F.col(left), F.col(right), **args).alias("m"), as_filter.alias("f")).orderBy("i").collect()
+    applied = algorithm.apply(F.col(left), F.col(right), **args)
+    parts = [algorithm.key(F.col(c), **algorithm.checked(args)) for c in (left, right)] if algorithm.key else None
+    as_filter = F.coalesce(parts[0] == parts[1], F.lit(False)) if parts else applied
+    rows = df.select("i", applied.alias("m"), as_filter.alias("f")).orderBy("i").collect()
     assert [r.m for r in rows] == [r.f for r in rows]
     return [r.m for r in rows]
 

@@ -40,18 +40,13 @@ class Algorithm:
     key: Callable | None = None
     defaults: dict[str, Any] = field(default_factory=dict)
 
-    def _checked(self, args: dict[str, Any]) -> dict[str, Any]:
+    def checked(self, args: dict[str, Any]) -> dict[str, Any]:
         if unknown := set(args) - set(self.args):
             raise ValueError(f"{self.name} has no argument {', '.join(sorted(unknown))}")
         return self.defaults | args
 
     def apply(self, *columns, **args):
-        return self.fn(*columns, **self._checked(args))
-
-    def condition(self, left, right, **args):
-        """The same as apply() for use in a filter or join, where null counts as false: an equality of keys if there is one."""
-        args = self._checked(args)
-        return self.key(left, **args) == self.key(right, **args) if self.key else self.fn(left, right, **args)
+        return self.fn(*columns, **self.checked(args))
 
 
 _encoders: dict[str, Algorithm] = {}

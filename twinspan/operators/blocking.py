@@ -15,7 +15,8 @@ LEFT, RIGHT = "LEFT_", "RIGHT_"
 def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
     """carry columns with _k0.. (encoded keys) and _c0.. (what comparators read). Records with a null key field are out.
 
-    Encodings and prepared values are made here, once per record and not once per pair. Fields of white space only
+    Encodings, prepared values and the parts that comparisons want equal are made here, once per record and not once per
+    pair. Fields of white space only
     count as null, for keys and comparators alike.
     """
     place = 0 if side == "left" else 1
@@ -29,6 +30,8 @@ def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
         algorithm = comparator(c[2].name)
         field = own[c[place]]
         clean = algorithm.prepare(clean, field, f"_c{i}") if algorithm.prepare else clean.withColumn(f"_c{i}", F.col(field))
+        if algorithm.key:
+            clean = clean.withColumn(f"_c{i}", algorithm.key(F.col(f"_c{i}"), **algorithm.checked(c[2].args)))
     clean = clean.withColumns({f"_k{i}": encoder(k[2]).apply(F.col(own[k[place]])) for i, k in enumerate(keys)})
     return clean.select(*carry, *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(compared))])
 

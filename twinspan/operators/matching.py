@@ -20,8 +20,8 @@ def predicates(step: Step) -> tuple[list[Column], list[Column]]:
     """
     cheap, costly = [], []
     for i, (_, _, c) in enumerate(step.compared()):
-        algorithm = comparator(c.name)
-        (costly if algorithm.costly else cheap).append(algorithm.condition(F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}"), **c.args))
+        algorithm, left, right = comparator(c.name), F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}")
+        (costly if algorithm.costly else cheap).append(left == right if algorithm.key else algorithm.apply(left, right, **c.args))
     return cheap, costly
 
 

@@ -227,8 +227,8 @@ _BY_DOCS = "SELECT l.doc_id AS left_id, r.doc_id AS right_id FROM documents l JO
 
 @_query("match_document_heads", _BY_DOCS)
 def match_document_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.left("text", F.lit(40)).alias("head"))
-    step = _step(["lang", "source"], ["head"], [Comparison("EXACT")])
+    docs = _table(spark, sf_dir, "documents")
+    step = _step(["lang", "source"], ["text"], [Comparison("HEAD_MATCH", {"n": 40})])
     return _ids(pair_and_match(docs, docs, step, ["doc_id"], ["doc_id"], ("doc_id", "doc_id")), "doc_id")
 
 
