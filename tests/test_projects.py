@@ -8,6 +8,7 @@ import sys
 import pytest
 
 from twinspan.plans import catalog
+from twinspan.plans.options import Options, read_options
 from twinspan.plans.report import as_frame, as_html, as_json
 from twinspan.plans.runner import execute_project, run_project
 from twinspan.plans.spec import project_from, read_project
@@ -77,7 +78,7 @@ def test_dedup_project(spark, tmp_path):
 
 
 def test_link_project(spark, tmp_path):
-    execute_project(spark, link_project(tmp_path), "parquet")
+    execute_project(spark, link_project(tmp_path), Options(format="parquet"))
     out = spark.read.parquet(f"{tmp_path}/out/linked_data").collect()
     assert [(r.LEFT_id, r.RIGHT_id, r.LINK_ID) for r in out] == [(1, 5, 1)]
     assert [r.id for r in spark.read.parquet(f"{tmp_path}/out/unlinked_left").collect()] == [2]
@@ -160,6 +161,54 @@ def test_reading(spark, tmp_path):
         read_project(f"{tmp_path}/none.json")
 
 
+def test_options(spark, tmp_path):
+    path = tmp_path / "run.ini"
+    path.write_text("[other]\nx = 1\n[twinspan]\nformat = parquet\norder = entity\nna_values = NA, -\ncheck_ids = no\n")
+    assert read_options(str(path)) == Options("parquet", "entity", "right", ("NA", "-"), False)
+    path.write_text("[other]\nx = 1\n")
+    assert read_options(str(path)) == Options()
+    path.write_text("[twinspan]\nchunk = 1\n")
+    with pytest.raises(ValueError):
+        read_options(str(path))
+    with pytest.raises(ValueError):
+        Options(order="random")
+    execute_project(spark, dedup_project(tmp_path), Options(format="parquet", order="entity"))
+    assert [r.ENTITY_ID for r in spark.read.parquet(f"{tmp_path}/out/deduped_data").coalesce(1).collect()] == [1, 1, 2, 3]
+
+
+def test_repeated_ids_are_refused(spark, tmp_path):
+    project = dedup_project(tmp_path)
+    with open(f"{tmp_path}/people.csv", "a") as f:
+        f.write("r1,1999,Eva,Lie,\n")
+    with pytest.raises(ValidationError) as error:
+        run_project(spark, project)
+    assert error.value.codes == ["DUPLICATE_IDS"]
+    assert run_project(spark, project, Options(check_ids=False)).report["name"] == "people"
+
+
+def test_plugins(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from twinspan.functions import registry
+
+    (tmp_path / "own_plugin.py").write_text("from twinspan.functions import register\n\n\n@register('OWN', 'Own', None)\ndef own(left, right):\n    return left == right\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.setattr(registry, "entry_points", lambda group: [SimpleNamespace(value="own_plugin")] if group == registry.PLUGIN_GROUP else [])
+    assert registry.load_plugins() == ["own_plugin"] and registry.comparator("OWN", "PRB").title == "Own"
+
+
+def test_matches_as_a_table(spark):
+    from twinspan.plans.sql import entities, matched_table, register_functions
+
+    register_functions(spark)
+    spark.createDataFrame([(1, "Robert", "a"), (2, "Rupert", "a"), (3, "Rubin", "a"), (4, None, "a")], "id long, name string, k string").createOrReplaceTempView("people_view")
+    table = matched_table(spark, "kept_matches", "people_view", "id", ["soundex_encode({t}.name)"], "compare_lev(l.name, r.name, 2)", persist=True)
+    assert [tuple(r) for r in table.collect()] == [(1, 2)]
+    assert sorted(tuple(r) for r in entities(spark, "kept_matches").collect()) == [(1, 1), (2, 1)]
+    assert [tuple(r) for r in spark.sql("SELECT jaro_winkler('MARTHA', 'MARHTA', 0.9D), nysiis_encode('KNIGHT'), match_slice(NULL, NULL, 0, 2), match_slice('abc', 'ab', 0, 3), compare_lev(NULL, 'a', 1)").collect()] == [(True, "NAGT", True, False, None)]
+    spark.sql("DROP TABLE kept_matches")
+
+
 def test_catalog(spark):
     found = catalog.algorithms()
     assert [n for n, _ in found["blocking"]] == ["EXACT", "SOUNDEX", "NYSIIS"]

@@ -5,15 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinspan.operators.dedup import DedupResult, dedup
 from twinspan.operators.link import LinkResult, link
 from twinspan.sources.tables import columns_of, read_dataset, write_table
 
+from .options import Options
 from .report import as_html, as_json, summary
 from .spec import DEDUP, Project, project_from
-from .validate import validate
+from .validate import ValidationError, validate
 
 
 @dataclass
@@ -23,32 +25,40 @@ class Run:
     report: dict[str, Any]
 
 
-def run_project(spark: SparkSession, raw: dict[str, Any]) -> Run:
+def duplicate_ids(records: DataFrame, index: str) -> DataFrame:
+    """Index values that more than one record has, with their number n."""
+    return records.groupBy(index).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def run_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options()) -> Run:
     """Validate a project object and run it; nothing is written but intermediate tables."""
     validate(raw, lambda d: columns_of(spark, d["url"], (d.get("format") or "CSV").upper()))
     project = project_from(raw)
-    frames = [read_dataset(spark, d, project.used_columns(i)) for i, d in enumerate(project.datasets[: 1 if project.type == DEDUP else 2])]
+    datasets = project.datasets[: 1 if project.type == DEDUP else 2]
+    frames = [read_dataset(spark, d, project.used_columns(i), options.na_values) for i, d in enumerate(datasets)]
+    if options.check_ids and any(not duplicate_ids(f, d.index_field).isEmpty() for f, d in zip(frames, datasets, strict=True)):
+        raise ValidationError(["DUPLICATE_IDS"])
     result: DedupResult | LinkResult
     if project.type == DEDUP:
-        result = dedup(frames[0], project.datasets[0].index_field, project.steps)
+        result = dedup(frames[0], datasets[0].index_field, project.steps)
     else:
-        a, b = project.datasets[:2]
-        result = link(frames[0], frames[1], a.index_field, b.index_field, a.entity_field, b.entity_field, project.steps, project.relationship_type)
+        a, b = datasets
+        result = link(frames[0], frames[1], a.index_field, b.index_field, a.entity_field, b.entity_field, project.steps, project.relationship_type, options.mates)
     return Run(project, result, summary(project, result.stats, result.totals))
 
 
-def execute_project(spark: SparkSession, raw: dict[str, Any], kind: str = "csv", order: str = "input") -> str:
+def execute_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options()) -> str:
     """Run a project and write its results under its output root; returns the report's path.
 
-    De-duplication: deduped_data (by index, or by ENTITY_ID if order is "entity") and dedup_matched. Linking:
+    De-duplication: deduped_data (by index, or by ENTITY_ID if the order is "entity") and dedup_matched. Linking:
     linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html and .json.
     """
-    run = run_project(spark, raw)
-    root = run.project.output_root.rstrip("/")
+    run = run_project(spark, raw, options)
+    root, kind = run.project.output_root.rstrip("/"), options.format
     r = run.result
     if isinstance(r, DedupResult):
         index = run.project.datasets[0].index_field
-        write_table(r.deduped, f"{root}/deduped_data", kind, ["ENTITY_ID", index] if order == "entity" else [index])
+        write_table(r.deduped, f"{root}/deduped_data", kind, ["ENTITY_ID", index] if options.order == "entity" else [index])
         write_table(r.matched, f"{root}/dedup_matched", kind, ["ENTITY_ID", f"LEFT_{index}", f"RIGHT_{index}"])
     else:
         write_table(r.linked, f"{root}/linked_data", kind, ["LINK_ID"])

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import BooleanType, StringType
 
 from twinspan.functions.phonetic import jaro_winkler, nysiis
+from twinspan.operators.components import connected_components
 
 
 def register_functions(spark: SparkSession) -> None:
@@ -35,3 +36,19 @@ def self_match(spark: SparkSession, view: str, id: str, keys: list[str], compari
     """Run SELF_MATCH; keys are expressions in which {t} stands for the side, as "soundex_encode({t}.name)"."""
     same = " AND ".join(f"{k.format(t='l')} = {k.format(t='r')}" for k in keys)
     return spark.sql(SELF_MATCH.format(id=id, view=view, keys=same, comparison=comparison))
+
+
+def matched_table(spark: SparkSession, name: str, view: str, id: str, keys: list[str], comparison: str, persist: bool = False):
+    """Keep the pairs of self_match() under a name: as a temporary view, or as a table of the warehouse."""
+    pairs = self_match(spark, view, id, keys, comparison)
+    (pairs.write.mode("overwrite").saveAsTable(name) if persist else pairs.createOrReplaceTempView(name))
+    return spark.table(name)
+
+
+def entities(spark: SparkSession, pairs: str):
+    """record_id and entity (its smallest record) of the records in a table of left_id and right_id.
+
+    A recursive query would walk every path; contraction needs a few rounds of joins.
+    """
+    found = connected_components(spark.table(pairs), "left_id", "right_id")
+    return found.withColumnsRenamed({"node": "record_id", "component": "entity"})

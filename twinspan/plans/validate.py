@@ -32,6 +32,7 @@ MESSAGES = {
     "INVALID_METHOD": "A step's linking method is neither DTR nor PRB.",
     "UNKNOWN_ALGORITHM": "A step names a transformation or comparison that is not registered.",
     "INVALID_ARGUMENT": "A comparison is given an argument it does not take.",
+    "DUPLICATE_IDS": "A dataset's index repeats.",
     "UNKNOWN_COLUMN": "A step uses a column that its dataset lacks.",
 }
 

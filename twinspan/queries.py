@@ -23,7 +23,8 @@ from twinspan.operators.storage import new_path
 from twinspan.plans import catalog
 from twinspan.plans.report import as_frame, summary
 from twinspan.plans.spec import Comparison, Dataset, Project, Step
-from twinspan.plans.sql import register_functions, self_match
+from twinspan.plans.runner import duplicate_ids
+from twinspan.plans.sql import entities, matched_table, register_functions, self_match
 from twinspan.sources.tables import read_dataset, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -581,6 +582,23 @@ def sql_nysiis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p_partkey, nysiis_encode(nm) AS code FROM twinspan_parts")
 
 
+@_query(
+    "sql_entities",
+    _components_sql("SELECT l.p_partkey AS a, r.p_partkey AS b FROM part l JOIN part r ON l.p_name = r.p_name AND l.p_type = r.p_type AND l.p_partkey < r.p_partkey WHERE levenshtein(l.p_brand, r.p_brand) <= 0")
+    + " SELECT id AS record_id, root AS entity FROM comp",
+)
+def sql_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_functions(spark)
+    _table(spark, sf_dir, "part").createOrReplaceTempView("twinspan_part")
+    matched_table(spark, "twinspan_matched", "twinspan_part", "p_partkey", ["{t}.p_name", "{t}.p_type"], "compare_lev(l.p_brand, r.p_brand, 0)")
+    return entities(spark, "twinspan_matched")
+
+
+@_query("duplicate_ids", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def duplicate_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_ids(_table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
+
+
 # --- catalog and report
 
 
