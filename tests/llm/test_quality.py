@@ -25,6 +25,18 @@ def test_chunks_cover_the_whole_text():
         assert not codes.ravel()[n:].any() and len(codes) == max(-(-n // 16), 1) + 1 == first[-1]
 
 
+def test_repetition_inputs():
+    body = b"ab ab ab ab ab ab ab" + b"xyz"
+    data = np.frombuffer(body + b"b ab", np.uint8)
+    codes, first = quality.cut(data, np.array([0, len(body), len(data)]))
+    got = quality.repeated(codes)
+    flat, text = codes.ravel(), np.repeat(np.arange(2), np.diff(first) * 16)
+    for row in range(len(codes)):
+        for i, lag in enumerate(quality.LAGS):
+            places = [p for p in range(16 * row, 16 * row + 16) if flat[p] and p >= lag and flat[p] == flat[p - lag] and text[p] == text[p - lag]]
+            assert got[row, i] == len(places) / 16
+
+
 def test_score_is_the_same_alone_and_in_a_batch_and_sees_the_end():
     model = quality.train([t.encode() for t, _ in texts(200, 1)], [y for _, y in texts(200, 1)], steps=300)
     bodies = [t.encode() for t, _ in texts(20, 2)] + [b"", b"x"]

@@ -1,8 +1,9 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are embedded and cut into chunks of CHUNK bytes, each overlapping the next by half, to the very end of
-the text (zero-padded). FILTERS learned filters see each chunk; each filter's largest response over all chunks, with one
-logistic layer on top, gives the probability of label 1. Training uses the labelled rows whose
+the text (zero-padded). FILTERS learned filters see each chunk: its embedded bytes, and for each of LAGS the share of its
+bytes that equal the byte so far before them, which is how a linear filter can see repetition. Each filter's largest
+response over all chunks, with one logistic layer on top, gives the probability of label 1. Training uses the labelled rows whose
 crc32(key as text) mod FOLDS is not 0: of those, at most SAMPLE rows, lowest by hash, with texts of at most SAMPLE_BYTES.
 These two bounds limit the driver's memory and concern training only; every whole text is scored.
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .batches import fresh, joined_bytes, map_slices, struct_of
 
 CHUNK, WIDTH, FILTERS = 32, 4, 32
+#: Distances at which repetition is looked for; none is over CHUNK / 2, so the padding behind a text parts it from the next.
+LAGS = range(2, CHUNK // 2 + 1)
 FOLDS, SAMPLE, SAMPLE_BYTES = 5, 4000, 32 << 10
 STEPS, BATCH, RATE = 2000, 32, 0.004
 THRESHOLD = 0.3
@@ -44,12 +47,25 @@ def cut(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes.reshape(-1, half), first
 
 
-def responses(model: Model, codes: np.ndarray) -> np.ndarray:
+def repeated(codes: np.ndarray) -> np.ndarray:
+    """For each row and lag, the share of its bytes that equal the byte that far before them in the same text."""
+    flat, out = codes.ravel(), np.empty((len(codes), len(LAGS)), np.float32)
+    same = np.zeros(len(flat), bool)
+    for i, lag in enumerate(LAGS):
+        np.equal(flat[lag:], flat[:-lag], out=same[lag:])
+        same[:lag] = False
+        same &= flat > 0
+        out[:, i] = same.reshape(codes.shape).sum(1, dtype=np.uint8)
+    return out / np.float32(codes.shape[1])
+
+
+def responses(model: Model, codes: np.ndarray, lags: np.ndarray) -> np.ndarray:
     """Filter responses of the chunks that start at each row but the last of the array."""
     half = CHUNK // 2 * WIDTH
     embedded = model["embed"][codes].reshape(len(codes), half)
     both = embedded @ np.concatenate([model["filter"][:half], model["filter"][half:]], axis=1)
-    return both[:-1, :FILTERS] + both[1:, FILTERS:]
+    again = lags @ model["lag"]
+    return both[:-1, :FILTERS] + both[1:, FILTERS:] + again[:-1] + again[1:]
 
 
 def pooled(z: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -62,7 +78,7 @@ def pooled(z: np.ndarray, first: np.ndarray) -> np.ndarray:
 def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability of label 1 for each text."""
     codes, first = cut(data, offsets)
-    top = np.maximum(pooled(responses(model, codes), first) + model["bias"], 0)
+    top = np.maximum(pooled(responses(model, codes, repeated(codes)), first) + model["bias"], 0)
     return 1 / (1 + np.exp(-(top @ model["out"] + model["out_bias"]).astype(np.float64)))
 
 
@@ -73,6 +89,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STE
     model: Model = {
         "embed": rng.normal(0, 0.3, (257, WIDTH)).astype(np.float32),
         "filter": rng.normal(0, (2 * half) ** -0.5, (2 * half, FILTERS)).astype(np.float32),
+        "lag": np.zeros((len(LAGS), FILTERS), np.float32),
         "bias": np.zeros(FILTERS, np.float32),
         "out": rng.normal(0, FILTERS**-0.5, FILTERS).astype(np.float32),
         "out_bias": np.zeros(1, np.float32),
@@ -85,6 +102,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STE
     # Both classes weigh the same: a score is the probability of label 1 were the labels even.
     weight = np.where(y > 0, 0.5 / rate, 0.5 / (1 - rate)).astype(np.float32)
     parts = [cut(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] for t in texts]
+    repeats = [repeated(p) for p in parts]
     first_moment, second_moment = ({k: np.zeros_like(v) for k, v in model.items()} for _ in range(2))
     order = np.zeros(0, np.int64)
     for step in range(1, steps + 1):
@@ -93,7 +111,8 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STE
         some, order = order[:BATCH], order[BATCH:]
         codes = np.concatenate([parts[i] for i in some])
         first = np.concatenate([[0], np.cumsum([len(parts[i]) for i in some])])
-        z = responses(model, codes)
+        lags = np.concatenate([repeats[i] for i in some])
+        z = responses(model, codes, lags)
         won = np.stack([a + np.argmax(z[a : b - 1], axis=0) for a, b in zip(first[:-1], first[1:], strict=True)])
         pre = np.take_along_axis(z, won, axis=0) + model["bias"]
         top = np.maximum(pre, 0)
@@ -107,6 +126,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5, steps: int = STE
             "out_bias": d.sum(keepdims=True),
             "bias": d_pre.sum(0),
             "filter": np.einsum("bfi,bf->if", embedded, d_pre),
+            "lag": np.einsum("bfl,bf->lf", lags[won] + lags[won + 1], d_pre),
             "embed": np.zeros_like(model["embed"]),
         }
         back = d_pre[:, :, None] * model["filter"].T[None]
