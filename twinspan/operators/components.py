@@ -12,24 +12,24 @@ from pyspark.sql import functions as F
 
 from .storage import drop_path, new_path
 
-#: Parts into which the neighbours of each node are dealt, so that no hub meets all of them in one task.
+#: Parts into which the rows of one key are dealt in a join, so that no hub or large group meets in one task.
 PARTS = 8
 
 
-def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """Add m, the least neighbour of u, to edges; both sides are dealt by (u, part of v)."""
-    part: Column = F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int")
-    spread = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return edges.withColumn("part", part).join(spread, ["u", "part"])
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of rows with one lookup row per key; rows of a key are dealt over PARTS tasks by the column by."""
+    part: Column = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+    spread = lookup.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", part).join(spread, [key, "part"]).drop("part")
 
 
 def _round(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step over edges with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = _with_least(both.where(F.col("v") > F.col("u")), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    large = spread_join(both.where(F.col("v") > F.col("u")), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = _with_least(large, least).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = spread_join(large, least, "u", "v").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
