@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.operators.components import connected_components
+from twinspan.operators.components import connected_components, spread_join
 from twinspan.operators.storage import materialise
 
 from .batches import fresh, map_slices, struct_of
@@ -88,7 +88,7 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     component = connected_components(links(distinct), "a", "b")
     known = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
     least = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    return materialise(known.join(least, "label").select("fp", "label", "component_id"), "classes")
+    return materialise(spread_join(known, least, "label", "fp").select("fp", "label", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,10 +78,11 @@ def planned(pages: DataFrame) -> DataFrame:
     """Each page's payload, digest, record type and the response it refers to."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    groups = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    # Only digests that repeat are joined; the pages stream past them, and adaptive execution splits a hot digest.
-    groups = groups.where(F.col("_n") > 1).select("payload_digest", "_first")
-    joined = rows.join(groups.hint("shuffle_hash"), "payload_digest", "left")
+    groups = rows.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # Only digests that repeat are joined; the pages stream past them. Joining on the size too deals both sides anew, so
+    # that adaptive execution can split a hot digest.
+    groups = groups.where(F.col("_n") > 1).select("payload_digest", "payload_bytes", "_first")
+    joined = rows.join(groups.hint("shuffle_hash"), ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("payload_bytes") >= REVISIT_BYTES)
     return joined.select("page_id", "url", "body", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
@@ -176,7 +177,7 @@ def round_trip(pages: DataFrame, folder: str) -> DataFrame:
     index = pages.sparkSession.read.schema(INDEX).parquet(write_archives(pages, folder))
     read = read_records(index, folder)
     read = read.select("page_id", F.octet_length("body").cast("long").alias("_size"), "payload_digest", "record_type", "refers_to")
-    sizes = read.where((F.col("record_type") == "response") & (F.col("_size") >= REVISIT_BYTES)).groupBy("payload_digest").agg(F.max("_size").alias("_full"))
-    revisits = read.where(F.col("record_type") == "revisit").join(sizes, "payload_digest", "left")
+    sizes = read.where((F.col("record_type") == "response") & (F.col("_size") >= REVISIT_BYTES)).groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.max("_size").alias("_full"))
+    revisits = read.where(F.col("record_type") == "revisit").join(sizes, ["payload_digest", "refers_to"], "left")
     columns = lambda df, size: df.select("page_id", F.col(size).alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     return columns(read.where(F.col("record_type") == "response"), "_size").unionByName(columns(revisits, "_full"))
