@@ -63,6 +63,21 @@ def test_blocks_of_the_test_set_change_nothing(spark):
     assert shape(*decontamination.contamination(d, b, block_bytes=200)) == whole
 
 
+def test_long_texts_go_in_segments():
+    import numpy as np
+
+    docs, items = random_case(8)
+    known = [(str(k), (b or "").encode()) for k, b in items]
+    tests, hasher = decontamination.TestSet(known, 13), decontamination.Hasher()
+    long = [" ".join(docs), " ".join(docs[:20]) + "x" * 500 + " ".join(b or "" for _, b in items), "word" * 300, " ,. " * 200, "a " * 400]
+    for text in long:
+        data = np.frombuffer(text.encode(), np.uint8)
+        n, hits, found = decontamination.TestSet.hits(tests, data, np.array([0, len(data)]), hasher)
+        for limit in (10, 37, 64, 200):
+            m, cut, keys = tests.found(data, np.array([0, len(data)]), hasher, limit)
+            assert (m, cut, keys) == (n, [decontamination.merged(hits[0])], found), limit
+
+
 def test_odd_rows(spark):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog and runs away from the old"), (2, "one two")], "item_id long, text string")
     docs = odd_docs(spark, clashing=True)

@@ -37,6 +37,16 @@ def test_repetition_inputs():
             assert got[row, i] == len(places) / 16
 
 
+def test_long_texts_are_pooled_part_by_part(monkeypatch):
+    model = quality.train([t.encode() for t, _ in texts(40, 1)], [y for _, y in texts(40, 1)], steps=50)
+    rng = random.Random(5)
+    body = bytes(rng.randrange(32, 127) for _ in range(5000)) + b"ab ab ab " * 30
+    whole = quality.probabilities(model, np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]
+    for size in (8, 16, 40, 100, 1000):
+        monkeypatch.setattr(quality, "SLICE", size)
+        assert abs(quality.probabilities(model, np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0] - whole) < 1e-5
+
+
 def test_score_is_the_same_alone_and_in_a_batch_and_sees_the_end():
     model = quality.train([t.encode() for t, _ in texts(200, 1)], [y for _, y in texts(200, 1)], steps=300)
     bodies = [t.encode() for t, _ in texts(20, 2)] + [b"", b"x"]

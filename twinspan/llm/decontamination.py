@@ -29,8 +29,8 @@ from .batches import bound_batches, fresh, joined_bytes, slices
 
 #: Item text that one broadcast hash set may hold.
 BLOCK_BYTES = 8 << 20
-#: Bytes hashed at once; numpy needs some 60 bytes for each.
-SLICE = 2 << 20
+#: Bytes hashed at once; numpy needs some 60 bytes for each. Longer texts are hashed in segments.
+SLICE = 1 << 20
 
 _BYTE_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -150,6 +150,48 @@ class TestSet:
                     items[text] |= keys
         return np.diff(first).tolist(), ranges, items
 
+    def found(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher, limit: int = SLICE) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
+        """The same as hits(), but a text that stands alone because of its length goes in segments."""
+        if len(offsets) != 2 or len(data) <= 2 * limit:
+            return self.hits(data, offsets, hasher)
+        n_words, ranges, items = 0, [], set()
+        for start, end, before in segments(data, limit, max(self.by_width, default=1) - 1):
+            (n,), (own,), (keys,) = self.hits(data[start:end], np.array([0, end - start]), hasher)
+            n_words = before + n
+            ranges += [(a + before, b + before) for a, b in own]
+            items |= keys
+        return [n_words], [merged(ranges)], [items]
+
+
+def segments(data: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """Cut one text between words: (start, end, number of words before start) of segments of some limit bytes.
+
+    Each segment starts with the last overlap words of the one before, so every window lies in some segment.
+    """
+    start = before = 0
+    while True:
+        end, starts = start, np.zeros(0, np.int64)
+        while end < len(data) and len(starts) <= overlap:  # a segment holds more words than the next one repeats
+            end = _behind_word(data, min(end + limit, len(data)))
+            _, starts, _, _ = split_words(data[start:end], np.array([0, end - start]))
+        yield start, end, before
+        if end == len(data):
+            return
+        before += len(starts) - overlap
+        start = start + int(starts[-overlap]) if overlap else end
+
+
+def _behind_word(data: np.ndarray, at: int) -> int:
+    """The first place from at on whose byte is in no word, or the end."""
+    while at < len(data):
+        ahead = data[at : at + 4096]
+        low = ahead | 32
+        outside = np.flatnonzero(~((ahead >= 128) | ((low >= 97) & (low <= 122)) | ((ahead >= 48) & (ahead <= 57))))
+        if len(outside):
+            return at + int(outside[0])
+        at += len(ahead)
+    return at
+
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
@@ -192,7 +234,7 @@ def _scan(df: DataFrame, test: list[tuple[str, bytes]], window: int, text: str,
         for batch in batches:
             for part in slices(batch, text, SLICE):
                 body = part.column(text)
-                n_words, ranges, items = tests.hits(*joined_bytes(body.fill_null(b"" if pa.types.is_binary(body.type) else "")), hasher)
+                n_words, ranges, items = tests.found(*joined_bytes(body.fill_null(b"" if pa.types.is_binary(body.type) else "")), hasher)
                 old_hits, old_items = part.column(added.hits).to_pylist(), part.column(added.items).to_pylist()
                 hits = [[{"a": a, "b": b} for a, b in merged(r + [(x["a"], x["b"]) for x in o])] for r, o in zip(ranges, old_hits, strict=True)]
                 known = [sorted(i | set(o)) for i, o in zip(items, old_items, strict=True)]

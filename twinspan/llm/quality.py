@@ -27,7 +27,7 @@ LAGS = range(2, CHUNK // 2 + 1)
 FOLDS, SAMPLE, SAMPLE_BYTES = 5, 4000, 32 << 10
 STEPS, BATCH, RATE = 2000, 32, 0.004
 THRESHOLD = 0.3
-#: Bytes scored at once; numpy needs some 50 bytes for each.
+#: Bytes scored at once; numpy needs some 50 bytes for each. A longer text's chunks are pooled part by part.
 SLICE = 1 << 20
 
 Model = dict[str, np.ndarray]
@@ -78,7 +78,16 @@ def pooled(z: np.ndarray, first: np.ndarray) -> np.ndarray:
 def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The probability of label 1 for each text."""
     codes, first = cut(data, offsets)
-    top = np.maximum(pooled(responses(model, codes, repeated(codes)), first) + model["bias"], 0)
+    step = 2 * SLICE // (CHUNK // 2)
+    if len(offsets) == 2 and len(codes) > step + 2:
+        best = np.full((1, FILTERS), -np.inf, np.float32)
+        for a in range(0, len(codes) - 1, step):
+            # the row before a is there for its bytes only: lags reach back no further
+            part = codes[max(a - 1, 0) : a + step + 1]
+            best = np.maximum(best, responses(model, part, repeated(part))[min(a, 1) :].max(0))
+    else:
+        best = pooled(responses(model, codes, repeated(codes)), first)
+    top = np.maximum(best + model["bias"], 0)
     return 1 / (1 + np.exp(-(top @ model["out"] + model["out_bias"]).astype(np.float64)))
 
 
