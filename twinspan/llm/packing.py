@@ -37,7 +37,7 @@ LINEAR = 1024
 GROUP_TOKENS, GROUP_PIECES = 1 << 20, 1 << 14
 BEYOND_LATIN = "\u0250"
 #: Distinct words whose ids a worker remembers.
-WORDS = 800_000
+WORDS = 400_000
 #: Longer parts are encoded each time they come.
 LONGEST = 64
 PUNCTUATION = b".,;:!?*#$%&|)\"'"
