@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .phonetic import jaro_winkler_udf
+from .phonetic import jaro_winkler_bound, jaro_winkler_udf
 from .registry import DETERMINISTIC, register
 from .synonyms import with_root
 from .text import is_empty, py_slice
@@ -17,7 +17,7 @@ def _sure(c: Column) -> Column:
 
 
 def _encoded(encode):
-    def prepare(df: DataFrame, field: str, target: str) -> DataFrame:
+    def prepare(df: DataFrame, field: str, target: str, **_) -> DataFrame:
         return df.withColumn(target, encode(F.col(f"`{field}`")))
 
     return prepare
@@ -119,10 +119,10 @@ def levenshtein(left: Column, right: Column, max_edits: int) -> Column:
 def jaro_winkler(left: Column, right: Column, threshold: float) -> Column:
     """A missing value counts as an empty text; two empty texts have similarity 0."""
     left, right = (F.coalesce(c.cast("string"), F.lit("")) for c in (left, right))
-    return jaro_winkler_udf()(left, right) >= threshold
+    return (jaro_winkler_bound(left, right) >= threshold) & (jaro_winkler_udf()(left, right) >= threshold)
 
 
-@register("SYNONYMS", "Equal or synonymous names", DETERMINISTIC, prepare=with_root, tags=("strings",))
-def synonyms(left: Column, right: Column) -> Column:
-    """Both empty match; a name that the table lacks matches nothing."""
+@register("SYNONYMS", "Equal or synonymous names", DETERMINISTIC, args=("table",), defaults={"table": None}, prepare=with_root, tags=("strings",))
+def synonyms(left: Column, right: Column, table: str | None) -> Column:
+    """Both empty match; a name that the table lacks matches nothing. table: see with_root()."""
     return ((left["name"] == "") & (right["name"] == "")) | _sure(left["root"] == right["root"])

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOWELS = frozenset("AEIOU")
@@ -13,6 +15,8 @@ VOWELS = frozenset("AEIOU")
 FIRST = [("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS")]
 LAST = [("EE", "Y"), ("IE", "Y"), ("DT", "D"), ("RT", "D"), ("RD", "D"), ("NT", "D"), ("ND", "D")]
 INNER = [("EV", "AF"), ("KN", "N"), ("SCH", "SSS"), ("PH", "FF"), ("Q", "G"), ("Z", "S"), ("M", "N"), ("K", "C")]
+# Fixed values of the similarity: weight of a common prefix, its longest part that counts, and what it must exceed.
+PREFIX_WEIGHT, PREFIX_MOST, BOOST_ABOVE = 0.1, 4, 0.7
 
 
 @functools.lru_cache(maxsize=100_000)
@@ -61,8 +65,8 @@ def nysiis(name: str) -> str:
     return key
 
 
-def jaro_winkler(a: str, b: str, scale: float = 0.1, boost_above: float = 0.7) -> float:
-    """Jaro similarity, raised for a common prefix of up to four characters where it is above boost_above.
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro similarity, raised for a common prefix of up to four characters where it is above BOOST_ABOVE.
 
     Two empty strings score 0, as does any string against an empty one.
     """
@@ -86,14 +90,14 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, boost_above: float = 0.7) -
     swapped = sum(x != y for x, y in zip(from_a, from_b, strict=True)) // 2
     m = len(from_a)
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
-    if jaro <= boost_above:
+    if jaro <= BOOST_ABOVE:
         return jaro
     prefix = 0
-    for x, y in zip(a[:4], b[:4], strict=False):
+    for x, y in zip(a[:PREFIX_MOST], b[:PREFIX_MOST], strict=False):
         if x != y:
             break
         prefix += 1
-    return jaro + prefix * scale * (1 - jaro)
+    return jaro + prefix * PREFIX_WEIGHT * (1 - jaro)
 
 
 @functools.cache
@@ -108,16 +112,84 @@ def nysiis_udf():
     return encode
 
 
+#: Pairs whose longer text has at most so many characters are compared all at once.
+SHORT = 64
+#: Characters of a table that compares the pairs of a batch at once.
+_CELLS = 1 << 20
+
+
+def jaro_winkler_bound(left: Column, right: Column) -> Column:
+    """A number that the similarity of two texts, neither null, does not exceed, without Python.
+
+    No more characters can match than either text has in common with the other. The slack covers rounding.
+    """
+    a, b = F.length(left), F.length(right)
+    common = F.least(a - F.length(F.call_function("translate", left, right, F.lit(""))), b - F.length(F.call_function("translate", right, left, F.lit(""))))
+    jaro = (common / F.greatest(a, F.lit(1)) + common / F.greatest(b, F.lit(1)) + 1) / 3
+    prefix = F.lit(0)
+    for n in range(1, PREFIX_MOST + 1):
+        prefix = F.when(F.left(left, F.lit(n)) == F.left(right, F.lit(n)), n).otherwise(prefix)
+    return F.when(common > 0, jaro + PREFIX_WEIGHT * prefix * (1 - jaro) + 1e-9).otherwise(0.0)
+
+
+def _padded(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts, one a row, zeros behind them; and their lengths."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    rows = np.zeros((len(texts), width), np.uint32)
+    rows[np.arange(width) < sizes[:, None]] = points
+    return rows, sizes
+
+
+def jaro_winkler_all(lefts: list[str], rights: list[str]) -> np.ndarray:
+    """jaro_winkler() of each pair of non-empty texts, place by place over all pairs at once."""
+    width = max(map(len, [*lefts, *rights]))
+    a, n = _padded(lefts, width)
+    b, m = _padded(rights, width)
+    reach = np.maximum(np.maximum(n, m) // 2 - 1, 0)
+    places, every = np.arange(width), np.arange(len(a))
+    free, matched = places < m[:, None], np.zeros(a.shape, bool)
+    for i in range(width):
+        near = free & (b == a[:, i, None]) & (np.abs(places - i) <= reach[:, None])
+        first = near.argmax(1)
+        hit = near[every, first] & (i < n)
+        matched[:, i] = hit
+        free[every[hit], first[hit]] = False
+    taken = (places < m[:, None]) & ~free
+    count = matched.sum(1)
+    # matched characters of both sides, in order, side by side
+    swapped = np.zeros(len(a), np.int64)
+    row = np.nonzero(matched)[0]
+    np.add.at(swapped, row[a[matched] != b[taken]], 1)
+    some = np.maximum(count, 1)
+    jaro = np.where(count > 0, (count / n + count / m + (count - swapped // 2) / some) / 3, 0.0)
+    same = np.cumprod((a == b)[:, :PREFIX_MOST] & (places[:PREFIX_MOST] < np.minimum(n, m)[:, None]), axis=1).sum(1)
+    out = np.where(jaro > BOOST_ABOVE, jaro + same * PREFIX_WEIGHT * (1 - jaro), jaro)
+    return np.where((n == m) & (a == b).all(1), 1.0, out)
+
+
 @functools.cache
 def jaro_winkler_udf():
+    """Similarities of a batch: distinct pairs once, those of short texts together. Null in, null out."""
+
     @F.pandas_udf("double")
     def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         known: dict[tuple[str, str], float] = {}
-        out = []
-        for pair in zip(a, b, strict=True):
-            if pair not in known:
+        short = []
+        for pair in set(zip(a, b, strict=True)):
+            if pair[0] is None or pair[1] is None:
+                known[pair] = None
+            elif not pair[0] or not pair[1]:
+                known[pair] = 0.0
+            elif max(len(pair[0]), len(pair[1])) > SHORT:
                 known[pair] = jaro_winkler(*pair)
-            out.append(known[pair])
-        return pd.Series(out, dtype="float64")
+            else:
+                short.append(pair)
+        short.sort(key=lambda p: max(len(p[0]), len(p[1])))
+        while short:
+            some = max(1, _CELLS // max(len(short[-1][0]), len(short[-1][1])))
+            now, short = short[-some:], short[:-some]
+            known.update(zip(now, jaro_winkler_all(*map(list, zip(*now, strict=True))).tolist(), strict=True))
+        return pd.Series([known[p] for p in zip(a, b, strict=True)], dtype="float64")
 
     return similarity

@@ -23,7 +23,7 @@ PLUGIN_GROUP = "twinspan.algorithms"
 class Algorithm:
     """fn: column -> column for an encoder, (left, right, **args) -> boolean column for a comparator.
 
-    prepare adds the column that the comparator reads instead of the field: (frame, field, new name) -> frame. It runs
+    prepare adds the column that the comparator reads instead of the field: (frame, field, new name, **args) -> frame. It runs
     once per record, before records are paired. costly comparators run after all others of a step. key, for comparators
     that ask for one equal value on both sides (null equal to nothing): (column, **args) -> that value; steps then join
     on it.
@@ -35,7 +35,7 @@ class Algorithm:
     fn: Callable
     args: tuple[str, ...] = ()
     tags: tuple[str, ...] = ()
-    prepare: Callable[[DataFrame, str, str], DataFrame] | None = None
+    prepare: Callable[..., DataFrame] | None = None
     costly: bool = False
     key: Callable | None = None
     defaults: dict[str, Any] = field(default_factory=dict)

@@ -33,7 +33,7 @@ def py_slice(c: Column, start: int | None, end: int | None) -> Column:
     return F.substring(c, first + 1, F.greatest(last - first, F.lit(0)))
 
 
-def _folding() -> tuple[str, str]:
+def folding() -> tuple[str, str]:
     """Latin letters with marks below U+0250, and the ASCII letter that each decomposes to."""
     pairs = []
     for point in range(0xC0, 0x250):
@@ -45,4 +45,4 @@ def _folding() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Upper case without marks, as phonetic codes want it."""
-    return F.upper(F.translate(c.cast("string"), *_folding()))
+    return F.upper(F.translate(c.cast("string"), *folding()))

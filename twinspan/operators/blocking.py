@@ -29,7 +29,7 @@ def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
     for i, c in enumerate(compared):
         algorithm = comparator(c[2].name)
         field = own[c[place]]
-        clean = algorithm.prepare(clean, field, f"_c{i}") if algorithm.prepare else clean.withColumn(f"_c{i}", F.col(field))
+        clean = algorithm.prepare(clean, field, f"_c{i}", **algorithm.checked(c[2].args)) if algorithm.prepare else clean.withColumn(f"_c{i}", F.col(field))
         if algorithm.key:
             clean = clean.withColumn(f"_c{i}", algorithm.key(F.col(f"_c{i}"), **algorithm.checked(c[2].args)))
     clean = clean.withColumns({f"_k{i}": encoder(k[2]).apply(F.col(own[k[place]])) for i, k in enumerate(keys)})
@@ -40,7 +40,8 @@ def pair(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], r
     """Pairs of records that agree on all encoded keys: LEFT_* and RIGHT_* of the carried columns and of _c0...
 
     once: for one dataset against itself, the id columns; each pair then comes once, the smaller id left. Ids are
-    compared by their own type: numbers by value, strings by code point.
+    compared by their own type: numbers by value, strings by code point. A record without an id then pairs with nothing,
+    and rows that share an id not with each other. An empty side gives no pairs.
     """
     a = keyed(left, step, "left", left_carry)
     b = keyed(right, step, "right", right_carry)

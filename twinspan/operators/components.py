@@ -1,35 +1,90 @@
 """Connected components of an edge table by alternating large-star and small-star contraction.
 
-Each round replaces a node's neighbours by its smallest known neighbour; after O(log n) rounds every component is a star
-around its smallest node (Kiveris et al., Connected Components in MapReduce and Beyond, 2014). Rounds are written to the
-shared folder, so a lost executor costs a round's tasks at most. No edge, label or component comes to the driver.
+First each task replaces its own edges by stars, which leaves fewer edges of the same components. Then each round
+replaces a node's neighbours by its smallest known neighbour; after O(log n) rounds every component is a star around its
+smallest node (Kiveris et al., Connected Components in MapReduce and Beyond, 2014). Rounds are written to the shared
+folder, so a lost executor costs a round's tasks at most. No edge, label or component comes to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DateType, DecimalType, IntegralType, StringType, TimestampType
 
 from .storage import drop_path, new_path
 
-#: Parts into which the rows of one key are dealt in a join, so that no hub or large group meets in one task.
-PARTS = 8
+#: Rows of one key that one task joins; keys of more rows are hubs.
+HUB_ROWS = 1 << 20
+#: Edges that a task contracts at once.
+CONTRACTED = 1 << 18
+#: Types of nodes that Arrow can number.
+_NUMBERED = (IntegralType, StringType, BinaryType, DateType, TimestampType, DecimalType)
+
+
+def hub_join(rows: DataFrame, lookup: DataFrame, key: str, hub_rows: int = HUB_ROWS) -> DataFrame:
+    """Inner join of rows with one lookup row per key, whose column n is the number of rows of that key.
+
+    Hubs, keys of over hub_rows rows, are broadcast, so their rows stay where they are; there is at most one hub to
+    hub_rows rows. Other keys meet by shuffle, in groups of at most hub_rows rows.
+    """
+    hubs = F.broadcast(lookup.where(F.col("n") > hub_rows).drop("n"))
+    others = rows.join(hubs.select(key), key, "left_anti").join(lookup.drop("n"), key)
+    return others.unionByName(rows.join(hubs, key))
+
+
+def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The root of each of n nodes under the edges a[i] - b[i]."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != (above := root[root])).any():
+            root = above
+
+
+def contracted(edges: DataFrame, at_once: int = CONTRACTED) -> DataFrame:
+    """Edges u, v of the same components, fewer where a task's edges hold paths or cycles. Nulls are not allowed."""
+    if not isinstance(edges.schema["u"].dataType, _NUMBERED):
+        return edges
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks]).combine_chunks().dictionary_encode()
+            codes = np.asarray(both.indices)
+            root = _stars(codes[:size], codes[size:], len(both.dictionary))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(moved)), both.dictionary.take(pa.array(root[moved]))], ["u", "v"])
 
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= at_once:
+                yield done()
+                held, size = [], 0
+        if size:
+            yield done()
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, by: str) -> DataFrame:
-    """Inner join of rows with one lookup row per key; rows of a key are dealt over PARTS tasks by the column by."""
-    part: Column = F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
-    spread = lookup.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return rows.withColumn("part", part).join(spread, [key, "part"]).drop("part")
+    return edges.mapInArrow(work, edges.schema).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, hub_rows: int) -> DataFrame:
     """One large-star and one small-star step over edges with u > v."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = spread_join(both.where(F.col("v") > F.col("u")), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = spread_join(large, least, "u", "v").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    large = hub_join(both.where(F.col("v") > F.col("u")), least, "u", hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    # a node with one smaller neighbour has nothing to hand on
+    small = hub_join(large, least.where("n > 1"), "u", hub_rows).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -41,19 +96,20 @@ def _is_stars(edges: DataFrame) -> bool:
     return seen.where((F.col("high") > 1) | ((F.col("high") > 0) & (F.col("low") > 0))).isEmpty()
 
 
-def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60, hub_rows: int = HUB_ROWS, at_once: int = CONTRACTED) -> DataFrame:
     """Return node and component (its smallest node) for every node of an edge; nodes may be of any ordered type.
 
     Edges with a null end and loops join nothing: a null end is dropped, a loop's node is its own component only if
-    another edge names it. Order and repetition of edges do not matter.
+    another edge names it. Order and repetition of edges do not matter. An empty table gives an empty result.
     """
     spark = edges.sparkSession
     a, b = F.col(left), F.col(right)
     current = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    current = contracted(current, at_once)
     path = None
     for _ in range(max_rounds):
         after = new_path(spark, "components")
-        (current if path is None else _round(current)).write.parquet(after)
+        (current if path is None else _round(current, hub_rows)).write.parquet(after)
         current = spark.read.schema(current.schema).parquet(after)
         if path is not None:
             drop_path(spark, path)

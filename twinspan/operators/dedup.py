@@ -13,6 +13,7 @@ from .blocking import LEFT, RIGHT
 from .components import connected_components
 from .ids import numbered
 from .matching import earliest, pair_and_match
+from .rows import rows_not_in
 from .storage import materialise
 
 
@@ -37,7 +38,10 @@ def assign_entities(matched: DataFrame, index: str, offset: int = 0) -> DataFram
 
 
 def matched_details(records: DataFrame, matched: DataFrame, entities: DataFrame, index: str) -> DataFrame:
-    """LEFT_id, RIGHT_id, ENTITY_ID, STEP and the other columns of both records, suffixed _LEFT and _RIGHT."""
+    """LEFT_id, RIGHT_id, ENTITY_ID, STEP and the other columns of both records, suffixed _LEFT and _RIGHT.
+
+    records has one row for each id.
+    """
     others = [c for c in records.columns if c != index]
     sides = {}
     for prefix, suffix in ((LEFT, "_LEFT"), (RIGHT, "_RIGHT")):
@@ -47,22 +51,47 @@ def matched_details(records: DataFrame, matched: DataFrame, entities: DataFrame,
     return joined.select(LEFT + index, RIGHT + index, "ENTITY_ID", "STEP", *[f"{c}_LEFT" for c in others], *[f"{c}_RIGHT" for c in others])
 
 
+def _ids_of(records: DataFrame, index: str) -> tuple[int, bool]:
+    """The number of records without an id, and whether an id repeats."""
+    per_id = records.groupBy(F.col(f"`{index}`").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    none = F.col("id").isNull()
+    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(F.when(~none, F.col("n"))).alias("most")).first()
+    return found["none"] or 0, (found["most"] or 0) > 1
+
+
+def _one_row_each(records: DataFrame, index: str) -> DataFrame:
+    """Of rows that share an id, the one whose other columns have the smallest hash."""
+    others = [F.col(f"`{c}`") for c in records.columns if c != index]
+    if not others:
+        return records.distinct()
+    kept = records.groupBy(F.col(f"`{index}`").alias(index)).agg(F.min_by(F.struct(*others), F.xxhash64(*others)).alias("_row"))
+    return kept.select(*[F.col(f"`{c}`") if c == index else F.col(f"_row.`{c}`").alias(c) for c in records.columns])
+
+
 def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...]) -> DedupResult:
-    """Run the steps in order.
+    """Run the steps in order. deduped has one row for each row of records.
 
     A step without group adds its pairs to those of the next step with group, whose components become entities and
     leave the records of later steps. Pairs of trailing steps without group are dropped. Records in no pair are
-    entities of their own, numbered on by id. A null id pairs with nothing and comes last in no order but its own.
+    entities of their own, numbered on by id.
+
+    Defined results: rows that share an id are the same record, so they get the same entity, never pair with each other
+    and are shown in matched by one of them; a row without an id pairs with nothing and is an entity of its own,
+    numbered behind all others in the order of its other columns (nulls first); a blank or null key field keeps a record
+    out of that step; an empty table gives empty results.
     """
     ends = [LEFT + index, RIGHT + index]
-    rest, pending, entities, details, offset = records, None, None, None, 0
+    n_without, repeats = _ids_of(records, index)
+    known = records.where(F.col(f"`{index}`").isNotNull()) if n_without else records
+    single = _one_row_each(known, index) if repeats else known
+    rest, pending, entities, details, offset = known, None, None, None, 0
     stats: dict[int, dict[str, int]] = {}
     pairs_so_far = 0
     for step in steps:
-        new = pair_and_match(rest, rest, step, [index], [index], (index, index))
-        new = new.select(*ends, "STEP").distinct()
-        known = pending
-        pending = materialise(new if known is None else earliest(known.unionByName(new), ends).select(*ends, "STEP"), "matched")
+        new = pair_and_match(rest, rest, step, [index], [index], (index, index)).select(*ends, "STEP")
+        if repeats:  # else each pair of ids comes once
+            new = new.distinct()
+        pending = materialise(new if pending is None else earliest(pending.unionByName(new), ends).select(*ends, "STEP"), "matched")
         by_step = {r["STEP"]: r["n"] for r in pending.groupBy("STEP").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per step
         stats[step.seq] = {"total_records_linked": by_step.get(step.seq, 0), "total_entities": 0}
         if not step.group:
@@ -73,19 +102,23 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
             offset += n
             pairs_so_far += sum(by_step.values())
             stats[step.seq]["total_entities"] = n
-            more = matched_details(records, pending, found, index)
+            more = matched_details(single, pending, found, index)
             details = more if details is None else details.unionByName(more)
             entities = found if entities is None else entities.unionByName(found)
-            rest = records.join(entities.select(index), index, "left_anti").select(*records.columns)
+            rest = rows_not_in(known, entities, index)
         pending = None
     if details is None:
         empty, id_column = records.limit(0), F.col(f"`{index}`")
         no_pairs = empty.select(id_column.alias(LEFT + index), id_column.alias(RIGHT + index), F.lit(0).alias("STEP"))
-        details = matched_details(records, no_pairs, empty.select(id_column, F.lit(0).cast("long").alias("ENTITY_ID")), index)
-    alone = numbered(rest.select(index), [index], "ENTITY_ID", offset)
-    everyone = alone if entities is None else entities.unionByName(alone)
-    others = [F.col(f"`{c}`") for c in records.columns if c != index]
-    ids = everyone.select(F.col(f"`{index}`").alias("_id"), "ENTITY_ID")
-    deduped = records.join(ids, F.col(f"`{index}`").eqNullSafe(F.col("_id"))).select(F.col(f"`{index}`"), "ENTITY_ID", *others)
+        details = matched_details(empty, no_pairs, empty.select(id_column, F.lit(0).cast("long").alias("ENTITY_ID")), index)
+    left_over = rest.select(F.col(f"`{index}`"))
+    alone = numbered(left_over.distinct() if repeats else left_over, [index], "ENTITY_ID", offset)
     total = offset + alone.count()
-    return DedupResult(deduped, details, stats, {"total_records_linked": pairs_so_far, "total_entities": total})
+    everyone = alone if entities is None else entities.unionByName(alone)
+    others = [c for c in records.columns if c != index]
+    order = [F.col(f"`{index}`"), F.col("ENTITY_ID"), *[F.col(f"`{c}`") for c in others]]
+    deduped = known.join(everyone.select(F.col(f"`{index}`"), "ENTITY_ID"), index).select(*order)
+    if n_without:
+        without = records.where(F.col(f"`{index}`").isNull())
+        deduped = deduped.unionByName(numbered(without, others or [index], "ENTITY_ID", total).select(*order))
+    return DedupResult(deduped, details, stats, {"total_records_linked": pairs_so_far, "total_entities": total + n_without})

@@ -9,17 +9,21 @@ from .storage import materialise
 
 
 def numbered(df: DataFrame, order: list[str], name: str, offset: int = 0) -> DataFrame:
-    """Add name: offset + 1, offset + 2, ... by the order columns.
+    """Add name: offset + 1, offset + 2, ... by the order columns, nulls first.
 
-    Rows are range-partitioned and written once, so that counting and numbering see the same partitions; a partition's
-    first number is the count of rows in those before it.
+    Rows are range-partitioned by the order columns and, among equal ones, by a hash of all columns (so a value that
+    many different rows share goes to several tasks), and written once, so that counting and numbering see the same
+    partitions; a partition's first number is the count of rows in those before it. Rows that differ in other columns
+    only come in the order of that hash; an empty table gives an empty result.
     """
-    ranged = df.repartitionByRange(*[F.col(f"`{c}`") for c in order]).withColumn("_part", F.spark_partition_id())
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    tied = df.withColumn("_tie", tie)
+    ranged = tied.repartitionByRange(*[F.col(f"`{c}`") for c in order], F.col("_tie")).withColumn("_part", F.spark_partition_id())
     held = materialise(ranged, "numbered")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in order])
+    inside = Window.partitionBy("_part").orderBy(*[F.col(f"`{c}`") for c in order], "_tie")
     ranked = held.withColumn("_rank", F.row_number().over(inside))
     # one row per shuffle partition: bounded, so broadcast
     joined = ranked.join(F.broadcast(starts), "_part")
-    return joined.withColumn(name, (F.col("_before") + F.col("_rank") + offset).cast("long")).drop("_part", "_rank", "_before")
+    return joined.withColumn(name, (F.col("_before") + F.col("_rank") + offset).cast("long")).drop("_part", "_rank", "_before", "_tie")

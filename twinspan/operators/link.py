@@ -13,6 +13,7 @@ from .blocking import LEFT, RIGHT
 from .ids import numbered
 from .matching import pair_and_match
 from .relationship import enforce
+from .rows import id_column, rows_not_in
 from .storage import materialise
 
 
@@ -45,6 +46,10 @@ class Side:
         return self.prefix + self.entity
 
 
+def _with_id(records: DataFrame, index: str) -> DataFrame:
+    return records.where(F.col(f"`{index}`").isNotNull())
+
+
 def link_ids(linked: DataFrame, left: Side, right: Side, offset: int = 0) -> DataFrame:
     """LINK_ID for each distinct entity pair, in order of its first (left id, right id)."""
     first = linked.groupBy(left.ent, right.ent).agg(F.min(F.struct(F.col(left.id).alias("l"), F.col(right.id).alias("r"))).alias("_at"))
@@ -82,14 +87,20 @@ def expand(pairs: DataFrame, left_records: DataFrame, right_records: DataFrame,
 
 
 def link(left_records: DataFrame, right_records: DataFrame, left_index: str, right_index: str, left_entity: str, right_entity: str, steps: list[Step] | tuple[Step, ...], relationship: str, mates: str = "right") -> LinkResult:
-    """Run the steps in order; all records of entities that a step links leave the later ones."""
+    """Run the steps in order; all records of entities that a step links leave the later ones.
+
+    Defined results: a record without an index pairs with nothing; one without an entity fails a rule that asks for its
+    entity's single partner, and counts as one partner of others; both show among the unlinked. Rows that share an index
+    are each shown; pairs of the same ids and entities count once; an empty side gives no links and leaves the other side
+    unlinked.
+    """
     left, right = Side(left_index, left_entity, LEFT), Side(right_index, right_entity, RIGHT)
     rest_l, rest_r = left_records, right_records
     done, rejected, offset = None, None, 0
     stats: dict[int, dict[str, int]] = {}
     keys = [left.id, right.id, left.ent, right.ent]
     for step in steps:
-        matched = pair_and_match(rest_l, rest_r, step, [left_index, left_entity], [right_index, right_entity])
+        matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity])
         matched = materialise(matched.select(*keys, "STEP").distinct(), "matched")
         kept = enforce(matched, relationship, left.ent, right.ent)
         ids = link_ids(kept, left, right, offset).select(F.col(left.ent).alias("_le"), F.col(right.ent).alias("_re"), "LINK_ID")
@@ -102,8 +113,8 @@ def link(left_records: DataFrame, right_records: DataFrame, left_index: str, rig
         offset = n[1]
         done = linked if done is None else done.unionByName(linked)
         rejected = refused if rejected is None else rejected.unionByName(refused)
-        rest_l = left_records.join(done.select(F.col(left.ent).alias(left_entity)).distinct(), left_entity, "left_anti").select(*left_records.columns)
-        rest_r = right_records.join(done.select(F.col(right.ent).alias(right_entity)).distinct(), right_entity, "left_anti").select(*right_records.columns)
+        rest_l = rows_not_in(left_records, id_column(done, left.ent, left_entity).distinct(), left_entity)
+        rest_r = rows_not_in(right_records, id_column(done, right.ent, right_entity).distinct(), right_entity)
     totals = {"total_records_linked": sum(s["total_records_linked"] for s in stats.values()), "total_entities": offset}
     not_linked = rejected.groupBy(*keys).agg(F.min("STEP").alias("STEP"))
     return LinkResult(expand(done, left_records, right_records, left, right, mates), not_linked, rest_l, rest_r, stats, totals)

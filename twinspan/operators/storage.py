@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder that takes intermediate tables while intermediates() is entered.
+_folder: ContextVar[str | None] = ContextVar("twinspan_folder", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where that is unset: a temporary one on a local master, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -18,22 +24,39 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     known = sc.getCheckpointDir()
     if not known:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="twinspan-"))
         known = sc.getCheckpointDir()
     return known
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the folder of intermediates(), or else in the shared folder."""
+    return f"{(_folder.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediates(spark: SparkSession, name: str, root: str | None = None) -> Iterator[str]:
+    """Intermediate tables made inside go to a folder of their own under root (default: the shared folder) and are
+    deleted at the end, so results must be written before that. root must be a folder that all executors share."""
+    path = f"{(root or shared_dir(spark)).rstrip('/')}/{name}"
+    before = _folder.set(path)
+    try:
+        yield path
+    finally:
+        _folder.reset(before)
+        drop_path(spark, path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return materialise_at(df, new_path(df.sparkSession, name))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -14,10 +14,10 @@ FIELD_CATEGORIES = [
     ("firstname_field", "First name field", ["Agreement", "Disagreement", "Missing"]),
     ("lastname_field", "Last name field", ["Agreement", "Disagreement", "Missing"]),
     ("middlename_field", "Middle name field", ["Agreement", "Disagreement", "Missing"]),
-    ("data_field", "Date of birth field", ["Agreement", "Disagreement", "Missing", "Swapped"]),
+    ("data_field", "Date of Birth field", ["Agreement", "Disagreement", "Missing", "Swapped"]),
     ("sin_field", "SIN field", ["Agreement", "Disagreement", "Missing"]),
-    ("string_field", "General string field", ["Agreement", "Disagreement"]),
-    ("numeric_field", "General numeric field", ["Agreement", "Disagreement"]),
+    ("string_field", "General String field", ["Agreement", "Disagreement"]),
+    ("numeric_field", "General Numeric field", ["Agreement", "Disagreement"]),
 ]
 
 
@@ -32,9 +32,10 @@ def algorithms() -> dict[str, Any]:
 
 
 def algorithms_frame(spark: SparkSession) -> DataFrame:
-    """name, title, kind (null: any method), args and tags of every algorithm."""
-    rows = [(a.name, a.title, a.kind, list(a.args), list(a.tags)) for kinds in (["TSF"], [None, "DTR", "PRB"]) for a in registered(*kinds).values()]
-    return spark.createDataFrame(rows, "name string, title string, kind string, args array<string>, tags array<string>")
+    """name, title, kind (null: any method), args, tags and built_in (no plugin's) of every algorithm."""
+    kinds = (["TSF"], [None, "DTR", "PRB"])
+    rows = [(a.name, a.title, a.kind, list(a.args), list(a.tags), a.fn.__module__.startswith("twinspan.functions.")) for k in kinds for a in registered(*k).values()]
+    return spark.createDataFrame(rows, "name string, title string, kind string, args array<string>, tags array<string>, built_in boolean")
 
 
 def field_categories() -> list[tuple[str, str]]:

@@ -8,18 +8,22 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Options:
-    """format: of results. order: of de-duplicated records, "input" (by index) or "entity". mates: which records without
-    a pair of their own join a linked entity's rows: "right", "both" or "none". na_values: texts read as missing.
-    check_ids: refuse datasets whose index repeats."""
+    """format: of results. order: of de-duplicated records, "input" (as they stand in the dataset), "index" or "entity".
+    mates: which records without a pair of their own join a linked entity's rows: "right", "both" or "none". na_values:
+    texts read as missing. check_ids: refuse datasets whose index repeats. synonyms: the table of SYNONYMS where the
+    project names none: "builtin" or the path of a CSV file. multi_line: whether CSV fields may hold line breaks; if
+    not, large files can be read in parts."""
 
     format: str = "csv"
     order: str = "input"
     mates: str = "right"
     na_values: tuple[str, ...] = ()
     check_ids: bool = True
+    synonyms: str | None = None
+    multi_line: bool = True
 
     def __post_init__(self) -> None:
-        if self.order not in ("input", "entity") or self.mates not in ("right", "both", "none"):
+        if self.order not in ("input", "index", "entity") or self.mates not in ("right", "both", "none"):
             raise ValueError(f"unknown option value: order={self.order}, mates={self.mates}")
 
 
@@ -34,9 +38,10 @@ def read_options(path: str, base: Options | None = None) -> Options:
     found = dict(parser[SECTION]) if parser.has_section(SECTION) else {}
     if unknown := set(found) - {f.name for f in fields(Options)}:
         raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
-    values: dict = {k: v for k, v in found.items() if k not in ("na_values", "check_ids")}
+    values: dict = dict(found)
     if "na_values" in found:
         values["na_values"] = tuple(x.strip() for x in found["na_values"].split(",") if x.strip())
-    if "check_ids" in found:
-        values["check_ids"] = parser.getboolean(SECTION, "check_ids")
+    for flag in ("check_ids", "multi_line"):
+        if flag in found:
+            values[flag] = parser.getboolean(SECTION, flag)
     return replace(base or Options(), **values)

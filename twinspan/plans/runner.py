@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.dedup import DedupResult, dedup
 from twinspan.operators.link import LinkResult, link
+from twinspan.operators.storage import intermediates
 from twinspan.sources.tables import columns_of, read_dataset, write_table
 
 from .options import Options
@@ -18,8 +20,14 @@ from .spec import DEDUP, Project, project_from
 from .validate import ValidationError, validate
 
 
+#: The column of a record's place in its dataset.
+PLACE = "_place"
+
+
 @dataclass
 class Run:
+    """result of a de-duplication has the column PLACE if asked for, which is no part of the dataset."""
+
     project: Project
     result: DedupResult | LinkResult
     report: dict[str, Any]
@@ -30,17 +38,21 @@ def duplicate_ids(records: DataFrame, index: str) -> DataFrame:
     return records.groupBy(index).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def run_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options()) -> Run:
-    """Validate a project object and run it; nothing is written but intermediate tables."""
-    validate(raw, lambda d: columns_of(spark, d["url"], (d.get("format") or "CSV").upper()))
-    project = project_from(raw)
+def run_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options(), places: bool = False) -> Run:
+    """Validate a project object and run it. Nothing is written but intermediate tables, which the result reads; enter
+    intermediates() before to have them deleted. places: de-duplicated records keep the column PLACE."""
+    validate(raw, lambda d: columns_of(spark, d["url"], (d.get("format") or "CSV").upper()), options.synonyms)
+    project = project_from(raw, options.synonyms)
     datasets = project.datasets[: 1 if project.type == DEDUP else 2]
-    frames = [read_dataset(spark, d, project.used_columns(i), options.na_values) for i, d in enumerate(datasets)]
+    place = PLACE if places and project.type == DEDUP else None
+    frames = [read_dataset(spark, d, project.used_columns(i), options.na_values, place, options.multi_line) for i, d in enumerate(datasets)]
     if options.check_ids and any(not duplicate_ids(f, d.index_field).isEmpty() for f, d in zip(frames, datasets, strict=True)):
         raise ValidationError(["DUPLICATE_IDS"])
     result: DedupResult | LinkResult
     if project.type == DEDUP:
         result = dedup(frames[0], datasets[0].index_field, project.steps)
+        if place:
+            result = replace(result, matched=result.matched.drop(f"{place}_LEFT", f"{place}_RIGHT"))
     else:
         a, b = datasets
         result = link(frames[0], frames[1], a.index_field, b.index_field, a.entity_field, b.entity_field, project.steps, project.relationship_type, options.mates)
@@ -48,29 +60,47 @@ def run_project(spark: SparkSession, raw: dict[str, Any], options: Options = Opt
 
 
 def execute_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options()) -> str:
-    """Run a project and write its results under its output root; returns the report's path.
+    """Run a project and write its results into <output root>/<run id>; returns the report's path.
 
-    De-duplication: deduped_data (by index, or by ENTITY_ID if the order is "entity") and dedup_matched. Linking:
-    linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html and .json.
+    De-duplication: deduped_data (in the dataset's order, or by the index, or by ENTITY_ID) and dedup_matched. Linking:
+    linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html and .json. The run
+    id is the project's task_uuid, or a new one. Intermediate tables go to <temp_path>/<run id>, or the shared folder
+    where the project has no temp_path, and are deleted at the end, whether the run succeeds or not.
     """
-    run = run_project(spark, raw, options)
-    root, kind = run.project.output_root.rstrip("/"), options.format
-    r = run.result
-    if isinstance(r, DedupResult):
-        index = run.project.datasets[0].index_field
-        write_table(r.deduped, f"{root}/deduped_data", kind, ["ENTITY_ID", index] if options.order == "entity" else [index])
-        write_table(r.matched, f"{root}/dedup_matched", kind, ["ENTITY_ID", f"LEFT_{index}", f"RIGHT_{index}"])
-    else:
-        write_table(r.linked, f"{root}/linked_data", kind, ["LINK_ID"])
-        write_table(r.matched_not_linked, f"{root}/matched_not_linked_data", kind, r.matched_not_linked.columns[:2])
-        write_table(r.unlinked_left, f"{root}/unlinked_left", kind, [run.project.datasets[0].index_field])
-        write_table(r.unlinked_right, f"{root}/unlinked_right", kind, [run.project.datasets[1].index_field])
-    path = f"{root}/{run.project.name}_summary"
-    for suffix, body in ((".json", as_json(run.report)), (".html", as_html(run.report))):
-        _write_text(spark, path + suffix, body)
+    run_id = (raw or {}).get("task_uuid") or uuid.uuid4().hex
+    with intermediates(spark, run_id, (raw or {}).get("temp_path")):
+        run = run_project(spark, raw, options, places=options.order == "input")
+        root, kind = f"{run.project.output_root.rstrip('/')}/{run_id}", options.format
+        r = run.result
+        if isinstance(r, DedupResult):
+            index = run.project.datasets[0].index_field
+            order = {"input": [PLACE], "index": [index], "entity": ["ENTITY_ID", index]}[options.order]
+            write_table(r.deduped, f"{root}/deduped_data", kind, order, PLACE)
+            write_table(r.matched, f"{root}/dedup_matched", kind, ["ENTITY_ID", f"LEFT_{index}", f"RIGHT_{index}"])
+        else:
+            write_table(r.linked, f"{root}/linked_data", kind, ["LINK_ID"])
+            write_table(r.matched_not_linked, f"{root}/matched_not_linked_data", kind, r.matched_not_linked.columns[:2])
+            write_table(r.unlinked_left, f"{root}/unlinked_left", kind, [run.project.datasets[0].index_field])
+            write_table(r.unlinked_right, f"{root}/unlinked_right", kind, [run.project.datasets[1].index_field])
+        path = f"{root}/{run.project.name}_summary"
+        for suffix, body in ((".json", as_json(run.report | {"run_id": run_id})), (".html", as_html(run.report))):
+            _write_text(spark, path + suffix, body)
     return path + ".html"
 
 
+def run_task(spark: SparkSession, raw: dict[str, Any], options: Options = Options()) -> dict[str, Any]:
+    """A project as a task of a job queue: run_id, status ("done" or "failed"), report (its path) and errors (codes of
+    validation, or the message of what went wrong). Never raises for a fault of the project or its data."""
+    run_id = (raw or {}).get("task_uuid") or uuid.uuid4().hex
+    done = {"run_id": run_id, "status": "failed", "report": None, "errors": []}
+    try:
+        return done | {"status": "done", "report": execute_project(spark, {**(raw or {}), "task_uuid": run_id} if raw else raw, options)}
+    except ValidationError as error:
+        return done | {"errors": error.codes}
+    except Exception as error:  # the queue's caller sees what failed
+        return done | {"errors": [str(error)]}
+
+
 def _write_text(spark: SparkSession, path: str, body: str) -> None:
     """By the file system that owns the path."""
     jvm = spark.sparkContext._jvm

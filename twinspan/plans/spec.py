@@ -65,6 +65,7 @@ class Project:
     output_root: str = ""
     relationship_type: str | None = None
     temp_path: str = ""
+    run_id: str = ""
 
     def used_columns(self, place: int) -> list[str]:
         """What is read of a dataset: the columns it names, or else the index, the entity and what the steps use."""
@@ -93,9 +94,12 @@ class Project:
         return json.dumps(out, indent=2)
 
 
-def step_from(raw: dict[str, Any]) -> Step:
+def step_from(raw: dict[str, Any], synonyms: str | None = None) -> Step:
+    """synonyms: the table of SYNONYMS comparisons that name none."""
     block, link = raw.get("blocking_schema") or {}, raw.get("linking_schema") or {}
     comparisons = [Comparison(c.get("name") or "EXACT", dict(c.get("args") or {})) for c in link.get("comparisons") or []]
+    if synonyms:
+        comparisons = [Comparison(c.name, {"table": synonyms} | c.args) if c.name == "SYNONYMS" else c for c in comparisons]
     left = tuple(link.get("left") or ())
     if not comparisons:
         comparisons = [Comparison()] * len(left)
@@ -112,8 +116,12 @@ def step_from(raw: dict[str, Any]) -> Step:
     )
 
 
-def project_from(raw: dict[str, Any]) -> Project:
-    """A project of a checked JSON object; keys that steer nothing (titles, status and such) are left out."""
+def project_from(raw: dict[str, Any], synonyms: str | None = None) -> Project:
+    """A project of a checked JSON object; keys that steer nothing (titles, status and such) are left out.
+
+    synonyms: the table of SYNONYMS where neither the comparison nor the project's key "synonyms" names one.
+    """
+    table = raw.get("synonyms") or synonyms
     datasets = tuple(
         Dataset(
             name=d.get("name") or "",
@@ -130,10 +138,11 @@ def project_from(raw: dict[str, Any]) -> Project:
         name=raw.get("name") or "",
         type=raw.get("type") or "",
         datasets=datasets,
-        steps=tuple(step_from(s) for s in raw.get("steps") or []),
+        steps=tuple(step_from(s, table) for s in raw.get("steps") or []),
         output_root=raw.get("output_root") or "",
         relationship_type=raw.get("relationship_type"),
         temp_path=raw.get("temp_path") or "",
+        run_id=raw.get("task_uuid") or "",
     )
 
 

@@ -3,29 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
-from pyspark.sql.types import BooleanType, StringType
 
-from twinspan.functions.phonetic import jaro_winkler, nysiis
+from twinspan.functions.phonetic import jaro_winkler_udf, nysiis_udf
+from twinspan.functions.text import folding
 from twinspan.operators.components import connected_components
 
 
 def register_functions(spark: SparkSession) -> None:
     """Make compare_lev(a, b, k), jaro_winkler(a, b, t), soundex_encode(a), nysiis_encode(a) and match_slice(a, b, s, e).
 
-    Null in, null out; match_slice also accepts two nulls and else wants both texts to reach e. Built-in expressions are
-    SQL functions that Catalyst inlines; the two that need Python are registered for Arrow transfer.
+    Null in, null out; match_slice also accepts two nulls and else wants both texts to reach e. Codes are those of the
+    encoders. Built-in expressions are SQL functions that Catalyst inlines; the two that need Python take whole batches:
+    nysiis_encode, and jaro_winkler_similarity(a, b), which jaro_winkler compares with t.
     """
-    from pyspark.sql import functions as F
-
+    marked, plain = folding()
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION compare_lev(a STRING, b STRING, k INT) RETURNS BOOLEAN RETURN levenshtein(a, b) <= k")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION soundex_encode(a STRING) RETURNS STRING RETURN soundex(upper(a))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION soundex_encode(a STRING) RETURNS STRING RETURN soundex(upper(translate(a, '{marked}', '{plain}')))")
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION match_slice(a STRING, b STRING, s INT, e INT) RETURNS BOOLEAN RETURN "
         "CASE WHEN a IS NULL AND b IS NULL THEN true WHEN a IS NULL OR b IS NULL THEN false "
         "WHEN length(a) < e OR length(b) < e THEN false ELSE substring(a, s + 1, e - s) = substring(b, s + 1, e - s) END"
     )
-    spark.udf.register("nysiis_encode", F.udf(lambda a: None if a is None else nysiis(a), StringType(), useArrow=True))
-    spark.udf.register("jaro_winkler", F.udf(lambda a, b, t: None if a is None or b is None else jaro_winkler(a, b) >= t, BooleanType(), useArrow=True))
+    spark.udf.register("nysiis_encode", nysiis_udf())
+    spark.udf.register("jaro_winkler_similarity", jaro_winkler_udf())
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION jaro_winkler(a STRING, b STRING, t DOUBLE) RETURNS BOOLEAN RETURN jaro_winkler_similarity(a, b) >= t")
 
 
 #: A blocking and linking step in SQL: pairs of a view's records that share encoded keys and pass a comparison.

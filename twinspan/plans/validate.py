@@ -7,6 +7,7 @@ from collections.abc import Callable
 from typing import Any
 
 from twinspan.functions import comparator, encoder
+from twinspan.functions.synonyms import has_default
 
 from .spec import DEDUP, LINK, METHODS, RELATIONSHIPS, step_from
 
@@ -34,6 +35,7 @@ MESSAGES = {
     "INVALID_ARGUMENT": "A comparison is given an argument it does not take.",
     "DUPLICATE_IDS": "A dataset's index repeats.",
     "UNKNOWN_COLUMN": "A step uses a column that its dataset lacks.",
+    "SYNONYMS_MISSING": "A step compares by SYNONYMS, but no table of synonyms is named.",
 }
 
 
@@ -45,7 +47,7 @@ class ValidationError(ValueError):
         super().__init__("Validation Error(s):\n" + "".join(f"\t{c}: {MESSAGES[c]}\n" for c in self.codes))
 
 
-def _step_faults(raw: dict[str, Any]) -> list[str]:
+def _step_faults(raw: dict[str, Any], synonyms: str | None) -> list[str]:
     found = []
     block, link = raw.get("blocking_schema") or {}, raw.get("linking_schema") or {}
     if not block.get("left"):
@@ -59,7 +61,9 @@ def _step_faults(raw: dict[str, Any]) -> list[str]:
         found.append("INVALID_METHOD")
     elif method == "PRB":
         warnings.warn("no probabilistic comparison is built in: PRB steps match as DTR steps do", stacklevel=3)
-    step = step_from(raw)
+    step = step_from(raw, synonyms)
+    if any(c.name == "SYNONYMS" and not c.args.get("table") for c in step.comparisons) and not has_default():
+        found.append("SYNONYMS_MISSING")
     for code in step.transformations:
         try:
             encoder(code)
@@ -77,8 +81,9 @@ def _step_faults(raw: dict[str, Any]) -> list[str]:
     return found
 
 
-def validate(raw: dict[str, Any] | None, columns_of: Callable[[dict[str, Any]], list[str]] | None = None) -> None:
-    """Raise ValidationError if the project object has faults. columns_of reads a dataset's columns, or raises OSError."""
+def validate(raw: dict[str, Any] | None, columns_of: Callable[[dict[str, Any]], list[str]] | None = None, synonyms: str | None = None) -> None:
+    """Raise ValidationError if the project object has faults. columns_of reads a dataset's columns, or raises OSError.
+    synonyms: as in project_from()."""
     if not raw:
         raise ValidationError(["NO_PROJECT"])
     found = []
@@ -120,6 +125,6 @@ def validate(raw: dict[str, Any] | None, columns_of: Callable[[dict[str, Any]],
             if any(f not in columns for s in steps for side in sides for f in step_from(s).fields(side)):
                 found.append("UNKNOWN_COLUMN")
     for s in steps:
-        found += _step_faults(s)
+        found += _step_faults(s, raw.get("synonyms") or synonyms)
     if found:
         raise ValidationError(found)

@@ -19,6 +19,7 @@ from twinspan.operators.ids import numbered
 from twinspan.operators.link import link
 from twinspan.operators.matching import earliest, pair_and_match
 from twinspan.operators.relationship import enforce, unique_partner
+from twinspan.operators.rows import id_column, ids_except, paired_ids, rows_in, rows_not_in
 from twinspan.operators.storage import new_path
 from twinspan.plans import catalog
 from twinspan.plans.report import as_frame, summary
@@ -69,6 +70,33 @@ def _soundex_sql(x: str) -> str:
     return f"(CASE WHEN regexp_matches(upper({x}),'^[A-Z]') THEN rpad(left(substr(upper({x}),1,1) || regexp_replace(substr({code},2),'[^1-6]','','g'),4),4,'0') ELSE upper({x}) END)"
 
 
+#: Tables names (a name, w: its letters), step and coded (a name, code): NYSIIS, one letter group a step.
+_NYSIIS = """WITH RECURSIVE names AS (
+  SELECT name, CASE WHEN w LIKE 'MAC%' THEN 'MCC' || substr(w, 4) WHEN w LIKE 'KN%' THEN 'NN' || substr(w, 3) WHEN w LIKE 'K%' THEN 'C' || substr(w, 2)
+    WHEN w LIKE 'PH%' OR w LIKE 'PF%' THEN 'FF' || substr(w, 3) WHEN w LIKE 'SCH%' THEN 'SSS' || substr(w, 4) ELSE w END AS w
+  FROM (SELECT DISTINCT p_name AS name, regexp_replace(upper(strip_accents(p_name)), '[^A-Z]', '', 'g') AS w FROM part)),
+step AS (
+  SELECT name, CASE WHEN right(w, 2) IN ('EE', 'IE') THEN left(w, len(w) - 2) || 'Y' WHEN right(w, 2) IN ('DT', 'RT', 'RD', 'NT', 'ND') THEN left(w, len(w) - 2) || 'D' ELSE w END AS w,
+    2::BIGINT AS p, left(w, 1) AS code
+  FROM names
+  UNION ALL
+  SELECT name, left(w, p - 1) || new || substr(w, p + used), p + len(new),
+    (CASE WHEN right(code, 1) = left(new, 1) THEN code ELSE code || left(new, 1) END) || CASE WHEN new = 'AF' THEN 'F' ELSE '' END
+  FROM (
+    SELECT *, CASE WHEN r LIKE 'EV%' OR r LIKE 'KN%' OR r LIKE 'PH%' THEN 2 WHEN r LIKE 'SCH%' THEN 3 ELSE 1 END AS used,
+      CASE WHEN r LIKE 'EV%' THEN 'AF' WHEN r LIKE 'KN%' THEN 'N' WHEN r LIKE 'SCH%' THEN 'SSS' WHEN r LIKE 'PH%' THEN 'FF' WHEN c = 'Q' THEN 'G' WHEN c = 'Z' THEN 'S' WHEN c = 'M' THEN 'N'
+        WHEN c = 'K' THEN 'C' WHEN c IN ('A', 'E', 'I', 'O', 'U') THEN 'A'
+        WHEN c = 'H' AND (before NOT IN ('A', 'E', 'I', 'O', 'U') OR substr(r, 2, 1) NOT IN ('A', 'E', 'I', 'O', 'U')) THEN before
+        WHEN c = 'W' AND before IN ('A', 'E', 'I', 'O', 'U') THEN before ELSE c END AS new
+    FROM (SELECT *, substr(w, p) AS r, substr(w, p, 1) AS c, substr(w, p - 1, 1) AS before FROM step WHERE p <= len(w)))),
+cut1 AS (SELECT name, CASE WHEN len(code) > 1 AND code LIKE '%S' THEN left(code, len(code) - 1) ELSE code END AS code FROM step WHERE p > len(w)),
+cut2 AS (SELECT name, CASE WHEN code LIKE '%AY' THEN left(code, len(code) - 2) || 'Y' ELSE code END AS code FROM cut1),
+coded AS (SELECT name, CASE WHEN len(code) > 1 AND code LIKE '%A' THEN left(code, len(code) - 1) ELSE code END AS code FROM cut2),
+parts AS (SELECT x.*, CASE WHEN nm IS NULL THEN NULL ELSE code END AS code FROM (SELECT *, CASE WHEN p_size % 7 IN (0, 1) THEN NULL ELSE p_name END AS nm FROM part) x JOIN coded ON p_name = name)
+"""
+_NYSIIS_PAIRS = f"{_NYSIIS} SELECT l.p_partkey AS left_id, r.p_partkey AS right_id FROM parts l JOIN parts r ON l.p_brand = r.p_brand AND l.p_type = r.p_type AND l.p_partkey < r.p_partkey WHERE l.code = r.code"
+
+
 def _ids(df: DataFrame, index: str) -> DataFrame:
     return df.select(F.col(f"LEFT_{index}").alias("left_id"), F.col(f"RIGHT_{index}").alias("right_id"))
 
@@ -89,7 +117,8 @@ _comparator("BOTH_EMPTY", "nm", "l.nm IS NULL AND r.nm IS NULL")
 _comparator("ONE_EMPTY", "nm", "(l.nm IS NULL) <> (r.nm IS NULL)")
 _comparator("BOTH_EXIST", "nm", "l.nm IS NOT NULL AND r.nm IS NOT NULL")
 _comparator("SOUNDEX", "nm", f"{_soundex_sql('l.nm')} = {_soundex_sql('r.nm')}")
-_comparator("NYSIIS", "nm", None)
+_nysiis_step = _step(_BLOCK, ["nm"], [Comparison("NYSIIS")])
+_query("cmp_nysiis", _NYSIIS_PAIRS)(lambda spark, sf_dir: _self_match(spark, sf_dir, _nysiis_step))
 _comparator("SLICE_MATCH", "nm", "l.nm[2:4] = r.nm[2:4]", start=1, end=4)
 _comparator("SLICE_MATCH", "nm", "l.nm IS NOT NULL AND r.nm IS NOT NULL", "slice_match_default")
 _comparator("HEAD_MATCH", "nm", "left(l.nm, 3) = left(r.nm, 3)", n=3)
@@ -140,6 +169,19 @@ def source_csv_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_dataset(spark, Dataset("customer", path, "c_custkey"), ["c_custkey", "c_name", "c_acctbal"])
 
 
+_QUOTED = "replace(p_name, ' ', '\"') || chr(10) || ', ' || p_brand || ' '"
+
+
+@_query("source_csv_quoted", f"SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE {_QUOTED} END AS note, p_retailprice FROM part")
+def source_csv_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes, line breaks, delimiters and trailing blanks in fields, written and read back."""
+    part = _table(spark, sf_dir, "part")
+    note = F.when(F.col("p_size") % 5 != 0, F.concat(F.translate("p_name", " ", '"'), F.lit("\n, "), F.col("p_brand"), F.lit(" ")))
+    path = write_table(part.select("p_partkey", note.alias("note"), "p_retailprice"), new_path(spark, "csv"))
+    types = {"p_partkey": "INTEGER", "note": "VARCHAR", "p_retailprice": "REAL"}
+    return read_dataset(spark, Dataset("part", path, "p_partkey", data_types=types), [*types])
+
+
 # --- projections and filters
 
 
@@ -158,7 +200,7 @@ def encode_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blank_to_null(_parts(spark, sf_dir)).select("p_partkey", encoder("SOUNDEX").apply(F.col("nm")).alias("code"))
 
 
-@_query("encode_nysiis")
+@_query("encode_nysiis", f"{_NYSIIS} SELECT p_partkey, code FROM parts")
 def encode_nysiis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blank_to_null(_parts(spark, sf_dir)).select("p_partkey", encoder("NYSIIS").apply(F.col("nm")).alias("code"))
 
@@ -204,7 +246,7 @@ def block_field_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(pair(parts, parts, _step([*_BLOCK, "nm", "nm"], codes=["EXACT", "EXACT", "EXACT", "SOUNDEX"]), ["p_partkey"], ["p_partkey"], ("p_partkey", "p_partkey")), "p_partkey")
 
 
-@_query("block_nysiis")
+@_query("block_nysiis", _NYSIIS_PAIRS)
 def block_nysiis(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
     return _ids(pair(parts, parts, _step(["nm", *_BLOCK], codes=["NYSIIS"]), ["p_partkey"], ["p_partkey"], ("p_partkey", "p_partkey")), "p_partkey")
@@ -272,27 +314,26 @@ def pairs_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("paired_ids", f"SELECT left_id AS id FROM ({_UNION}) UNION SELECT right_id FROM ({_UNION})")
-def paired_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _ids(_steps_matched(spark, sf_dir), "p_partkey")
-    return m.select(F.col("left_id").alias("id")).union(m.select("right_id")).distinct()
+def paired_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_ids(_steps_matched(spark, sf_dir), "LEFT_p_partkey", "RIGHT_p_partkey", "id")
 
 
 @_query("rows_in", f"SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT left_id FROM ({_M1}))")
-def rows_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    return part.join(_self_match(spark, sf_dir, _STEP_1).select(F.col("left_id").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_name")
+def rows_in_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = id_column(_self_match(spark, sf_dir, _STEP_1), "left_id", "p_partkey")
+    return rows_in(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), ids, "p_partkey")
 
 
 @_query("rows_not_in", f"SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT left_id FROM ({_M1}) UNION SELECT right_id FROM ({_M1}))")
-def rows_not_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
-    m = _self_match(spark, sf_dir, _STEP_1)
-    return part.join(m.select(F.col("left_id").alias("p_partkey")).union(m.select("right_id")), "p_partkey", "left_anti").select("p_partkey", "p_name")
+def rows_not_in_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = paired_ids(_self_match(spark, sf_dir, _STEP_1), "left_id", "right_id", "p_partkey")
+    return rows_not_in(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), ids, "p_partkey")
 
 
 @_query("ids_except", f"SELECT p_partkey AS id FROM part EXCEPT SELECT left_id FROM ({_M1})")
-def ids_except(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")).exceptAll(_self_match(spark, sf_dir, _STEP_1).select("left_id").distinct())
+def ids_except_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = id_column(_self_match(spark, sf_dir, _STEP_1), "left_id", "p_partkey")
+    return ids_except(_table(spark, sf_dir, "part"), ids, "p_partkey").withColumnRenamed("p_partkey", "id")
 
 
 # --- de-duplication
@@ -375,6 +416,28 @@ def dedup_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r.stats[1]["total_records_linked"], r.stats[1]["total_entities"], r.totals["total_entities"])], "pairs long, groups long, entities long")
 
 
+# parts of which one in eleven has no id, and four in thirteen share their id with up to three others
+_ODD = "(SELECT CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 < 4 THEN p_partkey // 13 * 13 ELSE p_partkey END AS id, p_partkey AS was, p_name, p_brand, p_size FROM part)"
+
+
+@_query(
+    "dedup_null_ids",
+    f"WITH RECURSIVE odd AS {_ODD}, pairs AS (SELECT DISTINCT l.id AS a, r.id AS b FROM odd l JOIN odd r ON l.p_brand = r.p_brand AND l.p_name = r.p_name AND l.id < r.id WHERE abs(l.p_size - r.p_size) <= 2), "
+    "e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), "
+    "reach AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a), "
+    "g AS (SELECT id, dense_rank() OVER (ORDER BY root) AS n FROM (SELECT id, min(other) AS root FROM reach GROUP BY id)), "
+    "alone AS (SELECT id, (SELECT coalesce(max(n), 0) FROM g) + row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM odd WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM g))), "
+    "known AS (SELECT * FROM g UNION ALL SELECT * FROM alone) "
+    'SELECT odd.id, n AS "ENTITY_ID", was FROM odd JOIN known ON odd.id = known.id UNION ALL '
+    "SELECT NULL, (SELECT max(n) FROM known) + row_number() OVER (ORDER BY was), was FROM odd WHERE id IS NULL",
+)
+def dedup_null_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    own = F.when(key % 11 == 0, F.lit(None)).when(key % 13 < 4, F.floor(key / 13) * 13).otherwise(key).cast("long")
+    odd = _table(spark, sf_dir, "part").select(own.alias("id"), key.alias("was"), "p_name", "p_brand", "p_size")
+    return dedup(odd, "id", [_FLAG]).deduped.select("id", "ENTITY_ID", "was")
+
+
 @_query("numbered_rows", "SELECT c_custkey, 10 + row_number() OVER (ORDER BY c_name, c_custkey) AS id FROM customer")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(_table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"], "id", 10).select("c_custkey", "id")
@@ -575,7 +638,7 @@ def sql_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return self_match(spark, "twinspan_parts", "p_partkey", ["{t}.p_brand", "{t}.p_type"], "jaro_winkler(l.nm, r.nm, 0.8D)")
 
 
-@_query("sql_nysiis")
+@_query("sql_nysiis", f"{_NYSIIS} SELECT p_partkey, code FROM parts")
 def sql_nysiis(spark: SparkSession, sf_dir: str) -> DataFrame:
     register_functions(spark)
     blank_to_null(_parts(spark, sf_dir)).createOrReplaceTempView("twinspan_parts")
@@ -602,14 +665,25 @@ def duplicate_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- catalog and report
 
 
-@_query("field_categories", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in catalog.field_categories()) + ") AS x(name, title)")
+@_query(
+    "field_categories",
+    "SELECT * FROM (VALUES ('firstname_field', 'First name field'), ('lastname_field', 'Last name field'), ('middlename_field', 'Middle name field'), ('data_field', 'Date of Birth field'), "
+    "('sin_field', 'SIN field'), ('string_field', 'General String field'), ('numeric_field', 'General Numeric field')) AS x(name, title)",
+)
 def field_categories_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(catalog.field_categories(), "name string, title string")
 
 
-@_query("catalog_algorithms")
+@_query(
+    "catalog_algorithms",
+    "SELECT * FROM (VALUES ('EXACT', 'TSF', ''), ('SOUNDEX', 'TSF', ''), ('NYSIIS', 'TSF', ''), ('EXACT', NULL, ''), ('BOTH_EMPTY', NULL, ''), ('ONE_EMPTY', NULL, ''), ('BOTH_EXIST', NULL, ''), "
+    "('SOUNDEX', NULL, ''), ('NYSIIS', NULL, ''), ('SLICE_MATCH', NULL, 'start,end'), ('HEAD_MATCH', NULL, 'n'), ('TAIL_MATCH', NULL, 'n'), ('FIXED_LEN', NULL, 'length'), ('FIXED_VAL', NULL, 'value'), "
+    "('ABS_DIFF', NULL, 'threshold'), ('LEVENSHTEIN', 'DTR', 'max_edits'), ('JARO_WINKLER', 'DTR', 'threshold'), ('SYNONYMS', 'DTR', 'table')) AS x(name, kind, args)",
+)
 def catalog_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.algorithms_frame(spark)
+    """The algorithms that come with the library; plugins may have added others."""
+    found = catalog.algorithms_frame(spark)
+    return found.where(F.col("built_in")).select("name", "kind", F.array_join("args", ",").alias("args"))
 
 
 @_query("summary_report", f"{_linked_sql('1T1')} SELECT 1::BIGINT AS seq, (SELECT count(*) FROM k) AS total_records_linked, (SELECT count(*) FROM ids) AS total_entities, (SELECT count(*) FROM m) - (SELECT count(*) FROM k) AS total_matched_not_linked")

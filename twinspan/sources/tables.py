@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -11,11 +11,18 @@ from twinspan.plans.spec import Dataset
 
 #: Declared column types.
 COLUMN_TYPES = {"VARCHAR": StringType(), "CHAR": StringType(), "TEXT": StringType(), "BOOLEAN": BooleanType(), "REAL": DoubleType(), "INTEGER": LongType()}
+#: What a row has beyond its header's columns.
+_EXTRA = "_beyond_header"
 
 
-def _csv(spark: SparkSession):
-    """White space after a delimiter is dropped, trailing white space stays; short rows are filled with nulls."""
-    return spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", False).option("mode", "PERMISSIVE")
+def _csv(spark: SparkSession, multi_line: bool = True):
+    """CSV as RFC 4180 has it: quotes are doubled inside quotes, quoted fields may hold line breaks.
+
+    White space after a delimiter is dropped, trailing white space stays; short rows are filled with nulls. Without
+    multi_line no field may hold a line break, and Spark can cut large files.
+    """
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE"}
+    return spark.read.options(**options)
 
 
 def columns_of(spark: SparkSession, url: str, kind: str = "CSV") -> list[str]:
@@ -26,34 +33,67 @@ def columns_of(spark: SparkSession, url: str, kind: str = "CSV") -> list[str]:
         raise FileNotFoundError(url) from error
 
 
-def read_dataset(spark: SparkSession, dataset: Dataset, used: list[str], na_values: tuple[str, ...] = ()) -> DataFrame:
+def _typed(name: str, kind: str, na_values: tuple[str, ...]) -> Column:
+    """A text column as the declared type; blank is null, and a value that is none of the type ends the job."""
+    text = F.col(f"`{name}`")
+    if na_values:
+        text = F.when(~text.isin(*na_values), text)
+    if isinstance(COLUMN_TYPES[kind], StringType):
+        return text.alias(name)
+    value = text.try_cast(COLUMN_TYPES[kind])
+    blank = text.isNull() | (F.trim(text) == "")
+    wrong = F.raise_error(F.concat(F.lit(f"column {name}: not of type {kind}: "), text)).cast(COLUMN_TYPES[kind])
+    return F.when(blank, F.lit(None)).when(value.isNotNull(), value).otherwise(wrong).alias(name)
+
+
+def read_dataset(spark: SparkSession, dataset: Dataset, used: list[str], na_values: tuple[str, ...] = (), position: str | None = None, multi_line: bool = True) -> DataFrame:
     """The used columns of a dataset, in the file's order.
 
     Declared types are kept; without a declaration a CSV file's types are inferred. Fields that hold one of na_values
-    become null; by default only empty ones are. Formats but CSV are read by the Spark source of that name.
+    become null; by default only empty ones are. A value that is not of its declared type, or a CSV row with more
+    fields than the header, is an error. Formats but CSV are read by the Spark source of that name. position: a column
+    of this name is added by which rows sort as they stand in their files, files by name.
     """
     if dataset.format != "CSV":
         df = spark.read.format(dataset.format.lower()).load(dataset.url)
-        return df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
-    names = columns_of(spark, dataset.url)
-    types = dataset.data_types
-    if types is None:
-        df = _csv(spark).option("inferSchema", True).csv(dataset.url)
+        kept = [F.col(f"`{c}`") for c in df.columns if c in used]
     else:
-        if unknown := {t for t in types.values() if t not in COLUMN_TYPES}:
-            raise ValueError(f"unknown column type {', '.join(sorted(unknown))}")
-        df = _csv(spark).schema(StructType([StructField(n, COLUMN_TYPES[types[n]] if n in types else StringType()) for n in names])).csv(dataset.url)
-    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c in used])
-    if na_values:
-        text = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-        df = df.withColumns({c: F.when(~F.col(f"`{c}`").isin(*na_values), F.col(f"`{c}`")) for c in text})
-    return df
+        names = columns_of(spark, dataset.url)
+        types = dataset.data_types
+        if types is None:
+            schema = _csv(spark, multi_line).option("inferSchema", True).csv(dataset.url).schema
+        else:
+            if unknown := {t for t in types.values() if t not in COLUMN_TYPES}:
+                raise ValueError(f"unknown column type {', '.join(sorted(unknown))}")
+            schema = StructType([StructField(n, StringType()) for n in names])
+        df = _csv(spark, multi_line).schema(StructType([*schema, StructField(_EXTRA, StringType())])).csv(dataset.url)
+        df = df.where(F.col(_EXTRA).isNull() | F.raise_error(F.lit(f"{dataset.url}: a row has more fields than the header")).cast("boolean"))
+        is_text = {f.name for f in schema if isinstance(f.dataType, StringType)}
+        kept = [_typed(n, (types or {}).get(n, "TEXT"), na_values) if types is not None or n in is_text else F.col(f"`{n}`") for n in names if n in used]
+    if position:
+        kept.append(_place(df).alias(position))
+    return df.select(*kept)
+
 
+def _place(df: DataFrame) -> Column:
+    """Sorts rows as their files hold them: by file, block and place in the block."""
+    place = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:  # a source without files
+        return F.struct(place.alias("row"))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("row"))
 
-def write_table(df: DataFrame, path: str, kind: str = "csv", order: list[str] | None = None) -> str:
-    """Write a result as a folder of files of the given format, ordered if asked; returns its path."""
+
+def write_table(df: DataFrame, path: str, kind: str = "csv", order: list[str] | None = None, drop: str | None = None) -> str:
+    """Write a result as a folder of files of the given format, ordered if asked, without the column drop; returns its path."""
     if order:
-        df = df.orderBy(*order)
+        df = df.orderBy(*[F.col(f"`{c}`") for c in order])
+    if drop:
+        df = df.drop(drop)
     writer = df.write.mode("overwrite")
-    (writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path))
+    if kind == "csv":
+        writer.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    else:
+        writer.format(kind).save(path)
     return path
