@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import encoders
-from .phonetic import jaro_winkler_bound, jaro_winkler_udf
+from .phonetic import jaro_winkler_may_reach, jaro_winkler_udf, letters
 from .registry import DETERMINISTIC, register
 from .synonyms import with_root
 from .text import is_empty, py_slice
@@ -115,11 +115,16 @@ def levenshtein(left: Column, right: Column, max_edits: int) -> Column:
     return F.levenshtein(left, right, max_edits) >= 0  # -1 beyond the threshold
 
 
-@register("JARO_WINKLER", "Similar by Jaro-Winkler", DETERMINISTIC, args=("threshold",), defaults={"threshold": 1.0}, costly=True, tags=("strings",))
+def _with_letters(df: DataFrame, field: str, target: str, **_) -> DataFrame:
+    text = F.coalesce(F.col(f"`{field}`").cast("string"), F.lit(""))
+    return df.withColumn(target, F.struct(text.alias("text"), letters(text).alias("letters")))
+
+
+@register("JARO_WINKLER", "Similar by Jaro-Winkler", DETERMINISTIC, args=("threshold",), defaults={"threshold": 1.0}, prepare=_with_letters, costly=True, tags=("strings",))
 def jaro_winkler(left: Column, right: Column, threshold: float) -> Column:
     """A missing value counts as an empty text; two empty texts have similarity 0."""
-    left, right = (F.coalesce(c.cast("string"), F.lit("")) for c in (left, right))
-    return (jaro_winkler_bound(left, right) >= threshold) & (jaro_winkler_udf()(left, right) >= threshold)
+    may = jaro_winkler_may_reach(left["text"], right["text"], left["letters"], right["letters"], threshold)
+    return may & (jaro_winkler_udf()(left["text"], right["text"]) >= threshold)
 
 
 @register("SYNONYMS", "Equal or synonymous names", DETERMINISTIC, args=("table",), defaults={"table": None}, prepare=with_root, tags=("strings",))

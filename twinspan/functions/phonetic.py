@@ -118,18 +118,25 @@ SHORT = 64
 _CELLS = 1 << 20
 
 
-def jaro_winkler_bound(left: Column, right: Column) -> Column:
-    """A number that the similarity of two texts, neither null, does not exceed, without Python.
+def letters(text: Column) -> Column:
+    """A text's characters as bits of a long, by code point modulo 64."""
+    bits = F.transform(F.split(text, ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda seen, bit: seen.bitwiseOR(bit))
 
-    No more characters can match than either text has in common with the other. The slack covers rounding.
+
+def jaro_winkler_may_reach(left: Column, right: Column, left_letters: Column, right_letters: Column, threshold: float) -> Column:
+    """Whether the similarity of two texts, neither null, may be threshold or more, told by lengths, a common prefix and
+    letters(): a letter that the other text lacks is a character without a match. The slack covers rounding.
     """
     a, b = F.length(left), F.length(right)
-    common = F.least(a - F.length(F.call_function("translate", left, right, F.lit(""))), b - F.length(F.call_function("translate", right, left, F.lit(""))))
-    jaro = (common / F.greatest(a, F.lit(1)) + common / F.greatest(b, F.lit(1)) + 1) / 3
-    prefix = F.lit(0)
-    for n in range(1, PREFIX_MOST + 1):
-        prefix = F.when(F.left(left, F.lit(n)) == F.left(right, F.lit(n)), n).otherwise(prefix)
-    return F.when(common > 0, jaro + PREFIX_WEIGHT * prefix * (1 - jaro) + 1e-9).otherwise(0.0)
+    prefix = F.lit(PREFIX_MOST)
+    for n in range(PREFIX_MOST, 0, -1):  # the first place that differs ends the test
+        prefix = F.when(F.substring(left, n, 1) != F.substring(right, n, 1), n - 1).otherwise(prefix)
+    lone = lambda own, other: F.bit_count(own.bitwiseAND(F.bitwise_not(other)))
+    common = F.least(a - lone(left_letters, right_letters), b - lone(right_letters, left_letters))
+    jaro = (common * (1 / F.greatest(a, F.lit(1)) + 1 / F.greatest(b, F.lit(1))) + 1) / 3
+    # jaro * (1 - w) + w >= threshold, w the weighted prefix, written so that each part stands once
+    return jaro >= F.lit(1.0) - F.lit(1.0 - (threshold - 1e-9)) / (1 - PREFIX_WEIGHT * prefix)
 
 
 def _padded(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
