@@ -7,10 +7,11 @@ Linked fingerprints are resolved to components by distributed contraction.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; shingles are WORDS words joined by a space,
 repeats included; a text of fewer words is one shingle; a text without words (or null) has fingerprint zero, which links
-like any other. A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+like any other. A very long text is hashed whole, COUNTED shingles at a time. A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
 
 Defined results: repeated rows and ids are each kept; a null id never becomes a component id unless all ids of the
-component are null; an empty table gives an empty result; extra columns pass through keep_one().
+component are null; of equal keys keep_one() keeps the row with the smallest checksum, once; an empty table gives an
+empty result; extra columns, whatever their names, are ignored by near_duplicates() and pass through keep_one().
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.operators.components import connected_components, spread_join
+from twinspan.operators.components import connected_components, hub_join
 from twinspan.operators.storage import materialise
 
 from .batches import fresh, map_slices, struct_of
@@ -78,8 +79,14 @@ def links(distinct: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks())])
     keyed = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.k", "key.bits")
     left, right = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return left.alias("l").join(right.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.bits") == F.col("r.bits")) & near).select("a", "b")
+    apart = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(apart) <= DISTANCE)
+    # a pair that shares several keys is kept under the first of them
+    first = F.lit(len(block_masks()))
+    for i, m in reversed(list(enumerate(block_masks()))):
+        first = F.when(apart.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
+    same = (F.col("l.k") == F.col("r.k")) & (F.col("l.bits") == F.col("r.bits")) & near & (first == F.col("l.k"))
+    return left.alias("l").join(right.alias("r"), same).select("a", "b")
 
 
 def classes(rows: DataFrame, key: str) -> DataFrame:
@@ -87,8 +94,8 @@ def classes(rows: DataFrame, key: str) -> DataFrame:
     distinct = materialise(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprints")
     component = connected_components(links(distinct), "a", "b")
     known = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = known.groupBy("label").agg(F.min("first").alias("component_id"))
-    return materialise(spread_join(known, least, "label", "fp").select("fp", "label", "component_id"), "classes")
+    least = known.groupBy("label").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return materialise(hub_join(known, least, "label").select("fp", "label", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,7 +119,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     kept = same.join(classes(rows, key), "fp").groupBy("label").agg(first)
     own_id, own_sum, n = (fresh(marked, x) for x in ("_kept_id", "_kept_sum", "_kept_n"))
     kept = kept.select(F.col("kept.id").alias(own_id), F.col("kept.sum").alias(own_sum), F.col("kept.n").alias(n))
-    found = marked.join(kept.hint("shuffle_hash"), F.col(f"`{key}`").eqNullSafe(F.col(own_id)) & (F.col(total) == F.col(own_sum)))
+    found = marked.join(kept, F.col(f"`{key}`").eqNullSafe(F.col(own_id)) & (F.col(total) == F.col(own_sum)))
     # Rows that are equal in all columns need one more step; others are done.
     repeated = found.where(F.col(n) > 1).dropDuplicates([own_id, own_sum])
     return found.where(F.col(n) == 1).unionByName(repeated).select(*[F.col(f"`{c}`") for c in names])
