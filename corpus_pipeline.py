@@ -32,12 +32,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets in their texts replaced by a mark; n_chars follows a text that changed."""
-    before = fresh(docs, "_before")
-    marked = secrets.redact(docs.withColumn(before, F.crc32(F.col("text").cast("binary"))))
-    changed = ~F.crc32(F.col("text").cast("binary")).eqNullSafe(F.col(before))
-    n_chars = F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return marked.withColumn("n_chars", n_chars).select(*docs.columns)
+    """All documents, secrets in their texts replaced by a mark; n_chars, where there is one, follows a changed text."""
+    changed = fresh(docs, "_changed")
+    marked = secrets.redact(docs, changed=changed)
+    if "n_chars" in docs.columns:
+        marked = marked.withColumn("n_chars", F.when(F.col(changed), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
