@@ -1,3 +1,5 @@
+import base64
+import gzip
 import hashlib
 import os
 
@@ -59,25 +61,64 @@ def test_selected_records_by_index(spark):
     assert revisit.payload_digest == hashlib.sha1(BIG.encode()).hexdigest()
 
 
-def test_archives_are_warc(spark, tmp_path):
-    import gzip
+def plain_records(data):
+    """A reader of its own: (WARC fields, HTTP head, payload) of each record of an uncompressed archive."""
+    out = []
+    while data:
+        head, _, data = data.partition(b"\r\n\r\n")
+        version, *lines = head.decode().split("\r\n")
+        assert version == "WARC/1.1"
+        fields = dict(line.split(": ", 1) for line in lines)
+        block, data = data[: int(fields["Content-Length"])], data[int(fields["Content-Length"]) :]
+        assert data[:4] == b"\r\n\r\n"
+        http, _, payload = block.partition(b"\r\n\r\n")
+        out.append((fields, http.decode().split("\r\n"), payload))
+        data = data[4:]
+    return out
 
+
+def test_archives_are_warc(spark, tmp_path):
     folder = f"file://{tmp_path}/warc"
-    warc.write_archives(spark.createDataFrame(PAGES[:5], SCHEMA).coalesce(1), folder)
+    clashing = spark.createDataFrame([(*p, 1, 2, 3, "x") for p in PAGES], SCHEMA + ", file int, offset int, refers_to int, record_type string")
+    warc.write_archives(clashing.repartition(2), folder)
     files = [f for f in os.listdir(f"{tmp_path}/warc") if f.endswith(".warc.gz")]
-    data = b"".join(gzip.decompress(open(f"{tmp_path}/warc/{f}", "rb").read()) for f in files)
-    assert data.count(b"WARC/1.1\r\n") == 5 and data.count(b"WARC-Type: revisit") == 2
-    assert data.count(BIG.encode()) == 1
+    records = [r for f in files for r in plain_records(gzip.decompress(open(f"{tmp_path}/warc/{f}", "rb").read()))]
+    assert len(records) == len(PAGES)
+    assert len({f["WARC-Record-ID"] for f, *_ in records}) == len(PAGES)  # page id 11 and the null id among them
+    for fields, http, payload in records:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "WARC-Target-URI"} <= set(fields)
+        assert fields["Content-Type"] == "application/http; msgtype=response" and http[0] == "HTTP/1.1 200 OK"
+        size = int(dict(h.split(": ", 1) for h in http[1:])["Content-Length"])
+        if fields["WARC-Type"] == "revisit":
+            assert payload == b"" and size >= warc.REVISIT_BYTES and fields["WARC-Refers-To-Target-URI"] and fields["WARC-Refers-To-Date"]
+        else:
+            assert len(payload) == size
+            assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    assert sum(f["WARC-Type"] == "revisit" for f, *_ in records) == sum(r[3] == "revisit" for r in by_hand(PAGES))
+    assert sum(p == BIG.encode() for *_, p in records) == 1
+
+
+def test_each_archive_is_read_once_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 200)
+    folder = new_path(spark, "warc")
+    index = spark.read.schema(warc.INDEX).parquet(warc.write_archives(spark.createDataFrame(PAGES, SCHEMA).coalesce(1), folder))
+    assert warc.read_records(index, folder).rdd.getNumPartitions() >= 4
+    plan = warc.round_trip(spark.createDataFrame(PAGES, SCHEMA), new_path(spark, "warc"))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan  # what was parsed lies in a table
 
 
 def test_damage_is_noticed():
-    raw = warc.record(1, "u", b"body", hashlib.sha1(b"body").hexdigest(), None, "response")
+    raw = warc.record("r", 1, "u", b"body", hashlib.sha1(b"body").hexdigest())
     assert warc.parsed(raw)[1] == b"body"
-    for bad in (raw[:-1], raw.replace(b"WARC/1.1", b"WARC/9.9"), raw + b"x"):
+    for bad in (raw[:-1], raw.replace(b"WARC/1.1", b"WARC/9.9"), raw + b"x", raw.replace(b"HTTP/1.1", b"HTPT/1.1")):
         with pytest.raises(ValueError):
             warc.parsed(bad)
 
 
+def test_names_of_stores():
+    assert [warc.arrow_uri(x) for x in ("s3a://b/x", "file:///x", "hdfs://n/x")] == ["s3://b/x", "file:///x", "hdfs://n/x"]
+
+
 def test_ranges_coalesce():
     gap, most = warc.GAP_BYTES, warc.READ_BYTES
     ranges = [(0, 10), (10, 10), (30, 5), (40 + gap, 10), (50 + gap, most), (50 + gap + most, 1)]
