@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from tests.llm.cases import ROWS, no_docs, odd_docs
+from tests.llm.cases import ROWS, no_docs, odd_docs, rows
 from twinspan.llm import decontamination, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -50,17 +50,55 @@ def test_against_brute_force(spark, tmp_path, seed):
     docs, items = random_case(seed)
     spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = {r.doc_id: tuple(r)[1:] for r in queries.op4_decontamination(spark, str(tmp_path)).collect()}
-    assert rows == {i: by_hand(t, [("" if k is None else k, b) for k, b in items]) for i, t in enumerate(docs)}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.op4_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {i: by_hand(t, [("" if k is None else k, b) for k, b in items]) for i, t in enumerate(docs)}
 
 
 def test_blocks_of_the_test_set_change_nothing(spark):
     docs, items = random_case(5)
-    d = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    items.append((500, " ".join(f"w{i % 40} v{i}" for i in range(400))))  # goes in parts
+    docs += [items[-1][1], items[-1][1][300:900], docs[0], docs[0], None]
+    d = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(docs)], "doc_id long, text string, hits int, digest int")
     b = spark.createDataFrame(items, "item_id long, text string")
     shape = lambda found, names: {r.doc_id: (r[names.n_words], [tuple(x) for x in r[names.hits]], r[names.items]) for r in found.collect()}
     whole = shape(*decontamination.contamination(d, b))
+    assert {i: (n, sum(b - a for a, b in h), len(k)) for i, (n, h, k) in whole.items()} == {i: by_hand(t, [("" if k is None else k, b) for k, b in items])[:3] for i, t in enumerate(docs)}
     assert shape(*decontamination.contamination(d, b, block_bytes=200)) == whole
+    kept = decontamination.decontaminate(d, b, block_bytes=2000)
+    assert kept.columns == d.columns and rows(kept) == rows(decontamination.decontaminate(d, b))
+
+
+def test_one_word_over_and_over_takes_linear_time():
+    """A megabyte of one word against an item of the same, and ten thousand items that share their windows."""
+    import time
+
+    import numpy as np
+
+    begun = time.perf_counter()
+    body = np.frombuffer(b"a " * 500_000, np.uint8)
+    tests = decontamination.TestSet([("x", b"a " * 500_000)], 13)
+    n, hits, found = tests.found(body, np.array([0, len(body)]), decontamination.Hasher())
+    assert (n, hits, found) == ([500_000], [[(0, 500_000)]], [{"x"}])
+    passage = " ".join(f"w{i}" for i in range(30)).encode()
+    tests = decontamination.TestSet([(str(i), passage) for i in range(10_000)], 13)
+    text = np.frombuffer(passage * 20 + b" " + passage, np.uint8)
+    n, hits, found = tests.hits(text, np.array([0, len(text)]), decontamination.Hasher())
+    assert len(found[0]) == 10_000
+    assert time.perf_counter() - begun < 30
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    """With all hashes equal, words alone decide."""
+    import numpy as np
+
+    docs, items = random_case(9)
+    monkeypatch.setattr(decontamination.Hasher, "windows", lambda self, words, width: np.zeros(max(len(words) - width + 1, 0), np.uint64))
+    tests = decontamination.TestSet([("" if k is None else str(k), (b or "").encode()) for k, b in items], 13)
+    for text in docs[:20]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        n, hits, found = tests.hits(data, np.array([0, len(data)]), decontamination.Hasher())
+        want = by_hand(text, [("" if k is None else k, b) for k, b in items])
+        assert (n[0], sum(b - a for a, b in hits[0]), len(found[0])) == want[:3]
 
 
 def test_long_texts_go_in_segments():

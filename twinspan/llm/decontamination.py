@@ -5,23 +5,29 @@ runs of `window` words; an item of fewer words, but not none, is one window. Win
 bulk (a polynomial over the bytes, then over the words), looked up in the sorted hashes, and each hit is verified word by
 word, so hash collisions change nothing. A word inside any verified occurrence is hit.
 
-The hash set is broadcast only up to BLOCK_BYTES of item text; larger test sets go block by block, each block over all
-rows, with the hits so far carried along.
-
-Defined results: null and empty texts have no words and no hits; items without words match nothing; repeated items each
-count; repeated and null ids are kept row by row; extra columns pass through where the operator returns documents.
+The hash set is broadcast only up to BLOCK_BYTES of item text; longer items are cut, each part with the words that the
+next one's windows begin with. With a larger test set each block scans the texts anew, but only digests of texts with
+hits, and those hits, are handed on; documents meet them in one join at the end.
+
+Defined results: null and empty texts have no words and no hits; an empty test set hits nothing; items without words match
+nothing; repeated items each count, but an id is named once; an item without an id is named by the empty text; repeated
+and null ids of documents are kept row by row; texts and items of any length are handled whole, in segments; extra columns,
+whatever their names, pass through where the operator returns documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from twinspan.operators.storage import materialise
 
@@ -97,11 +103,11 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class TestSet:
-    """Windows of one block of test items, by width: sorted hashes with the item and first word of each window."""
+    """Windows of one block of test items, by width: the sorted hashes of distinct windows, their words, and the items
+    that hold each. Windows of the same items share one set."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        hasher, found = Hasher(), {}
-        self.items: list[tuple[str, bytes, np.ndarray, np.ndarray]] = []
+        hasher, found, texts = Hasher(), {}, []
         for key, body in items:
             data = np.frombuffer(body, np.uint8)
             low, starts, ends, _ = split_words(data, np.array([0, len(data)]))
@@ -111,44 +117,56 @@ class TestSet:
             words = [low[s:e].tobytes() for s, e in zip(starts, ends, strict=True)]
             sizes = np.cumsum([len(w) + 1 for w in words])
             h = hasher.windows(hasher.words(low, starts, ends), width)
-            found.setdefault(width, []).append((h, np.full(len(h), len(self.items)), np.arange(len(h))))
-            self.items.append((key, b" ".join(words), np.concatenate([[0], sizes[:-1]]), sizes - 1))
-        self.by_width = {}
+            found.setdefault(width, []).append((h, np.full(len(h), len(texts)), np.arange(len(h))))
+            texts.append((key, b" ".join(words), np.concatenate([[0], sizes[:-1]]), sizes - 1))
+        self.by_width: dict[int, tuple[np.ndarray, list[list[tuple[bytes, frozenset[str]]]]]] = {}
+        shared: dict[frozenset[str], frozenset[str]] = {}
         for width, parts in found.items():
             h, item, word = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.argsort(h, kind="stable")
-            self.by_width[width] = h[order], item[order].astype(np.int32), word[order].astype(np.int32)
-
-    def _keys(self, width: int, h: np.uint64, words: bytes) -> set[str]:
-        """Items in which the window occurs, word by word."""
-        hashes, item, first = self.by_width[width]
-        keys = set()
-        for i in range(np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")):
-            key, body, starts, ends = self.items[item[i]]
-            if body[starts[first[i]] : ends[first[i] + width - 1]] == words:
-                keys.add(key)
-        return keys
+            h, item, word = h[order], item[order].tolist(), word[order].tolist()
+            hashes, first = np.unique(h, return_index=True)
+            windows = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
+                keys: dict[bytes, set[str]] = {}
+                for i in range(a, b):
+                    key, body, starts, ends = texts[item[i]]
+                    keys.setdefault(body[starts[word[i]] : ends[word[i] + width - 1]], set()).add(key)
+                windows.append([(w, shared.setdefault(f := frozenset(k), f)) for w, k in keys.items()])
+            self.by_width[width] = hashes, windows
 
     def hits(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
-        """For each text: its number of words, the hit word ranges, and the items that occur."""
+        """For each text: its number of words, the hit word ranges (merged), and the items that occur."""
         low, starts, ends, first = split_words(data, offsets)
         n_texts = len(offsets) - 1
         ranges: list[list[tuple[int, int]]] = [[] for _ in range(n_texts)]
-        items: list[set[str]] = [set() for _ in range(n_texts)]
+        items: list[set[frozenset[str]]] = [set() for _ in range(n_texts)]
         words = hasher.words(low, starts, ends)
-        for width, (hashes, _, _) in self.by_width.items():
+        for width, (hashes, windows) in self.by_width.items():
             h = hasher.windows(words, width)
             if not len(h):
                 continue
             at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for i in np.flatnonzero(hashes[at] == h).tolist():
-                text = int(np.searchsorted(first, i, side="right")) - 1
-                if i + width > first[text + 1]:
-                    continue
-                if keys := self._keys(width, h[i], b" ".join(low[starts[j] : ends[j]].tobytes() for j in range(i, i + width))):
-                    ranges[text].append((i - int(first[text]), i - int(first[text]) + width))
-                    items[text] |= keys
-        return np.diff(first).tolist(), ranges, items
+            likely = np.flatnonzero(hashes[at] == h)
+            text = np.searchsorted(first, likely, side="right") - 1
+            inside = likely + width <= first[text + 1]
+            plain, from_word, to_word = b"", 0, 0
+            for i, t, place in zip(likely[inside].tolist(), text[inside].tolist(), at[likely[inside]].tolist(), strict=True):
+                if i + width > to_word:
+                    # the words from here on, as the test set has them
+                    from_word, to_word = i, min(i + width + 256, int(first[t + 1]))
+                    own = [low[s:e].tobytes() for s, e in zip(starts[i:to_word].tolist(), ends[i:to_word].tolist(), strict=True)]
+                    plain, edges = b" ".join(own), np.cumsum([0, *(len(w) + 1 for w in own)]).tolist()
+                window = plain[edges[i - from_word] : edges[i - from_word + width] - 1]
+                for known, keys in windows[place]:
+                    if known == window:
+                        a, b = i - int(first[t]), i - int(first[t]) + width
+                        if ranges[t] and ranges[t][-1][0] <= a <= ranges[t][-1][1]:
+                            ranges[t][-1] = (ranges[t][-1][0], max(ranges[t][-1][1], b))
+                        else:
+                            ranges[t].append((a, b))
+                        items[t].add(keys)
+        return np.diff(first).tolist(), [merged(r) for r in ranges], [set().union(*k) for k in items]
 
     def found(self, data: np.ndarray, offsets: np.ndarray, hasher: Hasher, limit: int = SLICE) -> tuple[list[int], list[list[tuple[int, int]]], list[set[str]]]:
         """The same as hits(), but a text that stands alone because of its length goes in segments."""
@@ -220,36 +238,87 @@ class Names:
         return (self.hit_words() > 0) & (self.hit_words() * 20 >= F.col(self.n_words))
 
 
-_TYPES = [pa.int64(), pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])), pa.list_(pa.string())]
+_HITS = "array<struct<a:int,b:int>>"
+_HIT_TYPE = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+#: Test sets that this worker has built, by the name of their block; one block is used at a time.
+_built: dict[str, TestSet] = {}
+
+
+def _test_set(name: str, items: list[tuple[str, bytes]], window: int) -> TestSet:
+    if name not in _built:
+        _built.clear()
+        _built[name] = TestSet(items, window)
+    return _built[name]
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return joined_bytes(column.fill_null(b"" if pa.types.is_binary(column.type) else ""))
 
 
 def _scan(df: DataFrame, test: list[tuple[str, bytes]], window: int, text: str, added: Names) -> DataFrame:
-    """Add this block's hits to the added columns."""
+    """Add the block's hits."""
     held = df.sparkSession.sparkContext.broadcast(test)  # at most BLOCK_BYTES
-    own = [added.n_words, added.hits, added.items]
-    names = [n for n in df.columns if n not in own]
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests, hasher = TestSet(held.value, window), Hasher()
+        tests, hasher = _test_set(name, held.value, window), Hasher()
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                body = part.column(text)
-                n_words, ranges, items = tests.found(*joined_bytes(body.fill_null(b"" if pa.types.is_binary(body.type) else "")), hasher)
-                old_hits, old_items = part.column(added.hits).to_pylist(), part.column(added.items).to_pylist()
-                hits = [[{"a": a, "b": b} for a, b in merged(r + [(x["a"], x["b"]) for x in o])] for r, o in zip(ranges, old_hits, strict=True)]
-                known = [sorted(i | set(o)) for i, o in zip(items, old_items, strict=True)]
-                new = [pa.array(c, t) for c, t in zip((n_words, hits, known), _TYPES, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *new], [*names, *own])
+                n_words, ranges, items = tests.found(*_bytes(part.column(text)), hasher)
+                hits = pa.array([[{"a": a, "b": b} for a, b in r] for r in ranges], _HIT_TYPE)
+                new = [pa.array(n_words, pa.int64()), hits, pa.array([sorted(k) for k in items], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, added.n_words, added.hits, added.items])
+
+    hit = StructType().add("a", "integer").add("b", "integer")
+    schema = StructType([*df.schema]).add(added.n_words, "long").add(added.hits, ArrayType(hit)).add(added.items, ArrayType(StringType()))
+    return df.mapInArrow(run, schema)
+
+
+def _digest(text: str) -> Column:
+    return F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)
+
 
-    return df.mapInArrow(run, StructType([*(f for f in df.schema if f.name in names), *(df.schema[n] for n in own)]))
+def _joined(scans: list[DataFrame], added: Names) -> DataFrame:
+    """Hits of several blocks, as one row for each digest: ranges merged, items sorted."""
+    rows = reduce(DataFrame.unionByName, scans)
+    # copies of a text have the same hits in a block; then a digest has at most one row a block
+    once = rows.groupBy("digest", "block").agg(F.first(added.hits).alias("hits"), F.first(added.items).alias("items"))
+    grouped = once.groupBy("digest").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits = [[{"a": a, "b": b} for a, b in merged([(x["a"], x["b"]) for x in r])] for r in batch.column("hits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(hits, _HIT_TYPE), batch.column("items")], ["digest", "hits", "items"])
+
+    return grouped.mapInArrow(run, f"digest string, hits {_HITS}, items array<string>")
 
-def _blocks(items: DataFrame, key: str, text: str, limit: int):
-    """The items as lists of (id as text, bytes), each of bounded size, in id order."""
+
+def _parts(items: DataFrame, key: str, text: str, window: int, limit: int) -> DataFrame:
+    """k (the id as text) and b (the bytes) of the items, those over limit bytes in parts that hold all their windows."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k"), body.alias("b")).where(F.octet_length("b") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, b in zip(batch.column("k").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                out = [b]
+                if len(b) > 2 * limit:
+                    data = np.frombuffer(b, np.uint8)
+                    _, starts, _, _ = split_words(data, np.array([0, len(data)]))
+                    if len(starts) >= window:
+                        cut = [b[s:e] for s, e, _ in segments(data, limit, window - 1)]
+                        # a part of fewer words than a window holds none, and must not become a window itself
+                        out = [c for c in cut if len(split_words(np.frombuffer(c, np.uint8), np.array([0, len(c)]))[1]) >= window]
+                for c in out:
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([c], pa.binary())], ["k", "b"])
+
+    return rows.mapInArrow(run, "k string, b binary")
+
+
+def _blocks(parts: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The parts as lists of (id as text, bytes), each of bounded size."""
     block, size = [], 0
-    for k, b in rows.toLocalIterator():
+    for k, b in parts.toLocalIterator():
         if block and size + len(b) > limit:
             yield block
             block, size = [], 0
@@ -262,15 +331,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, text:
     """docs with three columns more: number of words, merged ranges of hit words, ids (as text) of items that occur."""
     bound_batches(docs.sparkSession)
     added = Names(*(fresh(docs, n) for n in ("_n_words", "_hits", "_items")))
-    out = docs.select("*", F.lit(0).cast("long").alias(added.n_words), F.array().cast("array<struct<a:int,b:int>>").alias(added.hits), F.array().cast("array<string>").alias(added.items))
-    for i, block in enumerate(_blocks(benchmark, item_key, item_text, block_bytes)):
-        if i:
-            out = materialise(out, "decontamination")
-        out = _scan(out, block, window, text, added)
-    return out, added
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+    blocks = _blocks(_parts(benchmark, item_key, item_text, window, block_bytes // 4), block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _scan(docs, first, window, text, added), added
+    digest = fresh(docs, "_digest")
+    hits = []
+    texts = docs.select(_digest(text).alias("digest"), F.col(f"`{text}`"))
+    for i, block in enumerate(chain([first, second], blocks)):
+        found = _scan(texts, block, window, text, added).where(F.size(added.items) > 0)
+        hits.append(materialise(found.select("digest", F.lit(i).alias("block"), added.hits, added.items), "hits"))
+    own_hits, own_items = fresh(docs, "_found_hits"), fresh(docs, "_found_items")
+    joined = materialise(_joined(hits, added).toDF(digest, own_hits, own_items), "hits")
+    counted = _scan(docs.withColumn(digest, _digest(text)), [], window, text, added).drop(added.hits, added.items).join(joined, digest, "left")
+    none = F.array()
+    return counted.select(
+        *[F.col(f"`{c}`") for c in docs.columns],
+        added.n_words,
+        F.coalesce(own_hits, none.cast(_HITS)).alias(added.hits),
+        F.coalesce(own_items, none.cast("array<string>")).alias(added.items),
+    ), added
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the contaminated ones; the others are unchanged."""
-    found, added = contamination(docs, benchmark, window)
+    found, added = contamination(docs, benchmark, window, block_bytes=block_bytes)
     return found.where(~added.contaminated()).select(*[F.col(f"`{n}`") for n in docs.columns])
