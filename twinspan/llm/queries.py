@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.operators.storage import new_path
+from twinspan.operators.storage import materialise, new_path
 
 from . import decontamination, licenses, media, oracles, packing, quality, secrets, sharding, simhash, token_counts, warc
 
@@ -62,11 +62,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
-    stored = media.mux_column(docs.select("doc_id", n_bytes, media.padded_payload().alias("payload")), "payload", ["doc_id", "n_bytes"])
+    # the column is stored, and what is parsed is what the store gives back
+    stored = materialise(media.mux_column(docs.select("doc_id", n_bytes, media.padded_payload().alias("payload")), "payload", ["doc_id", "n_bytes"]), "media")
     read = media.parse_column(stored, "media", ["doc_id", "n_bytes"])
-    points = F.size(F.filter("random_access", lambda x: x))
-    feature = F.format_string("packets=%d;units=%d;random_access=%d;first_pts=%d;last_pts=%d", "packets", F.size("pts"), points, F.element_at("pts", 1), F.element_at("pts", -1))
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    points = F.size(F.filter("units", lambda u: u["random_access"]))
+    first, last = F.element_at("units", 1)["pts"], F.element_at("units", -1)["pts"]
+    feature = F.format_string("packets=%d;units=%d;random_access=%d;first_pts=%d;last_pts=%d", "packets", F.size("units"), points, first, last)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "error")
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,14 @@ A stream is 188-byte packets: one program association table, one program map tab
 elementary stream packets of one private stream. Each elementary packet opens an access unit: its first transport packet
 carries the random-access flag and a clock reference, its header a timestamp. Multiplexing is a function of the payload.
 
-Defined results: a null payload stays null; an empty payload has no elementary packets; a stream that breaks a rule
-(sync byte, table checksum, continuity, lengths) raises ValueError with what is wrong; repeated rows are each handled.
+demux() reads what the standard lets others write: null packets, a repeated packet, packets of an adaptation field alone,
+flagged discontinuities, tables over several packets and in several sections and versions, several programs and
+elementary streams, elementary packets of unstated length, with one, two or no timestamps, and padding. Of a table the
+last version counts; what precedes an elementary stream's first packet start is left out.
+
+Defined results: an empty payload has no elementary packets; a stream that breaks a rule (sync byte, table checksum,
+continuity, lengths, marker bits) raises ValueError with what is wrong; a very long stream is held whole, with some two
+copies of its bytes.
 """
 
 from __future__ import annotations
@@ -101,66 +107,210 @@ def mux(payload: bytes) -> bytes:
 
 
 @dataclass
-class Parsed:
-    """payload: of all elementary packets; pts, random_access: for each of them; starts: its first transport packet."""
+class Unit:
+    """One elementary packet: its timestamps (90 kHz, null if none), whether it can be entered at, its first transport
+    packet and its payload's bounds in its stream's."""
+
+    pts: int | None
+    dts: int | None
+    random_access: bool
+    start: int
+    begin: int
+    end: int
 
+
+@dataclass
+class Elementary:
+    """One elementary stream: its program, its type, the payload of its packets one after the other."""
+
+    pid: int
+    program: int
+    kind: int
     payload: bytes
+    units: list[Unit]
+
+
+@dataclass
+class Parsed:
+    """packets: of all kinds. programs: each one's streams (pid: type). streams: by pid."""
+
     packets: int
-    pts: list[int]
-    random_access: list[bool]
-    starts: list[int]
-    pids: dict[int, int]
+    programs: dict[int, dict[int, int]]
+    streams: dict[int, Elementary]
+
+    @property
+    def payload(self) -> bytes:
+        """The payloads of all streams, by pid."""
+        return b"".join(s.payload for _, s in sorted(self.streams.items()))
+
+    @property
+    def units(self) -> list[Unit]:
+        return [u for _, s in sorted(self.streams.items()) for u in s.units]
+
+
+# Fixed values of the standard: the pid of null packets; ids of elementary packets without an optional header, and of padding.
+NULL_PID, PADDING_ID = 0x1FFF, 0xBE
+PLAIN_IDS = frozenset([0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF])
+
+
+class _Packets:
+    """The transport packets of a stream, by column."""
+
+    def __init__(self, stream: bytes) -> None:
+        if not stream or len(stream) % PACKET:
+            raise ValueError("not whole packets")
+        p = self.rows = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
+        if (p[:, 0] != SYNC).any():
+            raise ValueError("sync byte lost")
+        self.pid = ((p[:, 1] & 0x1F).astype(np.int32) << 8) | p[:, 2]
+        real = self.pid != NULL_PID
+        if (real & (p[:, 1] >= 0x80)).any():
+            raise ValueError("packet marked as damaged")
+        control, self.counter = p[:, 3] >> 4 & 3, p[:, 3] & 15
+        if (real & (control == 0)).any():
+            raise ValueError("neither payload nor adaptation field")
+        self.begins = np.where(control & 2, 5 + p[:, 4].astype(np.int32), 4)
+        if (real & (self.begins > PACKET - (control & 1))).any():
+            raise ValueError("adaptation field runs over")
+        self.filled = real & ((control & 1) > 0)
+        flags = np.where((control & 2 > 0) & (p[:, 4] > 0), p[:, 5], 0)
+        self.breaks, self.random_access = flags & 0x80 > 0, flags & 0x40 > 0
+
+    def of(self, pid: int) -> np.ndarray:
+        """Places of a pid's packets with payload, repeated ones left out; their counters must go on one by one."""
+        own = np.flatnonzero(self.filled & (self.pid == pid))
+        step = np.diff(self.counter[own].astype(np.int8)) & 15
+        again = np.flatnonzero((step == 0) & ~self.breaks[own[1:]])
+        for i in again.tolist():
+            a, b = self.rows[own[i]], self.rows[own[i + 1]]
+            if (i and i - 1 in again) or not np.array_equal(a[self.begins[own[i]] :], b[self.begins[own[i + 1]] :]):
+                raise ValueError(f"continuity lost on pid {pid}")
+        if ((step != 1) & (step != 0) & ~self.breaks[own[1:]]).any():
+            raise ValueError(f"continuity lost on pid {pid}")
+        return np.delete(own, again + 1)
+
+    def payloads(self, own: np.ndarray) -> tuple[bytes, list[int]]:
+        """The payload bytes of packets, one after the other, and where each begins."""
+        rows, first = self.rows[own], self.begins[own]
+        flat = rows[np.arange(PACKET) >= first[:, None]].tobytes()
+        return flat, np.concatenate([[0], np.cumsum(PACKET - first)]).tolist()
+
+    def opens(self, own: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.rows[own, 1] & 0x40)
+
+
+@functools.lru_cache(maxsize=256)
+def _checked(section: bytes) -> bytes:
+    if section_crc(section):  # the checksum of all, its own included, is zero
+        raise ValueError(f"table {section[0]} is damaged")
+    return section
+
+
+def _sections(packets: _Packets, pid: int) -> list[bytes]:
+    """The table sections that a pid carries, in order."""
+    own = packets.of(pid)
+    flat, edges = packets.payloads(own)
+    opens = set(packets.opens(own).tolist())
+    out, held = [], None
+
+    def take() -> None:
+        nonlocal held
+        while held and held[0] != 0xFF and len(held) >= 3:
+            size = 3 + (struct.unpack(">H", held[1:3])[0] & 0xFFF)
+            if len(held) < size:
+                return
+            out.append(_checked(held[:size]))
+            held = held[size:]
+
+    for i in range(len(own)):
+        data = flat[edges[i] : edges[i + 1]]
+        if i in opens:
+            if 1 + data[0] > len(data):
+                raise ValueError(f"table on pid {pid} begins nowhere")
+            if held is not None:
+                held += data[1 : 1 + data[0]]
+                take()
+            held = data[1 + data[0] :]
+        elif held is not None:
+            held += data
+        take()
+    return out
+
+
+def _table(sections: list[bytes], table_id: int, what: str) -> dict[int, list[bytes]]:
+    """Bodies of a table's sections by its key (program or stream number), of the last version that is in force."""
+    found: dict[int, tuple[int, dict[int, bytes]]] = {}
+    for s in sections:
+        if s[0] != table_id or not s[5] & 1:
+            continue
+        key, version = struct.unpack(">H", s[3:5])[0], s[5] >> 1 & 31
+        if key not in found or found[key][0] != version:
+            found[key] = (version, {})
+        found[key][1][s[6]] = s[8:-4]
+    if not found:
+        raise ValueError(f"no {what}")
+    return {k: [body for _, body in sorted(parts.items())] for k, (_, parts) in found.items()}
+
+
+def _ticks(field: bytes) -> int:
+    if len(field) < 5 or not field[0] & field[2] & field[4] & 1:
+        raise ValueError("timestamp is damaged")
+    a, b, c = struct.unpack(">BHH", field[:5])
+    return (a >> 1 & 7) << 30 | (b >> 1) << 15 | c >> 1
+
+
+def _elementary_packet(pes: bytes) -> tuple[int | None, int | None, bytes]:
+    """Timestamps and payload."""
+    if len(pes) < 6 or pes[:3] != b"\0\0\1":
+        raise ValueError("no elementary packet begins where one should")
+    size = struct.unpack(">H", pes[4:6])[0]
+    if size and size + 6 != len(pes):
+        raise ValueError("elementary packet has another length")
+    if pes[3] in PLAIN_IDS:
+        return None, None, b"" if pes[3] == PADDING_ID else pes[6:]
+    if len(pes) < 9 or 9 + pes[8] > len(pes) or pes[6] >> 6 != 2:
+        raise ValueError("elementary packet has no header")
+    stamps, fields = pes[7] >> 6, pes[9 : 9 + pes[8]]
+    if stamps == 1:
+        raise ValueError("elementary packet has forbidden flags")
+    pts = _ticks(fields) if stamps else None
+    return pts, _ticks(fields[5:]) if stamps == 3 else None, pes[9 + pes[8] :]
 
 
-@functools.lru_cache(maxsize=64)
-def _section(payload: bytes, table_id: int) -> bytes:
-    section = payload[1 + payload[0] :]
-    length = 3 + (struct.unpack(">H", section[1:3])[0] & 0xFFF)
-    if section[0] != table_id or length > len(section) or section_crc(section[:length]):
-        raise ValueError(f"table {table_id} is damaged")
-    return section[8 : length - 4]
+def _stream(packets: _Packets, pid: int, program: int, kind: int) -> Elementary:
+    own = packets.of(pid)
+    flat, edges = packets.payloads(own)
+    opens = packets.opens(own).tolist()
+    bounds = [*(edges[i] for i in opens), len(flat)]
+    parts, units, at = [], [], 0
+    for i, first in enumerate(opens):
+        pts, dts, body = _elementary_packet(flat[bounds[i] : bounds[i + 1]])
+        place = int(own[first])
+        units.append(Unit(pts, dts, bool(packets.random_access[place]), place, at, at + len(body)))
+        parts.append(body)
+        at += len(body)
+    return Elementary(pid, program, kind, b"".join(parts), units)
 
 
 def demux(stream: bytes) -> Parsed:
     """Parse a stream: program tables, continuity of each pid, elementary packets with timestamps."""
-    if not stream or len(stream) % PACKET:
-        raise ValueError("not whole packets")
-    p = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != SYNC).any():
-        raise ValueError("sync byte lost")
-    pid = ((p[:, 1] & 0x1F).astype(np.int32) << 8) | p[:, 2]
-    control, counter = p[:, 3] >> 4 & 3, p[:, 3] & 15
-    begins = np.where(control & 2, 5 + p[:, 4].astype(np.int32), 4)
-    if (begins > PACKET).any() or ((control & 1) == 0).any():
-        raise ValueError("adaptation field runs over or packet without payload")
-    for one in np.unique(pid):
-        steps = np.diff(counter[pid == one].astype(np.int8)) & 15
-        if (steps != 1).any():
-            raise ValueError(f"continuity lost on pid {one}")
-    pat = np.flatnonzero(pid == PAT_PID)
-    if not len(pat):
-        raise ValueError("no program association table")
-    programs = _section(p[pat[0], begins[pat[0]] :].tobytes(), 0)
-    map_pid = struct.unpack(">H", programs[2:4])[0] & 0x1FFF
-    pmt = np.flatnonzero(pid == map_pid)
-    if not len(pmt):
-        raise ValueError("no program map table")
-    entries = _section(p[pmt[0], begins[pmt[0]] :].tobytes(), 2)
-    at = 4 + (struct.unpack(">H", entries[2:4])[0] & 0xFFF)
-    kind, es_pid = entries[at], struct.unpack(">H", entries[at + 1 : at + 3])[0] & 0x1FFF
-    own = np.flatnonzero(pid == es_pid)
-    rows, first = p[own], begins[own]
-    flat = rows[np.arange(PACKET) >= first[:, None]].tobytes()
-    ends = np.concatenate([[0], np.cumsum(PACKET - first)])
-    opens = np.flatnonzero(rows[:, 1] & 0x40)
-    bounds = [*ends[opens].tolist(), len(flat)]
-    parts, pts, random_access = [], [], []
-    for i, unit in enumerate(opens):
-        pes = flat[bounds[i] : bounds[i + 1]]
-        if pes[:3] != b"\0\0\1" or struct.unpack(">H", pes[4:6])[0] + 6 != len(pes):
-            raise ValueError("elementary packet has another length")
-        a, b, c = struct.unpack(">BHH", pes[9:14])
-        pts.append((a >> 1 & 7) << 30 | (b >> 1) << 15 | c >> 1)
-        random_access.append(bool(rows[unit, 3] & 0x20 and rows[unit, 4] and rows[unit, 5] & 0x40))
-        parts.append(pes[9 + pes[8] :])
-    return Parsed(b"".join(parts), len(p), pts, random_access, own[opens].tolist(), {int(es_pid): int(kind)})
+    packets = _Packets(stream)
+    programs: dict[int, dict[int, int]] = {}
+    for bodies in _table(_sections(packets, PAT_PID), 0, "program association table").values():
+        for body in bodies:
+            for at in range(0, len(body) - 3, 4):
+                number, pid = struct.unpack(">HH", body[at : at + 4])
+                if not number:  # the network's own table
+                    continue
+                maps = _table(_sections(packets, pid & 0x1FFF), 2, f"map of program {number}")
+                if number not in maps:
+                    raise ValueError(f"no map of program {number}")
+                own = programs.setdefault(number, {})
+                for entries in maps[number]:
+                    i = 4 + (struct.unpack(">H", entries[2:4])[0] & 0xFFF)
+                    while i + 5 <= len(entries):
+                        kind, es, info = struct.unpack(">BHH", entries[i : i + 5])
+                        own[es & 0x1FFF] = kind
+                        i += 5 + (info & 0xFFF)
+    streams = {pid: _stream(packets, pid, number, kind) for number, own in programs.items() for pid, kind in own.items()}
+    return Parsed(len(packets.rows), programs, streams)
