@@ -1,4 +1,8 @@
 import random
+import re
+import time
+
+import pytest
 
 from tests.llm.cases import ROWS, no_docs, odd_docs
 from twinspan.llm import licenses
@@ -66,6 +70,89 @@ def test_against_plain_lookup_of_fragments():
         assert [k for k, _, _ in licenses.sentences(text)] == put, text
 
 
+def plain_fragments(text):
+    """Pieces as (normal form, start, end), by walking over the characters."""
+    out, start = [], 0
+    for i, c in enumerate(text + "\n"):
+        ends = c == "\n" or (c.isspace() and i > start and text[i - 1] in ".!?;:")
+        if ends:
+            piece = text[start:i]
+            words = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), piece))
+            if words:
+                left = len(piece) - len(piece.lstrip())
+                out.append((words, start + left, start + len(piece.rstrip())))
+            start = i + 1 if c == "\n" else i
+    return out
+
+
+def by_hand(text, sentences, rules):
+    """Every run of fragments against every sentence; then every rule at every place."""
+    known = {tuple(re.findall("[a-z0-9]+", s.lower())): k for k, wordings in sentences.items() for s in wordings}
+    pieces, found, i = plain_fragments(text), [], 0
+    while i < len(pieces):
+        runs = [j for j in range(i + 1, len(pieces) + 1) if tuple(w for p in pieces[i:j] for w in p[0]) in known]
+        if runs:
+            found.append((known[tuple(w for p in pieces[i : runs[-1]] for w in p[0])], pieces[i][1], pieces[runs[-1] - 1][2]))
+        i = runs[-1] if runs else i + 1
+    ids, names, i = [k for k, _, _ in found], [], 0
+    while i < len(ids):
+        for name, rule in rules:
+            if ids[i : i + len(rule)] == rule:
+                names.append(name)
+                i += len(rule)
+                break
+        else:
+            i += 1
+    return found, names
+
+
+def test_against_brute_force():
+    """Known sentences whole, cut, wrapped, in any case, between other text: identifiers, places and licences."""
+    rng = random.Random(7)
+    book = licenses.STANDARD
+    wordings = [s for w in book.sentences.values() for s in w]
+    hits = 0
+    for _ in range(400):
+        parts = []
+        if rng.random() < 0.4:
+            parts += [book.sentences[i][0] for i in rng.choice(book.rules)[1]]
+        for _ in range(rng.randint(0, 6)):
+            s = rng.choice(wordings)
+            kind = rng.randrange(5)
+            words = s.split()
+            parts.append([s, s.upper(), " ".join(words[: rng.randint(1, len(words))]), " * " + "\n * ".join(words), "Plain words; licensed. or not: é🙂"][kind])
+        rng.shuffle(parts) if rng.random() < 0.5 else None
+        text = "".join(p + rng.choice([" ", "\n", "\n\n", "; ", "", " -- "]) for p in parts)
+        want, names = by_hand(text, book.sentences, book.rules)
+        got = licenses.sentences(text)
+        assert got == want, text
+        assert licenses.licenses([k for k, _, _ in got]) == names
+        hits += len(names)
+    assert hits > 200
+
+
+def test_each_rule_finds_its_own_licence():
+    for name, ids in licenses.STANDARD.rules:
+        text = "\n\n".join(licenses.STANDARD.sentences[i][-1] for i in ids)
+        assert found(text)[0] == name, (name, ids)
+
+
+def test_a_book_of_ones_own():
+    book = licenses.RuleBook({"a": ["House licence A."], "b": ["House licence B."]}, [("AB", ["a", "b"]), ("A", ["a"])], ["house"])
+    ids = [k for k, _, _ in licenses.sentences("House licence A. Text. House licence B.\nhouse licence a.", book)]
+    assert licenses.licenses(ids, book) == ["AB", "A"]
+    for bad in (({"a": ["no word of it"]}, []), ({}, [("A", ["a"])])):
+        with pytest.raises(ValueError):
+            licenses.RuleBook(*bad, ["house"])
+
+
+def test_long_runs_take_linear_time():
+    begun = time.perf_counter()
+    for text in ("license " + "." * 1_000_000 + "x", "license " + ". " * 500_000, "license\n" * 120_000, "license " + "x" * 1_000_000, "permission is hereby granted " * 30_000):
+        licenses.sentences(text)
+    assert time.perf_counter() - begun < 30
+
+
 def test_query_on_odd_rows(spark):
     docs = odd_docs(spark, clashing=True)
     assert sorted(((r.doc_id, r.n_sentences) for r in licenses.scan(docs).collect()), key=repr) == sorted(((i, 0) for i, *_ in ROWS), key=repr)
