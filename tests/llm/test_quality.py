@@ -34,7 +34,7 @@ def test_repetition_inputs():
     for row in range(len(codes)):
         for i, lag in enumerate(quality.LAGS):
             places = [p for p in range(16 * row, 16 * row + 16) if flat[p] and p >= lag and flat[p] == flat[p - lag] and text[p] == text[p - lag]]
-            assert got[row, i] == len(places) / 16
+            assert got[row, i] == len(places)
 
 
 def test_long_texts_are_pooled_part_by_part(monkeypatch):
@@ -59,6 +59,76 @@ def test_score_is_the_same_alone_and_in_a_batch_and_sees_the_end():
     assert score(clean + b"of### and$$$ to!! the### of$$$ in!! " * 20) < score(clean)
 
 
+def naive(model, body):
+    """The score by loops over chunks, filters, bytes and lags."""
+    n, half = quality.CHUNK, quality.CHUNK // 2
+    padded = [b + 1 for b in body] + [0] * (half * (max(-(-len(body) // half), 1) + 1) - len(body))
+    best = np.full(quality.FILTERS, -np.inf)
+    for at in range(0, len(padded) - half, half):
+        chunk = padded[at : at + n]
+        for f in range(quality.FILTERS):
+            z = sum(float(model["embed"][c, w]) * float(model["filter"][i * quality.WIDTH + w, f]) for i, c in enumerate(chunk) for w in range(quality.WIDTH))
+            for i, lag in enumerate(quality.LAGS):
+                same = sum(c > 0 and at + k >= lag and padded[at + k - lag] == c for k, c in enumerate(chunk))
+                z += same / half * float(model["lag"][i, f])
+            best[f] = max(best[f], z)
+    top = np.maximum(best + model["bias"], 0)
+    return 1 / (1 + np.exp(-(float(top @ model["out"]) + float(model["out_bias"][0]))))
+
+
+def some_model(seed):
+    rng = np.random.default_rng(seed)
+    model = {k: (v + rng.normal(0, 0.2, v.shape)).astype(np.float32) for k, v in quality.start(seed).items()}
+    model["embed"][0] = 0
+    return model
+
+
+def test_scores_against_a_naive_convolution():
+    model = some_model(3)
+    for body in (b"", b"x", b"abababababababab", b"the quick brown fox jumps over the lazy dog " * 3, "é数🙂".encode() * 9, bytes(range(256))):
+        got = quality.probabilities(model, np.frombuffer(body, np.uint8), np.array([0, len(body)]))[0]
+        assert abs(got - naive(model, body)) < 1e-4, body
+
+
+def test_gradients_against_differences():
+    """Each kind of weight, nudged: the loss changes as the gradient says."""
+    model, bodies = some_model(4), [t.encode() for t, _ in texts(6, 8)][:6]
+    exact = {k: v.astype(np.float64) for k, v in model.items()}
+    y, weight = np.array([1, 0, 1, 1, 0, 1.0]), np.array([0.1, 0.3, 0.2, 0.1, 0.2, 0.1])
+    parts = [quality.cut(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0] for b in bodies]
+    repeats = [quality.repeated(p) for p in parts]
+
+    def loss(m):
+        p = np.concatenate([quality.probabilities(m, np.frombuffer(b, np.uint8), np.array([0, len(b)])) for b in bodies])
+        return -(np.where(y > 0, np.log(p), np.log(1 - p)) * weight).sum()
+
+    grads = quality.gradients(exact, parts, repeats, y, weight)
+    rng, step = np.random.default_rng(1), 1e-6
+    for name, g in grads.items():
+        assert g.shape == exact[name].shape
+        places = [tuple(p) for p in np.argwhere(np.abs(g) > 1e-4)]
+        assert places
+        for place in [places[i] for i in rng.permutation(len(places))[:12]]:
+            up, down = ({**exact, name: exact[name].copy()} for _ in range(2))
+            up[name][place] += step
+            down[name][place] -= step
+            assert abs((loss(up) - loss(down)) / (2 * step) - g[place]) < 1e-3 * max(1, abs(g[place])), (name, place)
+
+
+def test_training_is_done_once_for_a_sample(spark, monkeypatch):
+    data = texts(40, 6)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(data)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(data)], "doc_id long, quality int")
+    first = quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "train", lambda *a, **k: {"other": None})
+    assert quality.fit(docs.repartition(3), labels) is first
+    assert quality.fit(docs, labels, sample=7) == {"other": None}
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda bodies, marks: seen.append(bodies) or {})
+    quality.fit(docs, labels, sample=5, sample_bytes=300)
+    assert len(seen[0]) == 5 and max(map(len, seen[0])) <= 300  # long texts are left out before the sample is cut
+
+
 def test_held_out_accuracy_on_a_table(spark):
     data = texts(300, 3)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, (t, _) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
