@@ -8,8 +8,10 @@ whole is cut over the lowest-cost sequences with room. So only the last sequence
 sequence, and nothing is shuffled. Sequence ids hold the task's partition and a counter; for one partitioning of the
 input they are reproducible, so a task that is run again gives the same rows.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed each; null ids are kept; an empty
-table gives an empty result; other columns are ignored.
+Defined results: null and empty texts are the end id alone; repeated rows are packed each; null ids are kept; of pieces of
+one cost the earlier in the task goes first, of sequences of one cost the lower; a very long text is encoded whole, by
+itself, and its full pieces are handed on at once; an empty table gives an empty result; other columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -145,15 +147,17 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
             types = [key_type, *[pa.int64()] * 6, *[pa.list_(pa.int32())] * with_ids]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
-        def piece(doc, ids: bytes, start: int, n: int, sequence: int, offset: int) -> tuple:
-            part = ids[4 * start : 4 * (start + n)]
+        def piece(doc, part: bytes, start: int, total: int, sequence: int, offset: int) -> tuple:
             extra = (np.frombuffer(part, "<i4"),) if with_ids else ()
-            return (doc, start, n, zlib.crc32(part), len(ids) // 4, first + sequence, offset, *extra)
+            return (doc, start, len(part) // 4, zlib.crc32(part), total, first + sequence, offset, *extra)
 
         def packed() -> pa.RecordBatch:
             nonlocal made
-            sizes = np.array([n for *_, n in held])
-            out = [piece(held[i][0], held[i][1], held[i][2] + s, n, made + sequence, offset) for i, s, n, sequence, offset in assign(sizes, length)]
+            sizes = np.array([len(tail) // 4 for _, tail, *_ in held])
+            out = []
+            for i, s, n, sequence, offset in assign(sizes, length):
+                doc, tail, start, total = held[i]
+                out.append(piece(doc, tail[4 * s : 4 * (s + n)], start + s, total, made + sequence, offset))
             made += -(-int(sizes.sum()) // length)
             return rows(out)
 
@@ -164,11 +168,11 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
                     ids += end
                     n = len(ids) // 4
                     for start in range(0, n - length + 1, length):
-                        out.append(piece(doc, ids, start, length, made, 0))
+                        out.append(piece(doc, ids[4 * start : 4 * (start + length)], start, n, made, 0))
                         made += 1
-                    if n % length:
-                        held.append((doc, ids, n - n % length, n % length))
-                        tokens += n
+                    if rest := n % length:
+                        held.append((doc, ids[4 * (n - rest) :], n - rest, n))
+                        tokens += rest
                     if tokens >= GROUP_TOKENS or len(held) >= GROUP_PIECES:
                         yield packed()
                         held, tokens = [], 0
