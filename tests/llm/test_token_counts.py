@@ -39,8 +39,8 @@ def test_a_row_appended_twice_does_no_harm(spark, library):
     path = new_path(spark, "cache")
     docs = odd_docs(spark)
     token_counts.token_counts(docs, MODEL, path)
-    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
-    spark.read.parquet(path).write.mode("append").parquet(path + "-twice")
+    spark.read.parquet(path).write.mode("append").partitionBy("tokenizer_sha256").parquet(path + "-twice")
+    spark.read.parquet(path).write.mode("append").partitionBy("tokenizer_sha256").parquet(path + "-twice")
     assert rows(token_counts.token_counts(docs, MODEL, path + "-twice")) == want(library, ROWS)
 
 
@@ -48,6 +48,6 @@ def test_another_version_of_the_tokenizer_misses(spark):
     path = new_path(spark, "cache")
     token_counts.fill_cache(odd_docs(spark), MODEL, path)
     n = spark.read.parquet(path).count()
-    spark.read.parquet(path).selectExpr("content_sha256", "'other' AS tokenizer_sha256", "n_bytes", "n_tokens + 1 AS n_tokens").write.parquet(path + "-other")
+    spark.read.parquet(path).selectExpr("content_sha256", "'other' AS tokenizer_sha256", "n_bytes", "n_tokens + 1 AS n_tokens").write.partitionBy("tokenizer_sha256").parquet(path + "-other")
     token_counts.fill_cache(odd_docs(spark), MODEL, path + "-other")
     assert spark.read.parquet(path + "-other").count() == 2 * n

@@ -1,12 +1,14 @@
 """Token counts through a digest cache.
 
-The cache is a Parquet table of (content_sha256, tokenizer_sha256, n_bytes, n_tokens). A count is the join of a text's
+The cache is a Parquet table of (content_sha256, n_bytes, n_tokens) in a folder for each tokenizer_sha256, so a run reads
+the counts of its own tokenizer alone. A count is the join of a text's
 digest and the tokenizer file's digest to it. Distinct digests that it lacks are encoded once by the library itself and
 appended, so copies and later runs cost a join. A row of the cache is a fact that cannot change: appending one twice
 (a retried job) does no harm, since readers take one row for each digest.
 
-Defined results: a null text counts as empty (0 tokens); repeated rows are each returned; null ids are kept; an empty
-table gives an empty result; other columns are ignored. Normal form of a text for its digest: its UTF-8 bytes.
+Defined results: a null text counts as empty (0 tokens); repeated rows are each returned; null ids are kept; a very long
+text is encoded whole, by itself; a count equal to the limit is not over it; an empty table gives an empty result; other
+columns, whatever their names, are ignored. Normal form of a text for its digest: its UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .batches import bound_batches, slices
 
-CACHE = "content_sha256 binary, tokenizer_sha256 string, n_bytes long, n_tokens long"
+CACHE = "content_sha256 binary, n_bytes long, n_tokens long, tokenizer_sha256 string"
 
 
 @functools.lru_cache(maxsize=2)
@@ -65,8 +67,8 @@ def _encoder(path: str, version: str):
                 counts = [len(ids) for ids in library.encode([unpack(p, max_output_size=n).decode() if n else "" for p, n in fresh.values()], num_threads=1)]
                 if fresh:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(list(fresh), pa.binary()), pa.array([version] * len(fresh)), pa.array([n for _, n in fresh.values()], pa.int64()), pa.array(counts, pa.int64())],
-                        ["content_sha256", "tokenizer_sha256", "n_bytes", "n_tokens"],
+                        [pa.array(list(fresh), pa.binary()), pa.array([n for _, n in fresh.values()], pa.int64()), pa.array(counts, pa.int64()), pa.array([version] * len(fresh))],
+                        ["content_sha256", "n_bytes", "n_tokens", "tokenizer_sha256"],
                     )
 
     return encode
@@ -91,10 +93,10 @@ def fill_cache(docs: DataFrame, tokenizer_path: str, cache_path: str, text: str
         stored = None
     once = texts.mapInArrow(_once, "content_sha256 binary, packed binary, n_bytes long")
     if stored is not None:
-        once = once.join(stored.hint("shuffle_hash"), "content_sha256", "left_anti")
+        once = once.join(stored, "content_sha256", "left_anti")
     # Each task has kept one copy of a text at most, so no digest is frequent here.
     misses = once.repartition("content_sha256").mapInArrow(_encoder(tokenizer_path, version), CACHE)
-    misses.write.mode("append").parquet(cache_path)
+    misses.write.mode("append").partitionBy("tokenizer_sha256").parquet(cache_path)
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, max_tokens: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
