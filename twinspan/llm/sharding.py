@@ -5,7 +5,9 @@ position p lies in shard p mod shards at slot p div shards. So any row's shard a
 number alone, and shard sizes differ by one row at most (law "rows").
 
 Defined results: null keys rank first; a null text has no bytes (size 1, checksum 0); repeated rows get numbers one
-after the other and are interchangeable; an empty table gives an empty result; other columns are ignored.
+after the other and are interchangeable; a text of any length counts by its size and checksum alone; keys are numbers,
+dates or timestamps ranked by value, or of another type ranked by it, the ranges then cut by hash; an empty table gives an
+empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
