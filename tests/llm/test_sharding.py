@@ -84,3 +84,17 @@ def test_partitioning_changes_nothing(spark):
 def test_no_python_in_plan(spark):
     plan = sharding.feistel_shards(odd_docs(spark), 16)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_keys_of_other_types(spark):
+    """Text, date and fractional keys, nulls and repeats among them: every row has a place of its own."""
+    data = [(None if i % 7 == 0 else f"doc-{i % 40:05}", f"text {i % 9}") for i in range(300)]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    for kind in ("doc_id", "to_date('2020-01-01') + cast(substr(doc_id, 5) as int)", "cast(substr(doc_id, 5) as double) / 3", "cast(substr(doc_id, 5) as decimal(9, 2))"):
+        got = sharding.feistel_shards(docs.selectExpr(f"{kind} AS doc_id", "text"), 16).collect()
+        assert sorted(r.row_number for r in got) == list(range(300))
+        places = {}
+        for r in got:
+            places.setdefault(r.shard, []).append(r.slot)
+        assert all(sorted(v) == list(range(len(v))) for v in places.values()) and max(map(len, places.values())) - min(map(len, places.values())) <= 1
+        assert sum(r.doc_id is None for r in got) == sum(k is None for k, _ in data)

@@ -1,13 +1,12 @@
 """Reproducible sharding: a Feistel permutation of global row numbers, without Python on the executors.
 
-A row's number is its rank by (key, text checksum, size). The permutation maps numbers 0..n-1 onto themselves;
+A row's number is its rank by (key, text checksum, size); keys that are no integers are ranked by their hash first. The permutation maps numbers 0..n-1 onto themselves;
 position p lies in shard p mod shards at slot p div shards. So any row's shard and slot can be computed from its
 number alone, and shard sizes differ by one row at most (law "rows").
 
 Defined results: null keys rank first; a null text has no bytes (size 1, checksum 0); repeated rows get numbers one
-after the other and are interchangeable; a text of any length counts by its size and checksum alone; keys are numbers,
-dates or timestamps ranked by value, or of another type ranked by it, the ranges then cut by hash; an empty table gives an
-empty result; other columns, whatever their names, are ignored.
+after the other and are interchangeable; a text of any length counts by its size and checksum alone; an empty table gives
+an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Quantiles that cut the key range into ranges ranked on their own. They move work between tasks, never ranks.
 RANGES = 1024
@@ -110,7 +110,11 @@ def feistel_shards(docs: DataFrame, shards: int, seed: int = 20240229, key: str
     """Deal all rows of docs into shards. Returns key, size, text_crc32, law, shard, slot, grown_shard (null: law rows), row_number."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    numbered, n = row_numbers(rows, key, ["text_crc32", "size"], "text_crc32")
+    if isinstance(rows.schema[0].dataType, IntegralType):
+        numbered, n = row_numbers(rows, key, ["text_crc32", "size"], "text_crc32")
+    else:
+        hashed = rows.withColumn("_hash", F.when(F.col(key).isNotNull(), F.xxhash64(key)))
+        numbered, n = row_numbers(hashed, "_hash", ["text_crc32", "size", key], "text_crc32")
     placed = numbered.withColumn("_position", permuted(F.col("row_number"), n, seed))
     return placed.select(
         key,
