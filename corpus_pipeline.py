@@ -1,10 +1,16 @@
 """The training-data pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last return the columns of documents.
+Stages take (spark, docs, sf_dir) and return a DataFrame. All but the last return the columns of documents, whatever
+further ones there are, unchanged but for what their docstrings say.
+
+Defined results of all stages: a null text counts as an empty one, and stays null in what passes; null and repeated ids
+pass like others, row by row; very long texts are handled whole; other columns may have any name; an empty table gives an
+empty result; of ties the stage's operator says which row counts first.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,21 +19,22 @@ from pyspark.sql import functions as F
 
 from twinspan.llm import decontamination, packing, quality, secrets, simhash
 from twinspan.llm.batches import fresh
-from twinspan.operators.storage import materialise
+from twinspan.operators.storage import drop_path, intermediates, materialise_at, new_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts. Rows that share an id are scored each; without labels all pass."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
+    """One document of each group of near duplicates: the one with the smallest id, a null id counting as the largest; of
+    rows that share it the one with the smallest checksum, once. Texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark passages do not contaminate."""
+    """Documents that benchmark passages do not contaminate. With an empty benchmark, and without words, all pass."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,7 +48,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents packed into sequences."""
+    """Pieces of the documents packed into sequences; an empty text is a piece of one token."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -58,8 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents. Of the tables written on the way only the last stage's is left."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        after = new_path(spark, f"stage-{name}")
+        with intermediates(spark, f"within-{name}-{uuid.uuid4().hex}"):
+            docs = materialise_at(stage(spark, docs, sf_dir), after)
+        if path:
+            drop_path(spark, path)
+        path = after
     return docs
