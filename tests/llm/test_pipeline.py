@@ -62,11 +62,11 @@ def test_decontamination_stage(spark, steps):
     assert sorted(steps[3]) == sorted(r for r in steps[2] if not contaminated(r.text, items)[-1])
 
 
-def test_secrets_stage(steps):
+def test_secrets_stage(spark, steps):
     before, after = {r.doc_id: r for r in steps[3]}, {r.doc_id: r for r in steps[4]}
     assert before.keys() == after.keys()
     for i, r in before.items():
-        text = secrets.redacted(r.text)
+        text = secrets.redacted(r.text, secrets.own_models(spark))
         assert after[i].text == text and after[i].n_chars == (len(text) if text != r.text else r.n_chars)
         assert not secrets.base_spans(after[i].text)
 
@@ -98,3 +98,13 @@ def test_every_operator_has_a_query():
     names = sorted(queries.queries(), key=lambda n: int(n[2:].split("_")[0]))
     assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_what_a_run_leaves(spark):
+    """Of the tables of a run only the last stage's stays in the shared folder, and a stage needs no n_chars."""
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, SF).count()
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["stage-packing"]
+    docs = spark.createDataFrame([(1, "token = abcdefghijkl", 5)], "doc_id long, text string, _changed int")
+    assert [tuple(r) for r in corpus_pipeline.secrets_stage(spark, docs, SF).collect()] == [(1, "[SECRET]", 5)]
