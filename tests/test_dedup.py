@@ -115,3 +115,28 @@ def test_hot_key_block(spark):
     got = entities(dedup(spark.createDataFrame(rows, PEOPLE), "id", [step(["born"], ["first"], [Comparison("EXACT")])]))
     # only ids with born 1 and one first name meet: five groups, and 1 itself has another name
     assert len(set(got.values())) == 5 + 600
+
+
+def test_no_row_is_lost_or_added(spark):
+    """Null ids, repeated ids, both, and rows equal in all columns: one row out for each row in."""
+    rows = [
+        (None, 1, "a", "b", "c"),
+        (None, 1, "a", "b", "c"),
+        (None, 2, "x", "b", "c"),
+        (7, 1, "a", "b", "c"),
+        (7, 1, "a", "b", "c"),
+        (7, 5, "q", "b", "c"),
+        (8, 1, "a", "b", "c"),
+        (9, 6, "z", "b", "c"),
+        (9, 6, "z", "b", "d"),
+    ]
+    result = dedup(spark.createDataFrame(rows, PEOPLE), "id", [EDITS])
+    out = result.deduped.collect()
+    assert sorted(((r.id, r.born, r["first"], r["last"], r.town) for r in out), key=repr) == sorted(rows, key=repr)
+    assert {r.id: r.ENTITY_ID for r in out if r.id} == {7: 1, 8: 1, 9: 2}
+    assert sorted(r.ENTITY_ID for r in out if r.id is None) == [3, 4, 5]
+    assert {(r.born, r.ENTITY_ID) for r in out if r.id is None and r.born == 2} == {(2, 5)}  # by their other columns
+    assert [(r.LEFT_id, r.RIGHT_id) for r in result.matched.collect()] == [(7, 8)]
+    assert result.totals == {"total_records_linked": 1, "total_entities": 5}
+    ids = spark.createDataFrame([(None,), (1,), (1,)], "id long")
+    assert sorted(map(tuple, dedup(ids, "id", []).deduped.collect()), key=repr) == [(1, 1), (1, 1), (None, 2)]

@@ -53,6 +53,12 @@ def test_without_llm(tmp_path):
     assert said.stdout.split() == [str(len(linkage.queries())), "False", str(len(linkage.oracle_sql()))], said.stderr
 
 
+def test_where_a_library_of_llm_is_missing(tmp_path):
+    code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e; print(len(e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, timeout=120)
+    assert said.stdout.split() == [str(len(linkage.queries()))] and "left out" in said.stderr, said.stderr
+
+
 def test_without_llm_but_with_its_empty_folder(tmp_path):
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinspan.functions import algorithms, comparator, encoder, register
-from twinspan.functions.phonetic import jaro_winkler, nysiis
+from twinspan.functions.phonetic import jaro_winkler, jaro_winkler_all, jaro_winkler_may_reach, jaro_winkler_udf, letters, nysiis
 from twinspan.functions.synonyms import roots, use_synonyms
 from twinspan.functions.text import blank_to_null, fold, py_slice
 
@@ -16,7 +16,8 @@ def compare(spark, name, pairs, kind="string", **args):
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], f"i int, l {kind}, r {kind}")
     left, right = "l", "r"
     if algorithm.prepare:
-        df = algorithm.prepare(algorithm.prepare(df, "l", "pl"), "r", "pr")
+        own = algorithm.checked(args)
+        df = algorithm.prepare(algorithm.prepare(df, "l", "pl", **own), "r", "pr", **own)
         left, right = "pl", "pr"
     applied = algorithm.apply(F.col(left), F.col(right), **args)
     parts = [algorithm.key(F.col(c), **algorithm.checked(args)) for c in (left, right)] if algorithm.key else None
@@ -142,3 +143,41 @@ def test_registry(spark):
     assert compare(spark, "SAME_LENGTH", [("ab", "cd"), ("a", "bc")]) == [True, False]
     assert "SAME_LENGTH" in algorithms("DTR") and "SAME_LENGTH" not in algorithms("TSF")
     assert set(algorithms("TSF")) == {"EXACT", "SOUNDEX", "NYSIIS"}
+
+
+def test_jaro_winkler_of_batches_and_what_may_reach(spark):
+    rng = random.Random(4)
+    alphabets = ["ab", "abcd", "abcdefghij é数🙂"]
+    pairs = []
+    for _ in range(3000):
+        k = rng.choice(alphabets)
+        a = "".join(rng.choice(k) for _ in range(rng.randint(1, 14)))
+        b = a[: rng.randint(1, 14)] + rng.choice(k) if rng.random() < 0.3 else "".join(rng.choice(k) for _ in range(rng.randint(1, 14)))
+        pairs.append((a, b))
+    want = [jaro_winkler(a, b) for a, b in pairs]
+    got = jaro_winkler_all(*map(list, zip(*pairs)))
+    assert max(abs(x - y) for x, y in zip(got, want, strict=True)) < 1e-12
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in zip(pairs, want, strict=True)], "a string, b string, s double")
+    left, right = F.col("a"), F.col("b")
+    for t in (0.0, 0.3, 0.6, 0.7, 0.8, 0.9, 1.0):
+        may = jaro_winkler_may_reach(left, right, letters(left), letters(right), t)
+        assert df.where((F.col("s") >= t) & ~may).count() == 0
+    odd = spark.createDataFrame([("", "", 0.0), ("", "a", 0.0), (None, "a", None), ("x" * 100, "x" * 99 + "y", jaro_winkler("x" * 100, "x" * 99 + "y"))], "a string, b string, s double")
+    assert [r.g for r in odd.select(jaro_winkler_udf()("a", "b").alias("g")).collect()] == [r.s for r in odd.collect()]
+
+
+def test_synonyms_need_a_table(spark):
+    use_synonyms(None)
+    with pytest.raises(ValueError, match="SYNONYMS needs a table"):
+        compare(spark, "SYNONYMS", [("a", "b")])
+    assert compare(spark, "SYNONYMS", [("Bob", "robert"), ("Bill", "WILL"), ("Bob", "Bill"), (None, "")], table="builtin") == [True, True, False, True]
+
+
+def test_soundex_in_sql_is_the_encoder_s(spark):
+    from twinspan.plans.sql import register_functions
+
+    register_functions(spark)
+    df = spark.createDataFrame([(x,) for x in ("Émile", "emil", "Ångström", "O'Neil", "", None, "Łódź", "数")], "x string")
+    df.createOrReplaceTempView("soundex_names")
+    rows = spark.sql("SELECT x, soundex_encode(x) AS s FROM soundex_names").select("s", encoder("SOUNDEX").apply(F.col("x")).alias("e")).collect()
+    assert [r.s for r in rows] == [r.e for r in rows]

@@ -99,3 +99,14 @@ def test_different_column_names(spark):
 def test_unknown_relationship(spark):
     with pytest.raises(ValueError):
         run(spark, "1TN")
+
+
+def test_rows_without_index_or_entity(spark):
+    """They are in no link, are not lost, and stop nothing."""
+    left = spark.createDataFrame([(1, 10, "k"), (None, 11, "k"), (3, None, "m")], "id long, ent long, k string")
+    right = spark.createDataFrame([(5, 50, "k"), (None, 51, "k"), (6, 60, "m")], "id long, ent long, k string")
+    step = Step(1, ("k",), ("k",), (Comparison("EXACT"),))
+    r = link(left, right, "id", "id", "ent", "ent", [step], "1T1", "none")
+    assert [(x.LEFT_id, x.RIGHT_id, x.LINK_ID) for x in r.linked.collect()] == [(1, 5, 1)]
+    assert sorted((x.id for x in r.unlinked_left.collect()), key=str) == [3, None]
+    assert sorted((x.id for x in r.unlinked_right.collect()), key=str) == [6, None]

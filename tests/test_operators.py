@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinspan.operators.components import connected_components
+from twinspan.operators.components import connected_components, contracted
 from twinspan.operators.frequency import agreement, top_values, u_values, value_counts
 from twinspan.operators.ids import numbered
+from twinspan.operators.rows import ids_except, paired_ids, rows_in, rows_not_in
+from twinspan.operators.storage import intermediates, materialise, shared_dir
 from twinspan.operators.relationship import enforce, unique_partner
 
 
@@ -25,8 +27,8 @@ def plain_components(edges):
     return {x: find(x) for x in root}
 
 
-def components(spark, edges, kind="long"):
-    rows = connected_components(spark.createDataFrame(edges, f"a {kind}, b {kind}"), "a", "b").collect()
+def components(spark, edges, kind="long", **more):
+    rows = connected_components(spark.createDataFrame(edges, f"a {kind}, b {kind}"), "a", "b", **more).collect()
     assert len(rows) == len({r.node for r in rows})
     return {r.node: r.component for r in rows}
 
@@ -50,6 +52,30 @@ def test_components_of_hard_shapes(spark):
     assert components(spark, edges[::-1] + [(b, a) for a, b in edges]) == plain_components(edges)
 
 
+def test_components_by_rounds_alone_and_with_hubs(spark):
+    """Edges that no task contracts need the rounds; a low bound makes hubs of ordinary nodes."""
+    rng = random.Random(12)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, i) for i in range(101, 130)] + [(i, i + 1) for i in range(200, 225)]
+    want = plain_components(edges)
+    assert components(spark, edges, at_once=1) == want
+    assert components(spark, edges, at_once=1, hub_rows=3) == want
+    assert components(spark, edges, at_once=7) == want
+
+
+def test_contraction_keeps_components(spark):
+    rng = random.Random(3)
+    for n in (1, 5, 300):
+        pairs = {(max(a, b), min(a, b)) for a, b in ((rng.randrange(n + 1), rng.randrange(n + 1)) for _ in range(n)) if a != b}
+        edges = spark.createDataFrame(sorted(pairs), "u long, v long").coalesce(1)
+        left = [(r.u, r.v) for r in contracted(edges).collect()]
+        assert plain_components(left) == plain_components(list(pairs)) and all(u > v for u, v in left)
+        assert len(left) == len(plain_components(list(pairs))) - len(set(plain_components(list(pairs)).values()))
+    dates = spark.sql("SELECT date'2020-01-02' AS u, date'2020-01-01' AS v UNION ALL SELECT date'2020-01-03', date'2020-01-02'")
+    assert contracted(dates.coalesce(1)).count() == 2
+    odd = spark.sql("SELECT 2.5D AS u, 1.5D AS v")
+    assert contracted(odd) is odd
+
+
 def test_components_of_strings_nulls_and_nothing(spark):
     assert components(spark, [("b", "a"), ("c", "b"), ("x", "x"), (None, "q"), ("z", None)], "string") == {"a": "a", "b": "a", "c": "a"}
     assert components(spark, []) == {}
@@ -132,3 +158,47 @@ def test_equalities_of_a_step_become_join_keys(spark):
         assert [(r.LEFT_id, r.RIGHT_id) for r in pair_and_match(df, df, near, ["id"], ["id"], ("id", "id")).collect()] == [(1, 2)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_by_ids(spark):
+    records = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "id int, x string")
+    ids = spark.createDataFrame([(2,), (2,), (None,), (9,)], "id int")
+    assert sorted(r.x for r in rows_in(records, ids, "id").collect()) == ["b", "c"]
+    assert sorted(r.x for r in rows_not_in(records, ids, "id").collect()) == ["a", "d"]
+    assert sorted((r.id is None, r.id) for r in ids_except(records, ids, "id").collect()) == [(False, 1), (True, None)]
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (None, 3)], "l int, r int")
+    assert sorted(r.id for r in paired_ids(pairs, "l", "r", "id").collect()) == [1, 2, 3]
+
+
+def test_numbering_of_many_equal_values(spark):
+    """Half of all rows share a null; they are dealt over several partitions and numbered without gaps."""
+    df = spark.createDataFrame([(None if i % 2 else i, i) for i in range(2000)], "k int, v int")
+    rows = numbered(df, ["k"], "n", 5).collect()
+    assert sorted(r.n for r in rows) == list(range(6, 2006))
+    assert {r.n for r in rows if r.k is None} == set(range(6, 1006))
+    assert [r.k for r in sorted(rows, key=lambda r: r.n) if r.k is not None] == list(range(0, 2000, 2))
+
+
+def test_intermediates_are_deleted(spark):
+    import os
+
+    df = spark.range(3)
+    with intermediates(spark, "some-run") as folder:
+        kept = materialise(df, "x")
+        assert kept.count() == 3 and os.listdir(folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://"))
+    assert materialise(df, "x").count() == 3  # elsewhere again
+    with pytest.raises(ZeroDivisionError):
+        with intermediates(spark, "other-run") as folder:
+            materialise(df, "x")
+            1 / 0
+    assert not os.path.exists(folder.removeprefix("file://"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"), conf=conf)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)

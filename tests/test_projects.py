@@ -10,10 +10,11 @@ import pytest
 from twinspan.plans import catalog
 from twinspan.plans.options import Options, read_options
 from twinspan.plans.report import as_frame, as_html, as_json
-from twinspan.plans.runner import execute_project, run_project
+from twinspan.functions.synonyms import use_synonyms
+from twinspan.plans.runner import execute_project, run_project, run_task
 from twinspan.plans.spec import project_from, read_project
 from twinspan.plans.validate import MESSAGES, ValidationError, validate
-from twinspan.sources.tables import read_dataset
+from twinspan.sources.tables import read_dataset, write_table
 from twinspan.plans.spec import Dataset
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -64,26 +65,28 @@ def link_project(folder):
 
 
 def test_dedup_project(spark, tmp_path):
-    report = execute_project(spark, dedup_project(tmp_path))
-    assert report == f"{tmp_path}/out/people_summary.html"
-    rows = spark.read.option("header", True).csv(f"{tmp_path}/out/deduped_data")
+    report = execute_project(spark, dedup_project(tmp_path) | {"task_uuid": "run1", "temp_path": f"file://{tmp_path}/temp"})
+    out = f"{tmp_path}/out/run1"
+    assert report == f"{out}/people_summary.html" and os.listdir(f"{tmp_path}/temp") == []
+    rows = spark.read.option("header", True).csv(f"{out}/deduped_data")
+    assert [r.REC_ID for r in rows.coalesce(1).collect()] == ["r1", "r2", "r3", "r4"]
     assert rows.columns == ["REC_ID", "ENTITY_ID", "BORN", "FIRST", "LAST", "NOTE"]
     got = {r.REC_ID: (r.ENTITY_ID, r.LAST, r.NOTE) for r in rows.collect()}
     assert {k: v[0] for k, v in got.items()} == {"r1": "1", "r2": "1", "r3": "2", "r4": "3"}
     assert got["r1"][2] == "a, b" and got["r2"][2] == "NA" and got["r3"][2] is None
-    matched = spark.read.option("header", True).csv(f"{tmp_path}/out/dedup_matched").collect()
+    matched = spark.read.option("header", True).csv(f"{out}/dedup_matched").collect()
     assert [(r.LEFT_REC_ID, r.RIGHT_REC_ID, r.ENTITY_ID, r.STEP) for r in matched] == [("r1", "r2", "1", "1")]
-    page, data = open(report).read(), json.load(open(f"{tmp_path}/out/people_summary.json"))
+    page, data = open(report).read(), json.load(open(f"{out}/people_summary.json"))
     assert "<h1>people</h1>" in page and data["total_entities"] == 3 and data["steps"][0]["total_records_linked"] == 1
 
 
 def test_link_project(spark, tmp_path):
-    execute_project(spark, link_project(tmp_path), Options(format="parquet"))
-    out = spark.read.parquet(f"{tmp_path}/out/linked_data").collect()
+    execute_project(spark, link_project(tmp_path) | {"task_uuid": "run2"}, Options(format="parquet"))
+    out = spark.read.parquet(f"{tmp_path}/out/run2/linked_data").collect()
     assert [(r.LEFT_id, r.RIGHT_id, r.LINK_ID) for r in out] == [(1, 5, 1)]
-    assert [r.id for r in spark.read.parquet(f"{tmp_path}/out/unlinked_left").collect()] == [2]
-    assert [r.id for r in spark.read.parquet(f"{tmp_path}/out/unlinked_right").collect()] == [6]
-    assert spark.read.parquet(f"{tmp_path}/out/matched_not_linked_data").count() == 0
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/out/run2/unlinked_left").collect()] == [2]
+    assert [r.id for r in spark.read.parquet(f"{tmp_path}/out/run2/unlinked_right").collect()] == [6]
+    assert spark.read.parquet(f"{tmp_path}/out/run2/matched_not_linked_data").count() == 0
 
 
 def test_report_forms(spark, tmp_path):
@@ -163,8 +166,8 @@ def test_reading(spark, tmp_path):
 
 def test_options(spark, tmp_path):
     path = tmp_path / "run.ini"
-    path.write_text("[other]\nx = 1\n[twinspan]\nformat = parquet\norder = entity\nna_values = NA, -\ncheck_ids = no\n")
-    assert read_options(str(path)) == Options("parquet", "entity", "right", ("NA", "-"), False)
+    path.write_text("[other]\nx = 1\n[twinspan]\nformat = parquet\norder = entity\nna_values = NA, -\ncheck_ids = no\nsynonyms = builtin\nmulti_line = no\n")
+    assert read_options(str(path)) == Options("parquet", "entity", "right", ("NA", "-"), False, "builtin", False)
     path.write_text("[other]\nx = 1\n")
     assert read_options(str(path)) == Options()
     path.write_text("[twinspan]\nchunk = 1\n")
@@ -172,8 +175,81 @@ def test_options(spark, tmp_path):
         read_options(str(path))
     with pytest.raises(ValueError):
         Options(order="random")
-    execute_project(spark, dedup_project(tmp_path), Options(format="parquet", order="entity"))
-    assert [r.ENTITY_ID for r in spark.read.parquet(f"{tmp_path}/out/deduped_data").coalesce(1).collect()] == [1, 1, 2, 3]
+    execute_project(spark, dedup_project(tmp_path) | {"task_uuid": "run3"}, Options(format="parquet", order="entity"))
+    assert [r.ENTITY_ID for r in spark.read.parquet(f"{tmp_path}/out/run3/deduped_data").coalesce(1).collect()] == [1, 1, 2, 3]
+
+
+def test_csv_as_the_standard_has_it(spark, tmp_path):
+    path = f"{tmp_path}/quoted.csv"
+    with open(path, "w", newline="") as f:
+        f.write('id,name,n\n1,"Anna ""Ann"" Berg",5\n2,"two\nlines, and a comma",\n3,"",7\n4, lead,8\n')
+    types = {"id": "INTEGER", "name": "VARCHAR", "n": "INTEGER"}
+    rows = read_dataset(spark, Dataset("q", path, "id", data_types=types), [*types])
+    assert [tuple(r) for r in rows.collect()][:2] == [(1, 'Anna "Ann" Berg', 5), (2, "two\nlines, and a comma", None)]
+    assert [r.n for r in read_dataset(spark, Dataset("q", path, "id"), ["id", "n"]).collect()] == [5, None, 7, 8]
+    hard = [(1, 'a "b" c'), (2, "x\ny"), (3, "x\r\ny"), (4, ","), (5, '"'), (6, "tail "), (7, None), (8, "\\"), (9, 'back\\"slash'), (10, "é🙂")]
+    written = write_table(spark.createDataFrame(hard, "id long, t string"), f"{tmp_path}/out_csv")
+    back = read_dataset(spark, Dataset("w", written, "id", data_types={"id": "INTEGER", "t": "VARCHAR"}), ["id", "t"])
+    assert sorted(map(tuple, back.collect())) == hard
+
+
+def test_wrong_values_and_rows_are_errors(spark, tmp_path):
+    path = f"{tmp_path}/bad.csv"
+    types = {"id": "INTEGER", "x": "REAL", "b": "BOOLEAN"}
+    for body, what in (("1,2.5,true\nx2,1,true\n", "column id: not of type INTEGER: x2"), ("1,a,true\n", "column x"), ("1,1,maybe\n", "column b"), ("1,2,true,more\n", "more fields than the header")):
+        with open(path, "w") as f:
+            f.write("id,x,b\n" + body)
+        with pytest.raises(Exception, match=what):
+            read_dataset(spark, Dataset("b", path, "id", data_types=types), [*types]).collect()
+    with open(path, "w") as f:
+        f.write("id,x,b\n1, ,\n2\n3,NA,true\n")
+    rows = read_dataset(spark, Dataset("b", path, "id", data_types=types), [*types], na_values=("NA",))
+    assert sorted(map(tuple, rows.collect())) == [(1, None, None), (2, None, None), (3, None, True)]
+
+
+def test_rows_keep_the_order_of_their_file(spark, tmp_path):
+    project = dedup_project(tmp_path) | {"task_uuid": "order"}
+    lines = [f"r{i},19{i % 90:02},N{i},Berg ,x" for i in (7, 3, 9, 1, 8, 2, 6)]
+    with open(f"{tmp_path}/people.csv", "w") as f:
+        f.write("REC_ID, BORN,FIRST,LAST,NOTE\n" + "\n".join(lines) + "\n")
+    for order, want in (("input", [7, 3, 9, 1, 8, 2, 6]), ("index", [1, 2, 3, 6, 7, 8, 9])):
+        execute_project(spark, project, Options(order=order))
+        out = spark.read.option("header", True).csv(f"{tmp_path}/out/order/deduped_data")
+        assert [r.REC_ID for r in out.coalesce(1).collect()] == [f"r{i}" for i in want] and "_place" not in out.columns
+
+
+def synonym_project(folder, **more):
+    project = dedup_project(folder) | more
+    with open(f"{folder}/people.csv", "w") as f:
+        f.write("REC_ID,BORN,FIRST,LAST,NOTE\nr1,1980,Bob,Berg,\nr2,1980,Robert,Berg,\nr3,1980,Lizzie,Berg,\nr4,1980,Beth,Berg,\n")
+    project["steps"][0]["linking_schema"]["comparisons"] = [{"name": "SYNONYMS"}]
+    return project
+
+
+def test_synonyms_of_a_project(spark, tmp_path):
+    use_synonyms(None)
+    with open(f"{tmp_path}/names.csv", "w") as f:
+        f.write("a,b\nlizzie,elizabeth\nBETH,Elizabeth\n")
+    entities = lambda run: {r.REC_ID: r.ENTITY_ID for r in run.result.deduped.collect()}
+    with pytest.raises(ValidationError) as error:
+        run_project(spark, synonym_project(tmp_path))
+    assert error.value.codes == ["SYNONYMS_MISSING"]
+    own = synonym_project(tmp_path, synonyms=f"{tmp_path}/names.csv")
+    assert entities(run_project(spark, own)) == {"r3": 1, "r4": 1, "r1": 2, "r2": 3}
+    assert entities(run_project(spark, synonym_project(tmp_path), Options(synonyms="builtin"))) == {"r1": 1, "r2": 1, "r3": 2, "r4": 3}
+    assert entities(run_project(spark, own, Options(synonyms="builtin"))) == {"r3": 1, "r4": 1, "r1": 2, "r2": 3}  # the project's own comes first
+
+
+def test_project_as_a_task(spark, tmp_path):
+    done = run_task(spark, dedup_project(tmp_path))
+    assert done["status"] == "done" and os.path.exists(done["report"]) and done["run_id"] in done["report"]
+    assert json.load(open(done["report"].replace(".html", ".json")))["run_id"] == done["run_id"]
+    assert run_task(spark, {}) | {"run_id": 0} == {"run_id": 0, "status": "failed", "report": None, "errors": ["NO_PROJECT"]}
+    project = dedup_project(tmp_path)
+    with open(f"{tmp_path}/people.csv", "a") as f:
+        f.write("r9,1999,Eva,Lie,x,y,z\n")
+    failed = run_task(spark, project)
+    assert failed["status"] == "failed" and "more fields" in failed["errors"][0]
 
 
 def test_repeated_ids_are_refused(spark, tmp_path):
@@ -226,5 +302,11 @@ def test_command_line(tmp_path):
     env = os.environ | {"PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": "--master local[2] --conf spark.ui.enabled=false --conf spark.sql.shuffle.partitions=2 pyspark-shell"}
     done = subprocess.run([sys.executable, "-m", "twinspan", "-p", str(project)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
     assert done.returncode == 0, done.stderr[-2000:]
-    assert done.stdout.strip().endswith("people_summary.html") and os.path.exists(f"{tmp_path}/out/people_summary.html")
+    assert done.stdout.strip().endswith("people_summary.html") and os.path.exists(done.stdout.strip())
+    project.write_text(json.dumps(synonym_project(tmp_path)))
+    run = lambda *more: subprocess.run([sys.executable, "-m", "twinspan", "-p", str(project), *more], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    without = run()
+    assert without.returncode != 0 and "no table of synonyms is named" in without.stderr
+    done = run("--synonyms", "builtin")
+    assert json.load(open(done.stdout.strip().replace(".html", ".json")))["total_entities"] == 3, done.stderr[-2000:]
     assert subprocess.run([sys.executable, "-m", "twinspan"], cwd=tmp_path, env=env, capture_output=True, timeout=120).returncode == 2
