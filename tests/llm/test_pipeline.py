@@ -1,9 +1,12 @@
+import os
+
 import pytest
 
 import corpus_pipeline
 from tests.llm.cases import ROWS, odd_docs, no_docs
 from tests.llm.test_decontamination import by_hand as contaminated
 from tests.llm.test_simhash import fingerprint
+from twinspan.operators.storage import shared_dir
 from twinspan.llm import quality, queries, secrets
 
 SF = "/root/testdata/sf0.001"
