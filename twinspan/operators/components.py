@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DateType, DecimalType, IntegralType, StringType, TimestampType
@@ -60,10 +61,14 @@ def contracted(edges: DataFrame, at_once: int = CONTRACTED) -> DataFrame:
         def done() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
             both = pa.chunked_array([*table["u"].chunks, *table["v"].chunks]).combine_chunks().dictionary_encode()
-            codes = np.asarray(both.indices)
-            root = _stars(codes[:size], codes[size:], len(both.dictionary))
+            order = pc.sort_indices(both.dictionary)
+            rank = np.empty(len(order), np.int64)
+            rank[order.to_numpy()] = np.arange(len(order))
+            # nodes by rank, so a star's root is its smallest node, as the rounds want it
+            nodes, codes = both.dictionary.take(order), rank[np.asarray(both.indices)]
+            root = _stars(codes[:size], codes[size:], len(nodes))
             moved = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(moved)), both.dictionary.take(pa.array(root[moved]))], ["u", "v"])
+            return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
 
         for batch in batches:
             held.append(batch)
