@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.functions import encoder
+from twinspan.functions import encoder, register
 from twinspan.functions.synonyms import use_synonyms
 from twinspan.functions.text import blank_to_null, py_slice
 from twinspan.operators.blocking import keyed, pair
@@ -22,11 +22,13 @@ from twinspan.operators.relationship import enforce, unique_partner
 from twinspan.operators.rows import id_column, ids_except, paired_ids, rows_in, rows_not_in
 from twinspan.operators.storage import new_path
 from twinspan.plans import catalog
+from twinspan.plans.options import Options
 from twinspan.plans.report import as_frame, summary
-from twinspan.plans.spec import Comparison, Dataset, Project, Step
-from twinspan.plans.runner import duplicate_ids
+from twinspan.plans.spec import Comparison, Dataset, Project, Step, project_from
+from twinspan.plans.runner import duplicate_ids, execute_project, run_task
 from twinspan.plans.sql import entities, matched_table, register_functions, self_match
-from twinspan.sources.tables import read_dataset, write_table
+from twinspan.plans.validate import ValidationError, validate
+from twinspan.sources.tables import columns_of, read_dataset, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -693,6 +695,169 @@ def summary_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_frame(spark, summary(project, r.stats, r.totals))
 
 
+# --- projects in their JSON form: checked, run, written to files and read back
+
+
+def _step_object(left: list[str], right: list[str], fields: list[str], right_fields: list[str], threshold: int, group: bool) -> dict:
+    return {
+        "seq": 1,
+        "group": group,
+        "linking_method": "DTR",
+        "blocking_schema": {"left": left, "right": right, "transformations": ["EXACT"] * len(left)},
+        "linking_schema": {"left": fields, "right": right_fields, "comparisons": [{"name": "ABS_DIFF", "args": {"threshold": threshold}}]},
+    }
+
+
+def _dedup_object(dataset: dict) -> dict:
+    """The project of _FLAG."""
+    return {"name": "parts", "type": "DEDUP", "datasets": [{"name": "PART", "index_field": "p_partkey"} | dataset], "steps": [_step_object(["p_name", "p_brand"], [], ["p_size"], [], 2, True)]}
+
+
+def _link_object(left: dict, right: dict) -> dict:
+    """The project of _LINK_1."""
+    return {
+        "name": "balances",
+        "type": "LINK",
+        "relationship_type": "1T1",
+        "datasets": [{"name": "CUSTOMER", "index_field": "c_custkey", "entity_field": "c_entity"} | left, {"name": "SUPPLIER", "index_field": "s_suppkey", "entity_field": "s_entity"} | right],
+        "steps": [_step_object(["c_nationkey"], ["s_nationkey"], ["c_acctbal"], ["s_acctbal"], 50, False)],
+    }
+
+
+def _executed(spark: SparkSession, project: dict, options: Options) -> str:
+    """The folder of a run's results."""
+    return execute_project(spark, project | {"output_root": new_path(spark, "projects")}, options).rsplit("/", 1)[0]
+
+
+def _link_executed(spark: SparkSession, sf_dir: str) -> str:
+    """Both tables are written as CSV first, and read with declared types."""
+    sides = []
+    for table, initial, key in (("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey")):
+        rows = _table(spark, sf_dir, table).select(key, f"{initial}_nationkey", f"{initial}_acctbal", F.floor(F.col(key) / 3).alias(f"{initial}_entity"))
+        types = {key: "INTEGER", f"{initial}_nationkey": "INTEGER", f"{initial}_acctbal": "REAL", f"{initial}_entity": "INTEGER"}
+        sides.append({"url": write_table(rows, new_path(spark, "csv")), "format": "CSV", "data_types": types})
+    return _executed(spark, _link_object(*sides), Options(format="parquet", mates="none"))
+
+
+@_query("project_dedup", f'{_entities_sql(_FLAG_PAIRS)} SELECT p_partkey, entity_id AS "ENTITY_ID", p_name, p_brand, p_size FROM part JOIN entities ON p_partkey = id')
+def project_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project = _dedup_object({"url": f"{sf_dir}/part.parquet", "format": "PARQUET"})
+    return spark.read.parquet(f"{_executed(spark, project, Options(format='parquet', order='entity'))}/deduped_data")
+
+
+def _placed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """p_partkey and the place of its row in the files of a result."""
+    data = Dataset("result", f"{folder}/{name}", "p_partkey", format="PARQUET")
+    return numbered(read_dataset(spark, data, ["p_partkey"], position="_at"), ["_at"], "place").select("p_partkey", "place")
+
+
+@_query("project_order_input", "SELECT p_partkey, row_number() OVER (ORDER BY p_type, p_size, p_partkey) AS place FROM part")
+def project_order_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """De-duplicated records stand in the order of their CSV files."""
+    path = write_table(_table(spark, sf_dir, "part"), new_path(spark, "csv"), order=["p_type", "p_size", "p_partkey"])
+    project = _dedup_object({"url": path, "format": "CSV", "data_types": {"p_partkey": "INTEGER", "p_name": "VARCHAR", "p_brand": "VARCHAR", "p_type": "VARCHAR", "p_size": "INTEGER", "p_retailprice": "REAL"}})
+    return _placed(spark, _executed(spark, project, Options(format="parquet")), "deduped_data")
+
+
+@_query("project_order_entity", f"{_entities_sql(_FLAG_PAIRS)} SELECT id AS p_partkey, row_number() OVER (ORDER BY entity_id, id) AS place FROM entities")
+def project_order_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    project = _dedup_object({"url": f"{sf_dir}/part.parquet", "format": "PARQUET"})
+    return _placed(spark, _executed(spark, project, Options(format="parquet", order="entity")), "deduped_data")
+
+
+@_query(
+    "project_link",
+    f'{_linked_sql("1T1")} SELECT l AS "LEFT_c_custkey", c.c_nationkey::BIGINT AS c_nationkey, c.c_acctbal, k.le AS "LEFT_c_entity", step AS "STEP", r AS "RIGHT_s_suppkey", s.s_nationkey::BIGINT AS s_nationkey, s.s_acctbal, k.re AS "RIGHT_s_entity", link_id AS "LINK_ID" '
+    "FROM k JOIN ids ON k.le = ids.le AND k.re = ids.re JOIN c ON c_custkey = l JOIN s ON s_suppkey = r",
+)
+def project_link(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_link_executed(spark, sf_dir)}/linked_data")
+
+
+@_query(
+    "project_link_rest",
+    f"{_linked_sql('1T1')} SELECT 'matched_not_linked_data' AS file, l, r FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.l = m.l AND k.r = m.r) "
+    "UNION ALL SELECT 'unlinked_left', c_custkey, NULL FROM c WHERE c_entity NOT IN (SELECT le FROM k) UNION ALL SELECT 'unlinked_right', NULL, s_suppkey FROM s WHERE s_entity NOT IN (SELECT re FROM k)",
+)
+def project_link_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, none = _link_executed(spark, sf_dir), F.lit(None).cast("long")
+    found = None
+    for file, left, right in (("matched_not_linked_data", F.col("LEFT_c_custkey"), F.col("RIGHT_s_suppkey")), ("unlinked_left", F.col("c_custkey"), none), ("unlinked_right", none, F.col("s_suppkey"))):
+        rows = spark.read.parquet(f"{folder}/{file}").select(F.lit(file).alias("file"), left.alias("l"), right.alias("r"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@_query("project_columns", "SELECT * FROM (VALUES ('customer', 0, 'c_custkey'), ('customer', 1, 'c_entity'), ('customer', 2, 'c_nationkey'), ('customer', 3, 'c_acctbal'), ('supplier', 0, 's_suppkey'), ('supplier', 1, 's_entity'), ('supplier', 2, 's_nationkey'), ('supplier', 3, 's_acctbal')) AS x(side, place, name)")
+def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a project reads of each dataset."""
+    project = project_from(_link_object({}, {}))
+    return spark.createDataFrame([(side, i, c) for place, side in enumerate(("customer", "supplier")) for i, c in enumerate(project.used_columns(place))], "side string, place int, name string")
+
+
+@_query("project_description", "SELECT 'balances' AS name, 'LINK' AS type, 'One to one' AS relationship_type, 'Deterministic' AS linking_method, 'c_nationkey' AS block_left, 's_nationkey' AS block_right, 'EXACT' AS transformation, 'c_acctbal' AS link_left, 's_acctbal' AS link_right, 'ABS_DIFF' AS comparison, '50' AS threshold")
+def project_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A project's description, as fields."""
+    said = spark.createDataFrame([(project_from(_link_object({}, {})).describe(),)], "said string")
+    at = lambda path, name: F.get_json_object("said", path).alias(name)
+    fields = [at(f"$.{n}", n) for n in ("name", "type", "relationship_type")] + [at("$.steps[0].linking_method", "linking_method")]
+    fields += [at(f"$.steps[0].blocking[0].{n}", alias) for n, alias in (("left", "block_left"), ("right", "block_right"), ("transformation", "transformation"))]
+    fields += [at(f"$.steps[0].linking[0].{n}", alias) for n, alias in (("left", "link_left"), ("right", "link_right"), ("comparison", "comparison"), ("args.threshold", "threshold"))]
+    return said.select(*fields)
+
+
+@_query(
+    "project_faults",
+    "SELECT * FROM (VALUES ('none', 'NO_PROJECT'), ('bare', 'NAME_MISSING'), ('bare', 'TYPE_MISSING'), ('bare', 'OUT_PATH_MISSING'), ('bare', 'DATASET_MISSING'), ('bare', 'NO_STEPS'), "
+    "('type', 'INVALID_TYPE'), ('relationship', 'INVALID_RELATIONSHIP'), ('datasets', 'INDEX_MISSING'), ('datasets', 'ENTITY_ID_MISSING'), ('datasets', 'FILEPATH_MISSING'), "
+    "('step', 'NO_BLOCKING'), ('step', 'NO_LINKING'), ('step', 'NO_LINKING_METHOD'), ('index', 'INVALID_INDEX'), ('entity', 'INVALID_ENTITY_FIELD'), ('path', 'INVALID_PATH')) AS x(fault, code)",
+)
+def project_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The codes of wrong projects."""
+    left, right = {"url": f"{sf_dir}/customer.parquet", "format": "PARQUET", "entity_field": "c_nationkey"}, {"url": f"{sf_dir}/supplier.parquet", "format": "PARQUET", "entity_field": "s_nationkey"}
+    good = _link_object(left, right) | {"output_root": "unused"}
+    wrong = {
+        "good": good,
+        "none": {},
+        "bare": {"comments": "x"},
+        "type": good | {"type": "JOIN"},
+        "relationship": good | {"relationship_type": "NTN"},
+        "datasets": good | {"datasets": [{}, {}]},
+        "step": good | {"steps": [{}]},
+        "index": _link_object(left | {"index_field": "nowhere"}, right) | {"output_root": "unused"},
+        "entity": _link_object(left, right | {"entity_field": "nowhere"}) | {"output_root": "unused"},
+        "path": _link_object(left | {"url": f"{sf_dir}/nowhere.parquet"}, right) | {"output_root": "unused"},
+    }
+    rows = []
+    for fault, project in wrong.items():
+        try:
+            validate(project, lambda d: columns_of(spark, d["url"], d["format"]))
+        except ValidationError as error:
+            rows += [(fault, code) for code in error.codes]
+    return spark.createDataFrame(rows, "fault string, code string")
+
+
+@_query("project_task", "SELECT * FROM (VALUES ('good', 'done', NULL), ('no steps', 'failed', 'NO_STEPS')) AS x(project, status, error)")
+def project_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a job queue is told of its tasks."""
+    good = _dedup_object({"url": f"{sf_dir}/part.parquet", "format": "PARQUET"}) | {"output_root": new_path(spark, "projects")}
+    told = {name: run_task(spark, project, Options(format="parquet")) for name, project in (("good", good), ("no steps", good | {"steps": []}))}
+    return spark.createDataFrame([(name, t["status"], ",".join(t["errors"]) or None) for name, t in told.items()], "project string, status string, error string")
+
+
+@_query("source_header", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM part)")
+def source_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_table(_table(spark, sf_dir, "part"), new_path(spark, "csv"))
+    return spark.createDataFrame([(c,) for c in columns_of(spark, path)], "name string")
+
+
+@_query("plugin_comparator", f"{_IDS} {_PAIRED} WHERE l.p_size % 5 = r.p_size % 5")
+def plugin_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparator that is registered from outside, as plugins do, with an argument and a default."""
+    register("SAME_REST", "Same rest", "DTR", args=("of",), defaults={"of": 2})(lambda left, right, of: left % of == right % of)
+    return _self_match(spark, sf_dir, _step(_BLOCK, ["p_size"], [Comparison("SAME_REST", {"of": 5})]))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
