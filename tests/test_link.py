@@ -110,3 +110,11 @@ def test_rows_without_index_or_entity(spark):
     assert [(x.LEFT_id, x.RIGHT_id, x.LINK_ID) for x in r.linked.collect()] == [(1, 5, 1)]
     assert sorted((x.id for x in r.unlinked_left.collect()), key=str) == [3, None]
     assert sorted((x.id for x in r.unlinked_right.collect()), key=str) == [6, None]
+
+
+def test_rows_that_share_an_index(spark):
+    """Their pairs count once, and each of them is shown."""
+    for left, right, shown in (([LEFT[0], LEFT[0]], [RIGHT[0]], 2), ([LEFT[0]], [RIGHT[0], RIGHT[0]], 2), ([LEFT[0]], [RIGHT[0]], 1)):
+        result = run(spark, "1T1", mates="none", left=left, right=right)
+        assert links(result) == [(1, 11, 1, 1)] * shown
+        assert result.totals == {"total_records_linked": 1, "total_entities": 1}

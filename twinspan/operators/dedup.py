@@ -13,7 +13,7 @@ from .blocking import LEFT, RIGHT
 from .components import connected_components
 from .ids import numbered
 from .matching import earliest, pair_and_match
-from .rows import rows_not_in
+from .rows import id_facts, rows_not_in
 from .storage import materialise
 
 
@@ -51,14 +51,6 @@ def matched_details(records: DataFrame, matched: DataFrame, entities: DataFrame,
     return joined.select(LEFT + index, RIGHT + index, "ENTITY_ID", "STEP", *[f"{c}_LEFT" for c in others], *[f"{c}_RIGHT" for c in others])
 
 
-def _ids_of(records: DataFrame, index: str) -> tuple[int, bool]:
-    """The number of records without an id, and whether an id repeats."""
-    per_id = records.groupBy(F.col(f"`{index}`").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    none = F.col("id").isNull()
-    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(F.when(~none, F.col("n"))).alias("most")).first()
-    return found["none"] or 0, (found["most"] or 0) > 1
-
-
 def _one_row_each(records: DataFrame, index: str) -> DataFrame:
     """Of rows that share an id, the one whose other columns have the smallest hash."""
     others = [F.col(f"`{c}`") for c in records.columns if c != index]
@@ -81,7 +73,7 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
     out of that step; an empty table gives empty results.
     """
     ends = [LEFT + index, RIGHT + index]
-    n_without, repeats = _ids_of(records, index)
+    n_without, repeats = id_facts(records, index)
     known = records.where(F.col(f"`{index}`").isNotNull()) if n_without else records
     single = _one_row_each(known, index) if repeats else known
     rest, pending, entities, details, offset = known, None, None, None, 0

@@ -13,7 +13,7 @@ from .blocking import LEFT, RIGHT
 from .ids import numbered
 from .matching import pair_and_match
 from .relationship import enforce
-from .rows import id_column, rows_not_in
+from .rows import id_column, id_facts, rows_not_in
 from .storage import materialise
 
 
@@ -99,9 +99,13 @@ def link(left_records: DataFrame, right_records: DataFrame, left_index: str, rig
     done, rejected, offset = None, None, 0
     stats: dict[int, dict[str, int]] = {}
     keys = [left.id, right.id, left.ent, right.ent]
+    repeats = any(id_facts(records, index)[1] for records, index in ((left_records, left_index), (right_records, right_index)))
     for step in steps:
         matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity])
-        matched = materialise(matched.select(*keys, "STEP").distinct(), "matched")
+        matched = matched.select(*keys, "STEP")
+        if repeats:  # else each pair of ids comes once
+            matched = matched.distinct()
+        matched = materialise(matched, "matched")
         kept = enforce(matched, relationship, left.ent, right.ent)
         ids = link_ids(kept, left, right, offset).select(F.col(left.ent).alias("_le"), F.col(right.ent).alias("_re"), "LINK_ID")
         same = F.col(left.ent).eqNullSafe(F.col("_le")) & F.col(right.ent).eqNullSafe(F.col("_re"))
