@@ -140,3 +140,11 @@ def test_no_row_is_lost_or_added(spark):
     assert result.totals == {"total_records_linked": 1, "total_entities": 5}
     ids = spark.createDataFrame([(None,), (1,), (1,)], "id long")
     assert sorted(map(tuple, dedup(ids, "id", []).deduped.collect()), key=repr) == [(1, 1), (1, 1), (None, 2)]
+
+
+def test_an_index_that_is_called_like_an_inner_column(spark):
+    people = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (None, "b", "z")], "_code int, k string, _part string")
+    step = Step(1, ("k",), ("k",), (Comparison("EXACT"),))
+    result = dedup(people, "_code", [step])
+    assert sorted(map(tuple, result.deduped.collect()), key=repr) == [(1, 1, "a", "x"), (2, 1, "a", "y"), (None, 2, "b", "z")]
+    assert [tuple(r)[:4] for r in result.matched.collect()] == [(1, 2, 1, 1)]

@@ -202,3 +202,10 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077"), conf=conf)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session)
+
+
+def test_numbering_leaves_columns_of_any_name(spark):
+    names = ["_part", "_tie", "_rank", "_n", "_before", "a b"]
+    df = spark.createDataFrame([(i, *[f"{c}{i}" for c in names]) for i in (3, 1, 2)], ", ".join(["k int", *(f"`{c}` string" for c in names)]))
+    rows = numbered(df, ["k"], "n").collect()
+    assert sorted(map(tuple, rows)) == [(i, *[f"{c}{i}" for c in names], i) for i in (1, 2, 3)]

@@ -30,7 +30,8 @@ def match(pairs: DataFrame, step: Step) -> DataFrame:
     for group in predicates(step):
         if group:
             pairs = pairs.where(reduce(Column.__and__, group))
-    kept = [c for c in pairs.columns if not c.removeprefix(LEFT).removeprefix(RIGHT).startswith("_c")]
+    own = {f"{side}_c{i}" for side in (LEFT, RIGHT) for i in range(len(step.compared()))}
+    kept = [c for c in pairs.columns if c not in own]
     return pairs.select(*[F.col(f"`{c}`") for c in kept], F.lit(step.seq).alias("STEP"))
 
 

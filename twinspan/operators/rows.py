@@ -1,4 +1,7 @@
-"""Rows chosen by ids: semi-join, anti-join, union and difference of id columns. Null ids are in no set of ids."""
+"""Rows chosen by ids: semi-join, anti-join, union and difference of id columns. Null ids are in no set of ids.
+
+And what several operators ask of a table: names it lacks, whether its ids repeat.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_column(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.select(F.col(f"`{column}`").alias(name))
 
