@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from twinspan.operators.rows import fresh as fresh
+
 #: Bytes of text that a worker handles at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -66,14 +68,6 @@ def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it until df has no such column, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 def struct_of(df: DataFrame, keep: list[str], *more: tuple[str, str]) -> StructType:
     """The types of the kept columns, all nullable, and more columns of (name, type)."""
     out = StructType([StructField(n, df.schema[n].dataType, True) for n in keep])

@@ -1,8 +1,8 @@
 """Reproducible sharding: a Feistel permutation of global row numbers, without Python on the executors.
 
-A row's number is its rank by (key, text checksum, size); keys that are no integers are ranked by their hash first. The permutation maps numbers 0..n-1 onto themselves;
-position p lies in shard p mod shards at slot p div shards. So any row's shard and slot can be computed from its
-number alone, and shard sizes differ by one row at most (law "rows").
+A row's number is its rank by (key, text checksum, size); keys that are no integers are ranked by their hash first. The
+permutation maps numbers 0..n-1 onto themselves; position p lies in shard p mod shards at slot p div shards. So any row's
+shard and slot can be computed from its number alone, and shard sizes differ by one row at most (law "rows").
 
 Defined results: null keys rank first; a null text has no bytes (size 1, checksum 0); repeated rows get numbers one
 after the other and are interchangeable; a text of any length counts by its size and checksum alone; an empty table gives

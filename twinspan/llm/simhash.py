@@ -7,7 +7,8 @@ Linked fingerprints are resolved to components by distributed contraction.
 
 Words are runs of bytes other than ASCII white space, A-Z lower-cased; shingles are WORDS words joined by a space,
 repeats included; a text of fewer words is one shingle; a text without words (or null) has fingerprint zero, which links
-like any other. A very long text is hashed whole, COUNTED shingles at a time. A bit is set if it is set in over half of the shingles' XXH64 (seed 42).
+like any other. A very long text is hashed whole, COUNTED shingles at a time. A bit is set if it is set in over half of the
+shingles' XXH64 (seed 42).
 
 Defined results: repeated rows and ids are each kept; a null id never becomes a component id unless all ids of the
 component are null; of equal keys keep_one() keeps the row with the smallest checksum, once; an empty table gives an

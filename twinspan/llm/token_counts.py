@@ -1,10 +1,10 @@
 """Token counts through a digest cache.
 
 The cache is a Parquet table of (content_sha256, n_bytes, n_tokens) in a folder for each tokenizer_sha256, so a run reads
-the counts of its own tokenizer alone. A count is the join of a text's
-digest and the tokenizer file's digest to it. Distinct digests that it lacks are encoded once by the library itself and
-appended, so copies and later runs cost a join. A row of the cache is a fact that cannot change: appending one twice
-(a retried job) does no harm, since readers take one row for each digest.
+the counts of its own tokenizer alone. A count is the join of a text's digest and the tokenizer file's digest to it.
+Distinct digests that it lacks are encoded once by the library itself and appended, so copies and later runs cost a join.
+A row of the cache is a fact that cannot change: appending one twice (a retried job) does no harm, since readers take one
+row for each digest.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows are each returned; null ids are kept; a very long
 text is encoded whole, by itself; a count equal to the limit is not over it; an empty table gives an empty result; other
