@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DataType, StructField, StructType
 
 from twinspan.operators.rows import fresh as fresh
 
@@ -69,8 +69,8 @@ def map_slices(df: DataFrame, column: str, work: Callable[[pa.RecordBatch], pa.R
 
 
 def struct_of(df: DataFrame, keep: list[str], *more: tuple[str, str]) -> StructType:
-    """The types of the kept columns, all nullable, and more columns of (name, type)."""
+    """The types of the kept columns, all nullable, and more columns of (name, type as DDL)."""
     out = StructType([StructField(n, df.schema[n].dataType, True) for n in keep])
     for name, kind in more:
-        out.add(name, kind)
+        out.add(name, DataType.fromDDL(kind))
     return out

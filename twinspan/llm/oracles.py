@@ -60,3 +60,29 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM largest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM largest THEN largest END AS refers_to FROM p
 """
+
+QUALITY_RULES = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM doc WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM windows JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) USING (r, g)),
+repeated AS (SELECT r, count(DISTINCT i + j) AS n FROM (SELECT r, i, unnest(range(0, 5)) AS j FROM twice) GROUP BY r),
+line AS (SELECT r, host, text, unnest(string_split(text, chr(10))) AS l FROM doc),
+shaped AS (
+  SELECT r, host, text, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+    trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS f
+  FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dups AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM shaped GROUP BY r),
+held AS (SELECT host, f, count(DISTINCT text) AS n FROM shaped GROUP BY host, f),
+hosts AS (SELECT host, count(DISTINCT text) AS n FROM doc GROUP BY host),
+frequent AS (SELECT held.host, f FROM held JOIN hosts ON held.host = hosts.host WHERE held.n > 10 AND 100 * held.n > 2 * hosts.n),
+lost AS (SELECT r, sum(shaped.n) AS n FROM shaped JOIN frequent USING (host, f) GROUP BY r),
+base AS (
+  SELECT r, doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dups.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+  FROM doc LEFT JOIN dups USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR (lost > 0 AND (n_words - lost < 10 OR 100 * (n_words - lost) < 50 * n_words))) AS kept
+FROM base
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.storage import materialise, new_path
 
-from . import decontamination, licenses, media, oracles, packing, quality, secrets, sharding, simhash, token_counts, warc
+from . import decontamination, licenses, line_rules, media, oracles, packing, periodic_runs, quality, secrets, sharding, simhash, token_counts, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,43 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").try_cast("long"))  # null where a long cannot hold it
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the checksum of the id ends in 0, the text's words from the a-th on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    split = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("words")).withColumn("n", F.size("words"))
+    placed = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn("rest", F.col("n") - F.col("a"))
+    placed = placed.withColumn("p", 1 + F.floor(F.col("rest") / (3 + F.col("g") % 8)).cast("int"))
+    piece = F.slice("words", F.col("a") + 1, F.col("p"))
+    repeated = F.slice(F.flatten(F.array_repeat(piece, F.ceil(F.col("rest") / F.col("p")).cast("int"))), F.lit(1), F.col("rest"))
+    planted = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), repeated), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_table(spark, sf_dir, "documents"))
+    found = periodic_runs.with_runs(docs).withColumn("best", periodic_runs.strongest())
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(text.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_feistel_sharding": op1_feistel_sharding,
@@ -87,6 +124,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_media_columns": op9_media_columns,
         "op10_license_scans": op10_license_scans,
+        "op11_quality_rules": op11_quality_rules,
+        "op12_whitening": op12_whitening,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
@@ -96,4 +136,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_feistel_sharding": oracles.feistel_sharding(16),
         "op4_decontamination": oracles.DECONTAMINATION,
         "op7_warc": oracles.WARC,
+        "op11_quality_rules": oracles.QUALITY_RULES,
     }
