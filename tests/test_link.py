@@ -118,3 +118,38 @@ def test_rows_that_share_an_index(spark):
         result = run(spark, "1T1", mates="none", left=left, right=right)
         assert links(result) == [(1, 11, 1, 1)] * shown
         assert result.totals == {"total_records_linked": 1, "total_entities": 1}
+
+
+def test_an_index_under_two_entities_is_two_records(spark):
+    left = spark.createDataFrame([(1, "x", "a"), (1, "y", "b")], "id long, ent string, k string")
+    right = spark.createDataFrame([(9, "p", "a"), (9, "q", "b"), (9, "r", "b")], "id long, ent string, k string")
+    step = Step(1, ("k",), ("k",), (Comparison("EXACT"),))
+    for mates in ("none", "right", "both"):
+        r = link(left, right, "id", "id", "ent", "ent", [step], "1T1", mates)
+        assert [(x.LEFT_id, x.LEFT_ent, x.k_x, x.RIGHT_id, x.RIGHT_ent, x.k_y, x.LINK_ID) for x in r.linked.collect()] == [(1, "x", "a", 9, "p", "a", 1)]
+        assert sorted((x.LEFT_ent, x.RIGHT_ent) for x in r.matched_not_linked.collect()) == [("y", "q"), ("y", "r")]
+        assert r.stats == {1: {"total_records_linked": 1, "total_entities": 1, "total_matched_not_linked": 2}}
+        assert [x.ent for x in r.unlinked_left.collect()] == ["y"] and sorted(x.ent for x in r.unlinked_right.collect()) == ["q", "r"]
+
+
+def test_records_without_an_entity_have_no_mates(spark):
+    left = spark.createDataFrame([(1, 10, "k"), (2, 10, "z")], "id long, ent long, k string")
+    right = spark.createDataFrame([(5, None, "k"), (6, None, "y")], "id long, ent long, k string")
+    step = Step(1, ("k",), ("k",), (Comparison("EXACT"),))
+    found = link(left, right, "id", "id", "ent", "ent", [step], "MT1", "both").linked.collect()
+    assert sorted(((x.LEFT_id, x.RIGHT_id, x.LINK_ID) for x in found), key=repr) == [(1, 5, 1), (2, None, 1)]
+
+
+def test_no_steps(spark):
+    result = run(spark, "1T1", steps=())
+    assert result.linked.collect() == [] and result.matched_not_linked.collect() == [] and result.stats == {}
+    assert result.linked.columns == run(spark, "1T1").linked.columns
+    assert result.unlinked_left.count() == len(LEFT) and result.unlinked_right.count() == len(RIGHT)
+    assert result.totals == {"total_records_linked": 0, "total_entities": 0}
+
+
+def test_own_columns_of_any_name(spark):
+    left = spark.createDataFrame([(1, 10, "k", 7)], "id long, ent long, _id string, _ent int")
+    right = spark.createDataFrame([(5, 50, "k", 8)], "id long, ent long, _id string, _le int")
+    found = link(left, right, "id", "id", "ent", "ent", [Step(1, ("_id",), ("_id",), (Comparison("EXACT"),))], "1T1").linked.collect()
+    assert [(x["_id_x"], x["_ent"], x["_id_y"], x["_le"]) for x in found] == [("k", 7, "k", 8)]

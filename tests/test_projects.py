@@ -7,6 +7,7 @@ import sys
 
 import pytest
 
+from twinspan.operators.storage import intermediates
 from twinspan.plans import catalog
 from twinspan.plans.options import Options, read_options
 from twinspan.plans.report import as_frame, as_html, as_json
@@ -208,13 +209,13 @@ def test_wrong_values_and_rows_are_errors(spark, tmp_path):
 
 
 def test_rows_keep_the_order_of_their_file(spark, tmp_path):
-    project = dedup_project(tmp_path) | {"task_uuid": "order"}
+    project = dedup_project(tmp_path)
     lines = [f"r{i},19{i % 90:02},N{i},Berg ,x" for i in (7, 3, 9, 1, 8, 2, 6)]
     with open(f"{tmp_path}/people.csv", "w") as f:
         f.write("REC_ID, BORN,FIRST,LAST,NOTE\n" + "\n".join(lines) + "\n")
     for order, want in (("input", [7, 3, 9, 1, 8, 2, 6]), ("index", [1, 2, 3, 6, 7, 8, 9])):
-        execute_project(spark, project, Options(order=order))
-        out = spark.read.option("header", True).csv(f"{tmp_path}/out/order/deduped_data")
+        execute_project(spark, project | {"task_uuid": order}, Options(order=order))
+        out = spark.read.option("header", True).csv(f"{tmp_path}/out/{order}/deduped_data")
         assert [r.REC_ID for r in out.coalesce(1).collect()] == [f"r{i}" for i in want] and "_place" not in out.columns
 
 
@@ -252,6 +253,48 @@ def test_project_as_a_task(spark, tmp_path):
     assert failed["status"] == "failed" and "more fields" in failed["errors"][0]
 
 
+@pytest.mark.parametrize("name", [".", "..", "a/b", "/tmp", "", " ", "a b", ".hidden", 7, "x\n"])
+def test_run_ids_are_plain_names(spark, tmp_path, name):
+    os.makedirs(f"{tmp_path}/temp/mine")
+    project = dedup_project(tmp_path) | {"task_uuid": name, "temp_path": f"file://{tmp_path}/temp"}
+    if name:
+        assert run_task(spark, project)["errors"] == ["INVALID_RUN_ID"]
+        with pytest.raises(ValueError, match="name of one folder"), intermediates(spark, name, f"file://{tmp_path}/temp"):
+            pass
+    else:
+        assert run_task(spark, project)["status"] == "done"  # as if there were none
+    assert os.listdir(f"{tmp_path}/temp") == ["mine"]
+
+
+def test_a_run_deletes_and_overwrites_nothing_of_others(spark, tmp_path):
+    project = dedup_project(tmp_path) | {"task_uuid": "run1", "temp_path": f"file://{tmp_path}/temp"}
+    for folder in ("temp/run1", "out/other"):
+        os.makedirs(f"{tmp_path}/{folder}")
+        open(f"{tmp_path}/{folder}/mine.txt", "w").write("mine")
+    assert run_task(spark, project)["status"] == "done"
+    assert os.listdir(f"{tmp_path}/temp") == ["run1"] and os.listdir(f"{tmp_path}/temp/run1") == ["mine.txt"]
+    before = {f: os.path.getmtime(f"{tmp_path}/out/run1/{f}") for f in os.listdir(f"{tmp_path}/out/run1")}
+    again = run_task(spark, project)  # the same run id once more
+    assert again["status"] == "failed" and "is there already" in again["errors"][0]
+    assert before == {f: os.path.getmtime(f"{tmp_path}/out/run1/{f}") for f in os.listdir(f"{tmp_path}/out/run1")}
+    with pytest.raises(FileExistsError):
+        execute_project(spark, project | {"task_uuid": "other"})
+    assert os.listdir(f"{tmp_path}/out/other") == ["mine.txt"]
+    with pytest.raises(FileExistsError), intermediates(spark, "run1", f"file://{tmp_path}/temp"):
+        pass
+    assert os.listdir(f"{tmp_path}/temp/run1") == ["mine.txt"]
+    # temp_path may be the output's folder, and a project's name cannot leave it
+    same = project | {"task_uuid": "run2", "temp_path": project["output_root"], "name": "../../people"}
+    assert os.path.dirname(run_task(spark, same)["report"]) == f"{tmp_path}/out/run2" and sorted(os.listdir(f"{tmp_path}/out")) == ["other", "run1", "run2"]
+
+
+def test_a_run_that_fails_leaves_nothing(spark, tmp_path):
+    project = dedup_project(tmp_path) | {"task_uuid": "run1", "temp_path": f"file://{tmp_path}/temp"}
+    assert run_task(spark, project, Options(format="no-such-format"))["status"] == "failed"
+    assert os.listdir(f"{tmp_path}/temp") == [] and os.listdir(f"{tmp_path}/out") == []
+    assert run_task(spark, project)["status"] == "done"
+
+
 def test_repeated_ids_are_refused(spark, tmp_path):
     project = dedup_project(tmp_path)
     with open(f"{tmp_path}/people.csv", "a") as f:

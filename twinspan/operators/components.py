@@ -1,8 +1,12 @@
-"""Connected components of an edge table by alternating large-star and small-star contraction.
+"""Connected components of an edge table by rounds of contraction.
 
-First each task replaces its own edges by stars, which leaves fewer edges of the same components. Then each round
-replaces a node's neighbours by its smallest known neighbour; after O(log n) rounds every component is a star around its
-smallest node (Kiveris et al., Connected Components in MapReduce and Beyond, 2014). Rounds are written to the shared
+In each round every node picks the one of least hash among itself and its neighbours; nodes of one pick are a class. Edges
+then lead from class to class, and each task replaces its own by stars, which have fewer edges and the same components.
+The hash is another one in each round, so whatever the graph, half the nodes are classes of the next round at most on
+average: rounds get smaller by that factor, and few edges are left after a logarithm of rounds. At CONTRACTED edges one
+task takes the rest. On the way back each class's component goes to its nodes.
+
+Each task contracts its edges before the first round too, so small inputs need none. Rounds are written to the shared
 folder, so a lost executor costs a round's tasks at most. No edge, label or component comes to the driver.
 """
 
@@ -17,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DateType, DecimalType, IntegralType, StringType, TimestampType
 
-from .storage import drop_path, new_path
+from .ids import numbered
+from .storage import materialise, materialise_counted
 
 #: Rows of one key that one task joins; keys of more rows are hubs.
 HUB_ROWS = 1 << 20
@@ -50,10 +55,9 @@ def _stars(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = above
 
 
-def contracted(edges: DataFrame, at_once: int = CONTRACTED) -> DataFrame:
-    """Edges u, v of the same components, fewer where a task's edges hold paths or cycles. Nulls are not allowed."""
-    if not isinstance(edges.schema["u"].dataType, _NUMBERED):
-        return edges
+def contracted(edges: DataFrame, at_once: int = CONTRACTED, roots: bool = False) -> DataFrame:
+    """Edges u, v of the same components, as stars around the smallest node of each at_once edges of a task; roots: with a
+    loop for each smallest node. Nodes are of a type in _NUMBERED and not null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -67,7 +71,7 @@ def contracted(edges: DataFrame, at_once: int = CONTRACTED) -> DataFrame:
             # nodes by rank, so a star's root is its smallest node, as the rounds want it
             nodes, codes = both.dictionary.take(order), rank[np.asarray(both.indices)]
             root = _stars(codes[:size], codes[size:], len(nodes))
-            moved = np.flatnonzero(root != np.arange(len(root)))
+            moved = np.arange(len(root)) if roots else np.flatnonzero(root != np.arange(len(root)))
             return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], ["u", "v"])
 
         for batch in batches:
@@ -82,23 +86,39 @@ def contracted(edges: DataFrame, at_once: int = CONTRACTED) -> DataFrame:
     return edges.mapInArrow(work, edges.schema).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def _round(edges: DataFrame, hub_rows: int) -> DataFrame:
-    """One large-star and one small-star step over edges with u > v."""
+def _chosen(edges: DataFrame, turn: int) -> DataFrame:
+    """For each node u of edges: m, the one of least hash among itself and its neighbours, and n, its number of edges."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-    large = hub_join(both.where(F.col("v") > F.col("u")), least, "u", hub_rows).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    # a node with one smaller neighbour has nothing to hand on
-    small = hub_join(large, least.where("n > 1"), "u", hub_rows).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _is_stars(edges: DataFrame) -> bool:
-    """Whether each u has one v and no v is a u: then every component is a star around its smallest node."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("high"), F.lit(0).alias("low"))
-    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("high"), F.lit(1).alias("low")))
-    seen = ends.groupBy("node").agg(F.sum("high").alias("high"), F.max("low").alias("low"))
-    return seen.where((F.col("high") > 1) | ((F.col("high") > 0) & (F.col("low") > 0))).isEmpty()
+    of = lambda c: F.xxhash64(F.lit(turn), F.col(c))
+    least = both.groupBy("u").agg(F.min(of("v")).alias("h"), F.min_by("v", of("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return least.select("u", F.when(F.col("h") < of("u"), F.col("m")).otherwise(F.col("u")).alias("m"), "n")
+
+
+def _relabelled(edges: DataFrame, chosen: DataFrame, hub_rows: int) -> DataFrame:
+    """Edges between the classes of the two ends."""
+    one = hub_join(edges, chosen, "u", hub_rows).select(F.col("m").alias("a"), F.col("v").alias("u"))
+    two = hub_join(one, chosen, "u", hub_rows).where(F.col("a") != F.col("m"))
+    return two.select(F.greatest("a", "m").alias("u"), F.least("a", "m").alias("v"))
+
+
+def _labelled(edges: DataFrame, hub_rows: int, at_once: int, max_rounds: int) -> DataFrame:
+    """node and component, any node of its component, for every node of edges u > v."""
+    current, seen = materialise_counted(contracted(edges, at_once), "components")
+    levels = []
+    while seen["n"] > at_once:
+        if len(levels) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        levels.append(materialise(_chosen(current, len(levels)), "classes"))
+        current, seen = materialise_counted(contracted(_relabelled(current, levels[-1], hub_rows), at_once), "components")
+    found = contracted(current.coalesce(1), max(1, seen["n"]), roots=True).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if not levels:  # no class was made, so the labels are the smallest nodes
+        return found
+    for level in reversed(levels):
+        top = found.select(F.col("node").alias("m"), "component")
+        # a class without edges is whole
+        found = materialise(level.join(top, "m", "left").select(F.col("u").alias("node"), F.coalesce("component", "m").alias("component")), "labels")
+    least = found.groupBy("component").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n"))
+    return hub_join(found, least, "component", hub_rows).select("node", F.col("least").alias("component"))
 
 
 def connected_components(edges: DataFrame, left: str, right: str, max_rounds: int = 60, hub_rows: int = HUB_ROWS, at_once: int = CONTRACTED) -> DataFrame:
@@ -107,19 +127,18 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     Edges with a null end and loops join nothing: a null end is dropped, a loop's node is its own component only if
     another edge names it. Order and repetition of edges do not matter. An empty table gives an empty result.
     """
-    spark = edges.sparkSession
     a, b = F.col(left), F.col(right)
-    current = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    current = contracted(current, at_once)
-    path = None
-    for _ in range(max_rounds):
-        after = new_path(spark, "components")
-        (current if path is None else _round(current, hub_rows)).write.parquet(after)
-        current = spark.read.schema(current.schema).parquet(after)
-        if path is not None:
-            drop_path(spark, path)
-        path = after
-        if _is_stars(current):
-            roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    proper = edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    if isinstance(proper.schema["u"].dataType, _NUMBERED):
+        return _labelled(proper, hub_rows, at_once, max_rounds)
+    # numbers in the order of the nodes stand for them
+    proper = materialise(proper, "edges")
+    nodes = materialise(numbered(proper.select(F.col("u").alias("x")).union(proper.select("v")).distinct(), ["x"], "id"), "nodes")
+    ends = proper.join(nodes.select(F.col("x").alias("u"), F.col("id").alias("i")), "u").join(nodes.select(F.col("x").alias("v"), F.col("id").alias("j")), "v")
+    found = _labelled(ends.select(F.col("i").alias("u"), F.col("j").alias("v")), hub_rows, at_once, max_rounds)
+    return (
+        found.withColumnsRenamed({"node": "i", "component": "j"})
+        .join(nodes.select(F.col("x").alias("node"), F.col("id").alias("i")), "i")
+        .join(nodes.select(F.col("x").alias("component"), F.col("id").alias("j")), "j")
+        .select("node", "component")
+    )

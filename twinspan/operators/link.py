@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from twinspan.plans.spec import Step
 
@@ -13,8 +14,8 @@ from .blocking import LEFT, RIGHT
 from .ids import numbered
 from .matching import pair_and_match
 from .relationship import enforce
-from .rows import id_column, id_facts, rows_not_in
-from .storage import materialise
+from .rows import fresh, id_column, id_facts, rows_not_in
+from .storage import materialise_counted
 
 
 @dataclass
@@ -51,14 +52,22 @@ def _with_id(records: DataFrame, index: str) -> DataFrame:
 
 
 def link_ids(linked: DataFrame, left: Side, right: Side, offset: int = 0) -> DataFrame:
-    """LINK_ID for each distinct entity pair, in order of its first (left id, right id)."""
+    """LINK_ID for each distinct entity pair, in order of its first (left id, right id), then of the entities."""
     first = linked.groupBy(left.ent, right.ent).agg(F.min(F.struct(F.col(left.id).alias("l"), F.col(right.id).alias("r"))).alias("_at"))
     first = first.select(left.ent, right.ent, F.col("_at.l").alias("_l"), F.col("_at.r").alias("_r"))
-    return numbered(first, ["_l", "_r"], "LINK_ID", offset).select(left.ent, right.ent, "LINK_ID")
+    return numbered(first, ["_l", "_r", left.ent, right.ent], "LINK_ID", offset).select(left.ent, right.ent, "LINK_ID")
+
+
+def _with_record(pairs: DataFrame, records: DataFrame, side: Side) -> DataFrame:
+    """Pairs with the columns of their record on one side: that of the same id and entity, null entities being equal."""
+    own_id, own_ent = fresh(records, "_id", pairs), fresh(records, "_ent", pairs)
+    theirs = records.withColumnsRenamed({side.id: own_id, side.ent: own_ent})
+    same = (F.col(f"`{side.id}`") == F.col(f"`{own_id}`")) & F.col(f"`{side.ent}`").eqNullSafe(F.col(f"`{own_ent}`"))
+    return pairs.join(theirs, same).drop(own_id, own_ent)
 
 
 def expand(pairs: DataFrame, left_records: DataFrame, right_records: DataFrame, left: Side, right: Side, mates: str = "right") -> DataFrame:
-    """Add both records' columns to linked pairs (with LINK_ID and STEP).
+    """Add both records' columns to linked pairs (with LINK_ID and STEP). A record is told by its id and entity together.
 
     mates "right": also records of a linked right entity that have no pair themselves, left columns and STEP null;
     "both": those of left entities too; "none": pairs only. A column that both sides have is suffixed _x and _y.
@@ -72,53 +81,60 @@ def expand(pairs: DataFrame, left_records: DataFrame, right_records: DataFrame,
     }
     a = left_records.select(F.col(f"`{left.index}`").alias(left.id), F.col(f"`{left.entity}`").alias(left.ent), *renamed["l"])
     b = right_records.select(F.col(f"`{right.index}`").alias(right.id), F.col(f"`{right.entity}`").alias(right.ent), *renamed["r"])
-    core = pairs.select(left.id, right.id, "STEP", "LINK_ID")
-    l_part = core.join(a, left.id)
-    if mates == "none":
-        joined = l_part.join(b, right.id)
-    else:
-        links = pairs.select(right.ent, "LINK_ID").distinct()
-        joined = l_part.join(b.join(links, right.ent), [right.id, "LINK_ID"], "right")
-    if mates == "both":
-        more = a.join(pairs.select(left.ent, "LINK_ID").distinct(), left.ent).join(core.select(left.id, "LINK_ID").distinct(), [left.id, "LINK_ID"], "left_anti")
-        joined = joined.unionByName(more, allowMissingColumns=True)
+    core = pairs.select(left.id, left.ent, right.id, right.ent, "STEP", "LINK_ID")
+    joined = _with_record(_with_record(core, a, left), b, right)
+    for side, records in ((right, b), (left, a)):
+        if mates == "both" or mates == "right" and side is right:
+            # null entities equal none here: a record without an entity has no mates
+            links = core.select(side.ent, "LINK_ID").distinct()
+            paired = core.select(side.id, side.ent, "LINK_ID").distinct()
+            joined = joined.unionByName(records.join(links, side.ent).join(paired, [side.id, side.ent, "LINK_ID"], "left_anti"), allowMissingColumns=True)
     names = lambda side: [x + s if x in both else x for x, s in ((c, "_x" if side == "l" else "_y") for c in (left_own if side == "l" else right_own))]
     return joined.select(left.id, *[F.col(f"`{c}`") for c in names("l")], left.ent, "STEP", right.id, *[F.col(f"`{c}`") for c in names("r")], right.ent, "LINK_ID")
 
 
+def _no_pairs(left_records: DataFrame, right_records: DataFrame, left: Side, right: Side) -> tuple[DataFrame, DataFrame]:
+    """Linked and refused pairs before the first step."""
+    ends = StructType([StructField(name, records.schema[c].dataType) for records, side in ((left_records, left), (right_records, right)) for name, c in ((side.id, side.index), (side.ent, side.entity))])
+    refused = StructType([*ends, StructField("STEP", IntegerType())])
+    spark = left_records.sparkSession
+    return spark.createDataFrame([], StructType([*refused, StructField("LINK_ID", LongType())])), spark.createDataFrame([], refused)
+
+
 def link(left_records: DataFrame, right_records: DataFrame, left_index: str, right_index: str, left_entity: str, right_entity: str, steps: list[Step] | tuple[Step, ...], relationship: str, mates: str = "right") -> LinkResult:
     """Run the steps in order; all records of entities that a step links leave the later ones.
 
     Defined results: a record without an index pairs with nothing; one without an entity fails a rule that asks for its
-    entity's single partner, and counts as one partner of others; both show among the unlinked. Rows that share an index
-    are each shown; pairs of the same ids and entities count once; an empty side gives no links and leaves the other side
-    unlinked.
+    entity's single partner, counts as one partner of others, and has no mates; both show among the unlinked. A record is
+    told by its index and entity together: rows that share both are each shown, and pairs of the same ids and entities
+    count once; rows that share an index under different entities are different records. An empty side, or no steps, gives
+    no links and leaves all records unlinked.
     """
     left, right = Side(left_index, left_entity, LEFT), Side(right_index, right_entity, RIGHT)
     rest_l, rest_r = left_records, right_records
-    done, rejected, offset = None, None, 0
-    stats: dict[int, dict[str, int]] = {}
-    keys = [left.id, right.id, left.ent, right.ent]
+    keys = [left.id, left.ent, right.id, right.ent]
+    done, rejected = _no_pairs(left_records, right_records, left, right)
+    offset, stats = 0, {}
     repeats = any(id_facts(records, index)[1] for records, index in ((left_records, left_index), (right_records, right_index)))
     for step in steps:
         matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity])
         matched = matched.select(*keys, "STEP")
         if repeats:  # else each pair of ids comes once
             matched = matched.distinct()
-        matched = materialise(matched, "matched")
+        matched, of_matched = materialise_counted(matched, "matched")
         kept = enforce(matched, relationship, left.ent, right.ent)
         ids = link_ids(kept, left, right, offset).select(F.col(left.ent).alias("_le"), F.col(right.ent).alias("_re"), "LINK_ID")
         same = F.col(left.ent).eqNullSafe(F.col("_le")) & F.col(right.ent).eqNullSafe(F.col("_re"))
-        linked = materialise(kept.join(ids, same).select(*keys, "STEP", "LINK_ID"), "linked")
-        refused = matched.join(linked.select(left.id, right.id), [left.id, right.id], "left_anti").select(*keys, "STEP")
-        n = linked.agg(F.count(F.lit(1)), F.coalesce(F.max("LINK_ID"), F.lit(offset))).first()
-        n_refused = refused.count()
-        stats[step.seq] = {"total_records_linked": n[0], "total_entities": n[1] - offset, "total_matched_not_linked": n_refused}
-        offset = n[1]
-        done = linked if done is None else done.unionByName(linked)
-        rejected = refused if rejected is None else rejected.unionByName(refused)
+        linked, of_linked = materialise_counted(kept.join(ids, same).select(*keys, "STEP", "LINK_ID"), "linked", n=F.count(F.lit(1)), last=F.max("LINK_ID"))
+        # a relationship keeps or refuses all pairs of two entities
+        gone = linked.select(F.col(left.ent).alias("_le"), F.col(right.ent).alias("_re")).distinct()
+        refused = matched.join(gone, same, "left_anti").select(*keys, "STEP")
+        last = of_linked["last"] or offset
+        stats[step.seq] = {"total_records_linked": of_linked["n"], "total_entities": last - offset, "total_matched_not_linked": of_matched["n"] - of_linked["n"]}
+        offset = last
+        done, rejected = done.unionByName(linked), rejected.unionByName(refused)
         rest_l = rows_not_in(left_records, id_column(done, left.ent, left_entity).distinct(), left_entity)
         rest_r = rows_not_in(right_records, id_column(done, right.ent, right_entity).distinct(), right_entity)
     totals = {"total_records_linked": sum(s["total_records_linked"] for s in stats.values()), "total_entities": offset}
-    not_linked = rejected.groupBy(*keys).agg(F.min("STEP").alias("STEP"))
+    not_linked = rejected.groupBy(left.id, right.id, left.ent, right.ent).agg(F.min("STEP").alias("STEP"))
     return LinkResult(expand(done, left_records, right_records, left, right, mates), not_linked, rest_l, rest_r, stats, totals)

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """name, or name with underscores before it until df has no such column, whatever the case."""
-    taken = {c.lower() for c in df.columns}
+def fresh(df: DataFrame, name: str, *others: DataFrame) -> str:
+    """name, or name with underscores before it until no frame has such a column, whatever the case."""
+    taken = {c.lower() for frame in (df, *others) for c in frame.columns}
     while name.lower() in taken:
         name = f"_{name}"
     return name

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: The folder that takes intermediate tables while intermediates() is entered.
 _folder: ContextVar[str | None] = ContextVar("twinspan_folder", default=None)
@@ -36,11 +39,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{(_folder.get() or shared_dir(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def is_plain_name(name: Any) -> bool:
+    """Whether a text names one folder: letters, digits, dots, dashes and underscores, the first no dot."""
+    return isinstance(name, str) and re.fullmatch(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*", name) is not None
+
+
+def _system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, where = _system(spark, path)
+    return system.exists(where)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder that is not there yet; FileExistsError where anything of that name is."""
+    system, where = _system(spark, path)
+    if system.exists(where):
+        raise FileExistsError(f"{path} is there already")
+    if not system.mkdirs(where):
+        raise OSError(f"{path} cannot be made")
+
+
 @contextmanager
 def intermediates(spark: SparkSession, name: str, root: str | None = None) -> Iterator[str]:
-    """Intermediate tables made inside go to a folder of their own under root (default: the shared folder) and are
-    deleted at the end, so results must be written before that. root must be a folder that all executors share."""
+    """Intermediate tables made inside go to a new folder under root (default: the shared folder), which is deleted at
+    the end, so results must be written before that. root must be a folder that all executors share. name is the folder's
+    own plain name; where a folder of that name is there already, it is left alone and FileExistsError raised."""
+    if not is_plain_name(name):
+        raise ValueError(f"not the name of one folder: {name!r}")
     path = f"{(root or shared_dir(spark)).rstrip('/')}/{name}"
+    make_folder(spark, path)
     before = _folder.set(path)
     try:
         yield path
@@ -59,8 +90,14 @@ def materialise_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, name: str, **facts: Column) -> tuple[DataFrame, dict[str, Any]]:
+    """materialise(), and aggregates of the rows that were written, without a job of their own: by default n, their number."""
+    seen = Observation()
+    found = df.observe(seen, *[c.alias(k) for k, c in (facts or {"n": F.count(F.lit(1))}).items()])
+    return materialise(found, name), seen.get
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a path in the shared folder, by the file system that owns it."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    """Delete a path that this library has made, by the file system that owns it."""
+    system, where = _system(spark, path)
+    system.delete(where, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass, replace
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from twinspan.operators.dedup import DedupResult, dedup
 from twinspan.operators.link import LinkResult, link
-from twinspan.operators.storage import intermediates
+from twinspan.operators.storage import drop_path, intermediates, make_folder, path_exists
 from twinspan.sources.tables import columns_of, read_dataset, write_table
 
 from .options import Options
@@ -38,10 +39,19 @@ def duplicate_ids(records: DataFrame, index: str) -> DataFrame:
     return records.groupBy(index).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def check(spark: SparkSession, raw: dict[str, Any] | None, options: Options = Options()) -> None:
+    """Raise ValidationError if a project object has faults."""
+    validate(raw, lambda d: columns_of(spark, d["url"], (d.get("format") or "CSV").upper()), options.synonyms)
+
+
 def run_project(spark: SparkSession, raw: dict[str, Any], options: Options = Options(), places: bool = False) -> Run:
     """Validate a project object and run it. Nothing is written but intermediate tables, which the result reads; enter
     intermediates() before to have them deleted. places: de-duplicated records keep the column PLACE."""
-    validate(raw, lambda d: columns_of(spark, d["url"], (d.get("format") or "CSV").upper()), options.synonyms)
+    check(spark, raw, options)
+    return _run(spark, raw, options, places)
+
+
+def _run(spark: SparkSession, raw: dict[str, Any], options: Options, places: bool) -> Run:
     project = project_from(raw, options.synonyms)
     datasets = project.datasets[: 1 if project.type == DEDUP else 2]
     place = PLACE if places and project.type == DEDUP else None
@@ -64,27 +74,41 @@ def execute_project(spark: SparkSession, raw: dict[str, Any], options: Options =
 
     De-duplication: deduped_data (in the dataset's order, or by the index, or by ENTITY_ID) and dedup_matched. Linking:
     linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html and .json. The run
-    id is the project's task_uuid, or a new one. Intermediate tables go to <temp_path>/<run id>, or the shared folder
-    where the project has no temp_path, and are deleted at the end, whether the run succeeds or not.
+    id is the project's task_uuid, or a new one; where its output folder is there already, FileExistsError is raised and
+    nothing in it changes. Intermediate tables go to a new folder below temp_path, or below the shared folder where the
+    project has no temp_path, which is deleted at the end, whether the run succeeds or not. Of a run that fails while it
+    writes its results, nothing is left.
     """
-    run_id = (raw or {}).get("task_uuid") or uuid.uuid4().hex
-    with intermediates(spark, run_id, (raw or {}).get("temp_path")):
-        run = run_project(spark, raw, options, places=options.order == "input")
-        root, kind = f"{run.project.output_root.rstrip('/')}/{run_id}", options.format
-        r = run.result
-        if isinstance(r, DedupResult):
-            index = run.project.datasets[0].index_field
-            order = {"input": [PLACE], "index": [index], "entity": ["ENTITY_ID", index]}[options.order]
-            write_table(r.deduped, f"{root}/deduped_data", kind, order, PLACE)
-            write_table(r.matched, f"{root}/dedup_matched", kind, ["ENTITY_ID", f"LEFT_{index}", f"RIGHT_{index}"])
-        else:
-            write_table(r.linked, f"{root}/linked_data", kind, ["LINK_ID"])
-            write_table(r.matched_not_linked, f"{root}/matched_not_linked_data", kind, r.matched_not_linked.columns[:2])
-            write_table(r.unlinked_left, f"{root}/unlinked_left", kind, [run.project.datasets[0].index_field])
-            write_table(r.unlinked_right, f"{root}/unlinked_right", kind, [run.project.datasets[1].index_field])
-        path = f"{root}/{run.project.name}_summary"
-        for suffix, body in ((".json", as_json(run.report | {"run_id": run_id})), (".html", as_html(run.report))):
-            _write_text(spark, path + suffix, body)
+    check(spark, raw, options)
+    run_id = raw.get("task_uuid") or uuid.uuid4().hex
+    root = f"{raw['output_root'].rstrip('/')}/{run_id}"
+    if path_exists(spark, root):
+        raise FileExistsError(f"{root} is there already")
+    with intermediates(spark, f"{run_id}-{uuid.uuid4().hex}", raw.get("temp_path")):
+        run = _run(spark, raw, options, places=options.order == "input")
+        make_folder(spark, root)
+        try:
+            return _write_results(spark, run, root, run_id, options)
+        except BaseException:
+            drop_path(spark, root)
+            raise
+
+
+def _write_results(spark: SparkSession, run: Run, root: str, run_id: str, options: Options) -> str:
+    kind, r = options.format, run.result
+    if isinstance(r, DedupResult):
+        index = run.project.datasets[0].index_field
+        order = {"input": [PLACE], "index": [index], "entity": ["ENTITY_ID", index]}[options.order]
+        write_table(r.deduped, f"{root}/deduped_data", kind, order, PLACE)
+        write_table(r.matched, f"{root}/dedup_matched", kind, ["ENTITY_ID", f"LEFT_{index}", f"RIGHT_{index}"])
+    else:
+        write_table(r.linked, f"{root}/linked_data", kind, ["LINK_ID"])
+        write_table(r.matched_not_linked, f"{root}/matched_not_linked_data", kind, r.matched_not_linked.columns[:2])
+        write_table(r.unlinked_left, f"{root}/unlinked_left", kind, [run.project.datasets[0].index_field])
+        write_table(r.unlinked_right, f"{root}/unlinked_right", kind, [run.project.datasets[1].index_field])
+    path = f"{root}/{re.sub(r'[^\w.-]+', '_', run.project.name)}_summary"
+    for suffix, body in ((".json", as_json(run.report | {"run_id": run_id})), (".html", as_html(run.report))):
+        _write_text(spark, path + suffix, body)
     return path + ".html"
 
 

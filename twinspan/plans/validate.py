@@ -8,6 +8,7 @@ from typing import Any
 
 from twinspan.functions import comparator, encoder
 from twinspan.functions.synonyms import has_default
+from twinspan.operators.storage import is_plain_name
 
 from .spec import DEDUP, LINK, METHODS, RELATIONSHIPS, step_from
 
@@ -35,6 +36,7 @@ MESSAGES = {
     "INVALID_ARGUMENT": "A comparison is given an argument it does not take.",
     "DUPLICATE_IDS": "A dataset's index repeats.",
     "UNKNOWN_COLUMN": "A step uses a column that its dataset lacks.",
+    "INVALID_RUN_ID": "The project's task_uuid is not the name of one folder.",
     "SYNONYMS_MISSING": "A step compares by SYNONYMS, but no table of synonyms is named.",
 }
 
@@ -96,6 +98,8 @@ def validate(raw: dict[str, Any] | None, columns_of: Callable[[dict[str, Any]],
         found.append("INVALID_TYPE")
     if not raw.get("output_root"):
         found.append("OUT_PATH_MISSING")
+    if raw.get("task_uuid") and not is_plain_name(raw["task_uuid"]):
+        found.append("INVALID_RUN_ID")
     if kind == LINK and raw.get("relationship_type") not in RELATIONSHIPS:
         found.append("INVALID_RELATIONSHIP")
     datasets = raw.get("datasets") or []

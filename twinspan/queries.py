@@ -561,6 +561,27 @@ def link_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(s["total_records_linked"], s["total_entities"], s["total_matched_not_linked"])], "pairs long, entities long, not_linked long")
 
 
+_REPEATED = (
+    "WITH c AS (SELECT c_custkey // 4 AS id, c_custkey // 3 AS ent, c_custkey AS was, c_nationkey, c_acctbal FROM customer), s AS (SELECT s_suppkey // 2 AS id, s_suppkey // 3 AS ent, s_suppkey AS was, s_nationkey, s_acctbal FROM supplier), "
+    f"m AS (SELECT DISTINCT c.id AS l, s.id AS r, c.ent AS le, s.ent AS re FROM c JOIN s ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 50), {_KEPT['1T1']}, "
+    "f AS (SELECT le, re, l, r, row_number() OVER (PARTITION BY le, re ORDER BY l, r) AS nth FROM k), ids AS (SELECT le, re, row_number() OVER (ORDER BY l, r, le, re) AS link_id FROM f WHERE nth = 1) "
+    "SELECT 'linked' AS file, l, r, k.le, k.re, c.was AS left_was, s.was AS right_was, link_id FROM k JOIN ids ON k.le = ids.le AND k.re = ids.re JOIN c ON c.id = l AND c.ent = k.le JOIN s ON s.id = r AND s.ent = k.re "
+    "UNION ALL SELECT 'refused', l, r, le, re, NULL, NULL, NULL FROM m WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.l = m.l AND k.r = m.r AND k.le = m.le AND k.re = m.re)"
+)
+
+
+@_query("link_repeated_ids", _REPEATED)
+def link_repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share an id, under one entity or under different ones."""
+    third = lambda c, n, name: F.floor(F.col(c) / n).alias(name)
+    left = _table(spark, sf_dir, "customer").select(third("c_custkey", 4, "id"), third("c_custkey", 3, "ent"), F.col("c_custkey").alias("left_was"), "c_nationkey", "c_acctbal")
+    right = _table(spark, sf_dir, "supplier").select(third("s_suppkey", 2, "id"), third("s_suppkey", 3, "ent"), F.col("s_suppkey").alias("right_was"), "s_nationkey", "s_acctbal")
+    found = link(left, right, "id", "id", "ent", "ent", [_LINK_1], "1T1", "none")
+    ends = [F.col("LEFT_id").alias("l"), F.col("RIGHT_id").alias("r"), F.col("LEFT_ent").alias("le"), F.col("RIGHT_ent").alias("re")]
+    linked = found.linked.select(F.lit("linked").alias("file"), *ends, "left_was", "right_was", F.col("LINK_ID").alias("link_id"))
+    return linked.unionByName(found.matched_not_linked.select(F.lit("refused").alias("file"), *ends), allowMissingColumns=True)
+
+
 _ORDER_PAIRS = "(SELECT DISTINCT o_custkey, o_orderpriority FROM orders)"
 
 

@@ -86,12 +86,13 @@ def _place(df: DataFrame) -> Column:
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv", order: list[str] | None = None, drop: str | None = None) -> str:
-    """Write a result as a folder of files of the given format, ordered if asked, without the column drop; returns its path."""
+    """Write a result as a new folder of files of the given format, ordered if asked, without the column drop; returns its
+    path. A folder that is there already is an error."""
     if order:
         df = df.orderBy(*[F.col(f"`{c}`") for c in order])
     if drop:
         df = df.drop(drop)
-    writer = df.write.mode("overwrite")
+    writer = df.write
     if kind == "csv":
         writer.options(header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
