@@ -54,6 +54,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return system.exists(where)
 
 
+def byte_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files of a folder."""
+    system, where = _system(spark, path)
+    return system.getContentSummary(where).getLength()
+
+
 def make_folder(spark: SparkSession, path: str) -> None:
     """Make a folder that is not there yet; FileExistsError where anything of that name is."""
     system, where = _system(spark, path)

@@ -9,20 +9,31 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, Str
 
 from twinspan.plans.spec import Dataset
 
+from .csv_records import csv_records
+
 #: Declared column types.
 COLUMN_TYPES = {"VARCHAR": StringType(), "CHAR": StringType(), "TEXT": StringType(), "BOOLEAN": BooleanType(), "REAL": DoubleType(), "INTEGER": LongType()}
 #: What a row has beyond its header's columns.
 _EXTRA = "_beyond_header"
 
 
+#: CSV as RFC 4180 has it: quotes are doubled inside quotes. White space after a delimiter is dropped, trailing white space
+#: stays; short rows are filled with nulls.
+_CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "false", "mode": "PERMISSIVE"}
+
+
 def _csv(spark: SparkSession, multi_line: bool = True):
-    """CSV as RFC 4180 has it: quotes are doubled inside quotes, quoted fields may hold line breaks.
+    """Spark's own reader of CSV with headers; with multi_line it takes each file in one task."""
+    return spark.read.options(**_CSV, header=True, multiLine=multi_line)
 
-    White space after a delimiter is dropped, trailing white space stays; short rows are filled with nulls. Without
-    multi_line no field may hold a line break, and Spark can cut large files.
-    """
-    options = {"header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE"}
-    return spark.read.options(**options)
+
+def _inferred(spark: SparkSession, records: DataFrame, names: list[str]) -> StructType:
+    """The types that Spark infers of records."""
+    texts = getattr(records.select("record")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    reader = spark.read.options(**_CSV, inferSchema=True)._jreader
+    found = DataFrame(reader.csv(texts), spark).schema.fields
+    missing = len(names) - len(found)  # no record has so many fields
+    return StructType([StructField(n, f.dataType) for n, f in zip(names, [*found, *[StructField("", StringType())] * missing], strict=False)])
 
 
 def columns_of(spark: SparkSession, url: str, kind: str = "CSV") -> list[str]:
@@ -52,7 +63,8 @@ def read_dataset(spark: SparkSession, dataset: Dataset, used: list[str], na_valu
     Declared types are kept; without a declaration a CSV file's types are inferred. Fields that hold one of na_values
     become null; by default only empty ones are. A value that is not of its declared type, or a CSV row with more
     fields than the header, is an error. Formats but CSV are read by the Spark source of that name. position: a column
-    of this name is added by which rows sort as they stand in their files, files by name.
+    of this name is added by which rows sort as they stand in their files, files by name. multi_line: CSV fields may hold
+    line breaks (see csv_records); else each line is a record. Either way large files are read by many tasks.
     """
     if dataset.format != "CSV":
         df = spark.read.format(dataset.format.lower()).load(dataset.url)
@@ -60,18 +72,28 @@ def read_dataset(spark: SparkSession, dataset: Dataset, used: list[str], na_valu
     else:
         names = columns_of(spark, dataset.url)
         types = dataset.data_types
+        records = csv_records(spark, dataset.url, position) if multi_line else None
         if types is None:
-            schema = _csv(spark, multi_line).option("inferSchema", True).csv(dataset.url).schema
+            schema = _inferred(spark, records, names) if multi_line else _csv(spark, False).option("inferSchema", True).csv(dataset.url).schema
         else:
             if unknown := {t for t in types.values() if t not in COLUMN_TYPES}:
                 raise ValueError(f"unknown column type {', '.join(sorted(unknown))}")
             schema = StructType([StructField(n, StringType()) for n in names])
-        df = _csv(spark, multi_line).schema(StructType([*schema, StructField(_EXTRA, StringType())])).csv(dataset.url)
+        wide = StructType([*schema, StructField(_EXTRA, StringType())])
+        if records is not None:
+            # by place, since names may repeat or differ in case only
+            fields = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(wide)])
+            parsed = F.from_csv("record", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields), _CSV)
+            # a generator, so that each record is parsed once, whatever reads its fields
+            df = records.select(*([position] if position else []), F.inline(F.array(parsed)))
+            df = df.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(wide)], *([position] if position else []))
+        else:
+            df = _csv(spark, False).schema(wide).csv(dataset.url)
         df = df.where(F.col(_EXTRA).isNull() | F.raise_error(F.lit(f"{dataset.url}: a row has more fields than the header")).cast("boolean"))
         is_text = {f.name for f in schema if isinstance(f.dataType, StringType)}
         kept = [_typed(n, (types or {}).get(n, "TEXT"), na_values) if types is not None or n in is_text else F.col(f"`{n}`") for n in names if n in used]
     if position:
-        kept.append(_place(df).alias(position))
+        kept.append(F.col(position) if position in df.columns else _place(df).alias(position))
     return df.select(*kept)
 
 
