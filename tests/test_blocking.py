@@ -1,0 +1,94 @@
+"""Bands of numbers and chunks of large blocks: the pairs of a plain join, and fewer or more even candidates."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from twinspan.operators.blocking import pair
+from twinspan.operators.dedup import dedup
+from twinspan.operators.link import link
+from twinspan.operators.matching import pair_and_match
+from twinspan.plans.spec import Comparison, Step
+
+SCHEMA = "id long, k string, x double"
+
+
+def _step(threshold, keys=("k",)):
+    return Step(1, keys, ("x",), (Comparison("ABS_DIFF", {"threshold": threshold}),))
+
+
+def _ids(df):
+    return sorted((r["LEFT_id"], r["RIGHT_id"]) for r in df.collect())
+
+
+def _plain(rows, threshold):
+    close = lambda x, y: x is not None and y is not None and abs(x - y) <= threshold
+    return sorted((a, b) for a, k, x in rows for b, m, y in rows if a < b and k == m and k is not None and close(x, y))
+
+
+@pytest.mark.parametrize("threshold", [0, -1, 1, 2.5, 0.1, 1e-9, 1e9, 3])
+def test_bands_give_the_pairs_of_a_plain_join(spark, threshold):
+    pick = random.Random(5)
+    numbers = [0.0, -0.0, 0.1, 0.2, 0.30000000000000004, -0.1, 2.5, 5.0, -2.5, 1e9, -1e9, 1e300, -1e300, 1e17, 1e17 + 16, None, float("inf"), 3.0000000001, *[pick.uniform(-9, 9) for _ in range(80)], *[pick.randint(-9, 9) / 2 for _ in range(80)]]
+    rows = [(i, pick.choice("ab"), x) for i, x in enumerate(numbers)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    expected = _plain(rows, threshold)
+    assert _ids(pair_and_match(df, df, _step(threshold), ["id"], ["id"], ("id", "id"))) == expected
+    assert _ids(pair_and_match(df, df, _step(threshold), ["id"], ["id"], ("id", "id"), hot_rows=10)) == expected
+
+
+def test_bands_leave_few_candidates(spark):
+    df = spark.range(2000).select("id", F.lit("k").alias("k"), (F.col("id") * 1.0).alias("x"))
+    candidates = pair(df, df, _step(3), ["id"], ["id"], ("id", "id")).count()
+    accepted = pair_and_match(df, df, _step(3), ["id"], ["id"], ("id", "id")).count()
+    assert accepted == 3 * 2000 - 6 and candidates < 4 * accepted  # of 2,000,000 pairs of the block
+
+
+def test_whole_numbers_and_decimals(spark):
+    for kind in ("int", "long", "decimal(12,2)", "float"):
+        df = spark.createDataFrame([(i, "k", float(x)) for i, x in enumerate([1, 2, 4, 4, 9, -1, 1000000])], SCHEMA).withColumn("x", F.col("x").cast("long").cast(kind))
+        assert _ids(pair_and_match(df, df, _step(2), ["id"], ["id"], ("id", "id"))) == [(0, 1), (0, 5), (1, 2), (1, 3), (2, 3)]
+
+
+def test_two_numbers_and_other_keys(spark):
+    rows = [(i, "ab"[i % 2], float(i % 7), i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, SCHEMA + ", y int")
+    step = Step(1, ("k",), ("y", "x", "x"), (Comparison("ABS_DIFF", {"threshold": 1}), Comparison("ABS_DIFF", {"threshold": 2}), Comparison("BOTH_EXIST")))
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and abs(a[3] - b[3]) <= 1 and abs(a[2] - b[2]) <= 2)
+    assert _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id"))) == want
+
+
+def test_a_hot_block_runs_in_many_even_tasks_each_pair_once(spark):
+    """One block holds half of all rows of both sides."""
+    rows = [(i, "hot" if i % 2 else f"k{i % 40}", 0.0) for i in range(600)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    step = Step(1, ("k",), (), ())
+    plain = _ids(pair(df, df, step, ["id"], ["id"], ("id", "id")))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut = pair(df, df, step, ["id"], ["id"], ("id", "id"), hot_rows=30)
+        assert _ids(cut) == plain
+        per_task = [r["n"] for r in cut.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"):
+            spark.conf.unset(key)
+    assert len(per_task) > 20 and max(per_task) < 0.15 * len(plain)
+
+
+def test_repeated_rows_of_a_hot_block(spark):
+    left = spark.createDataFrame([(1, "k", 0.0)] * 40 + [(2, "k", 0.0), (3, "m", 0.0)], SCHEMA)
+    right = spark.createDataFrame([(7, "k", 0.0)] * 3 + [(8, "m", 0.0), (9, None, 0.0)], SCHEMA)
+    step = Step(1, ("k",), (), ())
+    assert _ids(pair(left, right, step, ["id"], ["id"], hot_rows=5)) == _ids(pair(left, right, step, ["id"], ["id"])) == sorted([(1, 7)] * 120 + [(2, 7)] * 3 + [(3, 8)])
+
+
+def test_runs_measure_blocks_of_many_records(spark, monkeypatch):
+    rows = [(i, "hot" if i % 3 else f"k{i % 10}", float(i // 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ent", F.col("id"))
+    wanted = [sorted(map(tuple, dedup(df, "id", [_step(0)]).deduped.collect())), sorted(map(tuple, link(df, df, "id", "id", "ent", "ent", [_step(0)], "1TM", "none").linked.collect()))]
+    for module in ("dedup", "link"):
+        monkeypatch.setattr(f"twinspan.operators.{module}.HOT_ROWS", 16)
+    assert [sorted(map(tuple, dedup(df, "id", [_step(0)]).deduped.collect())), sorted(map(tuple, link(df, df, "id", "id", "ent", "ent", [_step(0)], "1TM", "none").linked.collect()))] == wanted

@@ -101,7 +101,7 @@ def fixed_val(left: Column, right: Column, value) -> Column:
     return _sure(equals(left) & equals(right))
 
 
-@register("ABS_DIFF", "Numbers close to each other", None, args=("threshold",), defaults={"threshold": 0}, tags=("numbers",))
+@register("ABS_DIFF", "Numbers close to each other", None, args=("threshold",), defaults={"threshold": 0}, band=lambda threshold: threshold, tags=("numbers",))
 def abs_diff(left: Column, right: Column, threshold: float) -> Column:
     return _sure(F.abs(left - right) <= F.lit(threshold))
 

@@ -26,7 +26,8 @@ class Algorithm:
     prepare adds the column that the comparator reads instead of the field: (frame, field, new name, **args) -> frame. It runs
     once per record, before records are paired. costly comparators run after all others of a step. key, for comparators
     that ask for one equal value on both sides (null equal to nothing): (column, **args) -> that value; steps then join
-    on it.
+    on it. band, for comparators of numbers: (**args) -> how far two accepted numbers may be apart, or None where that is
+    not known; steps then join on bands of numbers as well.
     """
 
     name: str
@@ -38,6 +39,7 @@ class Algorithm:
     prepare: Callable[..., DataFrame] | None = None
     costly: bool = False
     key: Callable | None = None
+    band: Callable[..., float | None] | None = None
     defaults: dict[str, Any] = field(default_factory=dict)
 
     def checked(self, args: dict[str, Any]) -> dict[str, Any]:

@@ -1,7 +1,16 @@
-"""Candidate pairs: an equi-join of records on encoded blocking fields."""
+"""Candidate pairs: an equi-join of records on encoded blocking fields.
+
+Two things make the join's candidates fewer, or more even, without changing its pairs. Where a comparison accepts only
+numbers at most t apart, numbers are cut into bands 2t wide: a right record is in the band of its number, a left one in
+the one or two bands that its partners can be in, and the band is a further key. Blocks of many records, measured if
+asked, are cut into chunks of both sides, and each chunk meets each of the other side under a key of its own, so that many
+tasks share a block.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +18,13 @@ from twinspan.functions import comparator, encoder
 from twinspan.functions.text import blank_to_null
 from twinspan.plans.spec import Step
 
+from .storage import materialise
+
 LEFT, RIGHT = "LEFT_", "RIGHT_"
+#: Records of one side and block beyond which the block is cut into chunks of as many.
+HOT_ROWS = 1 << 14
+#: Bands beyond this one, of either sign, are one: rounding could move a number by a band there.
+_LAST_BAND = float(1 << 40)
 
 
 def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
@@ -36,22 +51,73 @@ def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
     return clean.select(*carry, *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(compared))])
 
 
-def pair(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], right_carry: list[str], once: tuple[str, str] | None = None) -> DataFrame:
+def _place(number: Column, width: float, shift: float, slack: int) -> Column:
+    """number + shift in bands, moved by rounding's reach in the direction of slack."""
+    at = number.try_cast("double") / F.lit(width)
+    moved = at + F.lit(shift / width) + F.lit(slack * 1e-14) * (F.least(F.abs(at), F.lit(2 * _LAST_BAND)) + 1)
+    return F.floor(F.greatest(F.least(moved, F.lit(_LAST_BAND)), F.lit(-_LAST_BAND))).cast("long")
+
+
+def banded(a: DataFrame, b: DataFrame, step: Step) -> tuple[DataFrame, DataFrame, bool]:
+    """Both sides with the key _band, and whether they have it: of the first comparison with a band, if any.
+
+    Numbers exactly equal are one band for t = 0. A value that is no number matches nothing.
+    """
+    for i, (_, _, c) in enumerate(step.compared()):
+        algorithm = comparator(c.name)
+        apart = algorithm.band(**algorithm.checked(c.args)) if algorithm.band else None
+        if apart is None or not 0 <= apart < float("inf"):
+            continue
+        x, y = F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}")
+        if apart == 0:
+            return a.withColumn(f"{LEFT}_band", x.try_cast("double")), b.withColumn(f"{RIGHT}_band", y.try_cast("double")), True
+        width = 2.0 * apart
+        both = F.sequence(_place(x, width, -apart, -1), _place(x, width, apart, 1))
+        # only bands that are there can have partners, so copies are made after missing numbers are gone
+        return a.where(x.try_cast("double").isNotNull()).withColumn(f"{LEFT}_band", F.explode(both)), b.withColumn(f"{RIGHT}_band", _place(y, width, 0.0, 0)), True
+    return a, b, False
+
+
+def chunked(a: DataFrame, b: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _i and _j, the chunks that meet: 0 in blocks of at most hot_rows records a side.
+
+    A record of a larger block is in one chunk of its own side, by a hash of all its columns, and comes once for each chunk
+    of the other side, so each pair of records meets once.
+    """
+    ends = [a.select(*[F.col(LEFT + k).alias(k) for k in keys], F.lit(1).alias("l"), F.lit(0).alias("r")), b.select(*[F.col(RIGHT + k).alias(k) for k in keys], F.lit(0).alias("l"), F.lit(1).alias("r"))]
+    sizes = ends[0].unionByName(ends[1]).groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r")).where((F.greatest("l", "r") > hot_rows) & (F.least("l", "r") > 0))
+    of = lambda c: F.ceil(F.col(c) / hot_rows).cast("int")
+    hot = materialise(sizes.select(*keys, of("l").alias("n_l"), of("r").alias("n_r")), "hot-blocks")
+    out = []
+    for side, records, own, other in ((LEFT, a, "n_l", "n_r"), (RIGHT, b, "n_r", "n_l")):
+        met = hot.select(*[F.col(k).alias(side + k) for k in keys], own, other)
+        mine = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in records.columns]), F.coalesce(own, F.lit(1))).cast("int")
+        theirs = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        names = (side + "_i", side + "_j") if side == LEFT else (side + "_j", side + "_i")
+        joined = records.join(met, [side + k for k in keys], "left")
+        out.append(joined.withColumn(names[0], mine).withColumn(names[1], theirs).drop(own, other))
+    return out[0], out[1]
+
+
+def pair(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], right_carry: list[str], once: tuple[str, str] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Pairs of records that agree on all encoded keys: LEFT_* and RIGHT_* of the carried columns and of _c0...
 
     once: for one dataset against itself, the id columns; each pair then comes once, the smaller id left. Ids are
     compared by their own type: numbers by value, strings by code point. A record without an id then pairs with nothing,
-    and rows that share an id not with each other. An empty side gives no pairs.
+    and rows that share an id not with each other. An empty side gives no pairs. Of pairs whose numbers are too far apart
+    for a comparison of the step, some are left out already. hot_rows: measure blocks and cut those of more records.
     """
     a = keyed(left, step, "left", left_carry)
     b = keyed(right, step, "right", right_carry)
     a, b = a.select(*[F.col(f"`{c}`").alias(LEFT + c) for c in a.columns]), b.select(*[F.col(f"`{c}`").alias(RIGHT + c) for c in b.columns])
-    same: Column | None = None
-    for i in range(len(step.keys())):
-        one = F.col(f"{LEFT}_k{i}") == F.col(f"{RIGHT}_k{i}")
-        same = one if same is None else same & one
+    a, b, with_band = banded(a, b, step)
+    keys = [*[f"_k{i}" for i in range(len(step.keys()))], *(["_band"] if with_band else [])]
+    if hot_rows is not None:
+        a, b = chunked(a, b, keys, hot_rows)
+        keys += ["_i", "_j"]
+    same = reduce(Column.__and__, [F.col(LEFT + k) == F.col(RIGHT + k) for k in keys])
     if once:
         same = same & (F.col(f"`{LEFT}{once[0]}`") < F.col(f"`{RIGHT}{once[1]}`"))
     joined = a.join(b, same, "inner")
-    keys = {side + f"_k{i}" for side in (LEFT, RIGHT) for i in range(len(step.keys()))}
-    return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c not in keys])
+    own = {side + k for side in (LEFT, RIGHT) for k in keys}
+    return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c not in own])

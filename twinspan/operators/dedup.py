@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from twinspan.plans.spec import Step
 
-from .blocking import LEFT, RIGHT
+from .blocking import HOT_ROWS, LEFT, RIGHT
 from .components import connected_components
 from .ids import numbered
 from .matching import earliest, pair_and_match
 from .rows import id_facts, rows_not_in
-from .storage import materialise
+from .storage import materialise_counted
 
 
 @dataclass
@@ -73,26 +73,27 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
     out of that step; an empty table gives empty results.
     """
     ends = [LEFT + index, RIGHT + index]
-    n_without, repeats = id_facts(records, index)
+    n_without, repeats, n_all = id_facts(records, index)
+    hot_rows = HOT_ROWS if n_all > HOT_ROWS else None  # fewer records make no larger block
     known = records.where(F.col(f"`{index}`").isNotNull()) if n_without else records
     single = _one_row_each(known, index) if repeats else known
     rest, pending, entities, details, offset = known, None, None, None, 0
     stats: dict[int, dict[str, int]] = {}
     pairs_so_far = 0
     for step in steps:
-        new = pair_and_match(rest, rest, step, [index], [index], (index, index)).select(*ends, "STEP")
+        new = pair_and_match(rest, rest, step, [index], [index], (index, index), hot_rows).select(*ends, "STEP")
         if repeats:  # else each pair of ids comes once
             new = new.distinct()
-        pending = materialise(new if pending is None else earliest(pending.unionByName(new), ends).select(*ends, "STEP"), "matched")
-        by_step = {r["STEP"]: r["n"] for r in pending.groupBy("STEP").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per step
-        stats[step.seq] = {"total_records_linked": by_step.get(step.seq, 0), "total_entities": 0}
+        new = new if pending is None else earliest(pending.unionByName(new), ends).select(*ends, "STEP")
+        pending, seen = materialise_counted(new, "matched", n=F.count(F.lit(1)), own=F.count_if(F.col("STEP") == step.seq))
+        stats[step.seq] = {"total_records_linked": seen["own"], "total_entities": 0}
         if not step.group:
             continue
-        if by_step:
-            found = materialise(assign_entities(pending, index, offset), "entities")
-            n = found.agg(F.max("ENTITY_ID")).first()[0] - offset
+        if seen["n"]:
+            found, of_found = materialise_counted(assign_entities(pending, index, offset), "entities", last=F.max("ENTITY_ID"))
+            n = of_found["last"] - offset
             offset += n
-            pairs_so_far += sum(by_step.values())
+            pairs_so_far += seen["n"]
             stats[step.seq]["total_entities"] = n
             more = matched_details(single, pending, found, index)
             details = more if details is None else details.unionByName(more)

@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from twinspan.plans.spec import Step
 
-from .blocking import LEFT, RIGHT
+from .blocking import HOT_ROWS, LEFT, RIGHT
 from .ids import numbered
 from .matching import pair_and_match
 from .relationship import enforce
@@ -115,9 +115,11 @@ def link(left_records: DataFrame, right_records: DataFrame, left_index: str, rig
     keys = [left.id, left.ent, right.id, right.ent]
     done, rejected = _no_pairs(left_records, right_records, left, right)
     offset, stats = 0, {}
-    repeats = any(id_facts(records, index)[1] for records, index in ((left_records, left_index), (right_records, right_index)))
+    facts = [id_facts(records, index) for records, index in ((left_records, left_index), (right_records, right_index))]
+    repeats = any(f[1] for f in facts)
+    hot_rows = HOT_ROWS if max(f[2] for f in facts) > HOT_ROWS else None  # fewer records make no larger block
     for step in steps:
-        matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity])
+        matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity], hot_rows=hot_rows)
         matched = matched.select(*keys, "STEP")
         if repeats:  # else each pair of ids comes once
             matched = matched.distinct()

@@ -35,8 +35,8 @@ def match(pairs: DataFrame, step: Step) -> DataFrame:
     return pairs.select(*[F.col(f"`{c}`") for c in kept], F.lit(step.seq).alias("STEP"))
 
 
-def pair_and_match(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], right_carry: list[str], once: tuple[str, str] | None = None) -> DataFrame:
-    return match(pair(left, right, step, left_carry, right_carry, once), step)
+def pair_and_match(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], right_carry: list[str], once: tuple[str, str] | None = None, hot_rows: int | None = None) -> DataFrame:
+    return match(pair(left, right, step, left_carry, right_carry, once, hot_rows), step)
 
 
 def earliest(matched: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,9 +41,9 @@ def ids_except(records: DataFrame, ids: DataFrame, index: str) -> DataFrame:
     return id_column(records, index, index).distinct().join(ids.select(index), index, "left_anti")
 
 
-def id_facts(records: DataFrame, index: str) -> tuple[int, bool]:
-    """The number of records without an id, and whether an id repeats."""
+def id_facts(records: DataFrame, index: str) -> tuple[int, bool, int]:
+    """The number of records without an id, whether an id repeats, and the number of records."""
     per_id = records.groupBy(F.col(f"`{index}`").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     none = F.col("id").isNull()
-    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(F.when(~none, F.col("n"))).alias("most")).first()
-    return found["none"] or 0, (found["most"] or 0) > 1
+    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(F.when(~none, F.col("n"))).alias("most"), F.sum("n").alias("all")).first()
+    return found["none"] or 0, (found["most"] or 0) > 1, found["all"] or 0

@@ -233,6 +233,19 @@ def block_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(pair(parts, parts, _step(_BLOCK), ["p_partkey"], ["p_partkey"], ("p_partkey", "p_partkey")), "p_partkey")
 
 
+@_query(
+    "block_hot_keys",
+    "SELECT l.c_custkey AS left_id, r.c_custkey AS right_id FROM customer l JOIN customer r ON l.c_mktsegment = r.c_mktsegment AND l.c_custkey < r.c_custkey WHERE abs(l.c_acctbal - r.c_acctbal) <= 20 AND l.c_nationkey + r.c_nationkey > 30",
+)
+def block_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few large blocks, cut into chunks of 64 records, and a band of numbers."""
+    customers = _table(spark, sf_dir, "customer")
+    step = _step(["c_mktsegment"], ["c_acctbal"], [Comparison("ABS_DIFF", {"threshold": 20})])
+    own = ["c_custkey", "c_nationkey"]
+    found = pair_and_match(customers, customers, step, own, own, ("c_custkey", "c_custkey"), hot_rows=64)
+    return _ids(found.where(F.col("LEFT_c_nationkey") + F.col("RIGHT_c_nationkey") > 30), "c_custkey")
+
+
 @_query(
     "block_soundex",
     f"{_IDS} FROM {_PARTS} l JOIN {_PARTS} r ON {_soundex_sql('l.nm')} = {_soundex_sql('r.nm')} AND l.p_brand = r.p_brand AND l.p_type = r.p_type AND l.p_partkey < r.p_partkey",
