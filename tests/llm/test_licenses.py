@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from tests.llm.cases import ROWS, no_docs, odd_docs
+from tests.llm.cases import ROWS, broken_docs, no_docs, odd_docs
 from twinspan.llm import licenses
 
 MIT = """MIT License
@@ -21,7 +21,7 @@ Copyright (c) 2020 Someone
 
 
 def found(text):
-    return licenses.licenses([k for k, _, _ in licenses.sentences(text)])
+    return licenses.licenses(licenses.sentences(text))
 
 
 def test_one_line_notices():
@@ -97,7 +97,8 @@ def by_hand(text, sentences, rules):
     ids, names, i = [k for k, _, _ in found], [], 0
     while i < len(ids):
         for name, rule in rules:
-            if ids[i : i + len(rule)] == rule:
+            near = all(b[1] - a[2] <= licenses.GAPS.get(name, licenses.GAP) for a, b in zip(found[i:], found[i + 1 : i + len(rule)], strict=False))
+            if ids[i : i + len(rule)] == rule and near:
                 names.append(name)
                 i += len(rule)
                 break
@@ -126,7 +127,7 @@ def test_against_brute_force():
         want, names = by_hand(text, book.sentences, book.rules)
         got = licenses.sentences(text)
         assert got == want, text
-        assert licenses.licenses([k for k, _, _ in got]) == names
+        assert licenses.licenses(got) == names
         hits += len(names)
     assert hits > 200
 
@@ -139,8 +140,8 @@ def test_each_rule_finds_its_own_licence():
 
 def test_a_book_of_ones_own():
     book = licenses.RuleBook({"a": ["House licence A."], "b": ["House licence B."]}, [("AB", ["a", "b"]), ("A", ["a"])], ["house"])
-    ids = [k for k, _, _ in licenses.sentences("House licence A. Text. House licence B.\nhouse licence a.", book)]
-    assert licenses.licenses(ids, book) == ["AB", "A"]
+    got = licenses.sentences("House licence A. Text. House licence B.\nhouse licence a.", book)
+    assert licenses.licenses(got, book) == ["AB", "A"]
     for bad in (({"a": ["no word of it"]}, []), ({}, [("A", ["a"])])):
         with pytest.raises(ValueError):
             licenses.RuleBook(*bad, ["house"])
@@ -159,3 +160,60 @@ def test_query_on_odd_rows(spark):
     assert licenses.scan(no_docs(spark)).count() == 0
     one = spark.createDataFrame([(1, MIT + "Licensed under CC BY 4.0.")], "doc_id long, text string")
     assert licenses.scan(one).first().licenses == "CC-BY-4.0,MIT"
+
+
+HOLDERS = ["Google Inc.", "the University of California, Berkeley", "Jane Q. Public", "ACME Corp. and its affiliates", "the copyright holder"]
+
+
+@pytest.mark.parametrize("holder", HOLDERS)
+def test_whole_texts_with_other_holders_give_their_own_name(holder):
+    """Every rule's text, any holder in its slots, wrapped at 60 characters, gives its licence and no other."""
+    import textwrap
+
+    for name, ids in licenses.STANDARD.rules:
+        parts = [licenses.STANDARD.sentences[i][0].replace(licenses.SLOT, holder) for i in ids]
+        for text in ("\n\n".join(parts), "\n\n".join(" * " + line for p in parts for line in textwrap.wrap(p, 60))):
+            assert set(found(f"Copyright (c) 2019 {holder}\n\n{text}\n")) == {name}, (name, ids)
+
+
+def test_wordings_in_use():
+    bsd = [licenses.SENTENCES[k][0] for k in ("bsd-redistribution", "bsd-source", "bsd-binary")]
+    as_is = licenses.SENTENCES["bsd-as-is"][0].replace(licenses.SLOT, "THE COPYRIGHT HOLDERS AND CONTRIBUTORS")
+    liability = licenses.SENTENCES["bsd-liability"][0].replace(licenses.SLOT, "THE COPYRIGHT OWNER OR CONTRIBUTORS")
+    endorse = "   * Neither the name of Google Inc. nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."
+    assert found("\n".join([*bsd, endorse, as_is, liability])) == ["BSD-3-Clause"]
+    assert found("\n".join([*bsd, as_is, liability])) == ["BSD-2-Clause"]
+    mit = [licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice", "mit-as-is")]
+    assert found("\n".join(mit)) == ["MIT"] and found("\n".join(mit[:2])) == ["MIT"]
+
+
+def test_sentences_far_apart_are_no_licence():
+    grant, notice = (licenses.SENTENCES[k][0] for k in ("mit-grant", "mit-notice"))
+    assert found(grant + "\n" + "other\n" * 10_000 + notice) == []
+    assert found(grant + "\n" + "x" * (licenses.GAP - 3) + "\n" + notice) == ["MIT"]
+
+
+@pytest.mark.parametrize(
+    ("tag", "names"),
+    [("MIT OR Apache-2.0", {"MIT", "Apache-2.0"}), ("(MIT AND BSD-3-Clause) OR ISC", {"MIT", "BSD-3-Clause", "ISC"}), ("Apache-2.0 WITH LLVM-exception", {"Apache-2.0"}), ("GPL-2.0", {"GPL-2.0-only"}), ("GPL-2.0+ */", {"GPL-2.0-or-later"}), ("MIT OR Unheard-1.0", {"MIT"})]
+    + [("MIT Apache-2.0", set()), ("OR MIT", set()), ("MIT OR", set()), ("not a licence at all", set()), ("", set()), ("\nMIT OR ISC", set())],
+)
+def test_tag_expressions(tag, names):
+    assert set(found(f"// SPDX-License-Identifier: {tag}\ncode")) == names
+
+
+def test_a_slot_takes_few_words():
+    sentence = licenses.SENTENCES["bsd-endorse"][0]
+    assert [k for k, _, _ in licenses.sentences(sentence.replace(licenses.SLOT, " ".join(["w"] * licenses.SLOT_WORDS)))] == ["bsd-endorse"]
+    assert licenses.sentences(sentence.replace(licenses.SLOT, " ".join(["w"] * (licenses.SLOT_WORDS + 1)))) == []
+    with pytest.raises(ValueError, match="slot"):
+        licenses.RuleBook({"a": ["<holder> holds the licence."]}, [], ["licen"])
+
+
+def test_texts_that_are_not_utf8(spark):
+    from pyspark.sql import functions as F
+
+    assert {r.n_sentences for r in licenses.scan(broken_docs(spark)).collect()} == {0}
+    body = F.concat(F.unhex(F.lit("fffe")), F.lit(" \nReleased under the MIT License.").cast("binary")).cast("string")
+    row = licenses.scan(spark.range(1).select(F.col("id").alias("doc_id"), body.alias("text"))).first()
+    assert (row.licenses, row.sentences) == ("MIT", "mit-released:4:35")

@@ -4,7 +4,10 @@ A text is cut into fragments at line breaks and behind sentence ends. Fragments,
 normalised (ASCII letters lower-cased, everything but letters and digits a single space) and looked up among known
 licence sentences. The sequence of sentence identifiers so found is then matched against ordered licence rules: at each
 place the first rule whose identifiers follow one another there wins and is passed over; an identifier that opens no rule
-stays as a sentence without a licence. Sentences and rules are a RuleBook, which a caller may extend or replace.
+stays as a sentence without a licence. Between two sentences of one rule there may be GAP characters of other text, or as
+many as the book allows for that licence. A wording may hold one slot, <holder>, for a name of up to SLOT_WORDS words. Tag
+lines may hold whole expressions of licence identifiers (OR, AND, WITH, parentheses), each of whose licences is found.
+Sentences and rules are a RuleBook, which a caller may extend or replace.
 
 Defined results: null and empty texts have no sentences; null ids and repeated rows are each scanned; a text of any length
 is scanned whole, in time linear in it; of several sentences that begin at one place the longest wins; of several rules the
@@ -33,7 +36,7 @@ SENTENCES = {
     ],
     "mit-notice": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "mit-as-is": ['THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'],
-    "mit-liability": ["IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "mit-liability": ["IN NO EVENT SHALL <holder> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
     "apache2-licensed": ["Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License");', "Released under the Apache License, Version 2.0.", "This project is licensed under the Apache License 2.0."],
     "apache2-comply": ["you may not use this file except in compliance with the License."],
     "apache2-copy": ["You may obtain a copy of the License at"],
@@ -82,19 +85,25 @@ SENTENCES = {
     ],
     "bsl1-distributed": ["Distributed under the Boost Software License, Version 1.0."],
     "bsd-as-is": [
-        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+        'THIS SOFTWARE IS PROVIDED BY <holder> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
     ],
     "bsd-liability": [
-        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+        "IN NO EVENT SHALL <holder> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
     ],
     "bsd-licensed": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License.", "This project is licensed under the BSD 3-Clause License."],
-    "isc-as-is": ['THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
+    "isc-as-is": ['THE SOFTWARE IS PROVIDED "AS IS" AND <holder> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'],
     "cc0-dedicated": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
     "gpl-details": ["See the GNU General Public License for more details."],
     "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "bsd-endorse": [
+        "Neither the name of <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of <holder> nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the names of <holder> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of <holder> may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "The name of <holder> may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "cc-by-nc-4-licensed": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-4-licensed": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
@@ -108,6 +117,8 @@ TAGGED = [
 # Rules in the order they are tried, longer ones of a licence first.
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-as-is", "mit-liability"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-as-is"]),
+    ("MIT", ["mit-grant", "mit-notice"]),
     ("MIT", ["mit-released"]),
     ("Apache-2.0", ["apache2-title", "apache2-terms", "apache2-grant"]),
     ("Apache-2.0", ["apache2-terms", "apache2-grant"]),
@@ -156,8 +167,19 @@ RULES = [
     ("MIT", ["mit-title"]),
     *((name, [f"tag-{name}"]) for name in TAGGED),
 ]
+# Older names of licences in tag lines.
+RENAMED = {
+    "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0-only", "GPL-3.0+": "GPL-3.0-or-later", "LGPL-2.1": "LGPL-2.1-only", "LGPL-2.1+": "LGPL-2.1-or-later",
+    "LGPL-3.0": "LGPL-3.0-only", "LGPL-3.0+": "LGPL-3.0-or-later", "AGPL-3.0": "AGPL-3.0-only", "AGPL-3.0+": "AGPL-3.0-or-later",
+}
+#: Characters of other text between two sentences of a rule; a clause of a licence is longer.
+GAP = 120
+# Of licences whose known sentences are further apart.
+GAPS = {"Apache-2.0": 30_000, "GPL-3.0-only": 1_000, "GPL-2.0-only": 2_500, "Zlib": 1_000, "BSL-1.0": 300, "Unlicense": 300, "MPL-2.0": 300}
+#: Words that a slot may take.
+SLOT, SLOT_WORDS = "<holder>", 16
 #: A text that holds none of these needs no cutting: every known sentence must hold one.
-CUES = ["licen", "permission", "redistribut", "copyright", "warrant", "terms and conditions", "public domain", "free to copy", "held liable", "a copy of the mpl", "this notice may not"]
+CUES = ["licen", "permission", "redistribut", "copyright", "warrant", "terms and conditions", "public domain", "free to copy", "held liable", "a copy of the mpl", "this notice may not", "in no event shall"]
 
 _PLAIN = re.compile(r"[^a-z0-9]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -186,16 +208,28 @@ def fragments(text: str) -> Iterator[tuple[int, int]]:
 class RuleBook:
     """sentences: by identifier, its wordings. rules: (licence, identifiers in order), in the order they are tried.
 
-    cues: lower-case; each wording must hold one, else a ValueError, since only texts with a cue are cut."""
+    gaps: by licence, characters between two sentences of a rule, where not GAP. cues: lower-case; each wording must hold one, else a ValueError, since only texts with a cue are cut."""
 
     sentences: dict[str, list[str]]
     rules: list[tuple[str, list[str]]]
     cues: list[str]
+    gaps: dict[str, int] = field(default_factory=dict)
     known: dict[str, str] = field(init=False)
     prefixes: frozenset[str] = field(init=False)
+    #: By first word: identifier, and the words before and behind the slot.
+    slots: dict[str, list[tuple[str, list[str], list[str]]]] = field(init=False)
 
     def __post_init__(self) -> None:
-        known = {normalised(s): k for k, wordings in self.sentences.items() for s in wordings}
+        known = {normalised(s): k for k, wordings in self.sentences.items() for s in wordings if SLOT not in s}
+        slots: dict[str, list[tuple[str, list[str], list[str]]]] = {}
+        for k, wordings in self.sentences.items():
+            for s in wordings:
+                if SLOT in s:
+                    head, tail = (normalised(part).split() for part in s.split(SLOT))
+                    if not head or not tail:
+                        raise ValueError(f"a slot at an end of {s!r}")
+                    slots.setdefault(head[0], []).append((k, head, tail))
+        object.__setattr__(self, "slots", slots)
         if without := [s for wordings in self.sentences.values() for s in wordings if not any(c in s.translate(_LOWER) for c in self.cues)]:
             raise ValueError(f"no cue in {without}")
         if unknown := {i for _, ids in self.rules for i in ids} - set(self.sentences):
@@ -207,12 +241,51 @@ class RuleBook:
 
 def standard_rules() -> RuleBook:
     tags = {f"tag-{name}": [f"SPDX-License-Identifier: {name}"] for name in TAGGED}
-    return RuleBook(SENTENCES | tags, RULES, CUES)
+    return RuleBook(SENTENCES | tags, RULES, CUES, GAPS)
 
 
 STANDARD = standard_rules()
 
 
+_TAG = "spdx license identifier"
+_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
+
+
+def tagged(expression: str, book: RuleBook) -> list[str]:
+    """Identifiers of the tag sentences for each licence of a tag line's expression; none if it is not well formed."""
+    names, want_name, skip = [], True, False
+    for token in _TOKEN.findall(expression.rstrip("*/->#; \t\r")):
+        if token in "()":
+            continue
+        if token in ("OR", "AND", "WITH"):
+            if want_name:
+                return []
+            want_name, skip = True, token == "WITH"
+            continue
+        if not want_name:
+            return []
+        if not skip:
+            names.append(RENAMED.get(token, token))
+        want_name = skip = False
+    return [] if want_name else [f"tag-{n}" for n in names if f"tag-{n}" in book.sentences]
+
+
+def _slotted(pieces: list[tuple[str, int, int]], i: int, book: RuleBook) -> tuple[str, int] | None:
+    """The sentence with a slot that begins at piece i, and the piece behind it."""
+    for name, head, tail in book.slots.get(pieces[i][0].split(" ", 1)[0], []):
+        words: list[str] = []
+        most = len(head) + SLOT_WORDS + len(tail)
+        for j in range(i, len(pieces)):
+            if len(pieces[j][0]) > 64 * most:
+                break
+            words += pieces[j][0].split()
+            if len(words) > most or words[: len(head)] != head[: len(words)]:
+                break
+            if len(words) > len(head) + len(tail) and words[-len(tail) :] == tail and " ".join(head) not in " ".join(words[len(head) :]):
+                return name, j + 1
+    return None
+
+
 def sentences(text: str, book: RuleBook = STANDARD) -> list[tuple[str, int, int]]:
     """Known sentences of text in order: identifier, start, end. The longest at a place wins."""
     low = text.translate(_LOWER) if text.isascii() else text.lower()
@@ -233,6 +306,14 @@ def sentences(text: str, book: RuleBook = STANDARD) -> list[tuple[str, int, int]
             j += 1
             if joined in book.known:
                 best = (book.known[joined], j)
+        slotted = _slotted(pieces, i, book)
+        if slotted and (not best or slotted[1] > best[1]):
+            best = slotted
+        if not best and pieces[i][0] == _TAG and i + 1 < len(pieces) and "\n" not in text[pieces[i][2] : pieces[i + 1][1]]:
+            names = tagged(text[pieces[i + 1][1] : pieces[i + 1][2]], book)
+            out += [(name, pieces[i][1], pieces[i + 1][2]) for name in names]
+            i += 2 if names else 1
+            continue
         if best:
             out.append((best[0], pieces[i][1], pieces[best[1] - 1][2]))
             i = best[1]
@@ -241,14 +322,19 @@ def sentences(text: str, book: RuleBook = STANDARD) -> list[tuple[str, int, int]
     return out
 
 
-def licenses(identifiers: list[str], book: RuleBook = STANDARD) -> list[str]:
-    """Licences of a sequence of sentence identifiers, by the ordered rules."""
+def licenses(found: list[tuple[str, int, int]], book: RuleBook = STANDARD) -> list[str]:
+    """Licences of the sentences of a text (identifier, start, end), by the ordered rules."""
     out, i = [], 0
-    while i < len(identifiers):
-        rule = next((r for r in book.rules if identifiers[i : i + len(r[1])] == r[1]), None)
-        if rule:
-            out.append(rule[0])
-        i += len(rule[1]) if rule else 1
+    names = [k for k, _, _ in found]
+    while i < len(found):
+        for licence, rule in book.rules:
+            far = book.gaps.get(licence, GAP)
+            if names[i : i + len(rule)] == rule and all(found[k + 1][1] - found[k][2] <= far for k in range(i, i + len(rule) - 1)):
+                out.append(licence)
+                i += len(rule)
+                break
+        else:
+            i += 1
     return out
 
 
@@ -260,9 +346,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", book: RuleBoo
         rows = []
         for body in batch.column("_text").to_pylist():
             found = sentences(body, book)
-            rows.append((len(found), ",".join(f"{k}:{s}:{e}" for k, s, e in found), ",".join(sorted(set(licenses([k for k, _, _ in found], book))))))
+            rows.append((len(found), ",".join(f"{k}:{s}:{e}" for k, s, e in found), ",".join(sorted(set(licenses(found, book))))))
         columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
         return pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, "n_sentences", "sentences", "licenses"])
 
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(key, F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     return map_slices(rows, "_text", work, f"`{key}` {kind}, n_sentences long, sentences string, licenses string")

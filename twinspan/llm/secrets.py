@@ -12,7 +12,8 @@ write them.
 
 Spans are in code points, end exclusive. Defined results: a null text counts as empty; null ids and repeated rows are each
 scanned; a text of any length is scanned whole, SEGMENT characters at a time between runs; of equal spans of two kinds each
-is listed, by start, then kind; columns of any other name are ignored by scan() and pass through redact(); an empty table
+is listed, by start, then kind; what is not valid UTF-8 in a text counts as U+FFFD, as Spark's make_valid_utf8 puts it, and
+redact() leaves it so; columns of any other name are ignored by scan() and pass through redact(); an empty table
 gives an empty result.
 """
 
@@ -259,7 +260,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", models: Model
         columns = [pa.array([r[i] for r in rows], pa.int64() if i < 5 else pa.string()) for i in range(7)]
         return pa.RecordBatch.from_arrays([batch.column(key), *columns], [key, *names])
 
-    rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(key, F.make_valid_utf8(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     return map_slices(rows, "_text", work, f"`{key}` {kept}, " + ", ".join(f"{n} {'long' if i < 5 else 'string'}" for i, n in enumerate(names)))
 
 
@@ -301,4 +302,5 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", models:
             columns.append(pa.array([bool(s) for s in spans]))
         return pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
 
-    return map_slices(docs, text, work, schema)
+    valid = docs.withColumn(text, F.make_valid_utf8(F.col(f"`{text}`")))
+    return map_slices(valid, text, work, schema)

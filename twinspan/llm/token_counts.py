@@ -8,7 +8,7 @@ row for each digest.
 
 Defined results: a null text counts as empty (0 tokens); repeated rows are each returned; null ids are kept; a very long
 text is encoded whole, by itself; a count equal to the limit is not over it; an empty table gives an empty result; other
-columns, whatever their names, are ignored. Normal form of a text for its digest: its UTF-8 bytes.
+columns, whatever their names, are ignored; a text that is not valid UTF-8 is encoded as the library takes its bytes. Normal form of a text for its digest: its UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def _encoder(path: str, version: str):
                     if digest not in seen:
                         seen.add(digest)
                         fresh[digest] = (packed, n)
-                counts = [len(ids) for ids in library.encode([unpack(p, max_output_size=n).decode() if n else "" for p, n in fresh.values()], num_threads=1)]
+                counts = [len(ids) for ids in library.encode([unpack(p, max_output_size=n) if n else b"" for p, n in fresh.values()], num_threads=1)]
                 if fresh:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(fresh), pa.binary()), pa.array([n for _, n in fresh.values()], pa.int64()), pa.array(counts, pa.int64()), pa.array([version] * len(fresh))],
