@@ -42,5 +42,5 @@ def rows(df, *columns):
 
 def broken_docs(spark):
     """Texts that are not valid UTF-8, as Spark's strings may be: doc_id and text."""
-    bodies = [(1, "6f6b20ff70617373776f7264203d2061626364656667686968696a6bfe"), (2, "c3"), (3, "e282"), (4, "70c3a4c3"), (5, "66696e65")]
+    bodies = [(1, "6f6b20ff70617373776f7264203d2061626364656667686968696afe"), (2, "c3"), (3, "e282"), (4, "70c3a4c3"), (5, "66696e65")]
     return spark.createDataFrame(bodies, "doc_id long, hex string").selectExpr("doc_id", "cast(unhex(hex) as string) AS text", "'en' AS lang", "'a' AS source", "1L AS n_chars")

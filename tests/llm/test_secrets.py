@@ -10,7 +10,7 @@ import pandas
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.cases import ROWS, no_docs, odd_docs
+from tests.llm.cases import ROWS, broken_docs, no_docs, odd_docs
 from twinspan.llm import secrets
 
 PATTERNS = [
@@ -156,3 +156,41 @@ def test_redaction(spark):
     flags = {(r.doc_id, r.n_chars): r.was for r in secrets.redact(docs, changed="was").collect()}
     assert flags[(10, 1)] and flags[(6, ROWS[5][4])] and not flags[(4, 0)] and flags[(3, None)] is False
     assert secrets.redacted("clean text, nothing here", secrets.own_models(spark)) == "clean text, nothing here"
+
+
+#: Strings that are no secrets, by kind; none of them is in the samples.
+ORDINARY = {
+    "paths": "/usr/local/lib/python3.13/site-packages/pandas/core/frame.py /home/anna/projects/twin-span/src/main/java/org/example/App.java s3://bucket/raw/2024/05/06/part-00017-snappy.parquet",
+    "addresses": "https://www.example.org/news/2023/10/05/world-europe-67890123?utm_source=feed&utm_medium=rss http://example.com/index.php?id=12345&page=2#section-4",
+    "german": "Donaudampfschifffahrtsgesellschaftskapitän Rechtsschutzversicherungsgesellschaften Kraftfahrzeughaftpflichtversicherung Straßenbahnhaltestelle",
+    "polish": "przedsiębiorstwo szczęściarz źdźbło Konstantynopolitańczykowianeczka Wszczepić bezwzględny",
+    "finnish": "epäjärjestelmällistyttämättömyydelläänsäkään lentokonesuihkuturbiinimoottoriapumekaanikkoaliupseerioppilas hyväksyttävissä",
+    "hungarian": "megszentségteleníthetetlenségeskedéseitekért szövetkezet munkanélküliség",
+    "welsh": "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogoch ysgrifennydd",
+    "sequences": "aaaaaaaaaaaaaaaaaaaaaaaa ================ ABCDEFGHIJKLMNOPQRSTUVWXYZ qwertyuiopasdfgh abcdefghijklmnopqrstuvwxyz 012345678901234567890123456789 GATTACAGATTACACCGTAAGCTTGACA",
+}
+
+
+@pytest.mark.parametrize("kind", ORDINARY)
+def test_kinds_of_strings_that_are_no_secrets(models, kind):
+    assert added(ORDINARY[kind], models) == []
+
+
+def test_uuids_and_digests_count_as_secrets(models):
+    rng = random.Random(1)
+    uuids = [f"{rng.getrandbits(32):08x}-{rng.getrandbits(16):04x}-4{rng.getrandbits(12):03x}-a{rng.getrandbits(12):03x}-{rng.getrandbits(48):012x}" for _ in range(200)]
+    assert sum(bool(added(f"id {u} x", models)) for u in uuids) > 0.85 * len(uuids)
+
+
+def test_samples_are_the_same_under_any_interpreter():
+    """They come from fixed seeds; a change of this digest is a change of the models."""
+    rows = [*secrets.random_samples(), *secrets.identifier_samples(), *secrets.number_samples(), *secrets.sequence_samples()]
+    assert hashlib.sha256("\n".join(rows).encode()).hexdigest() == "f3181bf7ff660759bf35f058b018d6877547f08387cc66dfec61051c98187f79"
+
+
+def test_texts_that_are_not_utf8(spark):
+    """What is not valid counts as one U+FFFD a broken sequence, and redaction leaves it so."""
+    rows = {r.doc_id: r for r in secrets.scan(broken_docs(spark)).collect()}
+    assert len(rows) == 5 and rows[1].n_assign == 1 and rows[1].spans.startswith("assign:4:27")
+    texts = {r.doc_id: r.text for r in secrets.redact(broken_docs(spark), changed="was").collect()}
+    assert texts == {1: "ok \ufffd[SECRET]\ufffd", 2: "\ufffd", 3: "\ufffd", 4: "pä\ufffd", 5: "fine"}

@@ -2,7 +2,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from tests.llm.cases import ROWS, no_docs, odd_docs, rows
+from tests.llm.cases import ROWS, broken_docs, no_docs, odd_docs, rows
 from twinspan.llm import token_counts
 from twinspan.operators.storage import new_path
 
@@ -51,3 +51,11 @@ def test_another_version_of_the_tokenizer_misses(spark):
     spark.read.parquet(path).selectExpr("content_sha256", "'other' AS tokenizer_sha256", "n_bytes", "n_tokens + 1 AS n_tokens").write.partitionBy("tokenizer_sha256").parquet(path + "-other")
     token_counts.fill_cache(odd_docs(spark), MODEL, path + "-other")
     assert spark.read.parquet(path + "-other").count() == 2 * n
+
+
+def test_texts_that_are_not_utf8(spark, library):
+    """The library takes their bytes as they are."""
+    docs = broken_docs(spark)
+    bodies = {r.doc_id: bytes(r.body) for r in docs.selectExpr("doc_id", "cast(text as binary) AS body").collect()}
+    want = sorted((i, len(b), len(library.encode(b)), False) for i, b in bodies.items())
+    assert rows(token_counts.token_counts(docs, MODEL, new_path(spark, "cache"))) == want

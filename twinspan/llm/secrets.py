@@ -7,8 +7,10 @@ of it belongs to the same secret. Runs inside one base span add nothing.
 
 The models are character bigrams, trained from a table of labelled samples (see fit()): a row is a string and whether it
 is random. labelled_samples() is the library's own table: strings drawn from the alphabets that credentials use, against
-names of Python's standard library, identifiers built of words and syllables, and dates, numbers and codes as people
-write them.
+identifiers built of words and syllables of several languages, dates, numbers and codes as people write them, and
+sequences that only look random (repeated characters, alphabets, keyboard rows, bases). All are made by rule from fixed
+seeds, so every interpreter has the same models. Meant to be found, because nothing in their characters tells them from
+keys: UUIDs, digests, and other strings drawn evenly from many letters, such as sequences of amino acids.
 
 Spans are in code points, end exclusive. Defined results: a null text counts as empty; null ids and repeated rows are each
 scanned; a text of any length is scanned whole, SEGMENT characters at a time between runs; of equal spans of two kinds each
@@ -19,17 +21,11 @@ gives an empty result.
 
 from __future__ import annotations
 
-import builtins
 import functools
 import hashlib
-import html.entities
-import keyword
-import locale
 import random
 import re
-import sys
 from dataclasses import dataclass
-from encodings.aliases import aliases
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +57,14 @@ _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 
 _SYLLABLES = "the and ing ion er re on an in at en es or te ti ar st nd to it is le ve co me de ne se ro al ma li ta ra ri ca un pro ble der ich que ent ado cion eau".split()
 _WORDS = "get set user name file path data list item index value count config key hash id http server client request response error handler test build parse read write buffer stream node tree map table column row query session token page view model image video chapter section version release draft final report account order customer".split()
+_ENGLISH = (
+    "which what when where while who why whole white wheel whale whether whatever anywhere somewhat only early daily family really likely friendly slowly truly ugly holy rely supply apply reply july lyric polygon analysis "
+    "buy play boy may they say eye year young yellow beyond system style type rhythm mystery joyful voyage crazy lazy pizza puzzle buzz zone zero zebra citizen frozen horizon magazine jazz "
+    "quick quiet question equal square unique vague league enough through thought though daughter laugh night right knight know knee knife write wrong wrist sword answer island debt doubt "
+    "aware always away ahead ago above about after again against almost along among another around because before behind below between both during each either every few first from good great have here high however"
+).split()
 _ABROAD = (
+    "zum zur zusammen dazu zurück zucker zug zuletzt hinzu kurz zuvor "
     "jetzt platz satz schutz ganz herz pflanze kopf pferd pfeffer schwarz zwischen straße schreiben gesellschaft wirtschaft entwicklung möglichkeit regierung zeitung "
     "deux mieux vieux yeux lieux jeux heureux nombreux beaux eaux cheveux nouveaux travaux animaux oiseaux aujourd toujours quelque chaque lorsque beaucoup histoire "
     "ciudad gobierno trabajo mujer tiempo siempre nosotros desarrollo quien mejor hijo lluvia año niño calle llegar izquierda "
@@ -81,14 +84,9 @@ def random_samples(n: int = 3000, seed: int = 7) -> list[str]:
     return ["".join(rng.choice(a) for _ in range(rng.randint(12, 64))) for a in (alphabets[i % len(alphabets)] for i in range(n))]
 
 
-def library_names() -> list[str]:
-    """Names that Python's standard library uses, as it comes."""
-    return sorted({*sys.stdlib_module_names, *dir(builtins), *keyword.kwlist, *html.entities.name2codepoint, *aliases, *aliases.values(), *locale.locale_alias})
-
-
 def identifier_samples(n: int = 6000, seed: int = 8) -> list[str]:
     """Words of several languages, paths and identifiers in the usual spellings, with the numbers people put in them."""
-    rng, out, known = random.Random(seed), [], [*_WORDS, *_ABROAD]
+    rng, out, known = random.Random(seed), [], [*_WORDS, *_ENGLISH, *_ABROAD]
     for i in range(n):
         words = [rng.choice(known) if rng.random() < 0.7 else "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(2, 4))) for _ in range(rng.randint(1, 5))]
         if rng.random() < 0.5:
@@ -118,9 +116,24 @@ def number_samples(n: int = 4000, seed: int = 9) -> list[str]:
     return [forms[i % len(forms)]() for i in range(n)]
 
 
+def sequence_samples(n: int = 2000, seed: int = 10) -> list[str]:
+    """One character repeated, alphabets and keyboard rows and parts of them, and sequences of the four bases."""
+    rng = random.Random(seed)
+    rows = ["abcdefghijklmnopqrstuvwxyz", "0123456789", "qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertyuiopasdfghjklzxcvbnm"]
+    rows += [r.upper() for r in rows if r.isalpha()]
+    part = lambda r: r[(a := rng.randrange(len(r) - 3)) : a + rng.randint(4, len(r))]
+    forms = [
+        lambda: rng.choice(ALPHABET) * rng.randint(8, 64),
+        lambda: rng.choice(rows) * rng.randint(1, 3),
+        lambda: part(rng.choice(rows)),
+        lambda: "".join(rng.choice("ACGT") for _ in range(rng.randint(12, 64))),
+    ]
+    return [forms[i % len(forms)]() for i in range(n)]
+
+
 def labelled_samples(spark: SparkSession) -> DataFrame:
     """The library's own samples: text, is_random."""
-    rows = [(s, True) for s in random_samples()] + [(s, False) for s in [*identifier_samples(), *library_names(), *number_samples()]]
+    rows = [(s, True) for s in random_samples()] + [(s, False) for s in [*identifier_samples(), *number_samples(), *sequence_samples()]]
     return spark.createDataFrame(rows, "text string, is_random boolean")
 
 
