@@ -140,8 +140,7 @@ def test_validation(spark, tmp_path):
 def test_warnings(tmp_path):
     good = link_project(tmp_path)
     one = good["steps"][0]
-    with pytest.warns(UserWarning, match="PRB"):
-        validate(good | {"steps": [one | {"linking_method": "PRB"}]})
+    validate(good | {"steps": [one | {"linking_method": "PRB"}]})
     with pytest.warns(UserWarning, match="cut to the shortest"):
         validate(good | {"steps": [one | {"linking_schema": one["linking_schema"] | {"comparisons": [{"name": "EXACT"}] * 2}}]})
 
@@ -336,7 +335,10 @@ def test_catalog(spark):
     assert "LEVENSHTEIN" not in {n for n, _ in found["linking"]["PRB"]}
     assert found["args"]["DTR"]["LEVENSHTEIN"] == ["max_edits"]
     assert catalog.algorithms_frame(spark).count() >= 18
-    assert [n for n, _ in catalog.field_categories()][0] == "firstname_field" and catalog.info()["version"]
+    names = ["firstname_field", "lastname_field", "middlename_field", "data_field", "sin_field", "string_field", "numeric_field"]
+    assert [n for n, _ in catalog.field_categories()] == names and catalog.info()["version"]
+    args = {a["name"]: a["args"] for a in catalog.algorithms_frame(spark).where("built_in").collect()}
+    assert args["SLICE_MATCH"] == ["start", "end"] and args["FIXED_VAL"] == ["value"] and args["LEVENSHTEIN"] == ["max_edits"] and args["SOUNDEX"] == []
 
 
 def test_command_line(tmp_path):

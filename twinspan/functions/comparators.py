@@ -28,17 +28,17 @@ def exact(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-@register("BOTH_EMPTY", "Both empty", None)
+@register("BOTH_EMPTY", "Both empty", None, of_presence=True)
 def both_empty(left: Column, right: Column) -> Column:
     return is_empty(left) & is_empty(right)
 
 
-@register("ONE_EMPTY", "Exactly one empty", None)
+@register("ONE_EMPTY", "Exactly one empty", None, of_presence=True)
 def one_empty(left: Column, right: Column) -> Column:
     return is_empty(left) != is_empty(right)
 
 
-@register("BOTH_EXIST", "Neither empty", None)
+@register("BOTH_EXIST", "Neither empty", None, of_presence=True)
 def both_exist(left: Column, right: Column) -> Column:
     return ~is_empty(left) & ~is_empty(right)
 

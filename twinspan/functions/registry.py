@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from importlib import import_module
 from importlib.metadata import entry_points
@@ -27,7 +28,8 @@ class Algorithm:
     once per record, before records are paired. costly comparators run after all others of a step. key, for comparators
     that ask for one equal value on both sides (null equal to nothing): (column, **args) -> that value; steps then join
     on it. band, for comparators of numbers: (**args) -> how far two accepted numbers may be apart, or None where that is
-    not known; steps then join on bands of numbers as well.
+    not known; steps then join on bands of numbers as well. of_presence: it asks whether values are there, so a missing one
+    is no missing answer.
     """
 
     name: str
@@ -40,6 +42,7 @@ class Algorithm:
     costly: bool = False
     key: Callable | None = None
     band: Callable[..., float | None] | None = None
+    of_presence: bool = False
     defaults: dict[str, Any] = field(default_factory=dict)
 
     def checked(self, args: dict[str, Any]) -> dict[str, Any]:
@@ -66,6 +69,19 @@ def add(algorithm: Algorithm) -> Algorithm:
     return algorithm
 
 
+@contextmanager
+def registered_for(algorithm: Algorithm) -> Iterator[Algorithm]:
+    """Registered inside, and not any more behind it; an earlier algorithm of that name is back then."""
+    table = _table(algorithm.kind)
+    before = table.get(algorithm.name)
+    try:
+        yield add(algorithm)
+    finally:
+        del table[algorithm.name]
+        if before:
+            table[algorithm.name] = before
+
+
 def register(name: str, title: str, kind: str | None = DETERMINISTIC, **more) -> Callable:
     """Decorator that registers a function as an algorithm."""
 

@@ -28,7 +28,8 @@ _LAST_BAND = float(1 << 40)
 
 
 def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
-    """carry columns with _k0.. (encoded keys) and _c0.. (what comparators read). Records with a null key field are out.
+    """carry columns with _k0.. (encoded keys) and _c0.. (what comparators read), and for PRB steps _p0.. (whether the
+    compared field is there). Records with a null key field are out.
 
     Encodings, prepared values and the parts that comparisons want equal are made here, once per record and not once per
     pair. Fields of white space only
@@ -47,8 +48,10 @@ def keyed(df: DataFrame, step: Step, side: str, carry: list[str]) -> DataFrame:
         clean = algorithm.prepare(clean, field, f"_c{i}", **algorithm.checked(c[2].args)) if algorithm.prepare else clean.withColumn(f"_c{i}", F.col(field))
         if algorithm.key:
             clean = clean.withColumn(f"_c{i}", algorithm.key(F.col(f"_c{i}"), **algorithm.checked(c[2].args)))
+    with_presence = [f"_p{i}" for i in range(len(compared))] if step.method == "PRB" else []
+    clean = clean.withColumns({p: F.col(own[c[place]]).isNotNull() for p, c in zip(with_presence, compared, strict=False)})
     clean = clean.withColumns({f"_k{i}": encoder(k[2]).apply(F.col(own[k[place]])) for i, k in enumerate(keys)})
-    return clean.select(*carry, *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(compared))])
+    return clean.select(*carry, *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(compared))], *with_presence)
 
 
 def _place(number: Column, width: float, shift: float, slack: int) -> Column:
@@ -65,7 +68,7 @@ def banded(a: DataFrame, b: DataFrame, step: Step) -> tuple[DataFrame, DataFrame
     """
     for i, (_, _, c) in enumerate(step.compared()):
         algorithm = comparator(c.name)
-        apart = algorithm.band(**algorithm.checked(c.args)) if algorithm.band else None
+        apart = algorithm.band(**algorithm.checked(c.args)) if algorithm.band and step.method != "PRB" else None
         if apart is None or not 0 <= apart < float("inf"):
             continue
         x, y = F.col(f"{LEFT}_c{i}"), F.col(f"{RIGHT}_c{i}")

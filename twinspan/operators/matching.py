@@ -11,6 +11,7 @@ from twinspan.functions import comparator
 from twinspan.plans.spec import Step
 
 from .blocking import LEFT, RIGHT, pair
+from .probabilistic import probable
 
 
 def predicates(step: Step) -> tuple[list[Column], list[Column]]:
@@ -26,11 +27,15 @@ def predicates(step: Step) -> tuple[list[Column], list[Column]]:
 
 
 def match(pairs: DataFrame, step: Step) -> DataFrame:
-    """Pairs that all comparisons accept, with STEP; the comparators' own columns are gone."""
-    for group in predicates(step):
-        if group:
-            pairs = pairs.where(reduce(Column.__and__, group))
-    own = {f"{side}_c{i}" for side in (LEFT, RIGHT) for i in range(len(step.compared()))}
+    """Pairs that all comparisons accept, or for PRB steps those that are probable, with STEP; the comparators' own columns
+    are gone."""
+    if step.method == "PRB":
+        pairs = probable(pairs, step)
+    else:
+        for group in predicates(step):
+            if group:
+                pairs = pairs.where(reduce(Column.__and__, group))
+    own = {f"{side}_{kind}{i}" for side in (LEFT, RIGHT) for kind in "cp" for i in range(len(step.compared()))}
     kept = [c for c in pairs.columns if c not in own]
     return pairs.select(*[F.col(f"`{c}`") for c in kept], F.lit(step.seq).alias("STEP"))
 

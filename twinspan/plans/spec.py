@@ -30,6 +30,8 @@ class Step:
     link_right: tuple[str, ...] = ()
     group: bool = True
     method: str = "DTR"
+    #: Of a PRB step: how probable it must be that a pair is a match.
+    least: float = 0.9
 
     def keys(self) -> list[tuple[str, str, str | None]]:
         """(left field, right field, transformation) by position; a missing transformation is the raw value."""
@@ -113,6 +115,7 @@ def step_from(raw: dict[str, Any], synonyms: str | None = None) -> Step:
         comparisons=tuple(comparisons),
         group=bool(raw.get("group", False)),
         method=raw.get("linking_method") or "DTR",
+        least=float(link.get("probability", 0.9)),
     )
 
 

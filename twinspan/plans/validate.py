@@ -32,6 +32,7 @@ MESSAGES = {
     "INVALID_ENTITY_FIELD": "A dataset lacks its entity field.",
     "INVALID_RELATIONSHIP": "The relationship is none of 1T1, 1TM and MT1.",
     "INVALID_METHOD": "A step's linking method is neither DTR nor PRB.",
+    "INVALID_PROBABILITY": "A step's probability is not between 0 and 1.",
     "UNKNOWN_ALGORITHM": "A step names a transformation or comparison that is not registered.",
     "INVALID_ARGUMENT": "A comparison is given an argument it does not take.",
     "DUPLICATE_IDS": "A dataset's index repeats.",
@@ -49,6 +50,10 @@ class ValidationError(ValueError):
         super().__init__("Validation Error(s):\n" + "".join(f"\t{c}: {MESSAGES[c]}\n" for c in self.codes))
 
 
+def _is_probability(value: Any) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool) and 0 <= value <= 1
+
+
 def _step_faults(raw: dict[str, Any], synonyms: str | None) -> list[str]:
     found = []
     block, link = raw.get("blocking_schema") or {}, raw.get("linking_schema") or {}
@@ -61,8 +66,10 @@ def _step_faults(raw: dict[str, Any], synonyms: str | None) -> list[str]:
         found.append("NO_LINKING_METHOD")
     elif method not in METHODS:
         found.append("INVALID_METHOD")
-    elif method == "PRB":
-        warnings.warn("no probabilistic comparison is built in: PRB steps match as DTR steps do", stacklevel=3)
+    elif method == "PRB" and not _is_probability(link.get("probability", 0.9)):
+        found.append("INVALID_PROBABILITY")
+    if "INVALID_PROBABILITY" in found:
+        return found
     step = step_from(raw, synonyms)
     if any(c.name == "SYNONYMS" and not c.args.get("table") for c in step.comparisons) and not has_default():
         found.append("SYNONYMS_MISSING")

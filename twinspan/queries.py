@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinspan.functions import encoder, register
+from twinspan.functions import Algorithm, encoder
+from twinspan.functions.outcomes import outcome
+from twinspan.functions.registry import registered_for
 from twinspan.functions.synonyms import use_synonyms
 from twinspan.functions.text import blank_to_null, py_slice
 from twinspan.operators.blocking import keyed, pair
@@ -18,13 +20,13 @@ from twinspan.operators.frequency import agreement, field_sizes, top_values, u_v
 from twinspan.operators.ids import numbered
 from twinspan.operators.link import link
 from twinspan.operators.matching import earliest, pair_and_match
+from twinspan.operators.probabilistic import Weights, pattern, scored
 from twinspan.operators.relationship import enforce, unique_partner
 from twinspan.operators.rows import id_column, ids_except, paired_ids, rows_in, rows_not_in
 from twinspan.operators.storage import new_path
-from twinspan.plans import catalog
 from twinspan.plans.options import Options
 from twinspan.plans.report import as_frame, summary
-from twinspan.plans.spec import Comparison, Dataset, Project, Step, project_from
+from twinspan.plans.spec import Comparison, Dataset, Project, Step
 from twinspan.plans.runner import duplicate_ids, execute_project, run_task
 from twinspan.plans.sql import entities, matched_table, register_functions, self_match
 from twinspan.plans.validate import ValidationError, validate
@@ -698,28 +700,109 @@ def duplicate_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_ids(_table(spark, sf_dir, "orders").select("o_custkey"), "o_custkey")
 
 
-# --- catalog and report
+# --- field categories and report
+
+
+def _outcome_sql(agrees: str, a: str, b: str, missing: str = "Missing", swapped: str = "false") -> str:
+    return f"CASE WHEN {a} IS NULL OR {b} IS NULL THEN '{missing}' WHEN {agrees} THEN 'Agreement' WHEN {swapped} THEN 'Swapped' ELSE 'Disagreement' END"
+
+
+#: Each order with the next of its customer; dates as text, some with month and day changed over.
+_NEXT = (
+    "(SELECT o_orderkey AS id, o_orderpriority AS p, o_totalprice AS t, strftime(o_orderdate, '%Y-%m-%d') AS d, lead(o_orderpriority) OVER w AS p2, lead(o_totalprice) OVER w AS t2, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y/%d/%m') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y%m%d') ELSE lead(strftime(o_orderdate, '%Y-%m-%d')) OVER w END AS d2 "
+    "FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))"
+)
+_DAY, _DAY2 = "replace(d, '-', '')", "replace(replace(d2, '-', ''), '/', '')"
+
+
+@_query(
+    "field_outcomes",
+    f"SELECT id, {_outcome_sql('p = p2', 'p', 'p2')} AS name, {_outcome_sql('p = p2', 'p', 'p2', 'Disagreement')} AS string, {_outcome_sql('t = t2', 't', 't2', 'Disagreement')} AS numeric, "
+    + _outcome_sql(f"{_DAY} = {_DAY2}", "d", "d2", swapped=f"{_DAY} = left({_DAY2}, 4) || substr({_DAY2}, 7, 2) || substr({_DAY2}, 5, 2)")
+    + f' AS "date" FROM {_NEXT}',
+)
+def field_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of each order against the next of its customer, by field category."""
+    after = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    day = lambda form: F.date_format("o_orderdate", form)
+    other = F.when(F.col("o_orderkey") % 3 == 0, day("yyyy/dd/MM")).when(F.col("o_orderkey") % 3 == 1, day("yyyyMMdd")).otherwise(F.lead(day("yyyy-MM-dd")).over(after))
+    rows = _table(spark, sf_dir, "orders").withColumns({"p2": F.lead("o_orderpriority").over(after), "t2": F.lead("o_totalprice").over(after), "d": day("yyyy-MM-dd"), "d2": other})
+    of = lambda category, a, b, name: outcome(category, F.col(a), F.col(b)).alias(name)
+    return rows.select(
+        F.col("o_orderkey").alias("id"),
+        of("lastname_field", "o_orderpriority", "p2", "name"),
+        of("string_field", "o_orderpriority", "p2", "string"),
+        of("numeric_field", "o_totalprice", "t2", "numeric"),
+        of("data_field", "d", "d2", "date"),
+    )
+
+
+# --- probabilistic matching
+
+_PRB = _step(_BLOCK, ["nm", "p_size", "p_retailprice"], [Comparison("EXACT"), Comparison("ABS_DIFF", {"threshold": 5}), Comparison("ABS_DIFF", {"threshold": 100})], method="PRB")
+_PRB_PAIRS = (
+    "SELECT l.p_partkey AS left_id, r.p_partkey AS right_id, CASE WHEN l.nm IS NULL OR r.nm IS NULL THEN 2 WHEN l.nm = r.nm THEN 1 ELSE 0 END AS a1, "
+    f"(abs(l.p_size - r.p_size) <= 5)::INTEGER AS a2, (abs(l.p_retailprice - r.p_retailprice) <= 100)::INTEGER AS a3 {_PAIRED}"
+)
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _parts(spark, sf_dir)
+    return pair(parts, parts, _PRB, ["p_partkey"], ["p_partkey"], ("p_partkey", "p_partkey"))
+
+
+@_query("prb_patterns", f"SELECT (a1 + 3 * a2 + 9 * a3)::INTEGER AS pattern, count(*) AS n FROM ({_PRB_PAIRS}) GROUP BY 1")
+def prb_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir).select(pattern(_PRB).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query(
-    "field_categories",
-    "SELECT * FROM (VALUES ('firstname_field', 'First name field'), ('lastname_field', 'Last name field'), ('middlename_field', 'Middle name field'), ('data_field', 'Date of Birth field'), "
-    "('sin_field', 'SIN field'), ('string_field', 'General String field'), ('numeric_field', 'General Numeric field')) AS x(name, title)",
+    "prb_scores",
+    f"WITH x AS ({_PRB_PAIRS}), u AS (SELECT (SELECT sum(n * n) FROM (SELECT count(*) AS n FROM {_PARTS} WHERE nm IS NOT NULL GROUP BY nm))::DOUBLE / (count(nm)::DOUBLE * count(nm)) AS u FROM {_PARTS}) "
+    "SELECT left_id, right_id, round(CASE a1 WHEN 1 THEN log2(0.9 / u) WHEN 0 THEN log2((1 - 0.9) / (1 - u)) ELSE 0 END + CASE a2 WHEN 1 THEN log2(0.8 / 0.2) ELSE log2((1 - 0.8) / (1 - 0.2)) END "
+    "+ CASE a3 WHEN 1 THEN log2(0.7 / 0.3) ELSE log2((1 - 0.7) / (1 - 0.3)) END, 9) AS score FROM x, u",
+)
+def prb_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores under given weights, of which u of the name is its chance agreement."""
+    parts = _parts(spark, sf_dir)
+    seen = agreement(parts, parts, "nm", "nm").first()
+    by_chance = seen["agreement"] / (seen["agreement"] + seen["disagreement"]) if seen["agreement"] else 0.0
+    found = scored(_candidates(spark, sf_dir), _PRB, Weights((0.9, 0.8, 0.7), (by_chance, 0.2, 0.3), 0.01))
+    return found.select(F.col("LEFT_p_partkey").alias("left_id"), F.col("RIGHT_p_partkey").alias("right_id"), F.round("SCORE", 9).alias("score"))
+
+
+_COPIES = _step(["lang"], ["text", "text", "n_chars"], [Comparison("HEAD_MATCH", {"n": 20}), Comparison("TAIL_MATCH", {"n": 20}), Comparison("ABS_DIFF", {"threshold": 10})], method="PRB", least=0.9)
+_COPY_PAIRS = (
+    "SELECT l.doc_id AS left_id, r.doc_id AS right_id, (left(l.text, 20) = left(r.text, 20))::INTEGER AS a1, (right(l.text, 20) = right(r.text, 20))::INTEGER AS a2, "
+    "(abs(l.n_chars - r.n_chars) <= 10)::INTEGER AS a3 FROM documents l JOIN documents r ON l.lang = r.lang AND l.doc_id < r.doc_id"
 )
-def field_categories_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(catalog.field_categories(), "name string, title string")
+_LIKELY = "CASE c.a1 WHEN 1 THEN {x}1 WHEN 0 THEN 1 - {x}1 ELSE 1 END * CASE c.a2 WHEN 1 THEN {x}2 ELSE 1 - {x}2 END * CASE c.a3 WHEN 1 THEN {x}3 ELSE 1 - {x}3 END"
+_MATCHED = f"(s * {_LIKELY.format(x='m')} / (s * {_LIKELY.format(x='m')} + (1 - s) * {_LIKELY.format(x='u')}))"
+
+
+def _share_sql(weight: str, i: int) -> str:
+    return f"least(greatest(sum(CASE WHEN c.a{i} = 1 THEN {weight} ELSE 0 END) / sum(CASE WHEN c.a{i} < 2 THEN {weight} ELSE 0 END), 1e-9), 1 - 1e-9)"
 
 
 @_query(
-    "catalog_algorithms",
-    "SELECT * FROM (VALUES ('EXACT', 'TSF', ''), ('SOUNDEX', 'TSF', ''), ('NYSIIS', 'TSF', ''), ('EXACT', NULL, ''), ('BOTH_EMPTY', NULL, ''), ('ONE_EMPTY', NULL, ''), ('BOTH_EXIST', NULL, ''), "
-    "('SOUNDEX', NULL, ''), ('NYSIIS', NULL, ''), ('SLICE_MATCH', NULL, 'start,end'), ('HEAD_MATCH', NULL, 'n'), ('TAIL_MATCH', NULL, 'n'), ('FIXED_LEN', NULL, 'length'), ('FIXED_VAL', NULL, 'value'), "
-    "('ABS_DIFF', NULL, 'threshold'), ('LEVENSHTEIN', 'DTR', 'max_edits'), ('JARO_WINKLER', 'DTR', 'threshold'), ('SYNONYMS', 'DTR', 'table')) AS x(name, kind, args)",
+    "prb_match",
+    f"WITH RECURSIVE x AS ({_COPY_PAIRS}), c AS (SELECT a1, a2, a3, count(*)::DOUBLE AS n FROM x GROUP BY 1, 2, 3), "
+    "w AS (SELECT 0 AS turn, 0.9::DOUBLE AS m1, 0.9::DOUBLE AS m2, 0.9::DOUBLE AS m3, sum(CASE WHEN a1 = 1 THEN n ELSE 0 END) / sum(CASE WHEN a1 < 2 THEN n ELSE 0 END) AS u1, sum(a2 * n) / sum(n) AS u2, sum(a3 * n) / sum(n) AS u3, 0.1::DOUBLE AS s FROM c "
+    + "UNION ALL SELECT turn + 1, "
+    + ", ".join(_share_sql(f"n * {_MATCHED}", i) for i in (1, 2, 3))
+    + ", "
+    + ", ".join(_share_sql(f"n * (1 - {_MATCHED})", i) for i in (1, 2, 3))
+    + f", sum(n * {_MATCHED}) / sum(n) FROM w, c WHERE turn < 2000 GROUP BY turn), "
+    f"last AS (SELECT * FROM w WHERE turn = 2000) SELECT left_id, right_id FROM x AS c, last WHERE {_MATCHED} >= 0.9",
 )
-def catalog_algorithms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The algorithms that come with the library; plugins may have added others."""
-    found = catalog.algorithms_frame(spark)
-    return found.where(F.col("built_in")).select("name", "kind", F.array_join("args", ",").alias("args"))
+def prb_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are probably copies, by weights estimated from all pairs of a language."""
+    docs = _table(spark, sf_dir, "documents")
+    return _ids(pair_and_match(docs, docs, _COPIES, ["doc_id"], ["doc_id"], ("doc_id", "doc_id")), "doc_id")
+
+
+# --- report
 
 
 @_query("summary_report", f"{_linked_sql('1T1')} SELECT 1::BIGINT AS seq, (SELECT count(*) FROM k) AS total_records_linked, (SELECT count(*) FROM ids) AS total_entities, (SELECT count(*) FROM m) - (SELECT count(*) FROM k) AS total_matched_not_linked")
@@ -822,24 +905,6 @@ def project_link_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@_query("project_columns", "SELECT * FROM (VALUES ('customer', 0, 'c_custkey'), ('customer', 1, 'c_entity'), ('customer', 2, 'c_nationkey'), ('customer', 3, 'c_acctbal'), ('supplier', 0, 's_suppkey'), ('supplier', 1, 's_entity'), ('supplier', 2, 's_nationkey'), ('supplier', 3, 's_acctbal')) AS x(side, place, name)")
-def project_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a project reads of each dataset."""
-    project = project_from(_link_object({}, {}))
-    return spark.createDataFrame([(side, i, c) for place, side in enumerate(("customer", "supplier")) for i, c in enumerate(project.used_columns(place))], "side string, place int, name string")
-
-
-@_query("project_description", "SELECT 'balances' AS name, 'LINK' AS type, 'One to one' AS relationship_type, 'Deterministic' AS linking_method, 'c_nationkey' AS block_left, 's_nationkey' AS block_right, 'EXACT' AS transformation, 'c_acctbal' AS link_left, 's_acctbal' AS link_right, 'ABS_DIFF' AS comparison, '50' AS threshold")
-def project_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A project's description, as fields."""
-    said = spark.createDataFrame([(project_from(_link_object({}, {})).describe(),)], "said string")
-    at = lambda path, name: F.get_json_object("said", path).alias(name)
-    fields = [at(f"$.{n}", n) for n in ("name", "type", "relationship_type")] + [at("$.steps[0].linking_method", "linking_method")]
-    fields += [at(f"$.steps[0].blocking[0].{n}", alias) for n, alias in (("left", "block_left"), ("right", "block_right"), ("transformation", "transformation"))]
-    fields += [at(f"$.steps[0].linking[0].{n}", alias) for n, alias in (("left", "link_left"), ("right", "link_right"), ("comparison", "comparison"), ("args.threshold", "threshold"))]
-    return said.select(*fields)
-
-
 @_query(
     "project_faults",
     "SELECT * FROM (VALUES ('none', 'NO_PROJECT'), ('bare', 'NAME_MISSING'), ('bare', 'TYPE_MISSING'), ('bare', 'OUT_PATH_MISSING'), ('bare', 'DATASET_MISSING'), ('bare', 'NO_STEPS'), "
@@ -888,8 +953,9 @@ def source_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("plugin_comparator", f"{_IDS} {_PAIRED} WHERE l.p_size % 5 = r.p_size % 5")
 def plugin_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comparator that is registered from outside, as plugins do, with an argument and a default."""
-    register("SAME_REST", "Same rest", "DTR", args=("of",), defaults={"of": 2})(lambda left, right, of: left % of == right % of)
-    return _self_match(spark, sf_dir, _step(_BLOCK, ["p_size"], [Comparison("SAME_REST", {"of": 5})]))
+    same_rest = Algorithm("SAME_REST", "Same rest", "DTR", lambda left, right, of: left % of == right % of, args=("of",), defaults={"of": 2})
+    with registered_for(same_rest):
+        return _self_match(spark, sf_dir, _step(_BLOCK, ["p_size"], [Comparison("SAME_REST", {"of": 5})]))
 
 
 def queries() -> dict[str, Query]:
