@@ -181,3 +181,22 @@ def test_soundex_in_sql_is_the_encoder_s(spark):
     df.createOrReplaceTempView("soundex_names")
     rows = spark.sql("SELECT x, soundex_encode(x) AS s FROM soundex_names").select("s", encoder("SOUNDEX").apply(F.col("x")).alias("e")).collect()
     assert [r.s for r in rows] == [r.e for r in rows]
+
+
+def test_nysiis_in_the_jvm_as_the_plain_one(spark):
+    """Random words of the letters that the rules are about, and names with marks; no Python in the plan."""
+    import random
+
+    from twinspan.functions.phonetic import nysiis, nysiis_column, nysiis_sql
+
+    pick = random.Random(9)
+    words = ["".join(pick.choice("AEIOUHWKNSCPMQZVDRTYBLGFEHW") for _ in range(pick.randint(0, 9))) for _ in range(6000)]
+    starts, ends = ["MAC", "KN", "K", "PH", "PF", "SCH", ""], ["EE", "IE", "DT", "RT", "RD", "NT", "ND", "AY", "S", "A", "AS", "SA", "", "EV", "H", "W"]
+    words += [pick.choice(starts) + w[:4] + pick.choice(ends) for w in words[:3000]]
+    words += ["", " ", "12", "Muñoz", "O'Brien", "Strauß", "ĳssel", "ﬁsher", "Ｓｃｈｍｉｄｔ", "Nguyễn", "Ǆ", "Łódź", "Éèêë", "a", "S", "AY", "HH", "wwa", None]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    coded = df.select("w", nysiis_column(df.w).alias("code"), F.expr(nysiis_sql("w")).alias("code_sql"))
+    assert "Python" not in coded._jdf.queryExecution().executedPlan().toString()
+    wrong = [(r.w, r.code, nysiis(r.w)) for r in coded.collect() if r.w is not None and not r.code == r.code_sql == nysiis(r.w)]
+    assert wrong == []
+    assert [r.code for r in coded.collect() if r.w is None] == [None]

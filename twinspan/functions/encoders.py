@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .phonetic import nysiis_udf
+from .phonetic import nysiis_column
 from .registry import ENCODER, register
 from .text import fold
 
@@ -23,4 +23,4 @@ def soundex(c: Column) -> Column:
 
 @register("NYSIIS", "NYSIIS code", ENCODER)
 def nysiis(c: Column) -> Column:
-    return nysiis_udf()(c.cast("string"))
+    return nysiis_column(c)

@@ -1,4 +1,4 @@
-"""Kernels that Spark has no expression for: NYSIIS codes and Jaro-Winkler similarity, run on Arrow batches."""
+"""NYSIIS codes, as expressions of the JVM, and Jaro-Winkler similarity, run on Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import folding
+
 VOWELS = frozenset("AEIOU")
 # The substitutions of NYSIIS (Taft, Name Search Techniques, 1970).
 FIRST = [("MAC", "MCC"), ("KN", "NN"), ("K", "C"), ("PH", "FF"), ("PF", "FF"), ("SCH", "SSS")]
@@ -100,16 +102,56 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * PREFIX_WEIGHT * (1 - jaro)
 
 
-@functools.cache
-def nysiis_udf():
-    """Vectorised: each batch encodes its distinct values once."""
-
-    @F.pandas_udf("string")
-    def encode(names: pd.Series) -> pd.Series:
-        codes = {n: nysiis(n) for n in names.dropna().unique()}
-        return pd.Series([codes.get(n) for n in names], dtype=object)
+def _steps() -> list[tuple[str, str]]:
+    """NYSIIS as replacements by regular expressions, one after the other, in a word of letters.
 
-    return encode
+    Inside a word a letter that takes the value of the one before it is as good as gone, because repeated letters are
+    written once; so H and W are either kept or dropped, and only the letters that are left stand before others.
+    """
+    inside = lambda old: f"(?<=.){old}"
+    out = [(f"^{old}", new) for old, new in FIRST]
+    # endings of one value at once: an ending is replaced once only
+    out += [(f"({'|'.join(old for old, x in LAST if x == new)})$", new) for new in dict.fromkeys(new for _, new in LAST)]
+    out += [(inside(old), new) for old, new in INNER]
+    out.append((inside("[EIOU]"), "A"))
+    out += [(inside("H(?![AEIOU])"), ""), ("(?<=[AEIOU])W+", ""), ("(?<=[^AEIOU])H", "")]
+    return [*out, (r"(.)\1+", "$1"), (inside("S$"), ""), ("AY$", "Y"), (inside("A$"), "")]
+
+
+STEPS = _steps()
+
+
+def unfolded() -> list[tuple[str, str]]:
+    """Single characters that stand for several Latin letters, below U+0250 and among the ligatures, and the letters."""
+    out = []
+    for point in (0xDF, *range(0x100, 0x250), *range(0xFB00, 0xFB07)):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(point)).upper() if "A" <= c <= "Z")
+        if len(plain) > 1:
+            out.append((chr(point), plain))
+    return out
+
+
+def nysiis_column(name: Column) -> Column:
+    """nysiis() as an expression of the JVM, null for null. Of letters with marks and letters that stand for others it
+    knows those of the Latin blocks, the ligatures and the full-width forms; others are dropped."""
+    word = name.cast("string")
+    for one, several in unfolded():
+        word = F.replace(word, F.lit(one), F.lit(several))
+    word = F.upper(F.translate(word, *folding(wide=True)))
+    for pattern, new in [("[^A-Z]", ""), *STEPS]:
+        word = F.regexp_replace(word, pattern, new)
+    return word
+
+
+def nysiis_sql(name: str) -> str:
+    """nysiis_column() as SQL text over an expression."""
+    for one, several in unfolded():
+        name = f"replace({name}, '{one}', '{several}')"
+    marked, plain = folding(wide=True)
+    name = f"upper(translate({name}, '{marked}', '{plain}'))"
+    for pattern, new in [("[^A-Z]", ""), *STEPS]:
+        name = f"regexp_replace({name}, r'{pattern}', '{new}')"
+    return name
 
 
 #: Pairs whose longer text has at most so many characters are compared all at once.

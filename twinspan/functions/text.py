@@ -33,10 +33,11 @@ def py_slice(c: Column, start: int | None, end: int | None) -> Column:
     return F.substring(c, first + 1, F.greatest(last - first, F.lit(0)))
 
 
-def folding() -> tuple[str, str]:
-    """Latin letters with marks below U+0250, and the ASCII letter that each decomposes to."""
+def folding(wide: bool = False) -> tuple[str, str]:
+    """Latin letters with marks below U+0250, and the ASCII letter that each decomposes to; wide: also those of the later
+    Latin blocks and the full-width forms."""
     pairs = []
-    for point in range(0xC0, 0x250):
+    for point in [*range(0xC0, 0x250), *([*range(0x1E00, 0x1F00), *range(0xFF21, 0xFF5B)] if wide else [])]:
         base = unicodedata.normalize("NFKD", chr(point))[0]
         if base.isascii() and base.isalpha():
             pairs.append((chr(point), base))

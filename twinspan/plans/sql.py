@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from twinspan.functions.phonetic import jaro_winkler_udf, nysiis_udf
+from twinspan.functions.phonetic import jaro_winkler_udf, nysiis_sql
 from twinspan.functions.text import folding
 from twinspan.operators.components import connected_components
 
@@ -13,8 +13,8 @@ def register_functions(spark: SparkSession) -> None:
     """Make compare_lev(a, b, k), jaro_winkler(a, b, t), soundex_encode(a), nysiis_encode(a) and match_slice(a, b, s, e).
 
     Null in, null out; match_slice also accepts two nulls and else wants both texts to reach e. Codes are those of the
-    encoders. Built-in expressions are SQL functions that Catalyst inlines; the two that need Python take whole batches:
-    nysiis_encode, and jaro_winkler_similarity(a, b), which jaro_winkler compares with t.
+    encoders. All are SQL functions that Catalyst inlines; one needs Python, which takes whole batches:
+    jaro_winkler_similarity(a, b), which jaro_winkler compares with t.
     """
     marked, plain = folding()
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION compare_lev(a STRING, b STRING, k INT) RETURNS BOOLEAN RETURN levenshtein(a, b) <= k")
@@ -24,7 +24,7 @@ def register_functions(spark: SparkSession) -> None:
         "CASE WHEN a IS NULL AND b IS NULL THEN true WHEN a IS NULL OR b IS NULL THEN false "
         "WHEN length(a) < e OR length(b) < e THEN false ELSE substring(a, s + 1, e - s) = substring(b, s + 1, e - s) END"
     )
-    spark.udf.register("nysiis_encode", nysiis_udf())
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION nysiis_encode(a STRING) RETURNS STRING RETURN {nysiis_sql('a')}")
     spark.udf.register("jaro_winkler_similarity", jaro_winkler_udf())
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION jaro_winkler(a STRING, b STRING, t DOUBLE) RETURNS BOOLEAN RETURN jaro_winkler_similarity(a, b) >= t")
 
