@@ -10,7 +10,7 @@ import pytest
 from twinspan.operators.storage import intermediates
 from twinspan.plans import catalog
 from twinspan.plans.options import Options, read_options
-from twinspan.plans.report import as_frame, as_html, as_json
+from twinspan.plans.report import as_frame, as_html, as_json, as_pdf
 from twinspan.functions.synonyms import use_synonyms
 from twinspan.plans.runner import execute_project, run_project, run_task
 from twinspan.plans.spec import project_from, read_project
@@ -108,6 +108,48 @@ def faults(raw, columns=None):
     return set(error.value.codes)
 
 
+def _pdf_texts(body):
+    """The strings that a PDF of ours draws, page by page, read by the file's own table of places."""
+    import re
+
+    assert body.startswith(b"%PDF-1.4\n") and body.endswith(b"%%EOF\n")
+    start = int(re.search(rb"startxref\n(\d+)\n", body)[1])
+    n = int(re.match(rb"xref\n0 (\d+)\n", body[start:])[1])
+    places = [int(x) for x in re.findall(rb"(\d{10}) 00000 n ", body[start:])]
+    assert len(places) == n - 1
+    objects = {}
+    for number, at in enumerate(places, 1):
+        found = re.match(rb"%d 0 obj\n(.*?)\nendobj\n" % number, body[at:], re.S)
+        objects[number] = found[1]
+    kids = [int(x) for x in re.findall(rb"(\d+) 0 R", re.search(rb"/Kids \[(.*?)\]", objects[2])[1])]
+    out = []
+    for kid in kids:
+        stream = objects[int(re.search(rb"/Contents (\d+) 0 R", objects[kid])[1])]
+        length, drawn = int(re.search(rb"/Length (\d+)", stream)[1]), re.search(rb"stream\n(.*)\nendstream", stream, re.S)[1]
+        assert len(drawn) == length
+        out.append([re.sub(rb"\\(.)", rb"\1", t).decode("cp1252") for t in re.findall(rb"Td \(((?:[^()\\]|\\.)*)\) Tj", drawn)])
+    return out
+
+
+def test_report_as_pdf(spark, tmp_path):
+    report = execute_project(spark, dedup_project(tmp_path))
+    with open(report.replace(".html", ".pdf"), "rb") as f:
+        pages = _pdf_texts(f.read())
+    assert len(pages) == 1
+    shown = pages[0]
+    assert shown[0] == "people" and shown[shown.index("Entities") + 1] == "3" and shown[shown.index("total_records_linked") + 1] == "1"
+    assert "LEVENSHTEIN" in shown and '{"max_edits": 1}' in shown
+
+
+def test_long_reports_have_many_pages(tmp_path):
+    run_report = {"name": "a (long) \\ report é 数", "type": "Linking", "datasets": ["x " * 900], "relationship_type": None, "total_records_linked": 0, "total_entities": 0}
+    step = {"seq": 1, "linking_method": "Deterministic", "blocking": [["a", "b", "EXACT"]] * 30, "linking": [["a", "b", "EXACT", {}]], "total_records_linked": 1, "total_entities": 1, "total_matched_not_linked": None}
+    pages = _pdf_texts(as_pdf(run_report | {"steps": [step | {"seq": i} for i in range(8)]}))
+    assert len(pages) > 5 and pages[0][0] == "a (long) \\ report é ?"
+    assert sum(t.count("x") for p in pages for t in p if set(t) <= {"x", " "} and t) == 900
+    assert [t for p in pages for t in p if t.startswith("Step")] == [f"Step {i}: Deterministic" for i in range(8)]
+
+
 def test_validation(spark, tmp_path):
     good = link_project(tmp_path)
     validate(good, lambda d: ["id", "ent", "k"])

@@ -1,13 +1,15 @@
-"""The summary of a run, as data, JSON and HTML."""
+"""The summary of a run, as data, JSON, HTML and PDF."""
 
 from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pdf import Pages
 from .spec import METHODS, RELATIONSHIPS, Project
 
 TYPES = {"LINK": "Linking", "DEDUP": "De-duplication"}
@@ -44,20 +46,40 @@ def as_json(report: dict[str, Any]) -> str:
     return json.dumps(report, indent=2)
 
 
+def _shown(x: Any) -> str:
+    return "" if x is None else json.dumps(x) if isinstance(x, dict) else str(x)
+
+
+def _parts(report: dict[str, Any]) -> Iterator[tuple[str, list[list[Any]]]]:
+    """What pages show: titles, each with tables that follow it, whose first row is the head."""
+    header = [["Type", report["type"]], ["Datasets", ", ".join(report["datasets"])], ["Relationship", report["relationship_type"]], ["Pairs linked", report["total_records_linked"]], ["Entities", report["total_entities"]]]
+    yield report["name"], [[["", ""], *(r for r in header if r[1] is not None)]]
+    for s in report["steps"]:
+        counters = [[k, s[k]] for k in COUNTERS if s[k] is not None]
+        tables = [[["Left", "Right", "Transformation"], *s["blocking"]], [["Left", "Right", "Comparison", "Arguments"], *s["linking"]], [["Counter", "Value"], *counters]]
+        yield f"Step {_shown(s['seq'])}: {_shown(s['linking_method'])}", tables
+
+
 def as_html(report: dict[str, Any]) -> str:
     """A page without outside parts."""
+    cell = lambda x: html.escape(_shown(x))
 
-    def cell(x: Any) -> str:
-        return html.escape("" if x is None else json.dumps(x) if isinstance(x, dict) else str(x))
-
-    def table(head: list[str], rows: list[list[Any]]) -> str:
+    def table(head: list[Any], rows: list[list[Any]]) -> str:
         top = "".join(f"<th>{cell(h)}</th>" for h in head)
         return f"<table border='1'><tr>{top}</tr>" + "".join("<tr>" + "".join(f"<td>{cell(x)}</td>" for x in r) + "</tr>" for r in rows) + "</table>"
 
-    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{cell(report['name'])}</title></head><body><h1>{cell(report['name'])}</h1>"]
-    header = [["Type", report["type"]], ["Datasets", ", ".join(report["datasets"])], ["Relationship", report["relationship_type"]], ["Pairs linked", report["total_records_linked"]], ["Entities", report["total_entities"]]]
-    out.append(table(["", ""], [r for r in header if r[1] is not None]))
-    for s in report["steps"]:
-        out += [f"<h2>Step {cell(s['seq'])}: {cell(s['linking_method'])}</h2>", table(["Left", "Right", "Transformation"], s["blocking"]), table(["Left", "Right", "Comparison", "Arguments"], s["linking"])]
-        out.append(table(["Counter", "Value"], [[k, s[k]] for k in COUNTERS if s[k] is not None]))
+    out = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{cell(report['name'])}</title></head><body>"]
+    for i, (title, tables) in enumerate(_parts(report)):
+        level = "h2" if i else "h1"
+        out += [f"<{level}>{cell(title)}</{level}>", *(table(t[0], t[1:]) for t in tables)]
     return "".join([*out, "</body></html>"])
+
+
+def as_pdf(report: dict[str, Any]) -> bytes:
+    """The same as pages to print."""
+    pages = Pages()
+    for i, (title, tables) in enumerate(_parts(report)):
+        pages.heading(_shown(title), 12 if i else 16)
+        for table in tables:
+            pages.table([[_shown(x) for x in row] for row in table if any(row)])
+    return pages.document()

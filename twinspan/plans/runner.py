@@ -16,7 +16,7 @@ from twinspan.operators.storage import drop_path, intermediates, make_folder, pa
 from twinspan.sources.tables import columns_of, read_dataset, write_table
 
 from .options import Options
-from .report import as_html, as_json, summary
+from .report import as_html, as_json, as_pdf, summary
 from .spec import DEDUP, Project, project_from
 from .validate import ValidationError, validate
 
@@ -73,7 +73,7 @@ def execute_project(spark: SparkSession, raw: dict[str, Any], options: Options =
     """Run a project and write its results into <output root>/<run id>; returns the report's path.
 
     De-duplication: deduped_data (in the dataset's order, or by the index, or by ENTITY_ID) and dedup_matched. Linking:
-    linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html and .json. The run
+    linked_data, matched_not_linked_data, unlinked_left and unlinked_right. Both: <name>_summary.html, .pdf and .json. The run
     id is the project's task_uuid, or a new one; where its output folder is there already, FileExistsError is raised and
     nothing in it changes. Intermediate tables go to a new folder below temp_path, or below the shared folder where the
     project has no temp_path, which is deleted at the end, whether the run succeeds or not. Of a run that fails while it
@@ -107,8 +107,8 @@ def _write_results(spark: SparkSession, run: Run, root: str, run_id: str, option
         write_table(r.unlinked_left, f"{root}/unlinked_left", kind, [run.project.datasets[0].index_field])
         write_table(r.unlinked_right, f"{root}/unlinked_right", kind, [run.project.datasets[1].index_field])
     path = f"{root}/{re.sub(r'[^\w.-]+', '_', run.project.name)}_summary"
-    for suffix, body in ((".json", as_json(run.report | {"run_id": run_id})), (".html", as_html(run.report))):
-        _write_text(spark, path + suffix, body)
+    for suffix, body in ((".json", as_json(run.report | {"run_id": run_id}).encode()), (".pdf", as_pdf(run.report)), (".html", as_html(run.report).encode())):
+        _write_bytes(spark, path + suffix, body)
     return path + ".html"
 
 
@@ -125,12 +125,12 @@ def run_task(spark: SparkSession, raw: dict[str, Any], options: Options = Option
         return done | {"errors": [str(error)]}
 
 
-def _write_text(spark: SparkSession, path: str, body: str) -> None:
+def _write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
     """By the file system that owns the path."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
     try:
-        out.write(bytearray(body.encode()))
+        out.write(bytearray(body))
     finally:
         out.close()
