@@ -208,6 +208,11 @@ def held_out(key: str) -> Column:
 _fitted: dict[str, Model] = {}
 
 
+def forget_models() -> None:
+    """The next fit trains anew, as in a new driver."""
+    _fitted.clear()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on a bounded sample of the labelled rows of docs outside the held-out fold."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
