@@ -73,13 +73,14 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
     out of that step; an empty table gives empty results.
     """
     ends = [LEFT + index, RIGHT + index]
-    n_without, repeats, n_all = id_facts(records, index)
-    hot_rows = HOT_ROWS if n_all > HOT_ROWS else None  # fewer records make no larger block
+    facts = id_facts(records, index)
+    n_without, repeats = facts.without, facts.repeats
+    hot_rows = HOT_ROWS if facts.records > HOT_ROWS else None  # fewer records make no larger block
     known = records.where(F.col(f"`{index}`").isNotNull()) if n_without else records
     single = _one_row_each(known, index) if repeats else known
     rest, pending, entities, details, offset = known, None, None, None, 0
     stats: dict[int, dict[str, int]] = {}
-    pairs_so_far = 0
+    pairs_so_far = in_pairs = 0
     for step in steps:
         new = pair_and_match(rest, rest, step, [index], [index], (index, index), hot_rows).select(*ends, "STEP")
         if repeats:  # else each pair of ids comes once
@@ -90,7 +91,8 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
         if not step.group:
             continue
         if seen["n"]:
-            found, of_found = materialise_counted(assign_entities(pending, index, offset), "entities", last=F.max("ENTITY_ID"))
+            found, of_found = materialise_counted(assign_entities(pending, index, offset), "entities", n=F.count(F.lit(1)), last=F.max("ENTITY_ID"))
+            in_pairs += of_found["n"]
             n = of_found["last"] - offset
             offset += n
             pairs_so_far += seen["n"]
@@ -106,7 +108,7 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
         details = matched_details(empty, no_pairs, empty.select(id_column, F.lit(0).cast("long").alias("ENTITY_ID")), index)
     left_over = rest.select(F.col(f"`{index}`"))
     alone = numbered(left_over.distinct() if repeats else left_over, [index], "ENTITY_ID", offset)
-    total = offset + alone.count()
+    total = offset + facts.ids - in_pairs
     everyone = alone if entities is None else entities.unionByName(alone)
     others = [c for c in records.columns if c != index]
     order = [F.col(f"`{index}`"), F.col("ENTITY_ID"), *[F.col(f"`{c}`") for c in others]]

@@ -116,8 +116,8 @@ def link(left_records: DataFrame, right_records: DataFrame, left_index: str, rig
     done, rejected = _no_pairs(left_records, right_records, left, right)
     offset, stats = 0, {}
     facts = [id_facts(records, index) for records, index in ((left_records, left_index), (right_records, right_index))]
-    repeats = any(f[1] for f in facts)
-    hot_rows = HOT_ROWS if max(f[2] for f in facts) > HOT_ROWS else None  # fewer records make no larger block
+    repeats = any(f.repeats for f in facts)
+    hot_rows = HOT_ROWS if max(f.records for f in facts) > HOT_ROWS else None  # fewer records make no larger block
     for step in steps:
         matched = pair_and_match(_with_id(rest_l, left_index), _with_id(rest_r, right_index), step, [left_index, left_entity], [right_index, right_entity], hot_rows=hot_rows)
         matched = matched.select(*keys, "STEP")

@@ -5,6 +5,8 @@ And what several operators ask of a table: names it lacks, whether its ids repea
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +43,19 @@ def ids_except(records: DataFrame, ids: DataFrame, index: str) -> DataFrame:
     return id_column(records, index, index).distinct().join(ids.select(index), index, "left_anti")
 
 
-def id_facts(records: DataFrame, index: str) -> tuple[int, bool, int]:
-    """The number of records without an id, whether an id repeats, and the number of records."""
+@dataclass(frozen=True)
+class IdFacts:
+    """The number of records, of those without an id, and of different ids, and whether an id repeats."""
+
+    records: int
+    without: int
+    ids: int
+    repeats: bool
+
+
+def id_facts(records: DataFrame, index: str) -> IdFacts:
     per_id = records.groupBy(F.col(f"`{index}`").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     none = F.col("id").isNull()
-    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(F.when(~none, F.col("n"))).alias("most"), F.sum("n").alias("all")).first()
-    return found["none"] or 0, (found["most"] or 0) > 1, found["all"] or 0
+    known = F.when(~none, F.col("n"))
+    found = per_id.agg(F.sum(F.when(none, F.col("n"))).alias("none"), F.max(known).alias("most"), F.sum("n").alias("all"), F.count(known).alias("ids")).first()
+    return IdFacts(found["all"] or 0, found["none"] or 0, found["ids"], (found["most"] or 0) > 1)
