@@ -225,3 +225,23 @@ def test_numbering_leaves_columns_of_any_name(spark):
     df = spark.createDataFrame([(i, *[f"{c}{i}" for c in names]) for i in (3, 1, 2)], ", ".join(["k int", *(f"`{c}` string" for c in names)]))
     rows = numbered(df, ["k"], "n").collect()
     assert sorted(map(tuple, rows)) == [(i, *[f"{c}{i}" for c in names], i) for i in (1, 2, 3)]
+
+
+def test_frequencies_and_sql_of_nulls_and_nothing(spark):
+    from twinspan.operators.frequency import field_sizes, top_values
+    from twinspan.plans.sql import entities, register_functions, self_match
+
+    odd = spark.createDataFrame([(1, "a"), (1, " a "), (None, "a"), (2, None), (3, "  "), (4, "b"), (4, "b")], "id int, v string")
+    nothing = odd.limit(0)
+    assert {(r.value, r.n) for r in value_counts(odd, "v").collect()} == {("a", 3), ("b", 2)} and value_counts(nothing, "v").count() == 0
+    assert tuple(field_sizes(odd, "v").first()) == (7, 5, 2) and tuple(field_sizes(nothing, "v").first()) == (0, 0, 0)
+    assert top_values(nothing, "v", 3).count() == 0 and u_values(odd, nothing, "v", "v").count() == 0
+    assert tuple(agreement(nothing, odd, "v", "v").first()) == (None, None, None)
+    register_functions(spark)
+    for name, df, want in (("odd_rows", odd, []), ("no_rows", nothing, []), ("more_rows", odd.withColumn("v", F.lit("k")), [(1, 2), (1, 2), (1, 3), (1, 3), (1, 4), (1, 4), (1, 4), (1, 4), (2, 3), (2, 4), (2, 4), (3, 4), (3, 4)])):
+        df.createOrReplaceTempView(name)
+        assert sorted(map(tuple, self_match(spark, name, "id", ["{t}.v"], "true").collect())) == want
+    spark.createDataFrame([(1, 2), (None, 2), (2, 5), (7, None), (8, 8)], "left_id int, right_id int").createOrReplaceTempView("pairs_of_rows")
+    assert {tuple(r) for r in entities(spark, "pairs_of_rows").collect()} == {(1, 1), (2, 1), (5, 1)}
+    spark.createDataFrame([], "left_id int, right_id int").createOrReplaceTempView("pairs_of_rows")
+    assert entities(spark, "pairs_of_rows").count() == 0

@@ -34,7 +34,9 @@ SELF_MATCH = "SELECT l.{id} AS left_id, r.{id} AS right_id FROM {view} l JOIN {v
 
 
 def self_match(spark: SparkSession, view: str, id: str, keys: list[str], comparison: str):
-    """Run SELF_MATCH; keys are expressions in which {t} stands for the side, as "soundex_encode({t}.name)"."""
+    """Run SELF_MATCH; keys are expressions in which {t} stands for the side, as "soundex_encode({t}.name)".
+
+    A null id or key pairs with nothing; rows that share an id not with each other; an empty view gives no pairs."""
     same = " AND ".join(f"{k.format(t='l')} = {k.format(t='r')}" for k in keys)
     return spark.sql(SELF_MATCH.format(id=id, view=view, keys=same, comparison=comparison))
 
@@ -47,7 +49,8 @@ def matched_table(spark: SparkSession, name: str, view: str, id: str, keys: list
 
 
 def entities(spark: SparkSession, pairs: str):
-    """record_id and entity (its smallest record) of the records in a table of left_id and right_id.
+    """record_id and entity (its smallest record) of the records in a table of left_id and right_id; pairs with a null end
+    join nothing, and an empty table has no entities.
 
     A recursive query would walk every path; contraction needs a few rounds of joins.
     """
