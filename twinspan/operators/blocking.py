@@ -22,7 +22,7 @@ from .storage import materialise
 
 LEFT, RIGHT = "LEFT_", "RIGHT_"
 #: Records of one side and block beyond which the block is cut into chunks of as many.
-HOT_ROWS = 1 << 14
+HOT_ROWS = 1 << 15
 #: Bands beyond this one, of either sign, are one: rounding could move a number by a band there.
 _LAST_BAND = float(1 << 40)
 
