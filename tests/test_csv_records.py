@@ -69,7 +69,7 @@ def test_line_breaks_of_both_kinds_and_a_mark_at_the_start(spark, tmp_path, smal
     (tmp_path / "x.csv").write_bytes(b"\xef\xbb\xbf" + body.encode())
     found = read_dataset(spark, Dataset("d", f"{tmp_path}/x.csv", "a", data_types={"a": "INTEGER", "b": "VARCHAR"}), ["a", "b"])
     got = {r["a"]: r["b"] for r in found.collect()}
-    assert got == {1: "x\ny", 2: "z", 90: None} | {i: f"{i}\n" for i in range(3, 90)}
+    assert got == {1: "x\r\ny", 2: "z", 90: None} | {i: f"{i}\r\n" for i in range(3, 90)}
 
 
 def test_inferred_types_are_those_of_the_reader(spark, tmp_path, small_blocks):

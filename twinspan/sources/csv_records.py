@@ -7,7 +7,7 @@ every block's start, and a second scan then joins the lines of each record. Reco
 together from the few blocks concerned. One row for a block is all that is broadcast.
 
 Quotes count as RFC 4180 has them: a field is quoted if its first character but white space is a quote, and doubled quotes
-inside stand for one. A line break is LF or CRLF; inside a field it is read as LF. Records of white space only are no
+inside stand for one. A line break is LF or CRLF; inside a field it stays as it stands. Records of white space only are no
 records. The first record of each file is its header.
 """
 
@@ -165,7 +165,9 @@ def _joiner(whole: bool, places: bool, cut: bool = True):
             yield pa.RecordBatch.from_arrays([known[c]() for c in names], names)
 
         def joined(parts: list[pa.Array], bounds: np.ndarray) -> pa.Array:
-            return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.concat_arrays(parts)), "\n")
+            records = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.concat_arrays(parts)), "\n")
+            # of a CRLF at a record's end; pieces are trimmed when they are whole
+            return pc.replace_substring_regex(records, "\r$", "") if whole and pc.any(pc.ends_with(records, "\r")).as_py() else records
 
         def ended() -> Iterator[pa.RecordBatch]:
             if held:
@@ -180,8 +182,6 @@ def _joiner(whole: bool, places: bool, cut: bool = True):
                 kind = REST if inside else WHOLE
                 path = run.column("path")[0].as_py() if places else None
             lines = run.column("line")
-            if pc.any(pc.ends_with(lines, "\r")).as_py():
-                lines = pc.replace_substring_regex(lines, "\r$", "")
             after = open_after(lines, inside)
             inside = bool(after[-1])
             last = np.flatnonzero(~after) + 1  # behind the last line of each record
@@ -223,7 +223,7 @@ def csv_records(spark: SparkSession, url: str, place: str | None = None) -> Data
     first = F.col("parts")[0]
     mended = pieces.groupBy("file", "of").agg(parts.alias("parts")).where(~((first["block"] == 0) & (first["row"] == 0)))
     columns = [first[c].alias(c) for c in (["block", "row", "path"] if places else [])]
-    mended = mended.select(*columns, F.array_join(F.transform("parts", lambda p: p["record"]), "\n").alias("record"))
+    mended = mended.select(*columns, F.regexp_replace(F.array_join(F.transform("parts", lambda p: p["record"]), "\n"), r"\r\z", "").alias("record"))
     # made once, so that the records can be read again in one scan
     return _proper(whole.unionByName(materialise(mended, "csv-pieces")), place)
 
