@@ -106,7 +106,7 @@ def abs_diff(left: Column, right: Column, threshold: float) -> Column:
     return _sure(F.abs(left - right) <= F.lit(threshold))
 
 
-@register("LEVENSHTEIN", "Few edits apart", DETERMINISTIC, args=("max_edits",), defaults={"max_edits": 0}, tags=("strings",))
+@register("LEVENSHTEIN", "Few edits apart", DETERMINISTIC, args=("max_edits",), defaults={"max_edits": 0}, edits=lambda max_edits: max_edits, tags=("strings",))
 def levenshtein(left: Column, right: Column, max_edits: int) -> Column:
     """A missing value counts as an empty text, so two of them match."""
     if max_edits < 0:

@@ -1,10 +1,11 @@
 """Candidate pairs: an equi-join of records on encoded blocking fields.
 
-Two things make the join's candidates fewer, or more even, without changing its pairs. Where a comparison accepts only
+Three things make the join's candidates fewer, or more even, without changing its pairs. Where a comparison accepts only
 numbers at most t apart, numbers are cut into bands 2t wide: a right record is in the band of its number, a left one in
-the one or two bands that its partners can be in, and the band is a further key. Blocks of many records, measured if
-asked, are cut into chunks of both sides, and each chunk meets each of the other side under a key of its own, so that many
-tasks share a block.
+the one or two bands that its partners can be in, and the band is a further key. Where one accepts only texts few edits
+apart, big blocks, measured if asked, are joined on segments of the texts. Blocks of many records, measured too, are cut
+into chunks of both sides, and each chunk meets each of the other side under a key of its own, so that many tasks share a
+block.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from twinspan.functions import comparator, encoder
 from twinspan.functions.text import blank_to_null
 from twinspan.plans.spec import Step
 
+from .segments import segmented
 from .storage import materialise
 
 LEFT, RIGHT = "LEFT_", "RIGHT_"
@@ -108,19 +110,25 @@ def pair(left: DataFrame, right: DataFrame, step: Step, left_carry: list[str], r
     once: for one dataset against itself, the id columns; each pair then comes once, the smaller id left. Ids are
     compared by their own type: numbers by value, strings by code point. A record without an id then pairs with nothing,
     and rows that share an id not with each other. An empty side gives no pairs. Of pairs whose numbers are too far apart
-    for a comparison of the step, some are left out already. hot_rows: measure blocks and cut those of more records.
+    for a comparison of the step, or whose texts are too many edits apart, some are left out already. hot_rows: measure
+    blocks, join big ones on segments where a comparison counts edits, and cut those of more records.
     """
     a = keyed(left, step, "left", left_carry)
     b = keyed(right, step, "right", right_carry)
     a, b = a.select(*[F.col(f"`{c}`").alias(LEFT + c) for c in a.columns]), b.select(*[F.col(f"`{c}`").alias(RIGHT + c) for c in b.columns])
     a, b, with_band = banded(a, b, step)
     keys = [*[f"_k{i}" for i in range(len(step.keys()))], *(["_band"] if with_band else [])]
+    first = None
     if hot_rows is not None:
+        a, b, first = segmented(a, b, step, keys)
+        keys += ["_seg"] if first is not None else []
         a, b = chunked(a, b, keys, hot_rows)
         keys += ["_i", "_j"]
     same = reduce(Column.__and__, [F.col(LEFT + k) == F.col(RIGHT + k) for k in keys])
+    if first is not None:
+        same = same & first
     if once:
         same = same & (F.col(f"`{LEFT}{once[0]}`") < F.col(f"`{RIGHT}{once[1]}`"))
     joined = a.join(b, same, "inner")
-    own = {side + k for side in (LEFT, RIGHT) for k in keys}
+    own = {side + k for side in (LEFT, RIGHT) for k in [*keys, "_big", "_part", "_way"]}
     return joined.select(*[F.col(f"`{c}`") for c in joined.columns if c not in own])

@@ -13,7 +13,7 @@ from twinspan.functions.outcomes import outcome
 from twinspan.functions.registry import registered_for
 from twinspan.functions.synonyms import use_synonyms
 from twinspan.functions.text import blank_to_null, py_slice
-from twinspan.operators.blocking import keyed, pair
+from twinspan.operators.blocking import HOT_ROWS, keyed, pair
 from twinspan.operators.components import connected_components
 from twinspan.operators.dedup import dedup
 from twinspan.operators.frequency import agreement, field_sizes, top_values, u_values, value_counts
@@ -248,6 +248,17 @@ def block_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(found.where(F.col("LEFT_c_nationkey") + F.col("RIGHT_c_nationkey") > 30), "c_custkey")
 
 
+@_query(
+    "block_segments",
+    "WITH o AS (SELECT *, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) AS cents FROM orders) SELECT l.o_orderkey AS left_id, r.o_orderkey AS right_id FROM o l JOIN o r ON l.o_orderpriority = r.o_orderpriority AND l.o_orderstatus = r.o_orderstatus AND l.o_orderkey < r.o_orderkey WHERE levenshtein(coalesce(l.cents, ''), coalesce(r.cents, '')) <= 1",
+)
+def block_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose amounts are one typing error apart, in few large blocks joined on segments of the digits."""
+    orders = _table(spark, sf_dir, "orders").withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long").cast("string"))
+    step = _step(["o_orderpriority", "o_orderstatus"], ["cents"], [Comparison("LEVENSHTEIN", {"max_edits": 1})])
+    return _ids(pair_and_match(orders, orders, step, ["o_orderkey"], ["o_orderkey"], ("o_orderkey", "o_orderkey"), hot_rows=HOT_ROWS), "o_orderkey")
+
+
 @_query(
     "block_soundex",
     f"{_IDS} FROM {_PARTS} l JOIN {_PARTS} r ON {_soundex_sql('l.nm')} = {_soundex_sql('r.nm')} AND l.p_brand = r.p_brand AND l.p_type = r.p_type AND l.p_partkey < r.p_partkey",
