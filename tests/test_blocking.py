@@ -92,3 +92,15 @@ def test_runs_measure_blocks_of_many_records(spark, monkeypatch):
     for module in ("dedup", "link"):
         monkeypatch.setattr(f"twinspan.operators.{module}.HOT_ROWS", 16)
     assert [sorted(map(tuple, dedup(df, "id", [_step(0)]).deduped.collect())), sorted(map(tuple, link(df, df, "id", "id", "ent", "ent", [_step(0)], "1TM", "none").linked.collect()))] == wanted
+
+
+def test_pairs_beyond_few_are_dealt_to_many_even_tasks_by_themselves(spark, monkeypatch):
+    """Small tables with many pairs: their bytes alone would give one task, or a broadcast."""
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 1000)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_ROWS", 25)
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], 0.0) for i in range(400)], SCHEMA)
+    found = pair(df, df, Step(1, ("k",), (), ()), ["id"], ["id"], ("id", "id"))
+    want = sorted((i, j) for i in range(400) for j in range(i + 1, 400) if (i % 3 == 0) == (j % 3 == 0))
+    assert _ids(found) == want
+    per_task = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(per_task) > 10 and max(per_task) < 0.3 * len(want)
