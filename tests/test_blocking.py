@@ -10,6 +10,7 @@ from twinspan.operators.dedup import dedup
 from twinspan.operators.link import link
 from twinspan.operators.matching import pair_and_match
 from twinspan.plans.spec import Comparison, Step
+from twinspan.plans.sql import register_functions, self_match
 
 SCHEMA = "id long, k string, x double"
 
@@ -104,3 +105,39 @@ def test_pairs_beyond_few_are_dealt_to_many_even_tasks_by_themselves(spark, monk
     assert _ids(found) == want
     per_task = [r["n"] for r in found.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert len(per_task) > 10 and max(per_task) < 0.3 * len(want)
+
+
+@pytest.mark.parametrize("comparison", [Comparison("LEVENSHTEIN", {"max_edits": 1}), Comparison("JARO_WINKLER", {"threshold": 0.8})])
+def test_repeated_texts_are_compared_once(spark, monkeypatch, comparison):
+    """Candidates are the accepted pairs already; missing texts count as empty ones."""
+    texts = ["anna", "anne", "bert", "berta", None, "", "x"]
+    df = spark.createDataFrame([(i, "ab"[i % 2], texts[i % 7]) for i in range(140)], "id long, k string, x string")
+    step = Step(1, ("k",), ("x",), (comparison,))
+    plain = _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id")))
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
+    monkeypatch.setattr("twinspan.operators.blocking.REPEATED", 4)
+    for hot_rows in (None, 8):
+        assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"), hot_rows)) == plain
+        assert _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id"), hot_rows)) == plain
+    assert 0 < len(plain) < 140 * 139 // 4
+
+
+@pytest.mark.parametrize("comparison", [Comparison("FIXED_LEN", {"length": 4}), Comparison("FIXED_VAL", {"value": "anna"}), Comparison("BOTH_EMPTY"), Comparison("BOTH_EXIST")])
+def test_what_each_side_decides_alone_is_asked_before_pairing(spark, comparison):
+    texts = ["anna", "anne", "bert", "berta", None, "", "x"]
+    df = spark.createDataFrame([(i, "a", texts[i % 7]) for i in range(35)], "id long, k string, x string")
+    fits = {"FIXED_LEN": lambda x: len(x or "") == 4, "FIXED_VAL": lambda x: x == "anna", "BOTH_EMPTY": lambda x: not x, "BOTH_EXIST": bool}[comparison.name]
+    want = [(i, j) for i in range(35) for j in range(i + 1, 35) if fits(texts[i % 7]) and fits(texts[j % 7])]
+    step = Step(1, ("k",), ("x",), (comparison,))
+    assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"))) == want == _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id")))
+
+
+def test_sql_compares_repeated_values_once(spark, monkeypatch):
+    register_functions(spark)
+    texts = ["anna", "anne", "bert", "berta", None, "", "x"]
+    spark.createDataFrame([(i, "ab"[i % 2], texts[i % 7]) for i in range(140)], "id long, k string, x string").createOrReplaceTempView("twinspan_repeated")
+    ask = lambda *more: sorted(map(tuple, self_match(spark, "twinspan_repeated", "id", ["{t}.k"], "match_slice(l.x, r.x, 0, 2)", *more).collect()))
+    plain = ask()
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
+    monkeypatch.setattr("twinspan.operators.blocking.REPEATED", 4)
+    assert ask(["x"]) == plain == ask() and plain
