@@ -178,3 +178,20 @@ def test_outcomes_of_field_categories(spark):
     assert typed.select(outcome("data_field", typed.a, typed.b).alias("x")).first().x == "Swapped"
     with pytest.raises(KeyError):
         outcome("no_field", df.a, df.b)
+
+
+def test_pairs_that_agree_in_nothing_are_counted_without_being_made(spark, monkeypatch):
+    from twinspan.operators import matching
+
+    rows = [(i % 190 if i % 9 else None, "xy"[i % 2], f"{i % 5 or ''}name{i % 7}" if i % 8 else None, float(i % 60) if i % 6 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, k string, s string, x double")
+    step = Step(1, ("k",), ("s", "x", "s"), (Comparison("HEAD_MATCH", {"n": 3}), Comparison("ABS_DIFF", {"threshold": 2}), Comparison("TAIL_MATCH", {"n": 2})), method="PRB", least=0.5)
+    counts, ends = [], ("LEFT_id", "RIGHT_id")
+    estimate = matching.estimate
+    monkeypatch.setattr("twinspan.operators.matching.estimate", lambda c, *more: counts.append(c) or estimate(c, *more))
+    asked = lambda: sorted(map(tuple, matching.pair_and_match(df, df, step, ["id"], ["id"], ("id", "id")).select(*ends).collect()))
+    plain = asked()
+    assert not counts and plain
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
+    assert asked() == plain
+    assert counts == [matching.pattern_counts(matching.pair(df, df, step, ["id"], ["id"], ("id", "id")), step)]
