@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from twinspan.operators.blocking import pair
+from twinspan.operators.blocking import meet, pair
 from twinspan.operators.dedup import dedup
 from twinspan.operators.link import link
 from twinspan.operators.matching import pair_and_match
@@ -141,3 +141,17 @@ def test_sql_compares_repeated_values_once(spark, monkeypatch):
     monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
     monkeypatch.setattr("twinspan.operators.blocking.REPEATED", 4)
     assert ask(["x"]) == plain == ask() and plain
+
+
+def test_a_dataset_against_itself_meets_each_two_chunks_once(spark, monkeypatch):
+    """Half of the candidates are never made, and each record's columns stay with its id."""
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 1000)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_ROWS", 25)
+    df = spark.createDataFrame([(i, "ab"[i % 10 == 0], i / 2) for i in range(200)], SCHEMA)
+    own = ["id", "x"]
+    found = pair(df, df, Step(1, ("k",), (), ()), own, own, ("id", "id"))
+    want = sorted((i, i / 2, j, j / 2) for i in range(200) for j in range(i + 1, 200) if (i % 10 == 0) == (j % 10 == 0))
+    assert sorted((r.LEFT_id, r.LEFT_x, r.RIGHT_id, r.RIGHT_x) for r in found.collect()) == want
+    sides = [df.select(F.col("id").alias(f"{s}id"), F.col("k").alias(f"{s}_k")) for s in ("LEFT_", "RIGHT_")]
+    met = meet(*sides, ["_k"], half=True).groupBy((F.col("LEFT__i") == F.col("LEFT__j")).alias("same")).count().collect()
+    assert sum(r["count"] for r in met) < 0.65 * (180 * 180 + 20 * 20)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.functions.phonetic import jaro_winkler_udf, nysiis_sql
 from twinspan.functions.text import folding
 from twinspan.operators import blocking
-from twinspan.operators.blocking import LEFT, READERS, RIGHT, chunked
+from twinspan.operators.blocking import LEFT, READERS, RIGHT, meet
 from twinspan.operators.components import connected_components
 from twinspan.operators.storage import materialise
 
@@ -42,9 +40,8 @@ def _sides(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _joined(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of l and r that agree on all keys, dealt to tasks by their number."""
-    a, b, on = chunked(a, b, keys)
-    l, r = (x.select(*[F.col(f"`{c}`").alias(c.removeprefix(side)) for c in x.columns]).alias(name) for x, side, name in ((a, LEFT, "l"), (b, RIGHT, "r")))  # noqa: E741
-    return l.join(r, reduce(Column.__and__, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in on]))
+    met = meet(a, b, keys)
+    return met.select(*[F.struct(*[F.col(f"`{c}`").alias(c.removeprefix(side)) for c in x.columns]).alias(name) for x, side, name in ((a, LEFT, "l"), (b, RIGHT, "r"))])
 
 
 def self_match(spark: SparkSession, view: str, id: str, keys: list[str], comparison: str, compared: list[str] | None = None) -> DataFrame:
