@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from twinspan.plans.spec import Step
 
 from .blocking import HOT_ROWS, LEFT, RIGHT
+from .classes import Classes, classes, divisible, earliest_of, weight
 from .components import connected_components
 from .ids import numbered
 from .matching import earliest, pair_and_match
 from .rows import id_facts, rows_not_in
 from .storage import materialise_counted
 
+#: Records from which those that are alike to the steps are taken together.
+CLASS_ROWS = 1 << 15
+
 
 @dataclass
 class DedupResult:
@@ -65,7 +69,8 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
 
     A step without group adds its pairs to those of the next step with group, whose components become entities and
     leave the records of later steps. Pairs of trailing steps without group are dropped. Records in no pair are
-    entities of their own, numbered on by id.
+    entities of their own, numbered on by id. Of more than CLASS_ROWS records those that are alike to the steps are taken
+    together, and matched makes the pairs of records when it is read.
 
     Defined results: rows that share an id are the same record, so they get the same entity, never pair with each other
     and are shown in matched by one of them; a row without an id pairs with nothing and is an entity of its own,
@@ -81,27 +86,39 @@ def dedup(records: DataFrame, index: str, steps: list[Step] | tuple[Step, ...])
     rest, pending, entities, details, offset = known, None, None, None, 0
     stats: dict[int, dict[str, int]] = {}
     pairs_so_far = in_pairs = 0
+    together = facts.records > CLASS_ROWS and all(s.method != "PRB" for s in steps) and divisible(records, steps)
+    taken: Classes | None = None
     for step in steps:
-        new = pair_and_match(rest, rest, step, [index], [index], (index, index), hot_rows).select(*ends, "STEP")
-        if repeats:  # else each pair of ids comes once
-            new = new.distinct()
-        new = new if pending is None else earliest(pending.unionByName(new), ends).select(*ends, "STEP")
-        pending, seen = materialise_counted(new, "matched", n=F.count(F.lit(1)), own=F.count_if(F.col("STEP") == step.seq))
+        if together:
+            if taken is None:
+                taken = classes(rest, index, steps, repeats)
+            new = taken.pairs(step, hot_rows)
+            new = new if pending is None else earliest_of(pending.unionByName(new))
+            of_pairs = {"n": F.sum(weight()), "own": F.sum(F.when(F.col("STEP") == step.seq, weight()))}
+        else:
+            new = pair_and_match(rest, rest, step, [index], [index], (index, index), hot_rows).select(*ends, "STEP")
+            if repeats:  # else each pair of ids comes once
+                new = new.distinct()
+            new = new if pending is None else earliest(pending.unionByName(new), ends).select(*ends, "STEP")
+            of_pairs = {"n": F.count(F.lit(1)), "own": F.count_if(F.col("STEP") == step.seq)}
+        pending, seen = materialise_counted(new, "matched", **of_pairs)
+        seen = {k: n or 0 for k, n in seen.items()}
         stats[step.seq] = {"total_records_linked": seen["own"], "total_entities": 0}
         if not step.group:
             continue
         if seen["n"]:
-            found, of_found = materialise_counted(assign_entities(pending, index, offset), "entities", n=F.count(F.lit(1)), last=F.max("ENTITY_ID"))
+            edges = taken.edges(pending) if taken else pending
+            found, of_found = materialise_counted(assign_entities(edges, index, offset), "entities", n=F.count(F.lit(1)), last=F.max("ENTITY_ID"))
             in_pairs += of_found["n"]
             n = of_found["last"] - offset
             offset += n
             pairs_so_far += seen["n"]
             stats[step.seq]["total_entities"] = n
-            more = matched_details(single, pending, found, index)
+            more = matched_details(single, taken.records(pending) if taken else pending, found, index)
             details = more if details is None else details.unionByName(more)
             entities = found if entities is None else entities.unionByName(found)
             rest = rows_not_in(known, entities, index)
-        pending = None
+        pending = taken = None
     if details is None:
         empty, id_column = records.limit(0), F.col(f"`{index}`")
         no_pairs = empty.select(id_column.alias(LEFT + index), id_column.alias(RIGHT + index), F.lit(0).alias("STEP"))
