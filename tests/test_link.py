@@ -3,6 +3,7 @@
 import pytest
 
 from twinspan.operators.link import link
+from twinspan.operators.relationship import unique_partner
 from twinspan.plans.spec import Comparison, Step
 
 COLUMNS = "id long, entity long, born string, first string, town string"
@@ -153,3 +154,12 @@ def test_own_columns_of_any_name(spark):
     right = spark.createDataFrame([(5, 50, "k", 8)], "id long, ent long, _id string, _le int")
     found = link(left, right, "id", "id", "ent", "ent", [Step(1, ("_id",), ("_id",), (Comparison("EXACT"),))], "1T1").linked.collect()
     assert [(x["_id_x"], x["_ent"], x["_id_y"], x["_le"]) for x in found] == [("k", 7, "k", 8)]
+
+
+def test_a_single_partner_is_told_without_shuffling_pairs(spark):
+    """One aggregation: what is exchanged for it is a row for each group of a task, not for each pair."""
+    pairs = spark.createDataFrame([(1, 5), (1, 5), (2, 5), (2, 6), (3, None), (3, None), (4, None), (4, 7), (None, 8)], "g long, p long")
+    found = unique_partner(pairs, "g", "p")
+    assert sorted((r.g, r.p) for r in found.collect() if r.g == 1) == [(1, 5), (1, 5)] and {r.g for r in found.collect()} == {1, 3}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
