@@ -155,3 +155,23 @@ def test_a_dataset_against_itself_meets_each_two_chunks_once(spark, monkeypatch)
     sides = [df.select(F.col("id").alias(f"{s}id"), F.col("k").alias(f"{s}_k")) for s in ("LEFT_", "RIGHT_")]
     met = meet(*sides, ["_k"], half=True).groupBy((F.col("LEFT__i") == F.col("LEFT__j")).alias("same")).count().collect()
     assert sum(r["count"] for r in met) < 0.65 * (180 * 180 + 20 * 20)
+
+
+@pytest.mark.parametrize("kind", ["string", "int", "double", "date"])
+def test_exact_joins_on_equal_values_and_on_missing_ones(spark, kind):
+    """Candidates are the accepted pairs already, so a block of different values makes none."""
+    values = {"string": ["anna", "bert", " ", None, ""], "int": [1, 2, 0, None, -1], "double": [0.0, -0.0, float("nan"), None, 1.5], "date": ["2020-01-01", "2020-01-02", None, None, "1999-12-31"]}[kind]
+    df = spark.createDataFrame([(i, "ab"[i % 2], str(v) if v is not None else None) for i, v in enumerate(values * 6)], "id long, k string, x string").withColumn("x", F.col("x").cast(kind))
+    step = Step(1, ("k",), ("x",), (Comparison("EXACT"),))
+    rows = [(r.id, r.k, None if kind == "string" and not (r.x or "").strip() else r.x) for r in df.collect()]
+    same = lambda x, y: x == y or x != x and y != y
+    want = sorted((i, j) for i, k, x in rows for j, m, y in rows if i < j and k == m and same(x, y))
+    assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"))) == want == _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id"), hot_rows=4)) and want
+
+
+def test_exact_of_two_types_compares_as_before(spark):
+    left = spark.createDataFrame([(i, "a", i % 4 if i % 5 else None) for i in range(20)], "id long, k string, x int")
+    right = left.withColumn("x", F.col("x").cast("long"))
+    step = Step(1, ("k",), ("x",), (Comparison("EXACT"),))
+    want = sorted((a.id, b.id) for a in left.collect() for b in left.collect() if a.x == b.x)
+    assert _ids(pair_and_match(left, right, step, ["id"], ["id"])) == want
