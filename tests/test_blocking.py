@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from twinspan.functions.synonyms import use_synonyms
 from twinspan.operators.blocking import meet, pair
 from twinspan.operators.dedup import dedup
 from twinspan.operators.link import link
@@ -175,3 +176,20 @@ def test_exact_of_two_types_compares_as_before(spark):
     step = Step(1, ("k",), ("x",), (Comparison("EXACT"),))
     want = sorted((a.id, b.id) for a in left.collect() for b in left.collect() if a.x == b.x)
     assert _ids(pair_and_match(left, right, step, ["id"], ["id"])) == want
+
+
+def test_synonyms_join_on_their_root(spark, monkeypatch):
+    """Candidates are the accepted pairs, each two chunks meet once, and no text is compared."""
+    use_synonyms([("Bob", "Robert"), ("Rob", "robert"), ("Liz", "Beth")])
+    names = ["Bob", "ROB", "robert", "liz", "Beth", "Zoe", None, " ", ""]
+    df = spark.createDataFrame([(i, "ab"[i % 2], names[i % 9]) for i in range(180)], "id long, k string, x string")
+    root = {"bob": 1, "rob": 1, "robert": 1, "liz": 2, "beth": 2, "": 3}
+    of = lambda i: root.get((names[i % 9] or "").strip().lower())
+    want = [(i, j) for i in range(180) for j in range(i + 1, 180) if i % 2 == j % 2 and of(i) == of(j) and of(i)]
+    step = Step(1, ("k",), ("x",), (Comparison("SYNONYMS"),))
+    assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"))) == want == _ids(pair_and_match(df, df, step, ["id"], ["id"], ("id", "id")))
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_ROWS", 8)
+    monkeypatch.setattr("twinspan.operators.blocking.REPEATED", 4)
+    assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"))) == want
+    use_synonyms(None)
