@@ -108,6 +108,26 @@ def test_pairs_beyond_few_are_dealt_to_many_even_tasks_by_themselves(spark, monk
     assert len(per_task) > 10 and max(per_task) < 0.3 * len(want)
 
 
+@pytest.mark.parametrize("comparison", [Comparison("BOTH_EMPTY"), Comparison("HEAD_MATCH", {"n": 1}), Comparison("SLICE_MATCH", {"start": 0, "end": 1})])
+def test_copies_for_chunks_are_made_by_many_tasks(spark, monkeypatch, comparison):
+    """A small table is read by one task, which would copy all records for all chunks that they meet."""
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 1000)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_ROWS", 25)
+    monkeypatch.setattr("twinspan.operators.blocking.READERS", 13)
+    rows = [(i, "ab"[i % 3 == 0], " " if comparison.name == "BOTH_EMPTY" else "xyz") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, t string").coalesce(1)
+    found = pair_and_match(df, df, Step(1, ("k",), ("t",), (comparison,)), ["id"], ["id"], ("id", "id"))
+    spark.sparkContext.setJobGroup("copies", "copies")
+    try:
+        got = _ids(found)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == sorted((i, j) for i in range(400) for j in range(i + 1, 400) if (i % 3 == 0) == (j % 3 == 0))
+    status = spark.sparkContext.statusTracker()
+    tasks = {s: status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("copies") for s in status.getJobInfo(j).stageIds if status.getStageInfo(s)}
+    assert list(tasks.values()).count(13) >= 2
+
+
 @pytest.mark.parametrize("comparison", [Comparison("LEVENSHTEIN", {"max_edits": 1}), Comparison("JARO_WINKLER", {"threshold": 0.8})])
 def test_repeated_texts_are_compared_once(spark, monkeypatch, comparison):
     """Candidates are the accepted pairs already; missing texts count as empty ones."""
