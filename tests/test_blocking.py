@@ -47,6 +47,17 @@ def test_bands_leave_few_candidates(spark):
     assert accepted == 3 * 2000 - 6 and candidates < 4 * accepted  # of 2,000,000 pairs of the block
 
 
+def test_numbers_that_meet_are_little_further_apart_than_accepted(spark):
+    """Also where the two sides read different fields, and for the least of all thresholds, half of which is 0."""
+    df = spark.createDataFrame([(i, "k", float(i)) for i in range(600)], SCHEMA).withColumn("y", F.col("x") + 0.25)
+    step = Step(1, ("k",), ("x",), (Comparison("ABS_DIFF", {"threshold": 20}),), link_right=("y",))
+    accepted = sum(abs(i - j - 0.25) <= 20 for i in range(600) for j in range(600))
+    assert pair_and_match(df, df, step, ["id"], ["id"]).count() == accepted
+    assert pair(df, df, step, ["id"], ["id"]).count() < 1.4 * accepted
+    near = spark.createDataFrame([(1, "k", 0.0), (2, "k", 5e-324), (3, "k", 1.0), (4, "k", -0.0)], SCHEMA)
+    assert _ids(pair_and_match(near, near, _step(5e-324), ["id"], ["id"], ("id", "id"))) == [(1, 2), (1, 4), (2, 4)]
+
+
 def test_whole_numbers_and_decimals(spark):
     for kind in ("int", "long", "decimal(12,2)", "float"):
         df = spark.createDataFrame([(i, "k", float(x)) for i, x in enumerate([1, 2, 4, 4, 9, -1, 1000000])], SCHEMA).withColumn("x", F.col("x").cast("long").cast(kind))
