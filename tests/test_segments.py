@@ -106,3 +106,11 @@ def test_comparisons_without_a_bound_or_of_many_edits_are_not_segmented():
     assert edits_of(Step(1, ("k",), ("v",), (Comparison("SOUNDEX"),))) is None
     assert edits_of(_step(5)) is None and edits_of(_step(-1)) is None and edits_of(_step(2)) == (0, 2)
     assert [len(windows(k)) for k in (0, 1, 2, 3)] == [1, 6, 19, 44]
+
+
+def test_one_edit_makes_no_pair_that_the_comparison_drops(spark):
+    pick = random.Random(5)
+    rows = [(i, "k", "".join(pick.choices("abcd", k=pick.randint(0, 6)))) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((i, j) for i, _, x in rows for j, _, y in rows if i < j and _edits(x, y) <= 1)
+    assert _ids(pair(df, df, _step(1), ["id"], ["id"], ("id", "id"), hot_rows=1 << 15)) == want
