@@ -6,6 +6,8 @@ from itertools import product
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from twinspan.functions.outcomes import outcome
 from twinspan.operators.blocking import pair
 from twinspan.operators.dedup import dedup
@@ -195,3 +197,15 @@ def test_pairs_that_agree_in_nothing_are_counted_without_being_made(spark, monke
     monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 100)
     assert asked() == plain
     assert counts == [matching.pattern_counts(matching.pair(df, df, step, ["id"], ["id"], ("id", "id")), step)]
+
+
+def test_scores_are_rounded_once_for_each_pattern(spark):
+    """Rounding each pair's score takes longer than all else that is done to it."""
+    df = spark.createDataFrame([(i, "a", f"n{i % 3}" if i % 4 else None) for i in range(30)], "id long, k string, s string")
+    step = Step(1, ("k",), ("s",), (Comparison("EXACT"),), method="PRB")
+    pairs = pair(df, df, step, ["id"], ["id"], ("id", "id"))
+    weights = Weights((0.9,), (0.123456,), 0.1)
+    plain = scored(pairs, step, weights).select("LEFT_id", "RIGHT_id", F.round("SCORE", 4).alias("SCORE"))
+    found = scored(pairs, step, weights, digits=4).select("LEFT_id", "RIGHT_id", "SCORE")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+    assert "round" not in found._jdf.queryExecution().optimizedPlan().toString()
