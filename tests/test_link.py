@@ -2,6 +2,7 @@
 
 import pytest
 
+from twinspan.operators import link as linking
 from twinspan.operators.link import link
 from twinspan.operators.relationship import unique_partner
 from twinspan.plans.spec import Comparison, Step
@@ -163,3 +164,25 @@ def test_a_single_partner_is_told_without_shuffling_pairs(spark):
     assert sorted((r.g, r.p) for r in found.collect() if r.g == 1) == [(1, 5), (1, 5)] and {r.g for r in found.collect()} == {1, 3}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("relationship", ["1T1", "1TM", "MT1"])
+def test_pairs_of_large_tables_are_not_written(spark, monkeypatch, relationship):
+    """Only what is kept is: the same links, refused pairs, rest and counters as by pairs that are all written."""
+    make = lambda n, m: spark.createDataFrame([(i, i // 2 if i % 7 else None, f"k{i % 3}", float(i * i % m) if i % 11 else None) for i in range(n)], "id long, ent long, k string, x double")
+    left, right = make(60, 97), make(40, 89)
+    near = lambda seq, most: Step(seq, ("k",), ("x",), (Comparison("ABS_DIFF", {"threshold": most}),))
+    steps = [near(1, 1), near(2, 4)]
+    written = []
+    keep = linking.materialise_counted
+    monkeypatch.setattr(linking, "materialise_counted", lambda df, name, **more: written.append(name) or keep(df, name, **more))
+
+    def asked():
+        found = linking.link(left, right, "id", "id", "ent", "ent", steps, relationship, "none")
+        return [sorted(map(repr, df.collect())) for df in (found.linked, found.matched_not_linked, found.unlinked_left, found.unlinked_right)] + [found.stats, found.totals]
+
+    plain = asked()
+    assert "matched" in written and all(plain[:2])
+    written.clear()
+    monkeypatch.setattr(linking, "HOT_ROWS", 16)
+    assert asked() == plain and "matched" not in written
