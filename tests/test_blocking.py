@@ -224,3 +224,16 @@ def test_synonyms_join_on_their_root(spark, monkeypatch):
     monkeypatch.setattr("twinspan.operators.blocking.REPEATED", 4)
     assert _ids(pair(df, df, step, ["id"], ["id"], ("id", "id"))) == want
     use_synonyms(None)
+
+
+def test_chunks_grow_with_the_table(spark, monkeypatch):
+    """So a record is not copied more often in a larger table."""
+    monkeypatch.setattr("twinspan.operators.blocking.FEW_PAIRS", 1000)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_ROWS", 10)
+    monkeypatch.setattr("twinspan.operators.blocking.CHUNK_PAIRS", 16, raising=False)
+    df = spark.createDataFrame([(i, "a", "t" * (i % 3)) for i in range(400)], "id long, k string, t string")
+    sides = [df.select(*[F.col(c).alias(s + n) for c, n in (("id", "id"), ("k", "_k"), ("t", "t"))]) for s in ("LEFT_", "RIGHT_")]
+    met = meet(*sides, ["_k"])
+    assert met.select("LEFT__i").distinct().count() == 4 == met.select("LEFT__j").distinct().count()
+    pairs = met.select("LEFT_id", "LEFT_t", "RIGHT_id", "RIGHT_t").collect()
+    assert len(pairs) == len(set(pairs)) == 160000 and all(len(r.LEFT_t) == r.LEFT_id % 3 and len(r.RIGHT_t) == r.RIGHT_id % 3 for r in pairs)
